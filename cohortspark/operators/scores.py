@@ -232,3 +232,17 @@ def sample_scores(values: DataFrame, modules: Mapping[str, Sequence[str]], scale
         F.when(ready, total / F.size("_mapped")).alias("module_score"),
         F.when(ready, F.lit(SCORE_AVAILABLE)).otherwise(F.lit("mapping_below_minimum")).alias("score_status"))
 
+
+
+def union_sources(tables: Sequence[DataFrame]) -> DataFrame:
+    """Stack score tables; absent optional columns get their declared defaults.
+
+    Defaults: ``score_status`` is ``score_available``, ``mapped_fraction`` is 1, any other
+    missing column is NULL.
+    """
+    defaults = {"score_status": F.lit(SCORE_AVAILABLE), "mapped_fraction": F.lit(1.0)}
+    filled = [df.withColumns({n: d for n, d in defaults.items() if n not in df.columns}) for df in tables]
+    out = filled[0]
+    for df in filled[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out

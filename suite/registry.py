@@ -40,7 +40,9 @@ def compose(select: str) -> str:
         body = VIEWS[n][head.end():] if head else VIEWS[n]
         recursive = re.search(rf"\b{n}\b", body) is not None
         parts.append(f"{n}{head.group(0).strip() if head else ''} AS {'' if recursive else 'MATERIALIZED '}({body})")
-    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + select.strip()
+    select = select.strip()
+    own = select.upper().startswith("WITH ")  # the query brings further views of its own
+    return "WITH RECURSIVE " + ",\n".join(parts) + (",\n" + select[5:] if own else "\n" + select)
 
 
 def query(name: str, sql: str | None = None):

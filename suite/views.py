@@ -147,27 +147,26 @@ view("v_welch", """
                 FROM v_effects))""")
 
 
-def t_quantiles(name: str, source: str) -> None:
+def t_quantiles(name: str, df: str, source: str) -> None:
     """View ``name``(df, q): two-sided 95% t quantiles by Simpson's rule and bisection.
 
     P(0 <= T <= t) = C * integral of cos^(df-1) from 0 to atan(t/sqrt(df)), which is an
-    independent method from the continued fraction used by the library.  The integrand is
-    substituted u = theta * x so that large df keep their accuracy on the bracket.
+    independent method from the continued fraction used by the library.
     """
     view(f"{name}_seek", f"""(df, c, lo, hi, step)
-        SELECT df, exp(lgamma((df + 1) / 2e0) - lgamma(df / 2e0)) / sqrt(pi()), 0e0, least(pi() / 2, atan(60e0 / sqrt(df)) + 0e0 * df), 0
-        FROM (SELECT DISTINCT CAST({source.split('|')[0]} AS DOUBLE) AS df FROM {source.split('|')[1]}) WHERE df IS NOT NULL
+        SELECT df, exp(lgamma((df + 1) / 2e0) - lgamma(df / 2e0)) / sqrt(pi()), 0e0, atan(60e0 / sqrt(df)), 0
+        FROM (SELECT DISTINCT CAST({df} AS DOUBLE) AS df FROM {source}) WHERE df >= 1
         UNION ALL
         SELECT df, c, CASE WHEN p < 0.475e0 THEN mid ELSE lo END, CASE WHEN p < 0.475e0 THEN hi ELSE mid END, step + 1
         FROM (SELECT *, (lo + hi) / 2 AS mid,
-                c * (lo + hi) / 2 / 600 * list_sum(list_transform(range(0, 201), lambda i:
-                  CASE WHEN i = 0 OR i = 200 THEN 1e0 WHEN i % 2 = 1 THEN 4e0 ELSE 2e0 END
-                  * pow(cos((lo + hi) / 2 * i / 200), df - 1))) AS p
+                c * (lo + hi) / 2 / 6000 * list_sum(list_transform(range(0, 2001), lambda i:
+                  CASE WHEN i = 0 OR i = 2000 THEN 1e0 WHEN i % 2 = 1 THEN 4e0 ELSE 2e0 END
+                  * pow(cos((lo + hi) / 2 * i / 2000), df - 1))) AS p
               FROM {name}_seek WHERE step < 48)""")
     view(name, f"SELECT df, sqrt(df) * tan((lo + hi) / 2) AS q FROM {name}_seek WHERE step = 48")
 
 
-t_quantiles("v_tq_welch", "analytic_df|v_welch")
+t_quantiles("v_tq_welch", "analytic_df", "v_welch")
 THRESHOLD_VALUES = values([(t,) for t in THRESHOLDS], "threshold")
 view("v_thresholds", THRESHOLD_VALUES)
 REPS = REPLICATES
