@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..functions.config import check_feature_sets, literal_array
+from ..functions.config import check_feature_sets, feature_set_table, literal_array
+from ..functions.lineage import evaluate_once
 
 
 @dataclass(frozen=True)
@@ -125,8 +126,6 @@ def measured_members(features: DataFrame, sets: Mapping[str, Sequence[str]],
     ``features`` is the platform's feature table.  The result is bounded by the
     configuration, whatever the size of the feature table.
     """
-    from ..functions.config import feature_set_table
-
     members = feature_set_table(features.sparkSession, sets, set_name, "symbol")
     per_symbol = (features.groupBy("symbol").agg(F.count_distinct("feature_id").alias("_ids"))
                   .join(members, "symbol"))
@@ -158,7 +157,7 @@ def panel_columns(cells: DataFrame, features: DataFrame, panels: Mapping[str, Se
         size = F.size(own) if denominator == "measured" else F.lit(len(genes))
         added[f"{panel}_score"] = F.when(size > 0, total / size).otherwise(F.lit(0.0))
         added[f"{panel}_detected_genes"] = F.size(F.filter(own, lambda g: count(g) > 0)).cast("long")
-    return with_map.withColumns(added).drop("_measured")
+    return evaluate_once(with_map, added).drop("_measured")
 
 
 def panel_rows(cells: DataFrame, panels: Sequence[str], keep: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..functions import expr as X
+from ..functions.lineage import settle
 from ..functions.quantiles import group_percentiles
 from ..functions.scans import hashed_index
 
@@ -118,6 +119,7 @@ def group_descriptives(arms: DataFrame, keys: Sequence[str] = tuple(CONTRAST + [
                        confidence: float = CONFIDENCE) -> DataFrame:
     """n, mean, sd, median, range and t interval per arm, with cell and total medians."""
     keys = list(keys)
+    arms = settle(arms.select(*keys, "module_score", "included_cells", "total_umi_included_cells"))
     moments = arms.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg("module_score").alias("mean"),
         F.stddev_samp("module_score").alias("sd"),
@@ -221,7 +223,8 @@ def donor_bootstrap(arms: DataFrame, keys: Sequence[str] = tuple(CONTRAST),
     """
     keys = list(keys)
     arm_keys = keys + ["contrast_arm"]
-    donors = hashed_index(arms.select(*arm_keys, "donor_id", "module_score"), arm_keys, "donor_id", "_index")
+    arms = settle(arms.select(*arm_keys, "donor_id", "module_score"))
+    donors = settle(hashed_index(arms, arm_keys, "donor_id", "_index"))
     sizes = donors.groupBy(*arm_keys).agg(F.count(F.lit(1)).alias("_n"))
     moments = contrast_moments(arms, keys).withColumn("bootstrap_status", _bootstrap_status(arms, replicates))
     ready = moments.where(F.col("bootstrap_status").startswith("available")).select(*keys)
@@ -294,6 +297,7 @@ def donor_bootstrap_parity(arms: DataFrame, order: str, keys: Sequence[str] = tu
 def leave_one_out(arms: DataFrame, keys: Sequence[str] = tuple(CONTRAST)) -> DataFrame:
     """Effect without each donor, by subtracting it from its arm's sum: linear in the rows."""
     keys = list(keys)
+    arms = settle(arms.select(*keys, "donor_id", "contrast_arm", "module_score"))
     full = mean_difference(contrast_moments(arms, keys)).select(
         *keys, "comparison_n", "target_n", "comparison_sum", "target_sum",
         F.col("effect_direction").alias("full_effect_direction"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions.config import literal_array
-from .cells import measured_map
+from ..functions.lineage import evaluate_once
+from .cells import measured_members
 
 MIN_MAPPED_FRACTION = 0.80
 SCORE_AVAILABLE = "score_available"
@@ -79,18 +80,18 @@ def mapping_audit(features: DataFrame, modules: Mapping[str, Sequence[str]],
 def module_scores(libraries: DataFrame, features: DataFrame, modules: Mapping[str, Sequence[str]],
                   keep: Sequence[str], minimum: float = MIN_MAPPED_FRACTION) -> DataFrame:
     """Mean log1p(CPM) over mapped genes per (library, module), gated by coverage and total."""
-    with_map = libraries.withColumn("_measured", measured_map(features, modules))
-    rows = with_map.select(
-        *keep, "included_cells", "total_umi_included_cells", "counts", "_measured",
-        F.inline(_set_structs(modules)))
-    mapped = F.coalesce(F.element_at("_measured", F.col("module_id")), F.array().cast("array<string>"))
-    rows = rows.withColumn("_mapped", mapped).withColumn(
+    # At most one row per configured module, so the hint is bounded by the configuration.
+    measured = F.broadcast(measured_members(features, modules, "module_id").select("module_id", "measured"))
+    rows = libraries.select(*keep, "included_cells", "total_umi_included_cells", "counts",
+                            F.inline(_set_structs(modules))).join(measured, "module_id", "left")
+    rows = rows.withColumn("_mapped", F.coalesce("measured", F.array().cast("array<string>"))).withColumn(
         "mapped_fraction", F.size("_mapped") / F.size("genes"))
     ready = (F.col("mapped_fraction") >= minimum) & (F.col("total_umi_included_cells") > 0)
     total = F.aggregate("_mapped", F.lit(0.0), lambda acc, g: acc + X.log1p_cpm(
         F.coalesce(F.element_at("counts", g), F.lit(0).cast("long")), "total_umi_included_cells"))
-    return rows.select(
-        *keep, "module_id", F.when(ready, total / F.size("_mapped")).alias("module_score"),
+    scored = evaluate_once(rows, {"module_score": F.when(ready, total / F.size("_mapped"))})
+    return scored.select(
+        *keep, "module_id", "module_score",
         F.when(ready, F.lit(SCORE_AVAILABLE)).otherwise(F.lit(SCORE_BLOCKED)).alias("score_status"),
         "mapped_fraction", "included_cells", "total_umi_included_cells")
 
