@@ -138,6 +138,13 @@ def group_descriptives(arms: DataFrame, keys: Sequence[str] = tuple(CONTRAST + [
     return mean_interval(moments.join(wide, keys, "left"), confidence)
 
 
+def arm_moments(arms: DataFrame, keys: Sequence[str] = tuple(CONTRAST)) -> DataFrame:
+    """n, mean and sd per contrast arm, the input of the synthesis."""
+    return arms.groupBy(*keys, "contrast_arm").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("module_score").alias("mean"),
+        F.stddev_samp("module_score").alias("sd"))
+
+
 def mean_interval(moments: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
     """mean ± t(n-1)·sd/√n with a status for every way it can be missing."""
     se = F.col("sd") / F.sqrt("n")
