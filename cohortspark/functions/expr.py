@@ -247,7 +247,7 @@ def library_label(c) -> Column:
 
 
 def reverse_complement(c) -> Column:
-    return F.reverse(F.translate(F.upper(col(c)), "ACGTN", "TGCAN"))
+    return F.reverse(F.translate(col(c), "ACGTN", "TGCAN"))
 
 
 def usable_sequence(sequence, is_control, minimum_length: int = 45,

@@ -13,14 +13,12 @@ from ..functions.quantiles import group_percentiles
 
 # ---------------------------------------------------------------- numeric text tables
 
-def field_problems(value: Column) -> dict[str, Column]:
-    """Checks of one text field; each is a boolean Column."""
-    number = X.to_number(value)
-    return {
-        "non_finite_values": number.isNull(),
-        "negative_values": number < 0,
-        "non_integer_values": (number >= 0) & (number != F.floor(number)),
-    }
+# Checks of one number parsed from text (NULL when it is not finite).
+FIELD_PROBLEMS = {
+    "non_finite_values": lambda number: number.isNull(),
+    "negative_values": lambda number: F.coalesce(number < 0, F.lit(False)),
+    "non_integer_values": lambda number: F.coalesce((number >= 0) & (number != F.floor(number)), F.lit(False)),
+}
 
 
 def tabular_integrity(lines: DataFrame, keys: Sequence[str], line: str = "line", width: int = 0,
@@ -35,10 +33,8 @@ def tabular_integrity(lines: DataFrame, keys: Sequence[str], line: str = "line",
     trailing = (F.size(raw) == width + 1) & (F.element_at(raw, -1) == "")
     parsed = lines.select(*keys, trailing.alias("_trail"), F.when(trailing, F.slice(raw, 1, width)).otherwise(raw).alias("_f"))
     parsed = parsed.withColumn("_ok", F.size("_f") == width)
-    values = F.slice("_f", numeric_from + 1, max(width - numeric_from, 1))
-    counts = {name: F.size(F.filter(values, lambda v, n=name: F.coalesce(field_problems(v)[n], F.lit(False))))
-              for name in ("non_finite_values", "negative_values", "non_integer_values")}
-    numbers = F.transform(values, lambda v: X.to_number(v))
+    numbers = F.transform(F.slice("_f", numeric_from + 1, max(width - numeric_from, 1)), X.to_number)
+    counts = {name: F.size(F.filter(numbers, check)) for name, check in FIELD_PROBLEMS.items()}
     per_id = (parsed.select(*keys, "_ok", "_trail", F.when(F.col("_ok"), F.col("_f")[0]).alias("_id"),
                             *[F.when(F.col("_ok"), c).otherwise(F.lit(0)).alias(n) for n, c in counts.items()],
                             F.when(F.col("_ok"), F.array_min(numbers)).alias("_min"),

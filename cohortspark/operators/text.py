@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 from ..functions.scans import carry_forward, running_sum
 
 
+# Patterns of machine paths and credentials that a release must not contain.
+RELEASE_PATTERNS = {
+    "windows_path": r"[A-Za-z]:\\\\(?:Users|home)\\\\",
+    "windows_path_slash": r"[A-Za-z]:/(?:Users|home)/",
+    "unix_home": r"/(?:Users|home)/",
+    "file_url": r"file:///",
+    "ghp_token": r"\bghp_[A-Za-z0-9]{30,}\b",
+    "github_pat": r"\bgithub_pat_[A-Za-z0-9_]{20,}\b",
+    "sk_key": r"\bsk-[A-Za-z0-9]{20,}\b",
+    "aws_key": r"\bAKIA[0-9A-Z]{16}\b",
+}
+
+
 def split_lines(texts: DataFrame, keys: Sequence[str], text: str, keep: Sequence[str] = ()) -> DataFrame:
     """One row per line with its 1-based position."""
     return (texts.select(*keys, *keep, F.posexplode(F.split(F.col(text), "\n")).alias("_p", "line"))
@@ -35,13 +48,16 @@ def first_values(rows: DataFrame, keys: Sequence[str], field: str, value: str, f
 
 def table_between_markers(lines: DataFrame, keys: Sequence[str], begin: Column, end: Column,
                           pos: str = "pos") -> DataFrame:
-    """Lines strictly between a begin and an end marker, numbered by table."""
-    opened = F.when(begin, 1).otherwise(0)
-    closed = F.when(end, 1).otherwise(0)
-    counted = running_sum(lines, list(keys), pos, opened, "_opened")
-    counted = running_sum(counted, list(keys), pos, closed, "_closed")
-    return (counted.where((F.col("_opened") > F.col("_closed")) & ~begin & ~end)
-            .withColumn("table_no", F.col("_opened").cast("long")).drop("_opened", "_closed"))
+    """Lines strictly between a begin and the next end marker, numbered by begin marker.
+
+    A line is inside when the latest marker before it is a begin; end markers outside a table
+    change nothing.
+    """
+    marker = F.when(begin, F.lit("begin")).when(end, F.lit("end"))
+    inside = carry_forward(lines, list(keys), pos, marker, "_marker")
+    numbered = running_sum(inside, list(keys), pos, F.when(begin, 1).otherwise(0), "_table")
+    return (numbered.where((F.col("_marker") == "begin") & ~begin & ~end)
+            .withColumn("table_no", F.col("_table").cast("long")).drop("_marker", "_table"))
 
 
 def multiline_records(lines: DataFrame, keys: Sequence[str], is_header: Column, line: str = "line",
