@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dist
 from ..functions import expr as X
 from ..functions.config import literal_array
+from ..functions.lineage import settle
 
 # Fixed values.
 NORMAL_975 = 1.959963984540054
@@ -71,9 +72,12 @@ def study_intervals(studies: DataFrame, effect: str, variance: str) -> DataFrame
 
 # ---------------------------------------------------------------- pooled model
 
+SUMS = ("w", "wy", "wyy", "w2", "w2y", "w2yy")
+
+
 def _sums(studies: Column, tau2: Column) -> Column:
     """Weighted sums of one group at one τ² in a single pass over its studies."""
-    start = F.struct(*[F.lit(0.0).alias(n) for n in ("w", "wy", "wyy", "w2", "w2y", "w2yy")])
+    start = F.struct(*[F.lit(0.0).alias(n) for n in SUMS])
 
     def step(acc, s):
         w = F.lit(1.0) / (s["v"] + tau2)
@@ -124,8 +128,8 @@ def collect_studies(studies: DataFrame, keys: Sequence[str], effect: str, varian
                     study: str = "cohort_id", max_studies: int = MAX_STUDIES) -> DataFrame:
     """One row per group with its studies as an ordered array.
 
-    A group of more than ``max_studies`` studies is refused (the job fails) rather than held
-    in one row: ``large_group_tau2`` estimates τ² for such groups without collecting them.
+    A group of more than ``max_studies`` studies fails the job rather than being held in one
+    row; ``random_effects`` sends such groups to ``random_effects_large`` beforehand.
     """
     counted = studies.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     checked = counted.withColumn("_size", F.when(
@@ -157,9 +161,15 @@ def fit_groups(groups: DataFrame, method: Column) -> DataFrame:
         enough, _tau2(F.col("studies"), kd, spread, largest, method)))
     rows = rows.withColumns({"_s": F.when(enough, _sums(F.col("studies"), F.col("tau_squared"))),
                              "_f": F.when(enough, _sums(F.col("studies"), F.lit(0.0)))})
+    return _results(rows.drop("studies"))
+
+
+def _results(rows: DataFrame) -> DataFrame:
+    """Pooled results from k, centre, τ² and the weighted sums at τ² (_s) and at zero (_f)."""
+    enough = F.col("k") >= 2
     s, f = F.col("_s"), F.col("_f")
     mu, mu_f = s["wy"] / s["w"], f["wy"] / f["w"]
-    df = F.when(enough, kd - 1)
+    df = F.when(enough, F.col("k").cast("double") - 1)
     rows = rows.withColumns({
         "pooled_effect": mu + F.col("_center"),
         "_se": F.sqrt(F.greatest((s["wyy"] - mu * s["wy"]) / df, F.lit(0.0)) / s["w"]),
@@ -182,14 +192,77 @@ def fit_groups(groups: DataFrame, method: Column) -> DataFrame:
         "prediction_upper": F.col("pooled_effect") + wide,
         "fit_status": F.when(enough, F.lit("available_random_effects"))
         .otherwise(F.lit("not_estimable_fewer_than_two_studies")),
-    }).drop("studies", "_center", "_s", "_f", "_se", "_typical", "_critical")
+    }).drop("_center", "_s", "_f", "_se", "_typical", "_critical")
+
+
+GRID = 64
+GRID_PASSES = 10
+
+
+def random_effects_large(studies: DataFrame, keys: Sequence[str], effect: str = "smdh",
+                         variance: str = "smdh_variance", method: Column | str = "REML") -> DataFrame:
+    """The pooled model for groups too large for one row; study rows are never collected.
+
+    The bracket of τ² is narrowed by passes over the rows: a pass evaluates the estimating
+    function at 64 points per group with map-side combined sums, so the shuffle carries 64
+    rows per group and task.  Ten passes reach double precision.
+    """
+    keys = list(keys)
+    how = F.lit(method) if isinstance(method, str) else method
+    raw = studies.select(*keys, F.col(effect).cast("double").alias("y"), F.col(variance).cast("double").alias("v"))
+    facts = raw.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("k"), F.avg("y").alias("_center"), F.var_samp("y").alias("_var"),
+        F.max("v").alias("_vmax")).where(F.col("k") >= 2)
+    bracket = settle(facts.select(*keys, "k", "_center", F.lit(0.0).alias("_low"),
+                                  F.greatest("_vmax", 2 * F.col("_var")).alias("_high")))
+
+    def sums(points: DataFrame, by: Sequence[str]) -> DataFrame:
+        """Weighted sums of every group at the τ² values of ``points``."""
+        rows = raw.join(points, keys).withColumn("y", F.col("y") - F.col("_center"))
+        w = F.lit(1.0) / (F.col("v") + F.col("_t"))
+        terms = dict(zip(SUMS, (w, w * F.col("y"), w * F.col("y") ** 2, w * w, w * w * F.col("y"),
+                                w * w * F.col("y") ** 2)))
+        return rows.groupBy(*keys, *by).agg(*[F.sum(e).alias(n) for n, e in terms.items()])
+
+    def score() -> Column:
+        return _score(F.struct(*SUMS), F.col("k").cast("double"), how)
+
+    at_zero = settle(sums(bracket.withColumn("_t", F.lit(0.0)), ["k", "_center"]).withColumn("_zero", score() <= 0))
+    for _ in range(GRID_PASSES):
+        grid = bracket.select("*", F.explode(F.sequence(F.lit(1), F.lit(GRID))).alias("_g")).withColumn(
+            "_t", F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_g") / F.lit(float(GRID + 1)))
+        scored = sums(grid, ["k", "_center", "_low", "_high", "_t"]).withColumn("_positive", score() > 0)
+        first_down = scored.groupBy(*keys, "k", "_center", "_low", "_high").agg(
+            F.coalesce(F.min(F.when(~F.col("_positive"), F.col("_t"))), F.col("_high")).alias("_new_high"),
+            F.collect_list(F.when(F.col("_positive"), F.col("_t"))).alias("_ups"))  # at most 64 values
+        below = F.array_max(F.filter("_ups", lambda t: t < F.col("_new_high")))
+        bracket = settle(first_down.select(*keys, "k", "_center", F.coalesce(below, "_low").alias("_low"),
+                                           F.col("_new_high").alias("_high")))
+    root = bracket.join(at_zero.select(*keys, "_zero"), keys).select(
+        *keys, "k", "_center", F.when(F.col("_zero"), F.lit(0.0)).otherwise(
+            (F.col("_low") + F.col("_high")) / 2).alias("_t"))
+    final = sums(root, ["k", "_center", "_t"]).select(
+        *keys, "k", "_center", F.col("_t").alias("tau_squared"), F.struct(*SUMS).alias("_s"))
+    return _results(final.join(at_zero.select(*keys, F.struct(*SUMS).alias("_f")), keys))
 
 
 def random_effects(studies: DataFrame, keys: Sequence[str], effect: str = "smdh",
                    variance: str = "smdh_variance", method: Column | str = "REML",
-                   study: str = "cohort_id") -> DataFrame:
-    groups = collect_studies(studies, keys, effect, variance, study)
-    return fit_groups(groups, F.lit(method) if isinstance(method, str) else method)
+                   study: str = "cohort_id", max_studies: int = MAX_STUDIES) -> DataFrame:
+    """Pooled model per group; ``method`` may be a Column of the keys.
+
+    Groups up to ``max_studies`` studies are fitted as one row each; larger ones (looked for
+    first) are fitted by passes over their rows.
+    """
+    how = F.lit(method) if isinstance(method, str) else method
+    size = studies.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = size.where(F.col("_n") > max_studies).select(*keys)
+    if large.isEmpty():
+        return fit_groups(collect_studies(studies, keys, effect, variance, study, max_studies), how)
+    small = fit_groups(collect_studies(studies.join(large, list(keys), "left_anti"), keys, effect, variance,
+                                       study, max_studies), how)
+    return small.unionByName(random_effects_large(
+        studies.join(large, list(keys), "left_semi"), keys, effect, variance, how))
 
 
 def leave_one_study_out(studies: DataFrame, keys: Sequence[str], effect: str = "smdh",
@@ -197,7 +270,8 @@ def leave_one_study_out(studies: DataFrame, keys: Sequence[str], effect: str = "
                         study: str = "cohort_id") -> DataFrame:
     """The pooled model with each study omitted: one row per (group, omitted study).
 
-    The group's array is narrowed per row; study pairs are never emitted as rows.
+    The group's array is narrowed per row; study pairs are never emitted as rows.  The work
+    is one fit per study, so groups above the bound on studies are an error here.
     """
     groups = collect_studies(studies, keys, effect, variance, study)
     rows = groups.select(*keys, F.explode(F.transform("studies", lambda s: s["id"])).alias("omitted"), "studies")
@@ -212,8 +286,7 @@ def model_sensitivity(studies: DataFrame, keys: Sequence[str],
                                   F.col(e).alias("_y"), F.col(v).alias("_v"))
                          for name, (e, v, method) in models.items()])
     rows = studies.select(*keys, study, F.inline(variants))
-    groups = collect_studies(rows, [*keys, "model", "tau_method"], "_y", "_v", study)
-    return fit_groups(groups, F.col("tau_method"))
+    return random_effects(rows, [*keys, "model", "tau_method"], "_y", "_v", F.col("tau_method"), study)
 
 
 def scenario_synthesis(studies: DataFrame, keys: Sequence[str], scenarios: Mapping[str, Sequence[str]],
