@@ -65,14 +65,22 @@ def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
 
 
 def t_ppf_upper(level: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """Positive t with P(|T| <= t) = level, by bisection on u = t/sqrt(df + t²)."""
-    low, high = np.zeros_like(df), np.ones_like(df)
+    """Positive t with P(|T| <= t) = level.
+
+    The probability is concave in t > 0 and the normal quantile lies below the root, so
+    Newton's method climbs to the root from there without overshooting.
+    """
+    from statistics import NormalDist
+
+    t = np.array([NormalDist().inv_cdf(0.5 + 0.5 * p) for p in level])
+    log_c = _log_gamma((df + 1.0) / 2.0) - _log_gamma(df / 2.0) - 0.5 * np.log(df * np.pi)
     for _ in range(200):
-        mid = 0.5 * (low + high)
-        above = 1.0 - _beta_inc(df / 2.0, 0.5, (1.0 - mid) * (1.0 + mid)) >= level
-        high, low = np.where(above, mid, high), np.where(above, low, mid)
-    u = 0.5 * (low + high)
-    return u * np.sqrt(df / ((1.0 - u) * (1.0 + u)))
+        density = 2.0 * np.exp(log_c - (df + 1.0) / 2.0 * np.log1p(t * t / df))
+        step = (t_two_sided(t, df) - (1.0 - level)) / density
+        t = t + step
+        if np.all(np.abs(step) <= 1e-14 * (1.0 + t)):
+            break
+    return t
 
 
 def _gamma_q(a: np.ndarray, x: np.ndarray) -> np.ndarray:

@@ -46,3 +46,23 @@ def evaluate_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     one-row generator is not copied: everything above it refers to its output.
     """
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partition rows that are about to be expanded, at least one partition per core.
+
+    The number is explicit, so adaptive execution does not coalesce the small input of a
+    large expansion back into one task.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *columns)
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Deal out a scan that has fewer splits than cores (a few small files); otherwise as is.
+
+    For scans with heavy work per row.  A scan of many files is left alone and not shuffled.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..functions.config import check_feature_sets, feature_set_table, literal_array
+from ..functions.config import check_feature_sets, config_table, feature_set_table
 from ..functions.lineage import evaluate_once
 
 
@@ -59,21 +60,24 @@ def cell_profiles(triples: DataFrame, symbols: Sequence[str], mt_prefix: str = "
                   keys: Sequence[str] = ("library_id", "cell_id")) -> DataFrame:
     """One row per cell with entries: total, detected entries, mt total, symbol counts.
 
-    Two-step aggregation: (cell, symbol) first, which combines map-side, so a hot cell
-    arrives as at most one row per symbol and task; then the cell.  The map holds configured
-    symbols only and therefore never exceeds the configuration.
+    One shuffle: everything combines map-side, so a hot cell arrives as one row per task.
+    ``counts`` is a struct with one field per configured symbol (NULL where the cell has no
+    entry); its width is the configuration's, whatever the number of features.
     """
-    keys = list(keys)
-    per_symbol = triples.groupBy(*keys, "symbol").agg(
-        F.sum("value").alias("_sum"), F.count_if(F.col("value") > 0).alias("_entries"))
-    wanted = F.col("symbol").isin(list(symbols))
-    return per_symbol.groupBy(*keys).agg(
-        F.sum("_sum").alias("total_umi"),
-        F.sum("_entries").alias("detected_genes"),
-        F.sum(F.when(F.col("symbol").startswith(mt_prefix), F.col("_sum")).otherwise(F.lit(0)))
-        .alias("mt_umi"),
-        F.map_from_entries(F.collect_list(F.when(wanted, F.struct("symbol", "_sum"))))
-        .alias("counts"))
+    index = config_table(triples.sparkSession,
+                         [{"symbol": s, "_slot": i} for i, s in enumerate(symbols)],
+                         pa.schema([("symbol", pa.string()), ("_slot", pa.int32())]))
+    value, slot = F.col("value"), F.col("_slot")
+    return triples.join(index, "symbol", "left").groupBy(*keys).agg(
+        F.sum(value).alias("total_umi"),
+        F.count_if(value > 0).alias("detected_genes"),
+        F.sum(F.when(F.col("symbol").startswith(mt_prefix), value).otherwise(F.lit(0))).alias("mt_umi"),
+        F.struct(*[F.sum(F.when(slot == i, value)).alias(s) for i, s in enumerate(symbols)]).alias("counts"))
+
+
+def symbol_count(symbol: str, counts: str = "counts") -> Column:
+    """Count of one configured symbol, zero where there is none."""
+    return F.coalesce(F.col(counts).getField(symbol), F.lit(0).cast("long"))
 
 
 def cell_metrics(cells: DataFrame, profiles: DataFrame, rule: QcRule = QcRule(),
@@ -135,9 +139,10 @@ def measured_members(features: DataFrame, sets: Mapping[str, Sequence[str]],
 
 
 def measured_map(features: DataFrame, sets: Mapping[str, Sequence[str]]) -> Column:
-    """set -> measured symbols as one scalar subquery (lazy; bounded by the configuration)."""
-    table = measured_members(features, sets, "_set")
-    return table.agg(F.map_from_entries(F.collect_list(F.struct("_set", "measured")))).scalar()
+    """set -> number of measured symbols as one scalar subquery (lazy; bounded by the
+    configuration)."""
+    table = measured_members(features, sets, "_set").select("_set", F.size("measured").alias("_n"))
+    return table.agg(F.map_from_entries(F.collect_list(F.struct("_set", "_n")))).scalar()
 
 
 def panel_columns(cells: DataFrame, features: DataFrame, panels: Mapping[str, Sequence[str]],
@@ -145,19 +150,18 @@ def panel_columns(cells: DataFrame, features: DataFrame, panels: Mapping[str, Se
     """Add ``<panel>_score`` and ``<panel>_detected_genes`` for every panel.
 
     ``denominator``: ``measured`` divides by the panel's measured symbols, ``configured`` by
-    all configured ones.  A panel without measured symbols scores 0.
+    all configured ones.  A panel without measured symbols scores 0.  An unmeasured symbol
+    has no count and adds log1p(0) = 0, so the sums run over the configured symbols.
     """
-    measured = measured_map(features, panels)
-    with_map = cells.withColumn("_measured", measured)
+    with_sizes = cells.withColumn("_measured", measured_map(features, panels))
     added = {}
     for panel, genes in panels.items():
-        own = F.coalesce(F.col("_measured")[panel], F.array().cast("array<string>"))
-        count = lambda g: F.coalesce(F.element_at(F.col("counts"), g), F.lit(0).cast("long"))
-        total = F.aggregate(own, F.lit(0.0), lambda acc, g: acc + X.log1p_cpm_floor(count(g), "total_umi"))
-        size = F.size(own) if denominator == "measured" else F.lit(len(genes))
+        counts = [symbol_count(g.strip().upper()) for g in genes]
+        size = F.coalesce(F.col("_measured")[panel], F.lit(0)) if denominator == "measured" else F.lit(len(genes))
+        total = sum((X.log1p_cpm_floor(c, "total_umi") for c in counts[1:]), X.log1p_cpm_floor(counts[0], "total_umi"))
         added[f"{panel}_score"] = F.when(size > 0, total / size).otherwise(F.lit(0.0))
-        added[f"{panel}_detected_genes"] = F.size(F.filter(own, lambda g: count(g) > 0)).cast("long")
-    return evaluate_once(with_map, added).drop("_measured")
+        added[f"{panel}_detected_genes"] = sum(((c > 0).cast("long") for c in counts[1:]), (counts[0] > 0).cast("long"))
+    return evaluate_once(with_sizes, added).drop("_measured")
 
 
 def panel_rows(cells: DataFrame, panels: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -219,20 +223,17 @@ def label_counts(cells: DataFrame, keys: Sequence[str], labels: Sequence[str]) -
         *[F.count_if(F.col("annotation_label") == name).alias(name) for name in labels])
 
 
-def panel_coverage(measured_symbols: DataFrame, panels: Mapping[str, Sequence[str]],
-                   keys: Sequence[str]) -> DataFrame:
+def panel_coverage(profiles: DataFrame, panels: Mapping[str, Sequence[str]], keys: Sequence[str]) -> DataFrame:
     """Configured and measured symbols per (keys, panel); unmeasured panels appear with 0.
 
-    ``measured_symbols`` has the keys and ``symbol``, repeated or not.  Only configured
-    symbols are kept before grouping, and the pairs combine map-side.
+    ``profiles`` has the keys and ``counts``; a symbol is measured where any count exists.
     """
     symbols = configured_symbols(panels)
-    seen = (measured_symbols.groupBy(*keys).agg(
-        F.collect_set(F.when(F.col("symbol").isin(symbols), F.col("symbol"))).alias("_seen")))
-    rows = F.array(*[F.struct(F.lit(p).alias("panel"), F.lit(len(g)).cast("long").alias("configured"),
-                              literal_array(x.strip().upper() for x in g).alias("genes"))
-                     for p, g in panels.items()])
-    return (seen.select(*keys, "_seen", F.inline(rows))
-            .select(*keys, "panel", F.col("configured").alias("configured_genes"),
-                    F.size(F.array_intersect("genes", "_seen")).cast("long").alias("measured_genes"))
-            .withColumn("measured_fraction", F.col("measured_genes") / F.col("configured_genes")))
+    seen = profiles.groupBy(*keys).agg(F.struct(*[
+        F.count(F.col("counts").getField(s)).alias(s) for s in symbols]).alias("_seen"))
+    rows = F.array(*[F.struct(
+        F.lit(p).alias("panel"), F.lit(len(genes)).cast("long").alias("configured_genes"),
+        sum(((F.col("_seen").getField(g.strip().upper()) > 0).cast("long") for g in genes), F.lit(0).cast("long"))
+        .alias("measured_genes")) for p, genes in panels.items()])
+    return seen.select(*keys, F.inline(rows)).withColumn(
+        "measured_fraction", F.col("measured_genes") / F.col("configured_genes"))

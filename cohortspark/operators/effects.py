@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..functions import expr as X
-from ..functions.lineage import settle
+from ..functions.lineage import settle, spread
 from ..functions.quantiles import group_percentiles
 from ..functions.scans import hashed_index
 
@@ -225,8 +225,8 @@ def donor_bootstrap(arms: DataFrame, keys: Sequence[str] = tuple(CONTRAST),
 
     Draw (replicate, slot) of an arm picks the donor with index
     ``md5(seed|keys|arm|replicate|slot) mod n``, so the result depends neither on
-    partitioning nor on retries.  Draws of a replicate collapse to (donor index -> times
-    drawn) before they meet the donors, and the sum per replicate combines map-side.
+    partitioning nor on retries.  Draws meet the donors by an equi join on the index, and the
+    mean of each replicate combines map-side.
     """
     keys = list(keys)
     arm_keys = keys + ["contrast_arm"]
@@ -237,8 +237,8 @@ def donor_bootstrap(arms: DataFrame, keys: Sequence[str] = tuple(CONTRAST),
     ready = moments.where(F.col("bootstrap_status").startswith("available")).select(*keys)
     slots = (donors.join(sizes, arm_keys).join(ready, keys, "left_semi")
              .select(*arm_keys, "_n", F.col("_index").alias("_slot")))
-    draws = slots.select(*arm_keys, "_n", "_slot",
-                         F.explode(F.sequence(F.lit(1), F.lit(max(replicates, 1)))).alias("_rep"))
+    draws = spread(slots, *arm_keys, "_slot").select(
+        *arm_keys, "_n", "_slot", F.explode(F.sequence(F.lit(1), F.lit(max(replicates, 1)))).alias("_rep"))
     picked = draws.select(*arm_keys, "_n", "_rep", X.hash_draw(
         "_n", F.lit(str(seed)), *keys, "contrast_arm", "_rep", "_slot").alias("_index"))
     means = (picked.join(donors.select(*arm_keys, "_index", "module_score"), [*arm_keys, "_index"])

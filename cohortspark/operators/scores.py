@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions.config import literal_array
-from ..functions.lineage import evaluate_once
-from .cells import measured_members
+from .cells import measured_members, symbol_count
 
 MIN_MAPPED_FRACTION = 0.80
 SCORE_AVAILABLE = "score_available"
@@ -22,33 +21,25 @@ def _set_structs(sets: Mapping[str, Sequence[str]], name: str = "module_id") ->
                      for m, g in sets.items()])
 
 
-def library_profiles(included: DataFrame, keys: Sequence[str]) -> DataFrame:
+def library_profiles(included: DataFrame, keys: Sequence[str], symbols: Sequence[str]) -> DataFrame:
     """One row per library: included cells, total over all features, symbol counts.
 
-    The cell row is split into its symbol counts plus one row with a NULL symbol that carries
-    the cell's total, so both sums come from one shuffle and the total never fans out.
+    Totals and symbol counts are sums over the cell rows in one shuffle, so the total never
+    fans out with a symbol that belongs to several sets.
     """
-    keys = list(keys)
-    entry = F.struct(F.lit(None).cast("string").alias("key"), F.col("total_umi").alias("value"))
-    entries = F.concat(F.array(entry), F.map_entries(
-        F.coalesce(F.col("counts"), F.map_from_arrays(F.array().cast("array<string>"),
-                                                      F.array().cast("array<bigint>")))))
-    per_symbol = (included.select(*keys, F.inline(entries)).groupBy(*keys, "key")
-                  .agg(F.sum("value").alias("_sum"), F.count(F.lit(1)).alias("_cells")))
-    total = F.col("key").isNull()
-    return per_symbol.groupBy(*keys).agg(
-        F.max(F.when(total, F.col("_cells"))).alias("included_cells"),
-        F.max(F.when(total, F.col("_sum"))).alias("total_umi_included_cells"),
-        F.map_from_entries(F.collect_list(F.when(~total, F.struct("key", "_sum")))).alias("counts"))
+    return included.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("included_cells"), F.sum("total_umi").alias("total_umi_included_cells"),
+        F.struct(*[F.coalesce(F.sum(F.col("counts").getField(s)), F.lit(0)).alias(s) for s in symbols])
+        .alias("counts"))
 
 
 def pseudobulk_genes(libraries: DataFrame, modules: Mapping[str, Sequence[str]],
                      keep: Sequence[str]) -> DataFrame:
     """Count of every configured gene of every module, zeros kept."""
-    return (libraries.select(*keep, "counts", F.inline(_set_structs(modules)))
-            .select(*keep, "counts", "module_id", F.explode("genes").alias("gene_symbol"))
-            .select(*keep, "module_id", "gene_symbol",
-                    F.coalesce(F.element_at("counts", F.col("gene_symbol")), F.lit(0)).alias("pseudobulk_count")))
+    rows = F.array(*[F.struct(F.lit(m).alias("module_id"), F.lit(g.strip().upper()).alias("gene_symbol"),
+                              symbol_count(g.strip().upper()).alias("pseudobulk_count"))
+                     for m, genes in modules.items() for g in genes])
+    return libraries.select(*keep, F.inline(rows))
 
 
 def mapping_audit(features: DataFrame, modules: Mapping[str, Sequence[str]],
@@ -79,19 +70,25 @@ def mapping_audit(features: DataFrame, modules: Mapping[str, Sequence[str]],
 
 def module_scores(libraries: DataFrame, features: DataFrame, modules: Mapping[str, Sequence[str]],
                   keep: Sequence[str], minimum: float = MIN_MAPPED_FRACTION) -> DataFrame:
-    """Mean log1p(CPM) over mapped genes per (library, module), gated by coverage and total."""
+    """Mean log1p(CPM) over mapped genes per (library, module), gated by coverage and total.
+
+    A configured gene without a feature has count 0 and adds log1p(0) = 0 to the sum; only
+    mapped genes count in the denominator.
+    """
     # At most one row per configured module, so the hint is bounded by the configuration.
-    measured = F.broadcast(measured_members(features, modules, "module_id").select("module_id", "measured"))
-    rows = libraries.select(*keep, "included_cells", "total_umi_included_cells", "counts",
-                            F.inline(_set_structs(modules))).join(measured, "module_id", "left")
-    rows = rows.withColumn("_mapped", F.coalesce("measured", F.array().cast("array<string>"))).withColumn(
-        "mapped_fraction", F.size("_mapped") / F.size("genes"))
-    ready = (F.col("mapped_fraction") >= minimum) & (F.col("total_umi_included_cells") > 0)
-    total = F.aggregate("_mapped", F.lit(0.0), lambda acc, g: acc + X.log1p_cpm(
-        F.coalesce(F.element_at("counts", g), F.lit(0).cast("long")), "total_umi_included_cells"))
-    scored = evaluate_once(rows, {"module_score": F.when(ready, total / F.size("_mapped"))})
-    return scored.select(
-        *keep, "module_id", "module_score",
+    measured = F.broadcast(measured_members(features, modules, "module_id").select(
+        "module_id", F.size("measured").alias("_mapped")))
+    total = F.col("total_umi_included_cells")
+    sums = F.array(*[F.struct(
+        F.lit(m).alias("module_id"), F.lit(len(genes)).alias("_configured"),
+        sum((X.log1p_cpm(symbol_count(g.strip().upper()), total) for g in genes), F.lit(0.0)).alias("_sum"))
+        for m, genes in modules.items()])
+    rows = (libraries.select(*keep, "included_cells", "total_umi_included_cells", F.inline(sums))
+            .join(measured, "module_id", "left")
+            .withColumn("mapped_fraction", F.coalesce("_mapped", F.lit(0)) / F.col("_configured")))
+    ready = (F.col("mapped_fraction") >= minimum) & (total > 0)
+    return rows.select(
+        *keep, "module_id", F.when(ready, F.col("_sum") / F.col("_mapped")).alias("module_score"),
         F.when(ready, F.lit(SCORE_AVAILABLE)).otherwise(F.lit(SCORE_BLOCKED)).alias("score_status"),
         "mapped_fraction", "included_cells", "total_umi_included_cells")
 

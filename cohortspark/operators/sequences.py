@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions.config import broadcast_if_small
+from ..functions.lineage import spread_scan
 
 SEED_LENGTHS = (64, 32, 16, 8, 4, 2, 1)
 CHUNK = 2_048
@@ -53,7 +54,7 @@ def multi_pattern_search(texts: DataFrame, patterns: DataFrame, text_id: str, te
 
     # Chunk c covers blocks starting in [c*chunk, (c+1)*chunk); it carries enough text on both
     # sides to verify any pattern whose aligned block starts there.
-    base = (texts.select(F.col(text_id).alias("_id"), F.col(text).alias("_text"))
+    base = (spread_scan(texts.select(F.col(text_id).alias("_id"), F.col(text).alias("_text")))
             .select("_id", "_text", F.explode(F.sequence(
                 F.lit(0), F.floor((F.greatest(F.length("_text"), F.lit(1)) - 1) / F.lit(chunk)).cast("int"))).alias("_chunk"))
             .withColumn("_left", F.greatest(F.col("_chunk") * chunk - F.lit(reach), F.lit(0))))

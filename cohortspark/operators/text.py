@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import spread_scan
 from ..functions.scans import carry_forward, running_sum
 
 
@@ -79,7 +80,8 @@ def multiline_records(lines: DataFrame, keys: Sequence[str], is_header: Column,
 def text_pattern_scan(texts: DataFrame, keys: Sequence[str], text: str, patterns: Mapping[str, str]) -> DataFrame:
     """(keys, pattern) for each named regex found in a text; no join, patterns are literals."""
     names = F.array(*[F.when(F.col(text).rlike(p), F.lit(n)) for n, p in patterns.items()])
-    return texts.select(*keys, F.explode(F.array_compact(names)).alias("pattern"))
+    return spread_scan(texts.select(*keys, text)).select(
+        *keys, F.explode(F.array_compact(names)).alias("pattern"))
 
 
 def sanitize(texts: DataFrame, keys: Sequence[str], text: str, clean: Column) -> DataFrame:

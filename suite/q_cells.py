@@ -78,8 +78,7 @@ LEFT JOIN (SELECT DISTINCT library_id, symbol FROM v_triples JOIN v_cells USING
   ON s.library_id = l.library_id AND s.symbol = p.gene
 GROUP BY l.library_id, p.panel, p.configured""")
 def panel_coverage(t: Tables):
-    seen = t.profiles.join(t.cells.select("cell_id", "library_id"), "cell_id").select(
-        "library_id", F.explode_outer(F.map_keys("counts")).alias("symbol"))
+    seen = t.profiles.join(t.cells.select("cell_id", "library_id"), "cell_id")
     return C.panel_coverage(seen, PANELS, ["library_id"]).withColumns(r6("measured_fraction"))
 
 

@@ -31,6 +31,7 @@ PANELS = {
     "mural_exclusion": [f"BRAND#{i}" for i in range(22, 26)],
     "erythroid_exclusion": ["BRAND#5", "BRAND#10", "BRAND#15", "BRAND#20", "BRAND#99"],
 }
+SYMBOLS = C.configured_symbols(MODULES, PANELS)
 COHORTS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 QC = C.QcRule(min_detected=3, min_total=50, max_mt_pct=60.0, mt_prefix="BRAND#2")
 LABELS = C.LabelRule()
@@ -105,8 +106,7 @@ class Tables:
 
     @cached_property
     def profiles(self) -> DataFrame:
-        symbols = C.configured_symbols(MODULES, PANELS)
-        return C.cell_profiles(self.triples, symbols, QC.mt_prefix, CELL)
+        return C.cell_profiles(self.triples, SYMBOLS, QC.mt_prefix, CELL)
 
     @cached_property
     def cell_qc(self) -> DataFrame:
@@ -119,7 +119,7 @@ class Tables:
 
     @cached_property
     def library_profiles(self) -> DataFrame:
-        return S.library_profiles(self.annotated.where("include"), LIBRARY)
+        return S.library_profiles(self.annotated.where("include"), LIBRARY, SYMBOLS)
 
     @cached_property
     def module_scores(self) -> DataFrame:

@@ -198,8 +198,9 @@ def test_label_priority(spark):
 
 def test_mapped_fraction_gate_and_zero_total(spark):
     features = spark.createDataFrame([(f"f{i}", s) for i, s in enumerate("ABCDA")], ["feature_id", "symbol"])
-    libraries = spark.createDataFrame([("ok", 2, 100, {"A": 10, "B": 5}), ("none", 1, 0, {"A": 0})],
-                                      "library_id string, included_cells long, total_umi_included_cells long, counts map<string,bigint>")
+    counts = "struct<" + ",".join(f"{g}:bigint" for g in "ABCDEF") + ">"
+    libraries = spark.createDataFrame([("ok", 2, 100, (10, 5, 0, None, None, None)), ("none", 1, 0, (0,) * 6)],
+                                      f"library_id string, included_cells long, total_umi_included_cells long, counts {counts}")
     modules = {"at": ["A", "B", "C", "D", "E"], "below": ["A", "E", "F"]}
     rows = {(r["library_id"], r["module_id"]): r for r in S.module_scores(libraries, features, modules, ["library_id"]).collect()}
     assert rows[("ok", "at")]["score_status"] == "score_available"  # exactly 0.80 passes
