@@ -62,9 +62,12 @@ def donor_key(*candidates) -> Column:
 # ---------------------------------------------------------------- coercion and formatting
 
 def finite(c) -> Column:
-    """NaN and infinities become NULL, so they are never grouped or ordered as values."""
+    """NaN and infinities become NULL, so they are never grouped or ordered as values.
+
+    Spark orders NaN above infinity, so one comparison covers all three.
+    """
     c = col(c)
-    return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.lit(None)).otherwise(c)
+    return F.when(F.abs(c) < F.lit(float("inf")), c)
 
 
 def to_number(c) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..functions import expr as X
-from ..functions.lineage import settle, spread
+from ..functions.lineage import evaluate_once, settle, spread
 from ..functions.quantiles import group_percentiles
 from ..functions.scans import hashed_index
 
@@ -185,18 +185,19 @@ def welch_interval(effects: DataFrame, confidence: float = CONFIDENCE) -> DataFr
     """Welch standard error, Satterthwaite df and interval with the failure statuses."""
     nt, nc = F.col("target_n"), F.col("comparison_n")
     vt, vc = F.col("target_var"), F.col("comparison_var")
-    se_sq = vt / nt + vc / nc
-    denominator = (vt * vt / (nt * nt * F.nullif(nt - 1, F.lit(0)))
-                   + vc * vc / (nc * nc * F.nullif(nc - 1, F.lit(0))))
-    df = X.finite(se_sq * se_sq / F.nullif(denominator, F.lit(0.0)))
+    out = evaluate_once(effects, {
+        "_se_sq": vt / F.nullif(nt, F.lit(0)) + vc / F.nullif(nc, F.lit(0)),
+        "_denominator": F.try_divide(vt * vt, nt * nt * (nt - 1)) + F.try_divide(vc * vc, nc * nc * (nc - 1))})
+    se_sq = F.col("_se_sq")
+    out = evaluate_once(out, {"_df": X.finite(F.try_divide(se_sq * se_sq, F.col("_denominator")))})
     status = (F.when((nt < 2) | (nc < 2), F.lit(SMALL_GROUP))
               .when(X.finite(vt).isNull() | X.finite(vc).isNull(), F.lit(NONFINITE_VARIANCE))
               .when(~F.coalesce(X.finite(se_sq) > 0, F.lit(False)), F.lit(ZERO_SE))
-              .when(~F.coalesce(df > 0, F.lit(False)), F.lit(NO_DF))
+              .when(~F.coalesce(F.col("_df") > 0, F.lit(False)), F.lit(NO_DF))
               .otherwise(F.lit("available_welch_t")))
-    out = effects.withColumn("_status", status)
+    out = evaluate_once(out, {"_status": status})
     ok = F.col("_status") == "available_welch_t"
-    out = out.withColumns({"analytic_se": F.when(ok, F.sqrt(se_sq)), "analytic_df": F.when(ok, df)})
+    out = out.withColumns({"analytic_se": F.when(ok, F.sqrt(se_sq)), "analytic_df": F.when(ok, F.col("_df"))})
     out = out.withColumn("_critical", dist.t_quantile(confidence, F.col("analytic_df")))
     found = F.col("_critical").isNotNull()
     half = F.col("_critical") * F.col("analytic_se")
@@ -206,7 +207,7 @@ def welch_interval(effects: DataFrame, confidence: float = CONFIDENCE) -> DataFr
         "analytic_ci_status": F.when(ok & ~found, F.lit(NO_CRITICAL)).otherwise(F.col("_status")),
         "analytic_se": F.when(found, F.col("analytic_se")),
         "analytic_df": F.when(found, F.col("analytic_df")),
-    }).drop("_status", "_critical")
+    }).drop("_status", "_critical", "_se_sq", "_denominator", "_df")
 
 
 # ---------------------------------------------------------------- bootstrap
