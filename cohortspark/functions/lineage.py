@@ -59,10 +59,11 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(n, *columns)
 
 
-def spread_scan(df: DataFrame) -> DataFrame:
+def spread_scan(df: DataFrame, *columns: str) -> DataFrame:
     """Deal out a scan that has fewer splits than cores (a few small files); otherwise as is.
 
-    For scans with heavy work per row.  A scan of many files is left alone and not shuffled.
+    With ``columns`` the rows are hash-partitioned on them, so a following aggregation on the
+    same key needs no further shuffle.  A scan of many files is left alone.
     """
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    return df.repartition(n, *columns) if df.rdd.getNumPartitions() < n else df

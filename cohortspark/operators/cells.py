@@ -67,17 +67,24 @@ def cell_profiles(triples: DataFrame, symbols: Sequence[str], mt_prefix: str = "
     index = config_table(triples.sparkSession,
                          [{"symbol": s, "_slot": i} for i, s in enumerate(symbols)],
                          pa.schema([("symbol", pa.string()), ("_slot", pa.int32())]))
-    value, slot = F.col("value"), F.col("_slot")
+    value = F.col("value")
+    # One SQL text for the wide struct: a configuration has many symbols.
+    counts = ", ".join(f"sum(CASE WHEN _slot = {i} THEN value END) AS {quoted(s)}" for i, s in enumerate(symbols))
     return triples.join(index, "symbol", "left").groupBy(*keys).agg(
         F.sum(value).alias("total_umi"),
         F.count_if(value > 0).alias("detected_genes"),
         F.sum(F.when(F.col("symbol").startswith(mt_prefix), value).otherwise(F.lit(0))).alias("mt_umi"),
-        F.struct(*[F.sum(F.when(slot == i, value)).alias(s) for i, s in enumerate(symbols)]).alias("counts"))
+        F.expr(f"struct({counts}) AS counts"))
 
 
-def symbol_count(symbol: str, counts: str = "counts") -> Column:
-    """Count of one configured symbol, zero where there is none."""
-    return F.coalesce(F.col(counts).getField(symbol), F.lit(0).cast("long"))
+def quoted(name: str) -> str:
+    """A symbol as a SQL identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def symbol_count(symbol: str) -> str:
+    """SQL text: count of one configured symbol, zero where there is none."""
+    return f"coalesce(counts.{quoted(symbol.strip().upper())}, 0L)"
 
 
 def cell_metrics(cells: DataFrame, profiles: DataFrame, rule: QcRule = QcRule(),
@@ -156,20 +163,19 @@ def panel_columns(cells: DataFrame, features: DataFrame, panels: Mapping[str, Se
     with_sizes = cells.withColumn("_measured", measured_map(features, panels))
     added = {}
     for panel, genes in panels.items():
-        counts = [symbol_count(g.strip().upper()) for g in genes]
-        size = F.coalesce(F.col("_measured")[panel], F.lit(0)) if denominator == "measured" else F.lit(len(genes))
-        total = sum((X.log1p_cpm_floor(c, "total_umi") for c in counts[1:]), X.log1p_cpm_floor(counts[0], "total_umi"))
-        added[f"{panel}_score"] = F.when(size > 0, total / size).otherwise(F.lit(0.0))
-        added[f"{panel}_detected_genes"] = sum(((c > 0).cast("long") for c in counts[1:]), (counts[0] > 0).cast("long"))
+        counts = [symbol_count(g) for g in genes]
+        total = " + ".join(f"log1p(1e6D * {c} / greatest(total_umi, 1))" for c in counts)
+        size = f"coalesce(_measured['{panel}'], 0)" if denominator == "measured" else str(len(genes))
+        added[f"{panel}_score"] = F.expr(f"CASE WHEN {size} > 0 THEN ({total}) / {size} ELSE 0D END")
+        added[f"{panel}_detected_genes"] = F.expr(" + ".join(f"cast({c} > 0 AS bigint)" for c in counts))
     return evaluate_once(with_sizes, added).drop("_measured")
 
 
 def panel_rows(cells: DataFrame, panels: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Long form (cell, panel, score, detected) of ``panel_columns``; no shuffle."""
-    entries = F.array(*[F.struct(F.lit(p).alias("panel"), F.col(f"{p}_score").alias("score"),
-                                 F.col(f"{p}_detected_genes").alias("detected_genes"))
-                        for p in panels])
-    return cells.select(*keep, F.inline(entries))
+    entries = ", ".join(f"struct('{p}' AS panel, {p}_score AS score, {p}_detected_genes AS detected_genes)"
+                        for p in panels)
+    return cells.select(*keep, F.expr(f"inline(array({entries}))"))
 
 
 def label_cells(cells: DataFrame, source: str = "compartment", rule: LabelRule = LabelRule(),
@@ -228,12 +234,12 @@ def panel_coverage(profiles: DataFrame, panels: Mapping[str, Sequence[str]], key
 
     ``profiles`` has the keys and ``counts``; a symbol is measured where any count exists.
     """
-    symbols = configured_symbols(panels)
-    seen = profiles.groupBy(*keys).agg(F.struct(*[
-        F.count(F.col("counts").getField(s)).alias(s) for s in symbols]).alias("_seen"))
-    rows = F.array(*[F.struct(
-        F.lit(p).alias("panel"), F.lit(len(genes)).cast("long").alias("configured_genes"),
-        sum(((F.col("_seen").getField(g.strip().upper()) > 0).cast("long") for g in genes), F.lit(0).cast("long"))
-        .alias("measured_genes")) for p, genes in panels.items()])
-    return seen.select(*keys, F.inline(rows)).withColumn(
+    names = [quoted(s) for s in configured_symbols(panels)]
+    seen = profiles.groupBy(*keys).agg(F.expr(
+        "struct(" + ", ".join(f"count(counts.{n}) AS {n}" for n in names) + ") AS _seen"))
+    rows = ", ".join(
+        f"struct('{p}' AS panel, {len(genes)}L AS configured_genes, "
+        + " + ".join(f"cast(_seen.{quoted(g.strip().upper())} > 0 AS bigint)" for g in genes) + " AS measured_genes)"
+        for p, genes in panels.items())
+    return seen.select(*keys, F.expr(f"inline(array({rows}))")).withColumn(
         "measured_fraction", F.col("measured_genes") / F.col("configured_genes"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions.config import literal_array
-from .cells import measured_members, symbol_count
+from .cells import measured_members, quoted, symbol_count
 
 MIN_MAPPED_FRACTION = 0.80
 SCORE_AVAILABLE = "score_available"
@@ -29,17 +29,16 @@ def library_profiles(included: DataFrame, keys: Sequence[str], symbols: Sequence
     """
     return included.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("included_cells"), F.sum("total_umi").alias("total_umi_included_cells"),
-        F.struct(*[F.coalesce(F.sum(F.col("counts").getField(s)), F.lit(0)).alias(s) for s in symbols])
-        .alias("counts"))
+        F.expr("struct(" + ", ".join(f"coalesce(sum(counts.{quoted(s)}), 0L) AS {quoted(s)}" for s in symbols)
+               + ") AS counts"))
 
 
 def pseudobulk_genes(libraries: DataFrame, modules: Mapping[str, Sequence[str]],
                      keep: Sequence[str]) -> DataFrame:
     """Count of every configured gene of every module, zeros kept."""
-    rows = F.array(*[F.struct(F.lit(m).alias("module_id"), F.lit(g.strip().upper()).alias("gene_symbol"),
-                              symbol_count(g.strip().upper()).alias("pseudobulk_count"))
-                     for m, genes in modules.items() for g in genes])
-    return libraries.select(*keep, F.inline(rows))
+    rows = ", ".join(f"struct('{m}' AS module_id, '{g.strip().upper()}' AS gene_symbol, {symbol_count(g)} AS pseudobulk_count)"
+                     for m, genes in modules.items() for g in genes)
+    return libraries.select(*keep, F.expr(f"inline(array({rows}))"))
 
 
 def mapping_audit(features: DataFrame, modules: Mapping[str, Sequence[str]],
@@ -79,11 +78,11 @@ def module_scores(libraries: DataFrame, features: DataFrame, modules: Mapping[st
     measured = F.broadcast(measured_members(features, modules, "module_id").select(
         "module_id", F.size("measured").alias("_mapped")))
     total = F.col("total_umi_included_cells")
-    sums = F.array(*[F.struct(
-        F.lit(m).alias("module_id"), F.lit(len(genes)).alias("_configured"),
-        sum((X.log1p_cpm(symbol_count(g.strip().upper()), total) for g in genes), F.lit(0.0)).alias("_sum"))
-        for m, genes in modules.items()])
-    rows = (libraries.select(*keep, "included_cells", "total_umi_included_cells", F.inline(sums))
+    sums = ", ".join(
+        f"struct('{m}' AS module_id, {len(genes)} AS _configured, "
+        + " + ".join(f"log1p(try_divide(1e6D * {symbol_count(g)}, total_umi_included_cells))" for g in genes) + " AS _sum)"
+        for m, genes in modules.items())
+    rows = (libraries.select(*keep, "included_cells", "total_umi_included_cells", F.expr(f"inline(array({sums}))"))
             .join(measured, "module_id", "left")
             .withColumn("mapped_fraction", F.coalesce("_mapped", F.lit(0)) / F.col("_configured")))
     ready = (F.col("mapped_fraction") >= minimum) & (total > 0)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.functions import expr as X
+from cohortspark.functions.lineage import spread_scan
 from cohortspark.operators import cells as C
 from cohortspark.operators import effects as E
 from cohortspark.operators import scores as S
@@ -83,9 +84,9 @@ class Tables:
 
     @cached_property
     def triples(self) -> DataFrame:
-        return (self.lineitem.select(F.col("l_orderkey").alias("cell_id"), F.col("l_partkey").alias("feature_id"),
-                                     F.col("l_quantity").cast("long").alias("value"))
-                .join(self.features, "feature_id"))
+        entries = self.lineitem.select(F.col("l_orderkey").alias("cell_id"), F.col("l_partkey").alias("feature_id"),
+                                       F.col("l_quantity").cast("long").alias("value"))
+        return spread_scan(entries, "cell_id").join(self.features, "feature_id")
 
     @cached_property
     def donors(self) -> DataFrame:
