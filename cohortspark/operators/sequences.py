@@ -11,7 +11,7 @@ from ..functions import expr as X
 from ..functions.config import broadcast_if_small
 from ..functions.lineage import spread_scan
 
-SEED_LENGTHS = (64, 32, 16, 8, 4, 2, 1)
+SEED_LENGTHS = (64, 32, 16, 8, 4, 2, 1)  # each divides the next larger one and the chunk length
 CHUNK = 2_048
 MAX_BROADCAST_SEEDS = 200_000
 
@@ -51,6 +51,9 @@ def multi_pattern_search(texts: DataFrame, patterns: DataFrame, text_id: str, te
     if not used:
         used = [seed_lengths[-1]]
     reach = distinct.agg(F.max(F.length("_pattern"))).first()[0] or 1
+    # A chunk is never shorter than the longest pattern, so the overlaps at most triple a text.
+    longest = max(seed_lengths)
+    chunk = max(chunk, -(-reach // longest) * longest)
 
     # Chunk c covers blocks starting in [c*chunk, (c+1)*chunk); it carries enough text on both
     # sides to verify any pattern whose aligned block starts there.
