@@ -8,8 +8,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of at most 64 bytes that may be broadcast; larger sides are shuffled instead.
-BROADCAST_ROWS = 300_000
+#: Rows, or elements of their arrays, that may be broadcast (40 MB or less); larger sides are shuffled.
+BROADCAST_ROWS = 500_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,9 +31,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of a narrow, checkpointed ``df`` only if its counted rows are within ``limit``."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def broadcast_if_small(df: DataFrame, weight: Column | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast of a checkpointed ``df`` of few narrow columns only if its rows, or the sum of ``weight``, are in ``limit``."""
+    size = df.agg(F.coalesce(F.sum(F.lit(1) if weight is None else weight), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= limit else df
 
 
 def row_keys(*columns: str | Column) -> tuple[Column, Column]:

@@ -3,18 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortspark.llm import simhash
+from cohortspark.llm import line_dedup, simhash, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The rules of op1: verdict, host, path.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+             ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_rules.judge_urls(pages, url_rules.rules_table(spark, URL_RULES))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id", "stays")
 
 
-QUERIES = {"op4_simhash": op4_simhash}
-ORACLES: dict[str, str] = {}
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "text", F.col("_removed").alias("n_removed"))
+
+
+QUERIES = {"op1_url_rules": op1_url_rules, "op4_simhash": op4_simhash,
+           "op5_line_dedup": op5_line_dedup}
+ORACLES: dict[str, str] = {
+    "op1_url_rules": r"""
+        WITH u AS (
+            SELECT page_id,
+                   coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+            FROM pages),
+        r(verdict, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
+            ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+        j AS (
+            SELECT host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict
+            FROM (SELECT DISTINCT host, path FROM u) d JOIN r
+              ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+            GROUP BY host, path)
+        SELECT page_id, u.host, u.path, j.rule, coalesce(j.verdict, 'allow') AS verdict
+        FROM u LEFT JOIN j ON u.host = j.host AND u.path = j.path""",
+}
