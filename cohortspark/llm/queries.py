@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import line_dedup, simhash, url_rules
+from cohortspark.llm import decontamination, line_dedup, simhash, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +32,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "text", F.col("_removed").alias("n_removed"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("k1", "k2")
+
+
 QUERIES = {"op1_url_rules": op1_url_rules, "op4_simhash": op4_simhash,
-           "op5_line_dedup": op5_line_dedup}
+           "op5_line_dedup": op5_line_dedup, "op6_decontamination": op6_decontamination}
 ORACLES: dict[str, str] = {
     "op1_url_rules": r"""
         WITH u AS (
@@ -51,4 +56,29 @@ ORACLES: dict[str, str] = {
             GROUP BY host, path)
         SELECT page_id, u.host, u.path, j.rule, coalesce(j.verdict, 'allow') AS verdict
         FROM u LEFT JOIN j ON u.host = j.host AND u.path = j.path""",
+    "op6_decontamination": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(translate(text,
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+'), []) AS ws
+            FROM documents),
+        i AS (
+            SELECT DISTINCT item_id, regexp_extract_all(translate(text,
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws
+            FROM benchmark WHERE text IS NOT NULL),
+        w AS (
+            SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[p : p + least(len(ws), 10) - 1], ' ') AS g
+            FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 8, 2))) AS p FROM i WHERE len(ws) > 0)),
+        g AS (
+            SELECT rid, p, n, array_to_string(ws[p : p + n - 1], ' ') AS g
+            FROM (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS p
+                  FROM d, (SELECT DISTINCT n FROM w) WHERE len(ws) >= n)),
+        o AS (SELECT g.rid, g.p, g.n, w.item_id FROM g JOIN w ON g.n = w.n AND g.g = w.g),
+        h AS (
+            SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS q FROM o) GROUP BY rid),
+        t AS (
+            SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+            FROM (SELECT DISTINCT rid, item_id::VARCHAR AS s FROM o WHERE item_id IS NOT NULL) GROUP BY rid)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)""",
 }
