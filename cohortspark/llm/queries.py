@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import decontamination, line_dedup, simhash, url_rules
+from cohortspark.llm import decontamination, line_dedup, mixing, simhash, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, url_rules.rules_table(spark, URL_RULES))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents")).drop("source", "k1", "k2")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id", "stays")
@@ -37,7 +41,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("k1", "k2")
 
 
-QUERIES = {"op1_url_rules": op1_url_rules, "op4_simhash": op4_simhash,
+QUERIES = {"op1_url_rules": op1_url_rules, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash,
            "op5_line_dedup": op5_line_dedup, "op6_decontamination": op6_decontamination}
 ORACLES: dict[str, str] = {
     "op1_url_rules": r"""
@@ -56,6 +60,37 @@ ORACLES: dict[str, str] = {
             GROUP BY host, path)
         SELECT page_id, u.host, u.path, j.rule, coalesce(j.verdict, 'allow') AS verdict
         FROM u LEFT JOIN j ON u.host = j.host AND u.path = j.path""",
+    "op3_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+                   -ln((('0x' || substr(md5(concat(coalesce(doc_id::VARCHAR, chr(0)), chr(31), coalesce(md5(text), chr(0)))), 1, 13))::BIGINT
+                        + 1)::DOUBLE / 4503599627370496)
+                   / coalesce(1 + (length(text) - length(regexp_replace(text, '[A-Za-z]+', '', 'g')))
+                              / nullif(length(text), 0), 1.0) AS key
+            FROM documents),
+        s AS (
+            SELECT source, size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS w
+            FROM (SELECT source, sum(size)::BIGINT AS size FROM d GROUP BY source)),
+        c AS (
+            SELECT *, sum(2 * size) OVER o AS held, sum(w) OVER o AS spent, lead(2 * size / w) OVER (ORDER BY size / w, source) AS next,
+                   row_number() OVER (ORDER BY size / w, source) AS k
+            FROM s WINDOW o AS (ORDER BY size / w, source ROWS UNBOUNDED PRECEDING)),
+        l AS (
+            SELECT k, (1.5 * t - held)::DOUBLE / (v - spent)::DOUBLE AS level, next
+            FROM (SELECT 0 AS k, 0 AS held, 0 AS spent, min(2 * size / w) AS next FROM s
+                  UNION ALL SELECT k, held, spent, next FROM c), (SELECT sum(size) AS t, sum(w) AS v FROM s) WHERE next IS NOT NULL),
+        t AS (
+            SELECT source, size AS source_size,
+                   least((2 * size)::DOUBLE, w * (SELECT level FROM l WHERE next >= level ORDER BY k LIMIT 1)) AS target
+            FROM s),
+        r AS (
+            SELECT d.*, t.source_size, t.target,
+                   sum(d.size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS upto,
+                   CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS epochs
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size::BIGINT AS source_size, target,
+               (epochs * size + greatest(0, least(size, round(target - epochs * source_size) - (upto - size))))::BIGINT AS taken
+        FROM r""",
     "op6_decontamination": r"""
         WITH d AS (
             SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(translate(text,
