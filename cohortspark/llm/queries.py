@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import decontamination, line_dedup, mixing, simhash, url_rules
+from cohortspark.llm import decontamination, langid, line_dedup, mixing, quality, simhash, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +41,18 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("k1", "k2")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.drop("k1", "k2")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op1_url_rules": op1_url_rules, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash,
-           "op5_line_dedup": op5_line_dedup, "op6_decontamination": op6_decontamination}
+           "op5_line_dedup": op5_line_dedup, "op6_decontamination": op6_decontamination,
+           "op9_quality": op9_quality, "op10_language": op10_language}
 ORACLES: dict[str, str] = {
     "op1_url_rules": r"""
         WITH u AS (
