@@ -39,8 +39,15 @@ class _Buckets(dict):
         return bucket
 
 
+#: Bucket of the word that stands for a token repeated from one or two places before.
+_REPEAT = zlib.crc32(b"\x01") % BUCKETS
+
+
 def _tokens(text: str | None, buckets: _Buckets) -> np.ndarray:
-    return np.array([buckets[t] for t in _TOKEN.findall(text or "")], dtype=np.int64)
+    """Buckets of all tokens, and one _REPEAT for each repetition: pooling alone would not see order."""
+    words = np.array([buckets[t] for t in _TOKEN.findall(text or "")], dtype=np.int64)
+    repeats = np.count_nonzero(words[1:] == words[:-1]) + np.count_nonzero(words[2:] == words[:-2])
+    return np.append(words, np.full(repeats, _REPEAT))
 
 
 def index_vectors() -> np.ndarray:
