@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import decontamination, langid, line_dedup, mixing, quality, simhash, url_rules
+from cohortspark.llm import decontamination, langid, line_dedup, mixing, quality, simhash, topk, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("k1", "k2")
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return judged.drop("k1", "k2")
@@ -52,7 +56,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_url_rules": op1_url_rules, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash,
            "op5_line_dedup": op5_line_dedup, "op6_decontamination": op6_decontamination,
-           "op9_quality": op9_quality, "op10_language": op10_language}
+           "op7_topk": op7_topk, "op9_quality": op9_quality, "op10_language": op10_language}
 ORACLES: dict[str, str] = {
     "op1_url_rules": r"""
         WITH u AS (
@@ -101,6 +105,16 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, size, source_size::BIGINT AS source_size, target,
                (epochs * size + greatest(0, least(size, round(target - epochs * source_size) - (upto - size))))::BIGINT AS taken
         FROM r""",
+    "op7_topk": """
+        WITH e AS (
+            SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        s AS (
+            SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+            FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v))
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
     "op6_decontamination": r"""
         WITH d AS (
             SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(translate(text,
