@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import decontamination, langid, line_dedup, mixing, quality, simhash, topk, url_rules
+from cohortspark.llm import decontamination, langid, line_dedup, mixing, pii, quality, simhash, topk, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,15 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(_table(spark, sf_dir, "embeddings"))
 
 
+#: A key for tests; production passes its own.
+PII_KEY = "0f1e2d3c4b5a69788796a5b4c3d2e1f0"
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return made.select("doc_id", "text", F.array_join("_kinds", ",").alias("kinds"), F.size("_kinds").alias("n_found"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return judged.drop("k1", "k2")
@@ -56,7 +65,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_url_rules": op1_url_rules, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash,
            "op5_line_dedup": op5_line_dedup, "op6_decontamination": op6_decontamination,
-           "op7_topk": op7_topk, "op9_quality": op9_quality, "op10_language": op10_language}
+           "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_language": op10_language}
 ORACLES: dict[str, str] = {
     "op1_url_rules": r"""
         WITH u AS (
