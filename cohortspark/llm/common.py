@@ -51,6 +51,36 @@ def lower_ascii(text: str | Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+#: Bits of a hash filter (128 kB), whatever it is built from: a fuller one only passes more.
+FILTER_BITS = 1 << 20
+
+
+def _bits(h: Column) -> list[Column]:
+    """Two positions in the filter, from different bits of a hash."""
+    return [F.pmod(h, F.lit(FILTER_BITS)), F.pmod(F.shiftright(h, 32), F.lit(FILTER_BITS))]
+
+
+def hash_filter(hashes: DataFrame) -> Column:
+    """A filter of the column ``h`` as an array constant of FILTER_BITS / 64 numbers."""
+    bits = hashes.select(F.explode(F.array(*_bits(F.col("h")))).alias("bit"))
+    packed = bits.groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+    filled = {at: word for at, word in packed.collect()}  # of a fixed size
+    text = ",".join(str(filled.get(i, 0)) for i in range(FILTER_BITS // 64))
+    return F.split(F.lit(text), ",").cast("array<bigint>")
+
+
+def passes(flags: Column, h: Column) -> Column:
+    """Whether the filter may hold ``h``; never false for a hash it was built from."""
+    tests = [F.getbit(F.get(flags, F.shiftright(b, 6).cast("int")), F.pmod(b, F.lit(64)).cast("int")) == 1 for b in _bits(h)]
+    return tests[0] & tests[1]
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, also where a filter is pushed down or inside lambdas."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def part_count(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -111,15 +141,17 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"no fixed point after {rounds} rounds")
 
 
-def linked_groups(members: DataFrame, verify) -> DataFrame:
+def linked_groups(members: DataFrame, verify, compare=None) -> DataFrame:
     """Components of the ids that share a bucket and pass ``verify``: rows (id, component) of linked ids.
 
     members: (key, id, base); a pair is a candidate if it shares a key and one of the two has base = true.
     verify: takes distinct candidate pairs (u, v) and returns those that are links.
+    compare: takes what is left, (key, id, base, component, star, c0) of the buckets with several
+    components, star the bucket's pivot and c0 that one's component, and returns links (u, v) across components.
 
     A bucket is first tried as a star around its least base id, so a bucket of copies costs one
     candidate per member. Only buckets whose members are then still in different components are
-    compared pair by pair, and only across components: no link is lost and no dense group is squared.
+    compared further, and only across components: no link is lost and no group of copies is squared.
     """
     # Every key with two ids at least; buckets of two need no join back.
     buckets = members.groupBy("key").agg(
@@ -130,15 +162,21 @@ def linked_groups(members: DataFrame, verify) -> DataFrame:
     crowded = broadcast_if_small(cut(buckets.where("n > 2").select("key", "star")))
     within = cut(members.join(crowded, "key"))
     stars = within.where("id <> star").select(F.least("id", "star").alias("u"), F.greatest("id", "star").alias("v"))
-    links = cut(verify(pairs.union(stars).distinct()))
-    first = components(links)
+    first = components(verify(pairs.union(stars).distinct()))
     placed = within.join(first, "id", "left").select(
-        "key", "id", "base", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-    placed = placed.join(mixed.select("key"), "key")
-    a = placed.where("base").select("key", F.col("id").alias("ida"), F.col("component").alias("ca"))
-    b = placed.select("key", F.col("id").alias("idb"), F.col("component").alias("cb"), F.col("base").alias("bb"))
-    rest = a.join(b, (a["key"] == b["key"]) & (F.col("ca") != F.col("cb")) & (~F.col("bb") | (F.col("ida") < F.col("idb"))))
-    rest = rest.select(F.least("ida", "idb").alias("u"), F.greatest("ida", "idb").alias("v")).distinct()
-    rest = verify(rest.join(links, ["u", "v"], "left_anti"))
+        "key", "id", "base", "star", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("key").agg(
+        F.min("component").alias("c"), F.max("component").alias("c1"),
+        F.min(F.when(F.col("id") == F.col("star"), F.col("component"))).alias("c0")).where("c <> c1")
+    placed = placed.join(mixed.select("key", "c0"), "key")
+    rest = (compare or _across(verify))(placed)
     return components(first.select(F.col("component").alias("u"), F.col("id").alias("v")).union(rest.select("u", "v")))
+
+
+def _across(verify):
+    def compare(placed: DataFrame) -> DataFrame:
+        a = placed.where("base").select("key", F.col("id").alias("ida"), F.col("component").alias("ca"))
+        b = placed.select("key", F.col("id").alias("idb"), F.col("component").alias("cb"), F.col("base").alias("bb"))
+        rest = a.join(b, (a["key"] == b["key"]) & (F.col("ca") != F.col("cb")) & (~F.col("bb") | (F.col("ida") < F.col("idb"))))
+        return verify(rest.select(F.least("ida", "idb").alias("u"), F.greatest("ida", "idb").alias("v")).distinct())
+    return compare

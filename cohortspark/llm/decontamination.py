@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import LOWER, UPPER, cut, row_keys
+from cohortspark.llm.common import LOWER, UPPER, cut, hash_filter, passes, row_keys
 
 WINDOW, SHINGLE = 10, 3
 #: A word is a run of digits, letters and non-ASCII characters; A-Z are lowered afterwards, word by word.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Bits of the fixed-size filter (128 kB) that says which shingles benchmark items may have.
-FILTER_BITS = 1 << 20
-
 
 def words(text: str | Column) -> Column:
     """Words of a text with A-Z lowered; none for null."""
@@ -35,26 +32,6 @@ def windows(benchmark: DataFrame, id_column: str = "item_id", text_column: str =
     ).distinct()
 
 
-def _bits(h: Column) -> list[Column]:
-    """Two positions in the filter, from different bits of a hash."""
-    return [F.pmod(h, F.lit(FILTER_BITS)), F.pmod(F.shiftright(h, 32), F.lit(FILTER_BITS))]
-
-
-def _filter(shingles: DataFrame) -> Column:
-    """The filter as an array constant of FILTER_BITS / 64 numbers."""
-    bits = shingles.select(F.explode(F.array(*_bits(F.col("h")))).alias("bit"))
-    packed = bits.groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
-    filled = dict(packed.collect())  # of a fixed size, whatever the benchmark's
-    text = ",".join(str(filled.get(i, 0)) for i in range(FILTER_BITS // 64))
-    return F.split(F.lit(text), ",").cast("array<bigint>")
-
-
-def _maybe(flags: Column, h: Column) -> Column:
-    tests = [F.getbit(F.get(flags, F.shiftright(b, 6).cast("int")), F.pmod(b, F.lit(64)).cast("int")) == 1 for b in _bits(h)]
-    return tests[0] & tests[1]
-
-
 _PLACES = "array<struct<size:int,at:int,h:bigint>>"
 
 
@@ -62,7 +39,7 @@ def _places(ws: Column, size: int, flags: Column) -> Column:
     """Positions of the shingles of ``size`` words that pass the filter."""
     hashed = F.transform(F.sequence(F.lit(0), F.size(ws) - size), lambda i: F.struct(
         F.lit(size).alias("size"), i.alias("at"), _hash(ws, i, size).alias("h")))
-    return F.when(F.size(ws) >= size, F.filter(hashed, lambda x: _maybe(flags, x["h"]))).otherwise(F.array().cast(_PLACES))
+    return F.when(F.size(ws) >= size, F.filter(hashed, lambda x: passes(flags, x["h"]))).otherwise(F.array().cast(_PLACES))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -87,7 +64,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
         hashed = F.when(F.col("size") == s, _hash(F.col("window"), F.col("offset"), s)).otherwise(hashed)
     shingles = cut(grams.withColumn("offset", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("size"))))
                    .withColumn("h", hashed))
-    flags = _filter(shingles)
+    flags = hash_filter(shingles)
 
     k1, k2 = row_keys(id_column, text_column)
     ws = F.col("ws")

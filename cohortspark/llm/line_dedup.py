@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +21,12 @@ BANDS, ROWS = 10, 4
 SLOTS = BANDS * ROWS
 #: Lines with at most SHORT shingles hash them SLOTS times; lines with at least LONG deal one hash of
 #: each to SLOTS bins. LONG = SIMILARITY * SHORT, so two similar lines always have a scheme in common.
-SHORT, LONG = 160, 128
-#: Characters signed at a time.
-BLOCK = 1 << 21
+SHORT, LONG = 120, 96
+#: Characters signed at a time, and members of a block in the comparison of crowded buckets.
+BLOCK, MEMBERS, COLUMNS = 1 << 20, 256, 1 << 13
 
-_ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 1 << 64)
+_ODD = 0x9E3779B1
+_INVERSE = pow(_ODD, -1, 1 << 32)
 
 
 def normal(line: str) -> str:
@@ -34,39 +35,50 @@ def normal(line: str) -> str:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
+
+
+def _mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
 
 
-_A = _mix(np.arange(1, SLOTS + 1, dtype=np.uint64)) | np.uint64(1)
-_B = _mix(np.arange(101, SLOTS + 101, dtype=np.uint64))
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_A = _mix(np.arange(1, SLOTS + 1, dtype=np.uint32)) | np.uint32(1)
+_B = _mix(np.arange(101, SLOTS + 101, dtype=np.uint32))
+_NONE = np.uint32(0xFFFFFFFF)
+
+
+@functools.lru_cache(1)
+def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.cumprod(np.full(length, x, dtype=np.uint32), dtype=np.uint32) for x in (_ODD, _INVERSE))
 
 
 def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all lines' character shingles, and each line's number of them (one at least)."""
+    """Hashes of all lines' character shingles, and each line's number of them; a shorter line is one shingle."""
+    lines = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
     lengths = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    counts = np.maximum(lengths - SHINGLE + 1, 1)
-    spans = np.minimum(lengths, SHINGLE)
-    powers = np.cumprod(np.full(len(codes) + 1, _ODD, dtype=np.uint64))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * powers[:-1])))
-    inverse = np.cumprod(np.full(len(codes) + 1, _INVERSE, dtype=np.uint64))
-    ends = np.cumsum(counts)
-    at = np.arange(ends[-1]) + np.repeat(np.cumsum(lengths) - lengths - (ends - counts), counts)
-    return _mix((sums[at + np.repeat(spans, counts)] - sums[at]) * inverse[at]), counts
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    powers, inverse = _powers(1 << max(BLOCK * 2, len(codes)).bit_length())
+    # A polynomial's prefix sums give each window's value, here also of windows that leave their line.
+    sums = np.zeros(len(codes) + 1, dtype=np.uint32)
+    np.cumsum((codes + np.uint32(1)) * powers[:len(codes)], dtype=np.uint32, out=sums[1:])
+    values = (sums[SHINGLE:] - sums[:-SHINGLE]) * inverse[:len(codes) - SHINGLE + 1]
+    inside = np.ones(len(codes), dtype=bool)
+    inside[(np.cumsum(lengths)[:, None] - np.arange(1, SHINGLE)).ravel()] = False
+    return _mix(values[inside[:len(values)]]), lengths - SHINGLE + 1
 
 
 def _short(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     starts = np.cumsum(counts) - counts
-    return np.stack([np.minimum.reduceat(_mix(hashes * a + b), starts) for a, b in zip(_A, _B)], axis=1)
+    return np.stack([np.minimum.reduceat(hashes * a + b, starts) for a, b in zip(_A, _B)], axis=1)
 
 
 def _long(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    slots = np.full(len(counts) * SLOTS, _NONE, dtype=np.uint64)
-    line = np.repeat(np.arange(len(counts), dtype=np.int64) * SLOTS, counts)
-    np.minimum.at(slots, line + (hashes % np.uint64(SLOTS)).astype(np.int64), hashes // np.uint64(SLOTS))
+    slots = np.full(len(counts) * SLOTS, _NONE, dtype=np.uint32)
+    bins = ((hashes >> np.uint32(16)) * np.uint32(SLOTS)) >> np.uint32(16)
+    np.minimum.at(slots, np.repeat(np.arange(len(counts)) * SLOTS, counts) + bins, hashes * _A[0])
     slots = slots.reshape(-1, SLOTS)
     while (empty := slots == _NONE).any():  # an empty bin takes its neighbour's value
         slots = np.where(empty, np.roll(slots, 1, axis=1), slots)
@@ -74,22 +86,15 @@ def _long(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _bands(slots: np.ndarray, scheme: int) -> np.ndarray:
-    keys = np.zeros((len(slots), BANDS), dtype=np.uint64)
-    for b in range(BANDS):
-        key = np.full(len(slots), scheme * 1000 + b, dtype=np.uint64)
-        for r in range(ROWS):
-            key = _mix(key * np.uint64(_ODD) + slots[:, b * ROWS + r])
-        keys[:, b] = key
-    return keys.view(np.int64)
-
+    key = np.tile(np.arange(BANDS, dtype=np.uint64) + np.uint64(1000 * (scheme + 1)), (len(slots), 1))
+    for r in range(ROWS):
+        key = _mix64(key * np.uint64(0x9E3779B97F4A7C15) + slots[:, r::ROWS])
+    return key.view(np.int64)
 
-def _pick(hashes: np.ndarray, counts: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return hashes[np.repeat(chosen, counts)], counts[chosen]
 
-
-def band_keys(lines: list[str]) -> list[list[int]]:
+def band_keys(lines: list[str]) -> pa.ListArray:
     """Band keys of normalised, non-empty lines: BANDS keys, twice that for lines of both schemes."""
-    out: list[list[int]] = [[] for _ in lines]
+    owners, keys = [], []
     start = 0
     while start < len(lines):
         end, size = start + 1, len(lines[start])
@@ -99,11 +104,13 @@ def band_keys(lines: list[str]) -> list[list[int]]:
         hashes, counts = _shingle_hashes(lines[start:end])
         for scheme, chosen, sign in ((0, counts <= SHORT, _short), (1, counts >= LONG, _long)):
             if chosen.any():
-                keys = _bands(sign(*_pick(hashes, counts, chosen)), scheme)
-                for i, row in zip(np.flatnonzero(chosen) + start, keys.tolist()):
-                    out[i] += row
+                owners.append(np.repeat(np.flatnonzero(chosen) + start, BANDS))
+                keys.append(_bands(sign(hashes[np.repeat(chosen, counts)], counts[chosen]), scheme).ravel())
         start = end
-    return out
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    offsets = np.append(0, np.cumsum(np.bincount(owner, minlength=len(lines))))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys)[order]))
 
 
 def _lines(min_words: int, signed: bool):
@@ -113,7 +120,7 @@ def _lines(min_words: int, signed: bool):
         head = batch.select(["id", "k1", "k2"]).take(pa.array(at, pa.int64()))
         arrays = [*head.columns, pa.array(pos, pa.int32()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())]
         if signed:
-            arrays.append(pa.array(band_keys(lines), pa.list_(pa.int64())))
+            arrays.append(band_keys(lines))
         return pa.RecordBatch.from_arrays(arrays, names=["id", "k1", "k2", "pos", "h1", "h2", "bands"][:len(arrays)])
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,23 +175,111 @@ def _similar(similarity: float):
     return batches
 
 
+def similar_pairs(lines: list[str], component: list[int], other: list[bool], similarity: float) -> list[tuple[int, int]]:
+    """Links that join components of ``lines``: a spanning set of the pairs of at least ``similarity`` with an ``other`` line.
+
+    Intersections of the shingle sets come from a product of 0/1 matrices, some columns at a time.
+    """
+    codes: dict[str, int] = {}
+    sets = [[codes.setdefault(s, len(codes)) for s in _shingles(line)] for line in lines]
+    sizes = np.array([len(s) for s in sets])
+    at = np.repeat(np.arange(len(lines)), sizes)
+    columns = np.fromiter((c for s in sets for c in s), dtype=np.int64, count=int(sizes.sum()))
+    both = np.zeros((len(lines), len(lines)), dtype=np.float32)
+    for low in range(0, len(codes), COLUMNS):
+        use = (columns >= low) & (columns < low + COLUMNS)
+        held = np.zeros((len(lines), COLUMNS), dtype=np.float32)
+        held[at[use], columns[use] - low] = 1
+        both += held @ held.T
+    either = sizes[:, None] + sizes[None] - both
+    kind = np.array(component)
+    links = (both >= similarity * either - 1e-6) & (kind[:, None] != kind[None]) & (np.array(other)[:, None] | np.array(other)[None])
+    found, joined = [], {}
+
+    def root(c: int) -> int:
+        while joined.get(c, c) != c:
+            c = joined[c]
+        return c
+
+    for i, j in zip(*np.nonzero(np.triu(links, 1))):
+        a, b = root(component[i]), root(component[j])
+        if a != b and both[i, j] / either[i, j] >= similarity:
+            joined[max(a, b)] = min(a, b)
+            found.append((int(i), int(j)))
+    return found
+
+
+def _blocks_compared(similarity: float):
+    """Links of the rows of each (key, i, j), whose rows are adjacent."""
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+
+        def links() -> pa.RecordBatch:
+            pairs = similar_pairs([r[2] for r in rows], [r[1] for r in rows], [r[3] for r in rows], similarity)
+            return pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in side], pa.int64()) for side in (
+                [p[0] for p in pairs], [p[1] for p in pairs])], names=["u", "v"])
+
+        for batch in source:
+            cols = [batch.column(n).to_pylist() for n in ("key", "i", "j", "id", "component", "line", "other")]
+            for key, i, j, *row in zip(*cols):
+                if (key, i, j) != group and rows:
+                    yield links()
+                    rows = []
+                group = (key, i, j)
+                rows.append(row)
+        if rows:
+            yield links()
+    return batches
+
+
+def _lines_of(rows: DataFrame, lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, line) of the distinct lines with ``ids``, read from the text of their first occurrence."""
+    wanted = cut(lines.join(ids.distinct(), "id").groupBy(F.col("first.k1").alias("w1"), F.col("first.k2").alias("w2")).agg(
+        F.collect_list(F.struct("id", F.col("first.pos").alias("pos"))).alias("wanted")))
+    source = rows.join(broadcast_if_small(wanted, F.size("wanted")),
+                       (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")))
+    return cut(source.select("text", "wanted").mapInArrow(_picked_lines, "id bigint, line string").dropDuplicates(["id"]))
+
+
 def _verifier(rows: DataFrame, lines: DataFrame, similarity: float):
     def verify(pairs: DataFrame) -> DataFrame:
-        """Fetch the candidates' lines from the text of their first occurrence and compare them exactly."""
+        """Compare the lines of candidate pairs exactly."""
         pairs = cut(pairs)
-        ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-        wanted = cut(lines.join(ids, "id").groupBy(F.col("first.k1").alias("w1"), F.col("first.k2").alias("w2")).agg(
-            F.collect_list(F.struct("id", F.col("first.pos").alias("pos"))).alias("wanted")))
-        source = rows.join(broadcast_if_small(wanted, F.size("wanted")),
-                           (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")))
-        texts = cut(source.select("text", "wanted").mapInArrow(_picked_lines, "id bigint, line string")
-                    .dropDuplicates(["id"]))
+        texts = _lines_of(rows, lines, pairs.select(F.col("u").alias("id")).union(pairs.select("v")))
         both = pairs.join(texts.select(F.col("id").alias("u"), F.col("line").alias("a")), "u").join(
             texts.select(F.col("id").alias("v"), F.col("line").alias("b")), "v")
         return both.mapInArrow(_similar(similarity), "u bigint, v bigint")
     return verify
 
 
+def _comparer(rows: DataFrame, lines: DataFrame, similarity: float):
+    def compare(placed: DataFrame) -> DataFrame:
+        """Compare each bucket in pairs of blocks: lines outside the pivot's component with each other and with those inside.
+
+        Equal member sets of several bands are compared once.
+        """
+        placed = cut(placed.select("key", "id", "component", (F.col("component") != F.col("c0")).alias("other")))
+        sets = placed.groupBy("key").agg(
+            F.count_if("other").alias("n1"), F.count_if(~F.col("other")).alias("n0"),
+            F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("s2"))
+        sets = sets.groupBy("s1", "s2", "n0", "n1").agg(F.min("key").alias("key"))
+        sets = sets.select("key", F.ceil(F.col("n0") / MEMBERS).alias("b0"), F.ceil(F.col("n1") / MEMBERS).alias("b1"))
+        members = placed.join(sets, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("other"), F.col("b1")).otherwise(
+            F.col("b0"))))
+        # Blocks of others are numbered 0.. b1-1, of the pivot's component b1.. b1+b0-1; pairs are (i, j), i <= j, i an other block.
+        one, last = F.lit(1).cast("bigint"), F.col("b1") - 1
+        partners = F.when(F.col("other"), F.transform(F.sequence(one * 0, last + F.col("b0")), lambda k: F.struct(
+            F.least(F.col("block"), k).alias("i"), F.greatest(F.col("block"), k).alias("j")))).otherwise(
+            F.transform(F.sequence(one * 0, last), lambda k: F.struct(k.alias("i"), (F.col("block") + F.col("b1")).alias("j"))))
+        texts = _lines_of(rows, lines, members.select("id"))
+        work = members.select("key", "id", "component", "other", F.explode(partners).alias("p")).select(
+            "key", "p.i", "p.j", "id", "component", "other").join(texts, "id")
+        work = work.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+        return work.select("key", "i", "j", "id", "component", "line", "other").mapInArrow(
+            _blocks_compared(similarity), "u bigint, v bigint")
+    return compare
+
+
 @F.pandas_udf(StringType())
 def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
     def strip(t, positions):
@@ -212,7 +307,8 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
         F.min(place).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"))
     lines = cut(lines.withColumn("id", F.monotonically_increasing_id()))
     members = lines.select(F.explode("bands").alias("key"), "id", F.lit(True).alias("base"))
-    groups = linked_groups(members, _verifier(rows, lines.select("id", "first"), similarity))
+    places = lines.select("id", "first")
+    groups = linked_groups(members, _verifier(rows, places, similarity), _comparer(rows, places, similarity))
     placed = lines.select("id", "h1", "h2", "n", "first").join(groups, "id", "left")
     # A line that occurs once and has no partner stays; all others follow their component's first place.
     placed = cut(placed.where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "id")))

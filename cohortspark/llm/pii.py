@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.llm.common import let
+
 ROUNDS = 8
 #: Dates are permuted within DAY * DAY days from DAY_ZERO, that is up to 2102-07-24.
 DAY, DAY_ZERO = 272, "1900-01-01"
@@ -25,11 +27,6 @@ PATTERN = "|".join(KINDS.values())
 _DATE_FORMS = {r"^\d{4}-": "yyyy-MM-dd", r"^\d{4}/": "yyyy/MM/dd", r"^\d{2}/": "MM/dd/yyyy", r"^\d{2}\.": "dd.MM.yyyy"}
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` evaluated once."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def feistel(digits: Column, radices: Column, key: str, tweak: Column) -> Column:
     """A keyed permutation of the arrays with ``radices``: digit i stays below radix i.
 
@@ -41,7 +38,7 @@ def feistel(digits: Column, radices: Column, key: str, tweak: Column) -> Column:
         first = r % 2 == 1
         other = F.when(first, F.slice(state, half + 1, F.size(state) - half)).otherwise(F.slice(state, F.lit(1), half))
         digest = F.sha2(F.concat_ws("|", F.lit(key), tweak, r.cast("string"), F.array_join(other.cast("array<string>"), ",")), 512)
-        return _let(digest, lambda h: F.transform(state, lambda x, i: F.when(
+        return let(digest, lambda h: F.transform(state, lambda x, i: F.when(
             (i < half) == first,
             F.pmod(x + F.conv(F.substring(h, F.pmod(i, F.lit(32)) * 4 + 1, F.lit(4)), 16, 10).cast("int"), F.get(radices, i))
         ).otherwise(x).cast("int")))
@@ -60,7 +57,7 @@ def _permuted_chars(text: Column, key: str, kind: str, letters: int = 26) -> Col
         F.when(base(c) == 48, 10).when(base(c) == 0, 1).otherwise(letters).alias("radix"),
         F.when(base(c) == 0, 0).otherwise(F.ascii(c) - base(c)).alias("digit")))
     # The places of the other characters and the classes belong to the tweak: each format has its own permutation.
-    return _let(shape, lambda s: _let(
+    return let(shape, lambda s: let(
         feistel(s["digit"], s["radix"], key, F.concat_ws(":", F.lit(kind), F.array_join(F.transform(
             s, lambda x: F.when(x["base"] == 0, x["c"]).otherwise(x["base"].cast("string"))), " "))),
         lambda d: F.array_join(F.transform(s, lambda x, i: F.when(x["base"] == 0, x["c"]).otherwise(
@@ -81,7 +78,7 @@ def _card(m: Column, key: str) -> Column:
     digits = _numbers(m, r"\d")
     valid = F.element_at(digits, -1) == _luhn(F.slice(digits, F.lit(1), F.size(digits) - 1))
     body = _permuted_chars(F.substring(m, F.lit(1), F.length(m) - 1), key, "card")
-    return F.when(valid, _let(body, lambda b: F.concat(b, _luhn(_numbers(b, r"\d")).cast("string"))))
+    return F.when(valid, let(body, lambda b: F.concat(b, _luhn(_numbers(b, r"\d")).cast("string"))))
 
 
 def _mod97(text: Column) -> Column:
@@ -93,7 +90,7 @@ def _mod97(text: Column) -> Column:
 def _iban(m: Column, key: str) -> Column:
     country, body = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.length(m))
     valid = _mod97(F.concat(body, F.substring(m, 1, 4))) == 1
-    return F.when(valid, _let(_permuted_chars(body, key, "iban"), lambda b: F.concat(
+    return F.when(valid, let(_permuted_chars(body, key, "iban"), lambda b: F.concat(
         country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b)))
 
 
@@ -110,7 +107,7 @@ def _ssn(m: Column, key: str) -> Column:
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     digits = F.array(area - F.when(area > 666, 2).otherwise(1), group - 1, serial - 1)
     moved = feistel(digits, F.array(F.lit(898), F.lit(99), F.lit(9999)), key, F.lit("ssn"))
-    return F.when(valid, _let(moved, lambda d: F.format_string(
+    return F.when(valid, let(moved, lambda d: F.format_string(
         "%03d-%02d-%04d", F.get(d, 0) + F.when(F.get(d, 0) > 664, 2).otherwise(1), F.get(d, 1) + 1, F.get(d, 2) + 1)))
 
 
@@ -119,7 +116,7 @@ def _date(m: Column, key: str) -> Column:
     for shape, form in _DATE_FORMS.items():
         day = F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), F.lit(DAY_ZERO).cast("date"))
         moved = feistel(F.array(F.floor(day / DAY).cast("int"), F.pmod(day, F.lit(DAY))), F.array(F.lit(DAY), F.lit(DAY)), key, F.lit("date"))
-        days = _let(moved, lambda d: F.get(d, 0) * DAY + F.get(d, 1))
+        days = let(moved, lambda d: F.get(d, 0) * DAY + F.get(d, 1))
         printed = F.date_format(F.date_add(F.lit(DAY_ZERO).cast("date"), days), form)
         out = F.when(m.rlike(shape), F.when(day.between(0, DAY * DAY - 1), printed)).otherwise(out)
     return out
@@ -146,7 +143,7 @@ def pseudonym(m: Column, key: str) -> Column:
     for name in reversed(KINDS):
         full = m.rlike(f"^(?:{KINDS[name]})$")
         kind, text = F.when(full, F.lit(name)).otherwise(kind), F.when(full, made[name]).otherwise(text)
-    return _let(text, lambda t: F.struct(F.when(t.isNotNull(), kind).alias("kind"), F.coalesce(t, m).alias("text")))
+    return let(text, lambda t: F.struct(F.when(t.isNotNull(), kind).alias("kind"), F.coalesce(t, m).alias("text")))
 
 
 def pseudonymise(docs: DataFrame, key: str, text_column: str = "text") -> DataFrame:

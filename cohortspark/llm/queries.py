@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import decontamination, langid, line_dedup, mixing, pii, quality, simhash, topk, url_rules
+from cohortspark.llm import decontamination, langid, licences, line_dedup, mixing, pii, quality, simhash, topk, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, url_rules.rules_table(spark, URL_RULES))
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).drop("source", "k1", "k2")
 
@@ -63,7 +67,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_url_rules": op1_url_rules, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash,
+QUERIES = {"op1_url_rules": op1_url_rules, "op2_licences": op2_licences, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash,
            "op5_line_dedup": op5_line_dedup, "op6_decontamination": op6_decontamination,
            "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_language": op10_language}
 ORACLES: dict[str, str] = {
