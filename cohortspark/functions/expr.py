@@ -14,9 +14,6 @@ DIRECTION_POSITIVE = "positive_higher_target_severity"
 DIRECTION_NEGATIVE = "negative_lower_target_severity"
 DIRECTION_ZERO = "zero"
 DIRECTION_NONE = "not_estimable"
-# Differences smaller than half a unit of this decimal place count as zero: subtracting
-# sums and re-averaging differ by float noise, and a sign must not depend on which was done.
-SIGN_DECIMALS = 12
 
 
 def col(c) -> Column:
@@ -31,8 +28,8 @@ def normalize_symbol(c) -> Column:
 
 
 def symbol_in_parentheses(c) -> Column:
-    """``ENSG...(SYMBOL)`` -> ``SYMBOL``; anything else -> empty string."""
-    return F.upper(F.trim(F.regexp_extract(col(c), r"^ENSG[0-9]+[^(]*\(([^()]+)\)$", 1)))
+    """Text of a final ``(SYMBOL)``, trimmed and upper-case; no such text -> empty string."""
+    return F.upper(F.trim(F.regexp_extract(col(c), r"\(([^()]+)\)\s*$", 1)))
 
 
 def feature_id_prefix(c) -> Column:
@@ -121,7 +118,8 @@ def arm_label(group, comparison, target) -> Column:
 
 
 def effect_direction(effect) -> Column:
-    e = F.round(finite(effect), SIGN_DECIMALS)
+    """The exact sign of an effect; NULL and non-finite ones have none."""
+    e = finite(effect)
     return (F.when(e.isNull(), F.lit(DIRECTION_NONE))
             .when(e > 0, F.lit(DIRECTION_POSITIVE))
             .when(e < 0, F.lit(DIRECTION_NEGATIVE))

@@ -131,44 +131,66 @@ def threshold_flags(rows: DataFrame, keys: Sequence[str], condition: Column,
 
 
 def measured_members(features: DataFrame, sets: Mapping[str, Sequence[str]],
-                     set_name: str = "panel") -> DataFrame:
-    """(set, sorted measured symbols, duplicate feature rows); one row per set with a hit.
+                     set_name: str = "panel", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, set, sorted measured symbols, duplicate feature rows); one row per set with a hit.
 
-    ``features`` is the platform's feature table.  The result is bounded by the
-    configuration, whatever the size of the feature table.
+    ``features`` is the feature table of one platform, or of several told apart by ``keys``.  The
+    result is bounded by platforms and configuration, whatever the size of the feature tables.
     """
     members = feature_set_table(features.sparkSession, sets, set_name, "symbol")
-    per_symbol = (features.groupBy("symbol").agg(F.count_distinct("feature_id").alias("_ids"))
+    per_symbol = (features.groupBy(*keys, "symbol").agg(F.count_distinct("feature_id").alias("_ids"))
                   .join(members, "symbol"))
-    return per_symbol.groupBy(set_name).agg(
+    return per_symbol.groupBy(*keys, set_name).agg(
         F.array_sort(F.collect_list("symbol")).alias("measured"),
         F.sum(F.col("_ids") - 1).alias("duplicate_feature_rows"))
 
 
-def measured_map(features: DataFrame, sets: Mapping[str, Sequence[str]]) -> Column:
-    """set -> number of measured symbols as one scalar subquery (lazy; bounded by the
-    configuration)."""
-    table = measured_members(features, sets, "_set").select("_set", F.size("measured").alias("_n"))
-    return table.agg(F.map_from_entries(F.collect_list(F.struct("_set", "_n")))).scalar()
+def with_measured(rows: DataFrame, features: DataFrame, sets: Mapping[str, Sequence[str]],
+                  keys: Sequence[str] = ()) -> DataFrame:
+    """Add ``_measured``: set -> symbols that the row's platform measures.
+
+    With ``keys`` (columns of both sides) each row meets the feature table of its own library or
+    platform by an equi join with one small row per platform; a platform without any configured
+    symbol leaves NULL.  Without keys all rows share one table, read as a scalar subquery.
+    """
+    table = measured_members(features, sets, "_set", keys)
+    entries = F.map_from_entries(F.collect_list(F.struct("_set", "measured"))).alias("_measured")
+    if not keys:
+        return rows.withColumn("_measured", table.agg(entries).scalar())
+    return rows.join(table.groupBy(*keys).agg(entries), list(keys), "left")
+
+
+def measured_size(name: str) -> str:
+    """SQL text: measured symbols of a set in ``_measured``."""
+    return f"coalesce(array_size(_measured['{name}']), 0)"
+
+
+def measured_sum(name: str, genes: Sequence[str], term: str) -> str:
+    """SQL text: sum of ``term`` over the measured genes of a set; ``{c}`` stands for a gene's count."""
+    return " + ".join(
+        f"CASE WHEN array_contains(_measured['{name}'], {text_literal(g.strip().upper())}) "
+        f"THEN {term.format(c=symbol_count(g))} ELSE 0 END" for g in genes)
+
+
+def text_literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def panel_columns(cells: DataFrame, features: DataFrame, panels: Mapping[str, Sequence[str]],
-                  denominator: str = "measured") -> DataFrame:
+                  denominator: str = "measured", feature_keys: Sequence[str] = ()) -> DataFrame:
     """Add ``<panel>_score`` and ``<panel>_detected_genes`` for every panel.
 
-    ``denominator``: ``measured`` divides by the panel's measured symbols, ``configured`` by
-    all configured ones.  A panel without measured symbols scores 0.  An unmeasured symbol
-    has no count and adds log1p(0) = 0, so the sums run over the configured symbols.
+    ``denominator``: ``measured`` divides by the symbols of the panel that the cell's own platform
+    measures (``feature_keys`` name its columns), ``configured`` by all configured ones.  Only
+    measured symbols count; a panel without any scores 0.
     """
-    with_sizes = cells.withColumn("_measured", measured_map(features, panels))
     added = {}
     for panel, genes in panels.items():
-        counts = [symbol_count(g) for g in genes]
-        total = " + ".join(f"log1p(1e6D * {c} / greatest(total_umi, 1))" for c in counts)
-        size = f"coalesce(_measured['{panel}'], 0)" if denominator == "measured" else str(len(genes))
+        total = measured_sum(panel, genes, "log1p(1e6D * {c} / greatest(total_umi, 1))")
+        size = measured_size(panel) if denominator == "measured" else str(len(genes))
         added[f"{panel}_score"] = F.expr(f"CASE WHEN {size} > 0 THEN ({total}) / {size} ELSE 0D END")
-        added[f"{panel}_detected_genes"] = F.expr(" + ".join(f"cast({c} > 0 AS bigint)" for c in counts))
-    return evaluate_once(with_sizes, added).drop("_measured")
+        added[f"{panel}_detected_genes"] = F.expr(measured_sum(panel, genes, "cast({c} > 0 AS bigint)"))
+    return evaluate_once(with_measured(cells, features, panels, feature_keys), added).drop("_measured")
 
 
 def panel_rows(cells: DataFrame, panels: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -229,17 +251,13 @@ def label_counts(cells: DataFrame, keys: Sequence[str], labels: Sequence[str]) -
         *[F.count_if(F.col("annotation_label") == name).alias(name) for name in labels])
 
 
-def panel_coverage(profiles: DataFrame, panels: Mapping[str, Sequence[str]], keys: Sequence[str]) -> DataFrame:
+def panel_coverage(features: DataFrame, panels: Mapping[str, Sequence[str]], keys: Sequence[str]) -> DataFrame:
     """Configured and measured symbols per (keys, panel); unmeasured panels appear with 0.
 
-    ``profiles`` has the keys and ``counts``; a symbol is measured where any count exists.
+    A symbol is measured if the feature table of ``keys`` lists it, whether or not it has counts.
     """
-    names = [quoted(s) for s in configured_symbols(panels)]
-    seen = profiles.groupBy(*keys).agg(F.expr(
-        "struct(" + ", ".join(f"count(counts.{n}) AS {n}" for n in names) + ") AS _seen"))
-    rows = ", ".join(
-        f"struct('{p}' AS panel, {len(genes)}L AS configured_genes, "
-        + " + ".join(f"cast(_seen.{quoted(g.strip().upper())} > 0 AS bigint)" for g in genes) + " AS measured_genes)"
-        for p, genes in panels.items())
-    return seen.select(*keys, F.expr(f"inline(array({rows}))")).withColumn(
+    platforms = features.select(*keys).distinct()
+    rows = ", ".join(f"struct('{p}' AS panel, {len(genes)}L AS configured_genes, cast({measured_size(p)} AS bigint) AS measured_genes)"
+                     for p, genes in panels.items())
+    return with_measured(platforms, features, panels, keys).select(*keys, F.expr(f"inline(array({rows}))")).withColumn(
         "measured_fraction", F.col("measured_genes") / F.col("configured_genes"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions.config import literal_array
-from .cells import measured_members, quoted, symbol_count
+from .cells import measured_size, measured_sum, quoted, symbol_count, with_measured
 
 MIN_MAPPED_FRACTION = 0.80
 SCORE_AVAILABLE = "score_available"
@@ -46,14 +46,17 @@ def mapping_audit(features: DataFrame, modules: Mapping[str, Sequence[str]],
     """Configured and mapped genes per (keys, module) with the coverage gate.
 
     ``features`` has the keys, ``feature_id`` and ``symbol``.  Symbols outside the
-    configuration are dropped before the first shuffle.
+    configuration fold into one row per key before the first shuffle, so a library that lists
+    no configured symbol still gets its failing rows.
     """
     keys = list(keys)
     symbols = sorted({g.strip().upper() for genes in modules.values() for g in genes})
-    ids = (features.where(F.col("symbol").isin(symbols)).select(*keys, "symbol", "feature_id").distinct()
+    wanted = F.col("symbol").isin(symbols)
+    ids = (features.select(*keys, F.when(wanted, F.col("symbol")).alias("symbol"),
+                           F.when(wanted, F.col("feature_id")).alias("feature_id")).distinct()
            .groupBy(*keys, "symbol").agg((F.count(F.lit(1)) - 1).alias("_extra")))
-    seen = ids.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("symbol", "_extra"))).alias("_ids"))
+    seen = ids.groupBy(*keys).agg(F.map_from_entries(F.collect_list(
+        F.when(F.col("symbol").isNotNull(), F.struct("symbol", "_extra")))).alias("_ids"))
     mapped = F.array_sort(F.filter("genes", lambda g: F.map_contains_key("_ids", g)))
     return (seen.select(*keys, "_ids", F.inline(_set_structs(modules)))
             .select(*keys, "module_id", F.size("genes").cast("long").alias("configured_genes"),
@@ -68,23 +71,22 @@ def mapping_audit(features: DataFrame, modules: Mapping[str, Sequence[str]],
 
 
 def module_scores(libraries: DataFrame, features: DataFrame, modules: Mapping[str, Sequence[str]],
-                  keep: Sequence[str], minimum: float = MIN_MAPPED_FRACTION) -> DataFrame:
+                  keep: Sequence[str], minimum: float = MIN_MAPPED_FRACTION,
+                  feature_keys: Sequence[str] = ()) -> DataFrame:
     """Mean log1p(CPM) over mapped genes per (library, module), gated by coverage and total.
 
-    A configured gene without a feature has count 0 and adds log1p(0) = 0 to the sum; only
-    mapped genes count in the denominator.
+    A gene is mapped if the library's own feature table lists it: ``feature_keys`` name the columns,
+    shared by both tables, that tell platforms apart.  Only mapped genes count, in the sum and in
+    the denominator; a mapped gene without a count adds log1p(0) = 0.
     """
-    # At most one row per configured module, so the hint is bounded by the configuration.
-    measured = F.broadcast(measured_members(features, modules, "module_id").select(
-        "module_id", F.size("measured").alias("_mapped")))
     total = F.col("total_umi_included_cells")
     sums = ", ".join(
-        f"struct('{m}' AS module_id, {len(genes)} AS _configured, "
-        + " + ".join(f"log1p(try_divide(1e6D * {symbol_count(g)}, total_umi_included_cells))" for g in genes) + " AS _sum)"
+        f"struct('{m}' AS module_id, {len(genes)} AS _configured, {measured_size(m)} AS _mapped, "
+        + measured_sum(m, genes, "log1p(try_divide(1e6D * {c}, total_umi_included_cells))") + " AS _sum)"
         for m, genes in modules.items())
-    rows = (libraries.select(*keep, "included_cells", "total_umi_included_cells", F.expr(f"inline(array({sums}))"))
-            .join(measured, "module_id", "left")
-            .withColumn("mapped_fraction", F.coalesce("_mapped", F.lit(0)) / F.col("_configured")))
+    rows = (with_measured(libraries, features, modules, feature_keys)
+            .select(*keep, "included_cells", "total_umi_included_cells", F.expr(f"inline(array({sums}))"))
+            .withColumn("mapped_fraction", F.col("_mapped") / F.col("_configured")))
     ready = (F.col("mapped_fraction") >= minimum) & (total > 0)
     return rows.select(
         *keep, "module_id", F.when(ready, F.col("_sum") / F.col("_mapped")).alias("module_score"),

@@ -21,16 +21,18 @@ def score_cells(triples: DataFrame, cells: DataFrame, features: DataFrame,
                 modules: Mapping[str, Sequence[str]], panels: Mapping[str, Sequence[str]],
                 qc: C.QcRule = C.QcRule(), labels: C.LabelRule = C.LabelRule(),
                 library: Sequence[str] = LIBRARY, cell: Sequence[str] = CELL,
-                retained: int = 30) -> dict[str, DataFrame]:
+                retained: int = 30, feature_keys: Sequence[str] = ()) -> dict[str, DataFrame]:
     """Triples to cell QC, labels, library ledger, mapping audit and module scores.
 
     ``cells`` lists every barcode with its library's ledger columns.  Libraries below
-    ``retained`` included cells keep their row and a failing status.
+    ``retained`` included cells keep their row and a failing status.  ``feature_keys`` are the
+    columns that tie a library to its feature table where ``features`` holds several platforms.
     """
     symbols = C.configured_symbols(modules, panels)
     measured = C.cell_metrics(cells, C.cell_profiles(triples, symbols, qc.mt_prefix, cell), qc, cell)
     measured = settle(measured)
-    annotated = C.label_cells(C.panel_columns(measured.where("qc_pass"), features, panels), "compartment", labels)
+    annotated = C.label_cells(C.panel_columns(
+        measured.where("qc_pass"), features, panels, feature_keys=feature_keys), "compartment", labels)
     libraries = settle(S.library_profiles(annotated.where("include"), library, symbols))
     return {
         "cell_qc": measured.drop("counts"),
@@ -38,8 +40,8 @@ def score_cells(triples: DataFrame, cells: DataFrame, features: DataFrame,
         "annotation": annotated.drop("counts"),
         "library_ledger": libraries.drop("counts").withColumn(
             "retained_cells_pass", F.col("included_cells") >= retained),
-        "mapping_audit": S.mapping_audit(features, modules),
-        "module_scores": S.module_scores(libraries, features, modules, list(library)),
+        "mapping_audit": S.mapping_audit(features, modules, feature_keys),
+        "module_scores": S.module_scores(libraries, features, modules, list(library), feature_keys=feature_keys),
     }
 
 

@@ -51,7 +51,7 @@ def donor_qc_flags(t: Tables):
 @query("panel_scores", """
 SELECT cell_id, panel, round(score, 6) AS score, detected_genes FROM v_panel_scores""")
 def panel_scores(t: Tables):
-    wide = C.panel_columns(t.cell_qc.where("qc_pass"), t.features, PANELS)
+    wide = C.panel_columns(t.cell_qc.where("qc_pass"), t.platforms, PANELS, feature_keys=["cohort_id"])
     return C.panel_rows(wide, list(PANELS), CELL).withColumns(r6("score"))
 
 
@@ -70,16 +70,14 @@ def label_counts(t: Tables):
 
 
 @query("panel_coverage", """
-SELECT l.library_id, p.panel, p.configured AS configured_genes, count(s.symbol) AS measured_genes,
-  round(1e0 * count(s.symbol) / p.configured, 6) AS measured_fraction
-FROM (SELECT DISTINCT library_id FROM v_triples JOIN v_cells USING (cell_id)) l
-CROSS JOIN (SELECT panel, gene, count(*) OVER (PARTITION BY panel) AS configured FROM v_panels) p
-LEFT JOIN (SELECT DISTINCT library_id, symbol FROM v_triples JOIN v_cells USING (cell_id)) s
-  ON s.library_id = l.library_id AND s.symbol = p.gene
-GROUP BY l.library_id, p.panel, p.configured""")
+SELECT l.library_id, p.panel, count(*) AS configured_genes, count(s.symbol) AS measured_genes,
+  round(1e0 * count(s.symbol) / count(*), 6) AS measured_fraction
+FROM (SELECT DISTINCT library_id, cohort_id FROM v_cells) l CROSS JOIN v_panels p
+LEFT JOIN (SELECT DISTINCT cohort_id, symbol FROM v_platform) s ON s.cohort_id = l.cohort_id AND s.symbol = p.gene
+GROUP BY l.library_id, p.panel""")
 def panel_coverage(t: Tables):
-    seen = t.profiles.join(t.cells.select("cell_id", "library_id"), "cell_id")
-    return C.panel_coverage(seen, PANELS, ["library_id"]).withColumns(r6("measured_fraction"))
+    coverage = C.panel_coverage(t.platforms, PANELS, ["cohort_id"]).withColumns(r6("measured_fraction"))
+    return t.cells.select("library_id", "cohort_id").distinct().join(coverage, "cohort_id").drop("cohort_id")
 
 
 @query("mapped_features", """
@@ -161,13 +159,12 @@ SELECT c.cohort_id, m.module_id, count(DISTINCT m.gene) AS configured_genes, cou
   CAST(coalesce(sum(s.n - 1), 0) AS BIGINT) AS duplicate_feature_rows,
   round(1e0 * count(DISTINCT s.symbol) / count(DISTINCT m.gene), 6) AS mapped_fraction,
   1e0 * count(DISTINCT s.symbol) / count(DISTINCT m.gene) >= 0.8e0 AS mapping_pass
-FROM (SELECT DISTINCT cohort_id FROM v_triples JOIN v_cells USING (cell_id)) c CROSS JOIN v_modules m
-LEFT JOIN (SELECT cohort_id, symbol, count(DISTINCT feature_id) AS n FROM v_triples JOIN v_cells USING (cell_id) GROUP BY ALL) s
+FROM (SELECT r_name AS cohort_id FROM region) c CROSS JOIN v_modules m
+LEFT JOIN (SELECT cohort_id, symbol, count(DISTINCT feature_id) AS n FROM v_platform GROUP BY ALL) s
   ON s.cohort_id = c.cohort_id AND s.symbol = m.gene
 GROUP BY c.cohort_id, m.module_id""")
 def mapping_audit(t: Tables):
-    features = t.triples.join(t.cells.select("cell_id", "cohort_id"), "cell_id")
-    return S.mapping_audit(features, MODULES, ["cohort_id"]).withColumns(r6("mapped_fraction"))
+    return S.mapping_audit(t.platforms, MODULES, ["cohort_id"]).withColumns(r6("mapped_fraction"))
 
 
 @query("module_scores", """

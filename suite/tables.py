@@ -82,6 +82,14 @@ class Tables:
         return self.part.select(F.col("p_partkey").alias("feature_id"),
                                 X.normalize_symbol("p_brand").alias("symbol"))
 
+    @cached_property
+    def platforms(self) -> DataFrame:
+        """Feature table of each cohort's platform: none lists all symbols, no two list the same."""
+        number = F.split_part("symbol", F.lit("#"), F.lit(2)).cast("int")
+        regions = self.region.select(F.col("r_name").alias("cohort_id"), "r_regionkey")
+        return (self.features.join(F.broadcast(regions), (number + F.col("r_regionkey")) % 7 != 0)  # five regions
+                .select("cohort_id", "feature_id", "symbol"))
+
     @cached_property
     def triples(self) -> DataFrame:
         entries = self.lineitem.select(F.col("l_orderkey").alias("cell_id"), F.col("l_partkey").alias("feature_id"),
@@ -116,7 +124,7 @@ class Tables:
     @cached_property
     def annotated(self) -> DataFrame:
         passing = self.cell_qc.where("qc_pass")
-        return C.label_cells(C.panel_columns(passing, self.features, PANELS), "compartment", LABELS)
+        return C.label_cells(C.panel_columns(passing, self.platforms, PANELS, feature_keys=["cohort_id"]), "compartment", LABELS)
 
     @cached_property
     def library_profiles(self) -> DataFrame:
@@ -124,7 +132,7 @@ class Tables:
 
     @cached_property
     def module_scores(self) -> DataFrame:
-        return S.module_scores(self.library_profiles, self.features, MODULES, LIBRARY)
+        return S.module_scores(self.library_profiles, self.platforms, MODULES, LIBRARY, feature_keys=["cohort_id"])
 
     @cached_property
     def spec(self) -> DataFrame:

@@ -16,6 +16,9 @@ view("v_modules", values([(m, i, g) for m, genes in MODULES.items() for i, g in
 view("v_panels", values([(p, g) for p, genes in PANELS.items() for g in genes], "panel, gene"))
 view("v_panel_names", "SELECT DISTINCT panel FROM v_panels")
 view("v_features", "SELECT p_partkey AS feature_id, upper(trim(p_brand)) AS symbol FROM part")
+view("v_platform", """
+    SELECT r_name AS cohort_id, feature_id, symbol FROM v_features CROSS JOIN region
+    WHERE (CAST(split_part(symbol, '#', 2) AS INTEGER) + r_regionkey) % 7 <> 0""")
 view("v_triples", """
     SELECT l_orderkey AS cell_id, l_partkey AS feature_id, symbol, CAST(l_quantity AS BIGINT) AS value
     FROM lineitem JOIN v_features ON feature_id = l_partkey""")
@@ -46,14 +49,14 @@ view("v_qc", """
           FROM v_metrics)""")
 view("v_cell_symbols", "SELECT cell_id, symbol, CAST(sum(value) AS BIGINT) AS n FROM v_triples GROUP BY ALL")
 view("v_panel_measured", """
-    SELECT panel, gene, count(*) OVER (PARTITION BY panel) AS n_measured
-    FROM v_panels WHERE gene IN (SELECT symbol FROM v_features)""")
+    SELECT cohort_id, panel, gene, count(*) OVER (PARTITION BY cohort_id, panel) AS n_measured
+    FROM v_panels JOIN (SELECT DISTINCT cohort_id, symbol FROM v_platform) ON gene = symbol""")
 view("v_panel_scores", """
     SELECT q.cell_id, p.panel,
            coalesce(sum(CASE WHEN s.n IS NOT NULL THEN ln(1e0 + 1e6 * s.n / greatest(q.total_umi, 1)) ELSE 0e0 END)
                     / max(p.n_measured), 0e0) AS score,
            count(*) FILTER (WHERE s.n > 0) AS detected_genes
-    FROM (SELECT cell_id, total_umi FROM v_qc WHERE qc_pass) q CROSS JOIN v_panel_measured p
+    FROM (SELECT cell_id, cohort_id, total_umi FROM v_qc WHERE qc_pass) q JOIN v_panel_measured p ON p.cohort_id = q.cohort_id
     LEFT JOIN v_cell_symbols s ON s.cell_id = q.cell_id AND s.symbol = p.gene
     GROUP BY q.cell_id, p.panel""")
 _pick = ",\n".join(
@@ -90,20 +93,22 @@ view("v_library_symbols", """
     SELECT l.library_id, s.symbol, CAST(sum(s.n) AS BIGINT) AS n
     FROM v_labels l JOIN v_cell_symbols s USING (cell_id) WHERE l.include GROUP BY ALL""")
 view("v_module_map", """
-    SELECT module_id, count(*) AS configured, count(*) FILTER (WHERE gene IN (SELECT symbol FROM v_features)) AS mapped
-    FROM v_modules GROUP BY module_id""")
+    SELECT r_name AS cohort_id, module_id, count(*) AS configured, count(symbol) AS mapped
+    FROM region CROSS JOIN v_modules
+    LEFT JOIN (SELECT DISTINCT cohort_id, symbol FROM v_platform) ON cohort_id = r_name AND symbol = gene
+    GROUP BY r_name, module_id""")
 view("v_scores", """
     SELECT l.*, m.module_id,
       CASE WHEN 1e0 * m.mapped / m.configured >= 0.8e0 AND l.total_umi_included_cells > 0 THEN s.score END AS module_score,
       CASE WHEN 1e0 * m.mapped / m.configured >= 0.8e0 AND l.total_umi_included_cells > 0
            THEN 'score_available' ELSE 'mapping_below_minimum_or_zero_library_umi' END AS score_status,
       1e0 * m.mapped / m.configured AS mapped_fraction
-    FROM v_libraries l CROSS JOIN v_module_map m
+    FROM v_libraries l JOIN v_module_map m ON m.cohort_id = l.cohort_id
     LEFT JOIN (SELECT l.library_id, g.module_id,
                  avg(ln(1e0 + 1e6 * coalesce(s.n, 0) / l.total_umi_included_cells)) AS score
                FROM v_libraries l CROSS JOIN v_modules g
                LEFT JOIN v_library_symbols s ON s.library_id = l.library_id AND s.symbol = g.gene
-               WHERE g.gene IN (SELECT symbol FROM v_features)
+               WHERE EXISTS (SELECT 1 FROM v_platform f WHERE f.cohort_id = l.cohort_id AND f.symbol = g.gene)
                GROUP BY ALL) s ON s.library_id = l.library_id AND s.module_id = m.module_id""")
 view("v_arms", f"""
     SELECT *, CASE severity_group WHEN '{COMPARISON}' THEN 'comparison' ELSE 'target' END AS contrast_arm
@@ -120,8 +125,8 @@ def moments(source: str, keys: str = "cohort_id, compartment, module_id") -> str
 
 
 def direction(e: str) -> str:
-    return (f"CASE WHEN {e} IS NULL THEN 'not_estimable' WHEN round({e}, 12) > 0 THEN 'positive_higher_target_severity' "
-            f"WHEN round({e}, 12) < 0 THEN 'negative_lower_target_severity' ELSE 'zero' END")
+    return (f"CASE WHEN {e} IS NULL THEN 'not_estimable' WHEN {e} > 0 THEN 'positive_higher_target_severity' "
+            f"WHEN {e} < 0 THEN 'negative_lower_target_severity' ELSE 'zero' END")
 
 
 def effects(source: str) -> str:
