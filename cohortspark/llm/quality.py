@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import row_keys
+from cohortspark.llm.common import cut, row_keys
 
 #: Labelled documents the model is fitted on at most, chosen by a hash of their id: the one bound of the fit.
 MAX_TRAINING = 4000
@@ -170,9 +170,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_column:
     """
     known = (labels.where(F.col(id_column).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id_column).alias("_id"))
              .agg(F.min(label).cast("double").alias("label")))
+    known = known.withColumn("h", F.xxhash64("_id"))
+    # The choice is made on ids alone; texts meet only the chosen ones, which are few by the bound.
+    ids = docs.select(F.col(id_column).alias("doc_id"))
+    few = cut(known.join(ids, F.col("_id") == F.col("doc_id"), "left_semi").orderBy("h", "_id").limit(bound))
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    chosen = texts.join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label").withColumn(
-        "h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "text").limit(bound)
+    chosen = texts.join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label", "h").orderBy(
+        "h", "doc_id", "text").limit(bound)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(batches), ignore_index=True)
