@@ -9,9 +9,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from cohortspark.llm.common import cut, row_keys
 
@@ -141,20 +141,21 @@ def _fit(frame: pd.DataFrame) -> bytes:
 _LOADED: dict[int, dict[str, np.ndarray]] = {}
 
 
-def _scores(model):
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = model.value
+def scorer(spark: SparkSession, model: bytes):
+    """A column function text -> calibrated probability of label 1, for empty and null texts too. Only texts go to Python."""
+    held = spark.sparkContext.broadcast(model)  # at most BUCKETS x DIM half-precision numbers
+
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        data = held.value
         if hash(data) not in _LOADED:
             _LOADED.clear()
             _LOADED[hash(data)] = dict(np.load(io.BytesIO(data)))
         p, buckets = _LOADED[hash(data)], _Buckets()
-        for batch in source:
-            x = np.stack([pooled(_tokens(t.as_py(), buckets), p["vectors"]) for t in batch.column("text")]
-                         or [np.zeros(DIM + 1)])[:batch.num_rows]
-            score = _sigmoid(_logits(x, p) / p["t"])
-            rest = batch.select([n for n in batch.schema.names if n != "text"])
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(score, pa.float64())], names=[*rest.schema.names, "score"])
-    return batches
+        for texts in batches:
+            x = np.stack([pooled(_tokens(t, buckets), p["vectors"]) for t in texts]) if len(texts) else np.zeros((0, DIM + 1))
+            yield pd.Series(_sigmoid(_logits(x, p) / p["t"]), dtype="float64")
+
+    return F.pandas_udf(scores, DoubleType())
 
 
 def crc_fold(identity: Column, folds: int) -> Column:
@@ -189,14 +190,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_column:
     return bytes(models[0][0])
 
 
-def score(docs: DataFrame, model: bytes, text_column: str = "text") -> DataFrame:
-    """``docs`` without its text column, with ``score``: the calibrated probability of label 1, for empty and null texts too."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS x DIM half-precision numbers
-    rows = docs.withColumnRenamed(text_column, "text") if text_column != "text" else docs
-    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "text")
-    return rows.mapInArrow(_scores(held), f"{fields}, score double" if fields else "score double")
-
-
 def judge_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                   folds: int = 4, held_fold: int = 2, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, k1, k2.
@@ -210,14 +203,12 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     k1, k2 = row_keys(id_column, text_column)
     rows = docs.select(
         F.col(id_column).alias("doc_id"), F.coalesce(crc_fold(F.col(id_column), folds) == held_fold, F.lit(False)).alias("held_out"),
-        k1.alias("k1"), k2.alias("k2"), F.col(text_column).alias("text"))
-    return score(rows, model).select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
-                                     "k1", "k2")
+        scorer(docs.sparkSession, model)(text_column).alias("score"), k1.alias("k1"), k2.alias("k2"))
+    return rows.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "k1", "k2")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows the classifier rejects, its columns unchanged."""
     model = train(docs, labels.where(crc_fold(F.col("doc_id"), 4) != 2))
-    scored = score(docs.select(*docs.columns, F.col("text").alias("_kept")), model)
-    return scored.where(F.col("score") >= threshold).select(
-        *[F.col("_kept").alias("text") if c == "text" else c for c in docs.columns])
+    scored = docs.withColumn("_score", scorer(docs.sparkSession, model)("text"))
+    return scored.where(F.col("_score") >= threshold).select(*docs.columns)
