@@ -46,6 +46,22 @@ def row_keys(*columns: str | Column) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), *parts, *nulls), F.xxhash64(F.lit(2), *nulls, *reversed(parts))
 
 
+def keyed(df: DataFrame, *columns: str) -> DataFrame:
+    """(_row, _k1, _k2): rows packed away with their keys over ``columns``, so that no column name can clash in a join."""
+    k1, k2 = row_keys(*columns)
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), k1.alias("_k1"), k2.alias("_k2"))
+
+
+def same_key(k1: str = "k1", k2: str = "k2") -> Column:
+    """Join condition of :func:`keyed` rows with columns ``k1`` and ``k2``."""
+    return (F.col("_k1") == F.col(k1)) & (F.col("_k2") == F.col(k2))
+
+
+def unpacked(df: DataFrame, *more: Column) -> DataFrame:
+    """The packed rows' columns again, and ``more``."""
+    return df.select(*[F.col(f"_row.`{c}`").alias(c) for c in df.schema["_row"].dataType.names], *more)
+
+
 def lower_ascii(text: str | Column) -> Column:
     """Lower-case A-Z and leave all other letters as they are."""
     return F.translate(text, UPPER, LOWER)

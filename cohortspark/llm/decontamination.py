@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import LOWER, UPPER, cut, hash_filter, passes, row_keys
+from cohortspark.llm.common import LOWER, UPPER, cut, hash_filter, keyed, passes, row_keys, same_key, unpacked
 
 WINDOW, SHINGLE = 10, 3
 #: A word is a run of digits, letters and non-ASCII characters; A-Z are lowered afterwards, word by word.
@@ -107,6 +107,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows in which a benchmark window occurs, its columns unchanged."""
     bad = contamination(docs, benchmark).where("contaminated").select("k1", "k2").distinct()
-    k1, k2 = row_keys("doc_id", "text")
-    rows = docs.withColumns({"_k1": k1, "_k2": k2})
-    return rows.join(bad, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left_anti").select(*docs.columns)
+    return unpacked(keyed(docs, "doc_id", "text").join(bad, same_key(), "left_anti"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from cohortspark.llm.common import broadcast_if_small, cut, linked_groups, row_keys
+from cohortspark.llm.common import broadcast_if_small, cut, keyed, linked_groups, row_keys, same_key
 
 SHINGLE, SIMILARITY, MIN_WORDS = 8, 0.8, 3
 #: At Jaccard 0.8 a band of 4 agrees with probability 0.41, one of 10 with 0.995; at 0.9 one of 10 with 0.99998.
@@ -334,12 +334,9 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     columns pass unchanged; null texts stay null, a text of only repeated lines becomes empty. Fully
     repeated rows are one document: each keeps the same lines.
     """
-    gone = cut(repeated_lines(docs, id_column, text_column, similarity, min_words).select(
-        F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("gone").alias("_gone")))
-    k1, k2 = row_keys(id_column, text_column)
-    joined = docs.withColumns({"_a1": k1, "_a2": k2}).join(
-        broadcast_if_small(gone, F.size("_gone") + 4), (F.col("_a1") == F.col("_k1")) & (F.col("_a2") == F.col("_k2")), "left")
-    kept = F.when(F.col("_gone").isNull(), F.col(text_column)).otherwise(
-        _without(F.when(F.col("_gone").isNotNull(), F.col(text_column)), "_gone"))
-    return joined.select(*[kept.alias(c) if c == text_column else docs[c] for c in docs.columns],
-                         F.coalesce(F.size("_gone"), F.lit(0)).alias("_removed"))
+    gone = cut(repeated_lines(docs, id_column, text_column, similarity, min_words))
+    joined = keyed(docs, id_column, text_column).join(broadcast_if_small(gone, F.size("gone") + 4), same_key(), "left")
+    text = F.col(f"_row.`{text_column}`")
+    kept = F.when(F.col("gone").isNull(), text).otherwise(_without(F.when(F.col("gone").isNotNull(), text), "gone"))
+    return joined.select(*[(kept if c == text_column else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns],
+                         F.coalesce(F.size("gone"), F.lit(0)).alias("_removed"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import cut, range_parts, row_keys, running_sum
+from cohortspark.llm.common import cut, keyed, range_parts, row_keys, running_sum, same_key, unpacked
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order, repeating.
@@ -96,9 +96,6 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Rows of equal id and text count once; documents of which nothing is taken go.
     """
-    k1, k2 = row_keys("doc_id", "text")
-    rows = docs.withColumns({"_k1": k1, "_k2": k2}).dropDuplicates(["_k1", "_k2"])
-    mix = mix_sources(rows).where("taken > 0").select(
-        "k1", "k2", F.col("size").alias("_size"), F.col("target").alias("_target"), F.col("taken").alias("_taken"))
-    joined = rows.join(mix, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")))
-    return joined.select(*docs.columns, "_size", "_target", "_taken")
+    rows = keyed(docs, "doc_id", "text").dropDuplicates(["_k1", "_k2"])
+    mix = mix_sources(unpacked(rows)).where("taken > 0").select("k1", "k2", "size", "target", "taken")
+    return unpacked(rows.join(mix, same_key()), *[F.col(c).alias(f"_{c}") for c in ("size", "target", "taken")])

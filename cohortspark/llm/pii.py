@@ -157,13 +157,13 @@ def pseudonymise(docs: DataFrame, key: str, text_column: str = "text") -> DataFr
 
     The key is a plan constant: keep plans and event logs where the key may be.
     """
-    text = F.col(text_column)
-    rows = docs.withColumn("_found", F.when(text.rlike("[0-9@]|[a-fA-F]{32}"), F.transform(
-        F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: pseudonym(m, key))))
-    between = F.split(text, PATTERN, -1)
-    joined = F.concat_ws("", F.flatten(F.transform(between, lambda s, i: F.array(
+    text = F.col(f"_row.`{text_column}`")
+    found = F.when(text.rlike("[0-9@]|[a-fA-F]{32}"), F.transform(
+        F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: pseudonym(m, key)))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).withColumn("_found", found)
+    joined = F.concat_ws("", F.flatten(F.transform(F.split(text, PATTERN, -1), lambda s, i: F.array(
         s, F.coalesce(F.get(F.col("_found.text"), i), F.lit(""))))))
+    new = F.when(F.size("_found") > 0, joined).otherwise(text)
     none = F.array().cast("array<string>")
-    return rows.select(
-        *[(F.when(F.size("_found") > 0, joined).otherwise(text).alias(c) if c == text_column else F.col(c)) for c in docs.columns],
-        F.coalesce(F.filter(F.col("_found.kind"), lambda k: k.isNotNull()), none).alias("_kinds"))
+    return rows.select(*[(new if c == text_column else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns],
+                       F.coalesce(F.filter(F.col("_found.kind"), lambda k: k.isNotNull()), none).alias("_kinds"))

@@ -210,5 +210,4 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows the classifier rejects, its columns unchanged."""
     model = train(docs, labels.where(crc_fold(F.col("doc_id"), 4) != 2))
-    scored = docs.withColumn("_score", scorer(docs.sparkSession, model)("text"))
-    return scored.where(F.col("_score") >= threshold).select(*docs.columns)
+    return docs.where(scorer(docs.sparkSession, model)("text") >= threshold)

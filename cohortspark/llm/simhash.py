@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import cut, linked_groups, row_keys
+from cohortspark.llm.common import cut, keyed, linked_groups, row_keys, same_key, unpacked
 
 SEED, SEGMENTS, WIDTH, DISTANCE = 42, 4, 16, 3
 #: Shingles whose bits are counted at a time, so a very long text needs no more memory.
@@ -117,6 +117,5 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each near-duplicate component, its columns unchanged."""
     kept = near_duplicates(docs).where("stays").select("k1", "k2").distinct()
-    k1, k2 = row_keys("doc_id", "text")
-    rows = docs.withColumns({"_k1": k1, "_k2": k2}).join(kept, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")))
-    return rows.dropDuplicates(["_k1", "_k2"]).select(*[docs[c] for c in docs.columns])
+    rows = keyed(docs, "doc_id", "text").join(kept, same_key())
+    return unpacked(rows.dropDuplicates(["_k1", "_k2"]))
