@@ -1,4 +1,4 @@
-"""Helpers the operators share: lineage cuts, row keys, range-sorted parts, connected components."""
+"""Helpers the operators share: lineage cuts, row keys, broadcasts, filters, range-sorted parts."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows, or elements of their arrays, that may be broadcast (40 MB or less); larger sides are shuffled.
-BROADCAST_ROWS = 500_000
+#: Numbers (values of rows, or elements of their arrays) that may be broadcast, 64 MB or less; larger sides are shuffled.
+BROADCAST_NUMBERS = 2_000_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -33,9 +33,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, weight: Column | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of a checkpointed ``df`` of few narrow columns only if its rows, or the sum of ``weight``, are in ``limit``."""
-    size = df.agg(F.coalesce(F.sum(F.lit(1) if weight is None else weight), F.lit(0))).first()[0]
+def broadcast_if_small(df: DataFrame, weight: Column | None = None, limit: int = BROADCAST_NUMBERS) -> DataFrame:
+    """Hint a broadcast of a checkpointed ``df`` only if its rows times columns, or the sum of ``weight``, are in ``limit``."""
+    numbers = F.lit(len(df.columns)) if weight is None else weight
+    size = df.agg(F.coalesce(F.sum(numbers), F.lit(0))).first()[0]
     return F.broadcast(df) if size <= limit else df
 
 
@@ -125,74 +126,3 @@ def running_sum(parts: DataFrame, group: str, order: list[str], value: str, out:
         totals.alias("t"), (F.col("r._part") == F.col("t._part")) & F.col(f"r.{group}").eqNullSafe(F.col("t._group")))
     return joined.select(*[F.col(f"r.{c}") for c in parts.columns if c != "_part"],
                          (F.col(f"r.{out}") + F.col("t._before")).alias(out))
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
-
-
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """Connected components of undirected ``edges`` (u, v): rows (id, component), component the least id.
-
-    Alternates large-star and small-star steps; a step is two aggregates and two equi joins, and its
-    edges never outnumber those of the step before. Nodes without an edge do not appear.
-    """
-    edges = cut(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    state = _state(edges)
-    if not state[0]:
-        return edges.select(F.col("v").alias("id"), F.col("u").alias("component"))
-    for _ in range(rounds):
-        both = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).union(edges.select("v", "u"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = (both.join(least, "a").where("b > a and b <> m").select(F.col("m").alias("u"), F.col("b").alias("v"))
-                 .distinct())
-        lowest = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = (large.join(lowest, "v").where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))
-                 .union(lowest.select("m", "v")).distinct())
-        edges = cut(small)
-        before, state = state, _state(edges)
-        if state == before:
-            nodes = edges.select(F.col("v").alias("id"), F.col("u").alias("component"))
-            return nodes.union(edges.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct())
-    raise RuntimeError(f"no fixed point after {rounds} rounds")
-
-
-def linked_groups(members: DataFrame, verify, compare=None) -> DataFrame:
-    """Components of the ids that share a bucket and pass ``verify``: rows (id, component) of linked ids.
-
-    members: (key, id, base); a pair is a candidate if it shares a key and one of the two has base = true.
-    verify: takes distinct candidate pairs (u, v) and returns those that are links.
-    compare: takes what is left, (key, id, base, component, star, c0) of the buckets with several
-    components, star the bucket's pivot and c0 that one's component, and returns links (u, v) across components.
-
-    A bucket is first tried as a star around its least base id, so a bucket of copies costs one
-    candidate per member. Only buckets whose members are then still in different components are
-    compared further, and only across components: no link is lost and no group of copies is squared.
-    """
-    # Every key with two ids at least; buckets of two need no join back.
-    buckets = members.groupBy("key").agg(
-        F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(F.when(F.col("base"), F.col("id"))).alias("star"),
-        F.count("*").alias("n")).where("lo <> hi and star is not null")
-    buckets = cut(buckets)
-    pairs = buckets.where("n = 2").select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-    crowded = broadcast_if_small(cut(buckets.where("n > 2").select("key", "star")))
-    within = cut(members.join(crowded, "key"))
-    stars = within.where("id <> star").select(F.least("id", "star").alias("u"), F.greatest("id", "star").alias("v"))
-    first = components(verify(pairs.union(stars).distinct()))
-    placed = within.join(first, "id", "left").select(
-        "key", "id", "base", "star", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(
-        F.min("component").alias("c"), F.max("component").alias("c1"),
-        F.min(F.when(F.col("id") == F.col("star"), F.col("component"))).alias("c0")).where("c <> c1")
-    placed = placed.join(mixed.select("key", "c0"), "key")
-    rest = (compare or _across(verify))(placed)
-    return components(first.select(F.col("component").alias("u"), F.col("id").alias("v")).union(rest.select("u", "v")))
-
-
-def _across(verify):
-    def compare(placed: DataFrame) -> DataFrame:
-        a = placed.where("base").select("key", F.col("id").alias("ida"), F.col("component").alias("ca"))
-        b = placed.select("key", F.col("id").alias("idb"), F.col("component").alias("cb"), F.col("base").alias("bb"))
-        rest = a.join(b, (a["key"] == b["key"]) & (F.col("ca") != F.col("cb")) & (~F.col("bb") | (F.col("ida") < F.col("idb"))))
-        return verify(rest.select(F.least("ida", "idb").alias("u"), F.greatest("ida", "idb").alias("v")).distinct())
-    return compare

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from cohortspark.llm.common import broadcast_if_small, cut, keyed, linked_groups, row_keys, same_key
+from cohortspark.llm.common import broadcast_if_small, cut, keyed, row_keys, same_key
+from cohortspark.llm.graph import linked_groups
 
 SHINGLE, SIMILARITY, MIN_WORDS = 8, 0.8, 3
 #: At Jaccard 0.8 a band of 4 agrees with probability 0.41, one of 10 with 0.995; at 0.9 one of 10 with 0.99998.

@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import cut, keyed, linked_groups, row_keys, same_key, unpacked
+from cohortspark.llm.common import cut, keyed, row_keys, same_key, unpacked
+from cohortspark.llm.graph import linked_groups
 
 SEED, SEGMENTS, WIDTH, DISTANCE = 42, 4, 16, 3
 #: Shingles whose bits are counted at a time, so a very long text needs no more memory.
