@@ -1,41 +1,37 @@
 """Intermediate results: written once for several readers, computed once per row.
 
-The table goes to the shared folder named by ``spark.checkpoint.dir``, so it survives the
-loss of executors and the branches do not recompute the scan behind it.  Read back as
-Parquet it keeps column pruning and gives the optimizer real sizes.
+A settled table is a reliable checkpoint in the folder named by ``spark.checkpoint.dir``: it
+survives the loss of executors, branches do not recompute the scan behind it, and Spark's
+cleaner removes it when nothing refers to it any more.
 """
 
 from __future__ import annotations
 
+import os
 import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The configured folder; a fresh temporary one in local mode; None on a cluster without one."""
-    folder = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set(_KEY, folder)
-    return folder
-
-
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` materialised as a table in the shared folder; ``df`` itself if there is none."""
-    folder = shared_folder(df.sparkSession)
-    if folder is None:
-        return df
-    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` checkpointed in the session's shared folder.
+
+    The folder is read from the session.  A local session without one gets a temporary folder; on a
+    cluster its absence is an error, since no other folder is shared.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get(_KEY, None) or context.getConf().get(_KEY)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError(f"set {_KEY} to a folder that all executors share")
+            folder = os.path.join(tempfile.gettempdir(), "settled")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def evaluate_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

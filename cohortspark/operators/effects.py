@@ -303,20 +303,24 @@ def donor_bootstrap_parity(arms: DataFrame, order: str, keys: Sequence[str] = tu
 # ---------------------------------------------------------------- leave one out
 
 def leave_one_out(arms: DataFrame, keys: Sequence[str] = tuple(CONTRAST)) -> DataFrame:
-    """Effect without each donor, by subtracting it from its arm's sum: linear in the rows."""
+    """Effect without each donor, by subtracting its rows from its arm's sum: linear in the rows.
+
+    A donor on several rows of an arm is one exclusion that removes them all.
+    """
     keys = list(keys)
     arms = settle(arms.select(*keys, "donor_id", "contrast_arm", "module_score"))
     full = mean_difference(contrast_moments(arms, keys)).select(
         *keys, "comparison_n", "target_n", "comparison_sum", "target_sum",
         F.col("effect_direction").alias("full_effect_direction"))
-    rows = arms.select(*keys, F.col("donor_id").alias("excluded_donor_id"),
-                       F.col("contrast_arm").alias("excluded_arm"), "module_score").join(full, keys)
+    rows = arms.groupBy(*keys, F.col("donor_id").alias("excluded_donor_id"),
+                        F.col("contrast_arm").alias("excluded_arm")).agg(
+        F.sum("module_score").alias("_sum"), F.count("module_score").alias("_rows")).join(full, keys)
     remaining = {}
     for arm in ("comparison", "target"):
-        mine = (F.col("excluded_arm") == arm).cast("long")
+        mine = F.when(F.col("excluded_arm") == arm, F.col("_rows")).otherwise(F.lit(0))
         remaining[f"remaining_{arm}_n"] = F.col(f"{arm}_n") - mine
         remaining[f"_{arm}_sum"] = F.col(f"{arm}_sum") - F.when(
-            F.col("excluded_arm") == arm, F.col("module_score")).otherwise(F.lit(0.0))
+            F.col("excluded_arm") == arm, F.col("_sum")).otherwise(F.lit(0.0))
     rows = rows.withColumns(remaining)
     nt, nc = F.col("remaining_target_n"), F.col("remaining_comparison_n")
     empty = (nt == 0) | (nc == 0)

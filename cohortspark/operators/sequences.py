@@ -57,13 +57,15 @@ def multi_pattern_search(texts: DataFrame, patterns: DataFrame, text_id: str, te
 
     # Chunk c covers blocks starting in [c*chunk, (c+1)*chunk); it carries enough text on both
     # sides to verify any pattern whose aligned block starts there.
-    base = (spread_scan(texts.select(F.col(text_id).alias("_id"), F.col(text).alias("_text")))
-            .select("_id", "_text", F.explode(F.sequence(
-                F.lit(0), F.floor((F.greatest(F.length("_text"), F.lit(1)) - 1) / F.lit(chunk)).cast("int"))).alias("_chunk"))
-            .withColumn("_left", F.greatest(F.col("_chunk") * chunk - F.lit(reach), F.lit(0))))
-    piece = base.select("_id", "_chunk", "_left", F.length("_text").alias("_len"), F.substring(
-        "_text", F.col("_left") + 1,
-        F.col("_chunk") * chunk - F.col("_left") + F.lit(chunk + reach + max(used))).alias("_piece"))
+    # One pass cuts a text into its chunks; the overlaps come from the neighbouring chunks.
+    cut = (spread_scan(texts.select(F.col(text_id).alias("_id"), F.col(text).alias("_text")))
+           .select("_id", F.length("_text").alias("_len"),
+                   F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("_chunks")))
+    piece = (cut.select("_id", "_len", "_chunks", F.posexplode("_chunks").alias("_chunk", "_own"))
+             .withColumn("_before", F.coalesce(F.right(F.get("_chunks", F.col("_chunk") - 1), F.lit(reach)), F.lit("")))
+             .select("_id", "_chunk", "_len", (F.col("_chunk") * chunk - F.length("_before")).alias("_left"), F.concat(
+                 "_before", "_own", F.coalesce(F.left(F.get("_chunks", F.col("_chunk") + 1), F.lit(reach + max(used))), F.lit("")))
+                 .alias("_piece")))
     lengths = F.array(*[F.lit(s) for s in used])
     first = F.col("_chunk") * chunk
     last = F.least(first + F.lit(chunk), F.col("_len")) - F.col("_s")

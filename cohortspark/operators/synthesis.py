@@ -128,18 +128,17 @@ def collect_studies(studies: DataFrame, keys: Sequence[str], effect: str, varian
                     study: str = "cohort_id", max_studies: int = MAX_STUDIES) -> DataFrame:
     """One row per group with its studies as an ordered array.
 
-    A group of more than ``max_studies`` studies fails the job rather than being held in one
-    row; ``random_effects`` sends such groups to ``random_effects_large`` beforehand.
+    Only the leave-one-out fit needs a group's studies together: every fit reads all of them.  A
+    group of more than ``max_studies`` fails the job rather than being held in one row.
     """
     counted = studies.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    checked = counted.withColumn("_size", F.when(
-        F.col("_size") > max_studies, F.raise_error(F.lit("group exceeds the bound on studies")).cast("long"))
-        .otherwise(F.col("_size")))
-    return (studies.join(checked, list(keys))
+    # The check sits in a value that the array needs, so it cannot be pruned away.
+    effect = F.when(F.col("_size") > max_studies, F.raise_error(F.lit("group exceeds the bound on studies")).cast("double")
+                    ).otherwise(F.col(effect).cast("double"))
+    return (studies.join(counted, list(keys))
             .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
-                F.col(study).alias("id"), F.col(effect).cast("double").alias("y"),
-                F.col(variance).cast("double").alias("v")))).alias("studies"),
-                F.max("_size").alias("_size")).drop("_size"))
+                F.col(study).alias("id"), effect.alias("y"),
+                F.col(variance).cast("double").alias("v")))).alias("studies")))
 
 
 def fit_groups(groups: DataFrame, method: Column) -> DataFrame:
@@ -195,25 +194,26 @@ def _results(rows: DataFrame) -> DataFrame:
     }).drop("_center", "_s", "_f", "_se", "_typical", "_critical")
 
 
-GRID = 64
-GRID_PASSES = 10
+GRID = 1_000
+GRID_PASSES = 5
 
 
-def random_effects_large(studies: DataFrame, keys: Sequence[str], effect: str = "smdh",
-                         variance: str = "smdh_variance", method: Column | str = "REML") -> DataFrame:
-    """The pooled model for groups too large for one row; study rows are never collected.
+def random_effects(studies: DataFrame, keys: Sequence[str], effect: str = "smdh",
+                   variance: str = "smdh_variance", method: Column | str = "REML") -> DataFrame:
+    """The pooled model per group, of any size; study rows are never collected.
 
-    The bracket of τ² is narrowed by passes over the rows: a pass evaluates the estimating
-    function at 64 points per group with map-side combined sums, so the shuffle carries 64
-    rows per group and task.  Ten passes reach double precision.
+    ``method`` may be a Column of the keys.  The bracket of τ² is narrowed by passes over the
+    rows: a pass evaluates the estimating function at GRID points per group with map-side combined
+    sums, so the shuffle carries GRID rows per group and task.  Five passes reach double precision.
     """
     keys = list(keys)
     how = F.lit(method) if isinstance(method, str) else method
     raw = studies.select(*keys, F.col(effect).cast("double").alias("y"), F.col(variance).cast("double").alias("v"))
     facts = raw.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("k"), F.avg("y").alias("_center"), F.var_samp("y").alias("_var"),
-        F.max("v").alias("_vmax")).where(F.col("k") >= 2)
-    bracket = settle(facts.select(*keys, "k", "_center", F.lit(0.0).alias("_low"),
+        F.max("v").alias("_vmax"))
+    facts = settle(facts)
+    bracket = settle(facts.where(F.col("k") >= 2).select(*keys, "k", "_center", F.lit(0.0).alias("_low"),
                                   F.greatest("_vmax", 2 * F.col("_var")).alias("_high")))
 
     def sums(points: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -234,35 +234,16 @@ def random_effects_large(studies: DataFrame, keys: Sequence[str], effect: str =
         scored = sums(grid, ["k", "_center", "_low", "_high", "_t"]).withColumn("_positive", score() > 0)
         first_down = scored.groupBy(*keys, "k", "_center", "_low", "_high").agg(
             F.coalesce(F.min(F.when(~F.col("_positive"), F.col("_t"))), F.col("_high")).alias("_new_high"),
-            F.collect_list(F.when(F.col("_positive"), F.col("_t"))).alias("_ups"))  # at most 64 values
+            F.collect_list(F.when(F.col("_positive"), F.col("_t"))).alias("_ups"))  # at most GRID values
         below = F.array_max(F.filter("_ups", lambda t: t < F.col("_new_high")))
         bracket = settle(first_down.select(*keys, "k", "_center", F.coalesce(below, "_low").alias("_low"),
                                            F.col("_new_high").alias("_high")))
     root = bracket.join(at_zero.select(*keys, "_zero"), keys).select(
         *keys, "k", "_center", F.when(F.col("_zero"), F.lit(0.0)).otherwise(
             (F.col("_low") + F.col("_high")) / 2).alias("_t"))
-    final = sums(root, ["k", "_center", "_t"]).select(
-        *keys, "k", "_center", F.col("_t").alias("tau_squared"), F.struct(*SUMS).alias("_s"))
-    return _results(final.join(at_zero.select(*keys, F.struct(*SUMS).alias("_f")), keys))
-
-
-def random_effects(studies: DataFrame, keys: Sequence[str], effect: str = "smdh",
-                   variance: str = "smdh_variance", method: Column | str = "REML",
-                   study: str = "cohort_id", max_studies: int = MAX_STUDIES) -> DataFrame:
-    """Pooled model per group; ``method`` may be a Column of the keys.
-
-    Groups up to ``max_studies`` studies are fitted as one row each; larger ones (looked for
-    first) are fitted by passes over their rows.
-    """
-    how = F.lit(method) if isinstance(method, str) else method
-    size = studies.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    large = size.where(F.col("_n") > max_studies).select(*keys)
-    if large.isEmpty():
-        return fit_groups(collect_studies(studies, keys, effect, variance, study, max_studies), how)
-    small = fit_groups(collect_studies(studies.join(large, list(keys), "left_anti"), keys, effect, variance,
-                                       study, max_studies), how)
-    return small.unionByName(random_effects_large(
-        studies.join(large, list(keys), "left_semi"), keys, effect, variance, how))
+    final = sums(root, ["k", "_center", "_t"]).select(*keys, F.col("_t").alias("tau_squared"), F.struct(*SUMS).alias("_s"))
+    found = final.join(at_zero.select(*keys, F.struct(*SUMS).alias("_f")), keys)
+    return _results(facts.select(*keys, "k", "_center").join(found, keys, "left"))
 
 
 def leave_one_study_out(studies: DataFrame, keys: Sequence[str], effect: str = "smdh",
@@ -286,7 +267,7 @@ def model_sensitivity(studies: DataFrame, keys: Sequence[str],
                                   F.col(e).alias("_y"), F.col(v).alias("_v"))
                          for name, (e, v, method) in models.items()])
     rows = studies.select(*keys, study, F.inline(variants))
-    return random_effects(rows, [*keys, "model", "tau_method"], "_y", "_v", F.col("tau_method"), study)
+    return random_effects(rows, [*keys, "model", "tau_method"], "_y", "_v", F.col("tau_method"))
 
 
 def scenario_synthesis(studies: DataFrame, keys: Sequence[str], scenarios: Mapping[str, Sequence[str]],
@@ -297,7 +278,7 @@ def scenario_synthesis(studies: DataFrame, keys: Sequence[str], scenarios: Mappi
                                F.lit(len(ids)).cast("long").alias("expected_k")) for n, ids in scenarios.items()])
     rows = (studies.select(*keys, study, effect, variance, F.inline(table))
             .where(F.array_contains("_ids", F.col(study))))
-    return (random_effects(rows, [*keys, "scenario", "expected_k"], effect, variance, method, study)
+    return (random_effects(rows, [*keys, "scenario", "expected_k"], effect, variance, method)
             .withColumn("complete", F.col("k") == F.col("expected_k")))
 
 

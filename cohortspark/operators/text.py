@@ -13,8 +13,9 @@ from ..functions.scans import carry_forward, running_sum
 
 # Patterns of machine paths and credentials that a release must not contain.
 RELEASE_PATTERNS = {
-    "windows_path": r"[A-Za-z]:\\\\(?:Users|home)\\\\",
-    "windows_path_slash": r"[A-Za-z]:/(?:Users|home)/",
+    "windows_path": r"(?i)[A-Za-z]:\\\\(?:Users|home)\\\\",
+    "windows_path_escaped": r"(?i)[A-Za-z]:\\\\\\\\(?:Users|home)\\\\\\\\",
+    "windows_path_slash": r"(?i)[A-Za-z]:/(?:Users|home)/",
     "unix_home": r"/(?:Users|home)/",
     "file_url": r"file:///",
     "ghp_token": r"\bghp_[A-Za-z0-9]{30,}\b",

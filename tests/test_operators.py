@@ -15,7 +15,7 @@ from cohortspark.operators import identity as I
 from cohortspark.operators import scores as S
 from cohortspark.operators import sequences as Q
 from cohortspark.operators import synthesis as M
-from cohortspark.operators import text as T
+from cohortspark.operators import text as TX
 
 KEYS = E.CONTRAST
 
@@ -145,15 +145,74 @@ def test_pooled_edge_groups(spark):
     assert out["same"]["tau_squared"] == 0.0
 
 
-def test_large_group_uses_the_distributed_fit(spark):
+def test_one_fit_for_all_group_sizes(spark):
+    """Against a plain solution of the estimating equation, for two studies up to more than ten thousand."""
     rng = random.Random(5)
-    rows = [(f"s{i}", rng.gauss(0.3, 0.7), 0.05 + rng.random() / 3) for i in range(300)]
-    df = spark.createDataFrame(rows, ["cohort_id", "smdh", "smdh_variance"]).withColumn("g", F.lit("x"))
-    for method in ("REML", "PM"):
-        small = M.random_effects(df, ["g"], method=method).first()
-        large = M.random_effects_large(df, ["g"], method=method).first()
-        for name in ("k", "pooled_effect", "ci_lower", "tau_squared", "I_squared", "Q", "Q_p_value", "p_value"):
-            assert large[name] == pytest.approx(small[name], abs=1e-8), (method, name)
+    groups = {str(n): [(rng.gauss(0.3, 0.7), 0.05 + rng.random() / 3) for _ in range(n)] for n in (2, 200, 12_000)}
+    rows = [(g, f"s{i}", y, v) for g, studies in groups.items() for i, (y, v) in enumerate(studies)]
+    df = spark.createDataFrame(rows, ["g", "cohort_id", "smdh", "smdh_variance"])
+    got = {r["g"]: r for r in M.random_effects(df, ["g"], method="PM").collect()}
+
+    def q(studies, t):
+        w = [1 / (v + t) for _, v in studies]
+        mu = sum(a * y for a, (y, _) in zip(w, studies)) / sum(w)
+        return sum(a * (y - mu) ** 2 for a, (y, _) in zip(w, studies)) - (len(studies) - 1)
+
+    for g, studies in groups.items():
+        low, high = 0.0, 10.0
+        for _ in range(100):
+            middle = (low + high) / 2
+            low, high = (middle, high) if q(studies, middle) > 0 else (low, middle)
+        assert got[g]["k"] == len(studies)
+        assert got[g]["tau_squared"] == pytest.approx(0.0 if q(studies, 0.0) <= 0 else low, abs=1e-8)
+
+
+def test_bound_on_studies_of_leave_one_out_fires(spark):
+    df = spark.createDataFrame([("x", f"s{i}", float(i), 0.1) for i in range(6)], ["g", "cohort_id", "smdh", "smdh_variance"])
+    with pytest.raises(Exception, match="bound on studies"):
+        M.collect_studies(df, ["g"], "smdh", "smdh_variance", max_studies=5).collect()
+    assert M.leave_one_study_out(df, ["g"]).count() == 6
+
+
+def test_leave_one_out_removes_the_whole_donor(spark):
+    rows = [("target", "d1", 4.0), ("target", "d1", 2.0), ("target", "d2", 1.5), ("comparison", "e1", 1.0), ("comparison", "e2", 1.0)]
+    arms = spark.createDataFrame([("c", "NP", "m", d, a, s) for a, d, s in rows],
+                                 ["cohort_id", "compartment", "module_id", "donor_id", "contrast_arm", "module_score"])
+    got = {r["excluded_donor_id"]: r for r in E.leave_one_out(arms).collect()}
+    assert len(got) == 4
+    assert got["d1"]["leave_one_out_effect"] == pytest.approx(0.5) and got["d1"]["remaining_target_n"] == 1
+
+
+def test_each_library_is_scored_by_its_own_platform(spark):
+    wide = [("a", f"f{i}", s) for i, s in enumerate("ABCDE")]
+    features = spark.createDataFrame(wide + [("b", "g0", "A"), ("c", "h0", "Z")], ["platform", "feature_id", "symbol"])
+    counts = "struct<" + ",".join(f"{g}:bigint" for g in "ABCDE") + ">"
+    libraries = spark.createDataFrame([(p, p.upper(), 2, 100, (10, None, None, None, None)) for p in "abc"],
+                                      f"platform string, library_id string, included_cells long, total_umi_included_cells long, counts {counts}")
+    modules = {"m": list("ABCDE")}
+    rows = {r["library_id"]: r for r in S.module_scores(libraries, features, modules, ["library_id"], feature_keys=["platform"]).collect()}
+    assert rows["A"]["score_status"] == "score_available" and rows["A"]["mapped_fraction"] == 1.0
+    assert rows["B"]["mapped_fraction"] == pytest.approx(0.2) and rows["B"]["module_score"] is None
+    assert rows["C"]["mapped_fraction"] == 0.0
+    audit = {r["platform"]: r["mapped_genes"] for r in S.mapping_audit(features, modules, ["platform"]).collect()}
+    assert audit == {"a": 5, "b": 1, "c": 0}
+    coverage = {r["platform"]: r["measured_genes"] for r in C.panel_coverage(features, modules, ["platform"]).collect()}
+    assert coverage == {"a": 5, "b": 1, "c": 0}
+    cells = spark.createDataFrame([("a", 10, (1, 0, 0, 0, 0)), ("b", 10, (1, 0, 0, 0, 0))], f"platform string, total_umi long, counts {counts}")
+    scores = {r["platform"]: r["m_score"] for r in C.panel_columns(cells, features, modules, feature_keys=["platform"]).collect()}
+    assert scores["b"] == pytest.approx(5 * scores["a"])
+
+
+def test_release_patterns_on_planted_texts(spark):
+    back = "\\"
+    texts = {"double": f"c:{back * 2}users{back * 2}x", "escaped": f"C:{back * 4}HOME{back * 4}x", "slash": "d:/users/x",
+             "unix": "see /Users/me", "unix_other_case": "see /USERS/me", "url": "file:///x", "clean": "nothing here"}
+    df = spark.createDataFrame(list(texts.items()), ["doc_id", "text"])
+    got = {}
+    for r in TX.text_pattern_scan(df, ["doc_id"], "text", TX.RELEASE_PATTERNS).collect():
+        got.setdefault(r["doc_id"], set()).add(r["pattern"])
+    assert got == {"double": {"windows_path"}, "escaped": {"windows_path_escaped"}, "slash": {"windows_path_slash"},
+                   "unix": {"unix_home"}, "url": {"file_url"}}
 
 
 # ---------------------------------------------------------------- cells and scores
@@ -264,14 +323,14 @@ def test_interval_overlap_matches_brute_force(spark):
 def test_table_between_markers_ignores_stray_ends(spark):
     lines = spark.createDataFrame([("d", i + 1, s) for i, s in enumerate(["END", "a", "BEGIN", "b", "c", "END", "d", "BEGIN", "e"])],
                                   ["k", "pos", "line"])
-    out = T.table_between_markers(lines, ["k"], F.col("line") == "BEGIN", F.col("line") == "END").collect()
+    out = TX.table_between_markers(lines, ["k"], F.col("line") == "BEGIN", F.col("line") == "END").collect()
     assert sorted((r["table_no"], r["line"]) for r in out) == [(1, "b"), (1, "c"), (2, "e")]
 
 
 def test_release_patterns(spark):
     texts = [("path", "open /home/someone/x"), ("win", "C:/Users/me"), ("url", "file:" + "///tmp"),
              ("key", "AKIA" + "A" * 16), ("clean", "nothing here")]
-    got = T.text_pattern_scan(spark.createDataFrame(texts, ["id", "t"]), ["id"], "t", T.RELEASE_PATTERNS).collect()
+    got = TX.text_pattern_scan(spark.createDataFrame(texts, ["id", "t"]), ["id"], "t", TX.RELEASE_PATTERNS).collect()
     assert {(r["id"], r["pattern"]) for r in got} == {
         ("path", "unix_home"), ("win", "windows_path_slash"), ("win", "unix_home"), ("url", "file_url"),
         ("key", "aws_key")}
