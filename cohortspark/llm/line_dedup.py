@@ -156,6 +156,7 @@ def _picked_lines(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], names=["id", "line"])
 
 
+@functools.lru_cache(64)
 def _shingles(line: str) -> set[str]:
     return {line[i:i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
@@ -187,9 +188,12 @@ def similar_pairs(lines: list[str], component: list[int], other: list[bool], sim
     at = np.repeat(np.arange(len(lines)), sizes)
     columns = np.fromiter((c for s in sets for c in s), dtype=np.int64, count=int(sizes.sum()))
     both = np.zeros((len(lines), len(lines)), dtype=np.float32)
-    for low in range(0, len(codes), COLUMNS):
+    # A shingle of one line only is in no intersection.
+    shared = np.bincount(columns, minlength=len(codes)) > 1
+    at, columns = at[shared[columns]], (np.cumsum(shared) - 1)[columns[shared[columns]]]
+    for low in range(0, int(shared.sum()), COLUMNS):
         use = (columns >= low) & (columns < low + COLUMNS)
-        held = np.zeros((len(lines), COLUMNS), dtype=np.float32)
+        held = np.zeros((len(lines), min(COLUMNS, int(shared.sum()) - low)), dtype=np.float32)
         held[at[use], columns[use] - low] = 1
         both += held @ held.T
     either = sizes[:, None] + sizes[None] - both
@@ -247,8 +251,9 @@ def _verifier(rows: DataFrame, lines: DataFrame, similarity: float):
         """Compare the lines of candidate pairs exactly."""
         pairs = cut(pairs)
         texts = _lines_of(rows, lines, pairs.select(F.col("u").alias("id")).union(pairs.select("v")))
-        both = pairs.join(texts.select(F.col("id").alias("u"), F.col("line").alias("a")), "u").join(
-            texts.select(F.col("id").alias("v"), F.col("line").alias("b")), "v")
+        # Last by u: a star's pairs are then neighbours, and its shingles are made once.
+        both = pairs.join(texts.select(F.col("id").alias("v"), F.col("line").alias("b")), "v").join(
+            texts.select(F.col("id").alias("u"), F.col("line").alias("a")), "u")
         return both.mapInArrow(_similar(similarity), "u bigint, v bigint")
     return verify
 
