@@ -141,6 +141,6 @@ def test_licences_in_documents(spark, edge_docs, no_docs):
     assert rows[1]["family"] == "mit" and rows[1]["pos"] == 1 and rows[1]["confirmed"]
     assert rows[4]["family"] == "cc-by-sa" and 2 not in rows
     assert 3 not in rows or not rows[3]["confirmed"]
-    per = licences.scan_licences(edge_docs)
+    per = licences.scan_licences(edge_docs, model=model)
     assert per.count() == edge_docs.count() and {r["families"] for r in per.collect()} == {""}
-    assert licences.scan_licences(no_docs).count() == 0
+    assert licences.scan_licences(no_docs, model=model).count() == 0
