@@ -20,7 +20,7 @@ SHINGLE, SIMILARITY, MIN_WORDS = 8, 0.8, 3
 #: At Jaccard 0.8 a band of 4 agrees with probability 0.41, one of 10 with 0.995; at 0.9 one of 10 with 0.99998.
 BANDS, ROWS = 10, 4
 SLOTS = BANDS * ROWS
-#: Lines with at most SHORT shingles hash them SLOTS times; lines with at least LONG deal one hash of
+#: Lines with at most SHORT distinct shingles hash them SLOTS times; lines with at least LONG deal one hash of
 #: each to SLOTS bins. LONG = SIMILARITY * SHORT, so two similar lines always have a scheme in common.
 SHORT, LONG = 120, 96
 #: Characters signed at a time, and members of a block in the comparison of crowded buckets.
@@ -71,6 +71,22 @@ def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _mix(values[inside[:len(values)]]), lengths - SHINGLE + 1
 
 
+def _distinct(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the lines of LONG or more, and all lines' numbers of hashes; the other lines, always short, stay as they are."""
+    many = counts >= LONG
+    if not many.any():
+        return hashes, counts
+    at = np.repeat(many, counts)
+    keys = np.repeat(np.flatnonzero(many), counts[many]).astype(np.uint64) << np.uint64(32) | hashes[at]
+    keys.sort()
+    keys = keys[np.append(True, keys[1:] != keys[:-1])]
+    counts = np.where(many, np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=len(counts)), counts)
+    out = np.empty(counts.sum(), dtype=np.uint32)
+    out_at = np.repeat(many, counts)
+    out[out_at], out[~out_at] = keys.astype(np.uint32), hashes[~at]
+    return out, counts
+
+
 def _short(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     starts = np.cumsum(counts) - counts
     return np.stack([np.minimum.reduceat(hashes * a + b, starts) for a, b in zip(_A, _B)], axis=1)
@@ -102,7 +118,8 @@ def band_keys(lines: list[str]) -> pa.ListArray:
         while end < len(lines) and size + len(lines[end]) <= BLOCK:
             size += len(lines[end])
             end += 1
-        hashes, counts = _shingle_hashes(lines[start:end])
+        # Similarity is one of sets: a repetitive line counts each shingle once.
+        hashes, counts = _distinct(*_shingle_hashes(lines[start:end]))
         for scheme, chosen, sign in ((0, counts <= SHORT, _short), (1, counts >= LONG, _long)):
             if chosen.any():
                 owners.append(np.repeat(np.flatnonzero(chosen) + start, BANDS))

@@ -88,6 +88,15 @@ def test_recall_of_bands_at_the_limit():
     assert total > 100 and met / total > 0.97
 
 
+def test_repetitive_lines_of_any_length(spark):
+    units = ["ha ", "- ", "buy now cheap ", "home about contact help "]
+    lines = [(u * (n // len(u) + 1)).strip() for u in units for n in (70, 90, 130, 400, 3000)]
+    lines += [f"{'ha ' * 40}{x}" for x in ("once more with feeling", "and then nothing at all")]
+    check(spark, list(enumerate(lines)))
+    docs = spark.createDataFrame([(0, "ha " * 25), (1, "ha " * 60)], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in L.dedup_lines(docs).collect()} == {0: "ha " * 25, 1: ""}
+
+
 def test_edges(edge_docs, no_docs):
     got = L.dedup_lines(edge_docs)
     assert got.columns == [*edge_docs.columns, "_removed"]
