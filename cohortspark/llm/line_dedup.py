@@ -16,7 +16,7 @@ from pyspark.sql.types import StringType
 from cohortspark.llm.common import broadcast_if_small, cut, keyed, row_keys, same_key
 from cohortspark.llm.graph import linked_groups
 
-SHINGLE, SIMILARITY, MIN_WORDS = 8, 0.8, 3
+SHINGLE, SIMILARITY, MIN_WORDS = 8, 0.8, 1
 #: At Jaccard 0.8 a band of 4 agrees with probability 0.41, one of 10 with 0.995; at 0.9 one of 10 with 0.99998.
 BANDS, ROWS = 10, 4
 SLOTS = BANDS * ROWS
@@ -353,7 +353,8 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     A line is what "\\n" separates. Lines whose sets of 8-character shingles, lower-cased and with
     single blanks, have a Jaccard similarity of at least ``similarity`` link; of all occurrences of a
     component only the first stays, ordered by the document's id (nulls last), the row's keys and the
-    position. Lines of fewer than ``min_words`` words, blank ones too, are left alone. All other
+    position. By default each line with a visible character counts; scripts without blanks have lines of
+    one word. Lines of fewer than ``min_words`` words, blank ones too, are left alone. All other
     columns pass unchanged; null texts stay null, a text of only repeated lines becomes empty. Fully
     repeated rows are one document: each keeps the same lines.
     """

@@ -97,6 +97,15 @@ def test_repetitive_lines_of_any_length(spark):
     assert {r["doc_id"]: r["text"] for r in L.dedup_lines(docs).collect()} == {0: "ha " * 25, 1: ""}
 
 
+def test_lines_of_one_or_two_words(spark):
+    chinese = "".join(chr(0x4E00 + i * 37 % 4000) for i in range(150))
+    texts = [(0, f"{chinese}\nRead more\nAdvertisement\n\nhttps://example.org/{'a' * 60}"),
+             (1, f"{chinese[:-1]}\nread  more\n \nAdvertisement\nhttps://example.org/{'a' * 60}\nlast"), (2, "x\n\nx"), (3, "xy")]
+    check(spark, texts)
+    got = {r["doc_id"]: r["text"] for r in L.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got[1] == " \nlast" and got[2] == "x\n" and got[3] == "xy"
+
+
 def test_edges(edge_docs, no_docs):
     got = L.dedup_lines(edge_docs)
     assert got.columns == [*edge_docs.columns, "_removed"]
