@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from cohortspark.llm import decontamination, line_dedup, mixing, quality, simhash
 from cohortspark.llm.common import cut, shared_folder
 
-#: Lower than the classifier's own threshold: a document of few words has too little evidence to be rejected below 0.7.
-REJECT_BELOW = 0.5
+#: The classifier's own threshold: the stage drops what op9 marks 0.
+REJECT_BELOW = quality.THRESHOLD
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

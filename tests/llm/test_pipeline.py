@@ -6,7 +6,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import corpus_pipeline as P  # noqa: E402
-from cohortspark.llm import simhash  # noqa: E402
+from cohortspark.llm import quality, simhash  # noqa: E402
 from test_decontamination_and_topk import brute as windows  # noqa: E402
 from test_line_dedup import brute as repeated  # noqa: E402
 
@@ -44,6 +44,14 @@ def test_stages_on_their_own_input(spark, tmp_path):
     assert sorted((r["doc_id"], r["taken"]) for r in P.run(spark, SF).collect()) == sorted((i, r["taken"]) for i, r in after.items())
 
 
+def test_first_stage_drops_what_op9_rejects(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    kept = {r["doc_id"] for r in P.good_documents(spark, docs, SF).select("doc_id").collect()}
+    judged = quality.judge_quality(docs, labels).select("doc_id", "predicted", "score").collect()
+    assert any(0.5 <= r["score"] < 0.7 for r in judged)
+    assert kept == {r["doc_id"] for r in judged if r["predicted"] == 1}
+
+
 def test_stages_survive_edges(spark, edge_docs, no_docs, tmp_path):
     sf = str(tmp_path)
     spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 0, 0), (8, 0, 0), (9, 1, 0), (None, 1, 0)],
