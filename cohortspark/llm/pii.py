@@ -16,11 +16,14 @@ _NO_WORD_BEFORE, _NO_WORD_AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 KINDS = {
     "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
-    "iban": _NO_WORD_BEFORE + r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}" + _NO_WORD_AFTER,
+    # Printed groups of four end with a group of one to four; capitals that follow may be taken for more groups.
+    "iban": _NO_WORD_BEFORE + r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?:[ -][A-Z0-9]{4}){2,7}(?:[ -][A-Z0-9]{1,4})?)" + _NO_WORD_AFTER,
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ -]?)?(?:\(\d{3}\) ?|\d{3}[ -])\d{3}[ -]\d{4}(?![\d-])",
+    # National 3-3-4; + and 7 to 15 digits in groups; ten bare digits of which the first, as in an area code, is 2 to 9.
+    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])"
+             r"|(?<![\d+])\+(?:\d(?:[ ./-]|\) ?| ?\(|-\()?){6,14}\d(?!\d)|(?<![\d+.,/-])[2-9]\d{9}(?![\d-]|[.,]\d)",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
 }
 PATTERN = "|".join(KINDS.values())
@@ -87,11 +90,33 @@ def _mod97(text: Column) -> Column:
         c.between("0", "9"), F.pmod(a * 10 + F.ascii(c) - 48, F.lit(97))).otherwise(F.pmod(a * 100 + F.ascii(c) - 55, F.lit(97))))
 
 
-def _iban(m: Column, key: str) -> Column:
+def _plain_iban(m: Column, key: str) -> Column:
     country, body = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.length(m))
-    valid = _mod97(F.concat(body, F.substring(m, 1, 4))) == 1
-    return F.when(valid, let(_permuted_chars(body, key, "iban"), lambda b: F.concat(
-        country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b)))
+    return let(_permuted_chars(body, key, "iban"), lambda b: F.concat(
+        country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
+
+
+def _iban(m: Column, key: str) -> Column:
+    """The groups as printed; of a run of groups, the most that are valid together, the others staying behind them."""
+    def compact(text: Column) -> Column:
+        return F.regexp_replace(text, "[ -]", "")
+
+    def valid(text: Column) -> Column:
+        return let(compact(text), lambda c: (F.length(c) >= 15) & (F.length(c) <= 34) & (_mod97(F.concat(
+            F.substring(c, F.lit(5), F.length(c)), F.substring(c, 1, 4))) == 1))
+
+    groups = F.split(m, "[ -]")
+    ends = F.transform(F.reverse(F.sequence(F.lit(1), F.size(groups))), lambda n: F.aggregate(
+        F.slice(groups, F.lit(1), n), n - 1, lambda a, g: a + F.length(g)))
+    whole = F.get(F.filter(ends, lambda e: valid(F.substring(m, F.lit(1), e))), F.lit(0))
+
+    def printed(head: Column) -> Column:
+        chars = F.filter(F.split(head, ""), lambda c: c != "")
+        return let(_plain_iban(compact(head), key), lambda new: F.array_join(F.transform(chars, lambda c, i: F.when(
+            c.isin(" ", "-"), c).otherwise(F.substring(new, F.length(compact(F.substring(head, F.lit(1), i + 1))), F.lit(1)))), ""))
+
+    return F.when(whole.isNotNull(), let(whole, lambda e: F.concat(
+        let(F.substring(m, F.lit(1), e), printed), F.substring(m, e + 1, F.length(m)))))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -123,8 +148,8 @@ def _date(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country code stays."""
-    code = F.regexp_extract(m, r"^\+\d{1,3}", 0)
+    """The country code stays, and the first of ten bare digits."""
+    code = F.regexp_extract(m, r"^(?:\+\d{1,3}|\d(?=\d{9}$))", 0)
     return F.concat(code, _permuted_chars(F.substring(m, F.length(code) + 1, F.length(m)), key, "phone"))
 
 

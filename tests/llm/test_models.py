@@ -48,6 +48,28 @@ def test_each_kind_keeps_its_format_and_validity(spark):
     assert [t for t, _ in got[8:]] == ["nothing here", "", None]
 
 
+def test_printed_ibans_and_phones_of_other_groupings(spark):
+    ibans = ["DE89 3704 0044 0532 0130 00", "GB82-WEST-1234-5698-7654-32", "NO93 8601 1117 947", "BE68 5390 0754 7034"]
+    phones = ["+44 20 7946 0958", "+49 30 12345678", "+33 1 42 68 53 00", "555.123.4567", "5551234567", "+442079460958", "+1.212.555.0199",
+              "+44 (20) 7946 0958"]
+    others = ["1700000000", "DE88 3704 0044 0532 0130 00", "+1234 is short", "3.1415926535", "12345678901"]
+    shape = lambda t: re.sub("[A-Z]", "A", re.sub(r"\d", "0", t))
+    rows = [f"{b} {v} {a}" for v in ibans + phones for b, a in (("pay", "AND call"), ("x:", "."))]
+    got = made(spark, rows)
+    for i, (new, kinds) in enumerate(got):
+        value = (ibans + phones)[i // 2]
+        assert kinds == ["iban" if value in ibans else "phone"], rows[i]
+        assert shape(new) == shape(rows[i]) and value not in new
+        assert new.startswith(rows[i].split(" ")[0]) and new.endswith(rows[i].rsplit(" ", 1)[1])
+        if value in ibans:
+            plain = re.sub("[ -]", "", new[len(rows[i].split(" ")[0]) + 1:][:len(value)])
+            assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1 and plain[:2] == value[:2]
+    assert made(spark, others) == [(t, []) for t in others]
+    # The forms of one number stay linked.
+    (a, _), (b, _) = made(spark, ["DE89370400440532013000", ibans[0]])
+    assert a == b.replace(" ", "")
+
+
 def test_equal_values_stay_linked_and_others_apart(spark):
     cards = []
     for n in range(400):
