@@ -68,28 +68,33 @@ def lower_ascii(text: str | Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-#: Bits of a hash filter (128 kB), whatever it is built from: a fuller one only passes more.
-FILTER_BITS = 1 << 20
+#: Least and most bits of a hash filter (128 kB to 2 MB), whatever it is built from: a fuller one only passes more.
+FILTER_BITS, MOST_FILTER_BITS = 1 << 20, 1 << 24
 
 
-def _bits(h: Column) -> list[Column]:
+def filter_bits(n: int, least: int = FILTER_BITS) -> int:
+    """Bits for ``n`` hashes, 16 for each."""
+    return max(least, min(MOST_FILTER_BITS, 1 << (16 * max(n, 1) - 1).bit_length()))
+
+
+def _bits(h: Column, bits: int) -> list[Column]:
     """Two positions in the filter, from different bits of a hash."""
-    return [F.pmod(h, F.lit(FILTER_BITS)), F.pmod(F.shiftright(h, 32), F.lit(FILTER_BITS))]
+    return [F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 32), F.lit(bits))]
 
 
-def hash_filter(hashes: DataFrame) -> Column:
-    """A filter of the column ``h`` as an array constant of FILTER_BITS / 64 numbers."""
-    bits = hashes.select(F.explode(F.array(*_bits(F.col("h")))).alias("bit"))
-    packed = bits.groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(
+def hash_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> Column:
+    """A filter of the column ``h`` as an array constant of bits / 64 numbers."""
+    set_bits = hashes.select(F.explode(F.array(*_bits(F.col("h"), bits))).alias("bit"))
+    packed = set_bits.groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
-    filled = {at: word for at, word in packed.collect()}  # of a fixed size
-    text = ",".join(str(filled.get(i, 0)) for i in range(FILTER_BITS // 64))
+    filled = {at: word for at, word in packed.collect()}  # of a bounded size
+    text = ",".join(str(filled.get(i, 0)) for i in range(bits // 64))
     return F.split(F.lit(text), ",").cast("array<bigint>")
 
 
-def passes(flags: Column, h: Column) -> Column:
+def passes(flags: Column, h: Column, bits: int = FILTER_BITS) -> Column:
     """Whether the filter may hold ``h``; never false for a hash it was built from."""
-    tests = [F.getbit(F.get(flags, F.shiftright(b, 6).cast("int")), F.pmod(b, F.lit(64)).cast("int")) == 1 for b in _bits(h)]
+    tests = [F.getbit(F.get(flags, F.shiftright(b, 6).cast("int")), F.pmod(b, F.lit(64)).cast("int")) == 1 for b in _bits(h, bits)]
     return tests[0] & tests[1]
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import decontamination, langid, licences, line_dedup, mixing, pii, quality, simhash, topk, url_rules
+from cohortspark.llm import (collocations, decontamination, langid, licences, line_dedup, mixing, pii, quality, simhash, topk,
+                             url_rules, whitening)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,9 +68,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op1_url_rules": op1_url_rules, "op2_licences": op2_licences, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash,
            "op5_line_dedup": op5_line_dedup, "op6_decontamination": op6_decontamination,
-           "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_language": op10_language}
+           "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_language": op10_language,
+           "op11_whitening": op11_whitening, "op12_collocations": op12_collocations}
 ORACLES: dict[str, str] = {
     "op1_url_rules": r"""
         WITH u AS (
@@ -153,4 +163,31 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)""",
+    "op12_collocations": r"""
+        WITH p AS (
+            SELECT rid, lang, unnest(ps) AS p, generate_subscripts(ps, 1) AS pi
+            FROM (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents)),
+        w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM p),
+        g AS (
+            SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase
+            FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 6) t(k) WHERE len(ws) >= k)),
+        f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+        t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 100),
+        u AS (
+            SELECT lang, k, phrase, a, j, array_to_string(ws[1 : j], ' ') AS x, array_to_string(ws[j + 1 : k], ' ') AS y
+            FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+        s AS (
+            SELECT u.lang, u.k, u.phrase, a, j, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+            FROM u JOIN f x ON u.lang = x.lang AND u.x = x.phrase AND x.k = j
+            JOIN f y ON u.lang = y.lang AND u.y = y.phrase AND y.k = u.k - j JOIN t ON u.lang = t.lang),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        i AS (
+            SELECT lang, array_to_string(ws[st : st + size - 1], ' ') AS phrase, max(a) AS around
+            FROM (SELECT *, unnest(range(1, k - size + 2)) AS st FROM (SELECT *, unnest(range(2, k)) AS size FROM c WHERE k > 2))
+            GROUP BY ALL)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM b LEFT JOIN i USING (lang, phrase) WHERE around IS NULL OR 100 * around < 100 * a
+        QUALIFY rank <= 2000""",
 }

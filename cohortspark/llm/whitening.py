@@ -123,7 +123,9 @@ def _sums(d: int, centre: np.ndarray):
         for batch in source:
             if batch.num_rows:
                 y = _unpacked(batch, d) - centre
-                n, first, second = n + len(y), first + y.astype(object).sum(axis=0), second + _product(y)
+                fits = int(np.abs(y).max()) * len(y) < 1 << 62
+                first = first + (y if fits else y.astype(object)).sum(axis=0).astype(object)
+                n, second = n + len(y), second + _product(y)
         if n:
             i, j = np.triu_indices(d)
             values = [n, *first, *second[i, j]]
