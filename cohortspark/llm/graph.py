@@ -2,53 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm.common import broadcast_if_small, cut
 
-#: Edges whose components one task may find, in 150 MB or less; more are found by joins.
-TASK_EDGES = 1_000_000
+#: Members of a block in the comparison of crowded buckets, and copies of a component's head in a join.
+MEMBERS, SALTS = 256, 16
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 
 
-def _task_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find by least labels and pointer jumping over all edges of one task."""
-    pairs = [np.stack([b.column("u").to_numpy(), b.column("v").to_numpy()]) for b in batches if b.num_rows]
-    if pairs:
-        ends = np.concatenate(pairs, axis=1)
-        ids, places = np.unique(ends, return_inverse=True)
-        u, v = places.reshape(2, -1)
-        label = np.arange(len(ids))
-        while True:
-            before, low = label.copy(), np.minimum(label[u], label[v])
-            for end in (u, v):
-                np.minimum.at(label, label[end], low)
-                np.minimum.at(label, end, low)
-            label = label[label]
-            if (label == before).all():
-                break
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], names=["id", "component"])
-
-
-def components(edges: DataFrame, rounds: int = 100, task_edges: int = TASK_EDGES) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """Connected components of undirected ``edges`` (u, v) of longs: rows (id, component), component the least id.
 
-    Up to ``task_edges`` distinct edges are united in one task of bounded memory. Beyond, large-star
-    and small-star steps alternate; a step is two aggregates and two equi joins, and its edges never
-    outnumber those of the step before. Nodes without an edge do not appear.
+    A distributed union-find: large-star and small-star steps alternate; a step is two aggregates and
+    two equi joins, and its edges never outnumber those of the step before. Nodes without an edge do not appear.
     """
     edges = cut(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     state = _state(edges)
-    if state[0] <= task_edges:
-        return cut(edges.coalesce(1).mapInArrow(_task_components, "id bigint, component bigint"))
     for _ in range(rounds):
         both = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).union(edges.select("v", "u"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -65,7 +39,42 @@ def components(edges: DataFrame, rounds: int = 100, task_edges: int = TASK_EDGES
     raise RuntimeError(f"no fixed point after {rounds} rounds")
 
 
-def linked_groups(members: DataFrame, verify, compare=None) -> DataFrame:
+def with_heads(placed: DataFrame, first: str, head: str) -> DataFrame:
+    """``placed`` with the least ``first`` of each row's ``component`` as ``head``.
+
+    Each head meets its component's rows in SALTS parts, so that a component that holds most rows is no hot key.
+    """
+    heads = placed.groupBy("component").agg(F.min(first).alias(head)).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = placed.withColumn("_salt", F.pmod(F.xxhash64(first), F.lit(SALTS)).cast("int"))
+    return salted.join(heads, ["component", "_salt"]).drop("_salt")
+
+
+def block_pairs(placed: DataFrame) -> DataFrame:
+    """(key, i, j, id, component, other): the members of each bucket dealt to pairs of blocks that cover all its open pairs.
+
+    placed: (key, id, base, component, star, c0). Members outside the pivot's component (other) meet each
+    other and those inside. Equal member sets of several keys are dealt once.
+    """
+    placed = cut(placed.select("key", "id", "base", "component", (F.col("component") != F.col("c0")).alias("other")))
+    sets = placed.groupBy("key").agg(
+        F.count_if("other").alias("n1"), F.count_if(~F.col("other")).alias("n0"),
+        F.sum(F.xxhash64("id", "base").cast("decimal(38,0)")).alias("s1"),
+        F.sum(F.xxhash64("id", "base", F.lit(1)).cast("decimal(38,0)")).alias("s2"))
+    sets = sets.groupBy("s1", "s2", "n0", "n1").agg(F.min("key").alias("key"))
+    sets = sets.select("key", F.ceil(F.col("n0") / MEMBERS).alias("b0"), F.ceil(F.col("n1") / MEMBERS).alias("b1"))
+    members = placed.join(sets, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("other"), F.col("b1")).otherwise(
+        F.col("b0"))))
+    # Blocks of others are numbered 0.. b1-1, of the pivot's component b1.. b1+b0-1; pairs are (i, j), i <= j, i an other block.
+    one, last = F.lit(1).cast("bigint"), F.col("b1") - 1
+    partners = F.when(F.col("other"), F.transform(F.sequence(one * 0, last + F.col("b0")), lambda k: F.struct(
+        F.least(F.col("block"), k).alias("i"), F.greatest(F.col("block"), k).alias("j")))).otherwise(
+        F.transform(F.sequence(one * 0, last), lambda k: F.struct(k.alias("i"), (F.col("block") + F.col("b1")).alias("j"))))
+    return members.select("key", "id", "component", "other", "base", F.explode(partners).alias("p")).select(
+        "key", "p.i", "p.j", "id", "component", "other", "base")
+
+
+def linked_groups(members: DataFrame, verify, compare) -> DataFrame:
     """Components of the ids that share a bucket and pass ``verify``: rows (id, component) of linked ids.
 
     members: (key, id, base); a pair is a candidate if it shares a key and one of the two has base = true.
@@ -93,14 +102,6 @@ def linked_groups(members: DataFrame, verify, compare=None) -> DataFrame:
         F.min("component").alias("c"), F.max("component").alias("c1"),
         F.min(F.when(F.col("id") == F.col("star"), F.col("component"))).alias("c0")).where("c <> c1")
     placed = placed.join(mixed.select("key", "c0"), "key")
-    rest = (compare or _across(verify))(placed)
+    rest = compare(placed)
     return components(first.select(F.col("component").alias("u"), F.col("id").alias("v")).union(rest.select("u", "v")))
 
-
-def _across(verify):
-    def compare(placed: DataFrame) -> DataFrame:
-        a = placed.where("base").select("key", F.col("id").alias("ida"), F.col("component").alias("ca"))
-        b = placed.select("key", F.col("id").alias("idb"), F.col("component").alias("cb"), F.col("base").alias("bb"))
-        rest = a.join(b, (a["key"] == b["key"]) & (F.col("ca") != F.col("cb")) & (~F.col("bb") | (F.col("ida") < F.col("idb"))))
-        return verify(rest.select(F.least("ida", "idb").alias("u"), F.greatest("ida", "idb").alias("v")).distinct())
-    return compare

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm import (collocations, decontamination, langid, licences, line_dedup, mixing, pii, quality, simhash, topk,
+from cohortspark.llm import (collocations, decontamination, jaccard, langid, licences, line_dedup, mixing, pii, quality, simhash, topk,
                              url_rules, whitening)
 
 
@@ -76,10 +76,15 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(_table(spark, sf_dir, "documents"))
 
 
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op1_url_rules": op1_url_rules, "op2_licences": op2_licences, "op3_mixing": op3_mixing, "op4_simhash": op4_simhash,
            "op5_line_dedup": op5_line_dedup, "op6_decontamination": op6_decontamination,
            "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_language": op10_language,
-           "op11_whitening": op11_whitening, "op12_collocations": op12_collocations}
+           "op11_whitening": op11_whitening, "op12_collocations": op12_collocations,
+           "op13_ngram_jaccard": op13_ngram_jaccard}
 ORACLES: dict[str, str] = {
     "op1_url_rules": r"""
         WITH u AS (

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.llm.common import cut, keyed, row_keys, same_key, unpacked
-from cohortspark.llm.graph import linked_groups
+from cohortspark.llm.graph import block_pairs, linked_groups, with_heads
 
 SEED, SEGMENTS, WIDTH, DISTANCE = 42, 4, 16, 3
 #: Shingles whose bits are counted at a time, so a very long text needs no more memory.
@@ -89,6 +89,38 @@ def within_budgets(pairs: DataFrame) -> DataFrame:
     return pairs.where(starts).where(F.bit_count(x) <= DISTANCE).select("u", "v")
 
 
+def _block_links(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that join components inside each (key, i, j), whose rows are adjacent: all distances of a block's fingerprints."""
+    group, rows = None, []
+
+    def links() -> pa.RecordBatch:
+        ids, component, other = (np.array([r[k] for r in rows]) for k in range(3))
+        prints = ids.view(np.uint64)
+        far = np.bitwise_count(prints[:, None] ^ prints[None])
+        close = np.triu((far <= DISTANCE) & (component[:, None] != component[None]) & (other[:, None] | other[None]), 1)
+        u, v = np.nonzero(close)
+        # One link for each pair of components; the others add nothing.
+        ends = np.sort(np.stack([component[u], component[v]], axis=1), axis=1) if len(u) else np.empty((0, 2), dtype=np.int64)
+        at = np.unique(ends, axis=0, return_index=True)[1] if len(u) else np.empty(0, dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids[u[at]]), pa.array(ids[v[at]])], names=["u", "v"])
+
+    for batch in source:
+        for key, i, j, *row in zip(*[batch.column(c).to_pylist() for c in ("key", "i", "j", "id", "component", "other")]):
+            if (key, i, j) != group and rows:
+                yield links()
+                rows = []
+            group = (key, i, j)
+            rows.append(row)
+    if rows:
+        yield links()
+
+
+def compare_blocks(placed: DataFrame) -> DataFrame:
+    """Compare the members of crowded chain keys in pairs of blocks, so that no bucket is squared in rows."""
+    work = block_pairs(placed).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    return work.select("key", "i", "j", "id", "component", "other").mapInArrow(_block_links, "u bigint, v bigint")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, k1, k2, stays.
 
@@ -104,11 +136,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     prints = cut(rows.mapInArrow(_fingerprints(shingle), f"doc_id {kind}, k1 bigint, k2 bigint, fp bigint"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2"))
     distinct = cut(prints.groupBy("fp").agg(first.alias("first")))
-    linked = linked_groups(ring_members(distinct.select("fp")), within_budgets)
+    linked = linked_groups(ring_members(distinct.select("fp")), within_budgets, compare_blocks)
     placed = distinct.join(linked, distinct["fp"] == linked["id"], "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component"))
-    best = placed.groupBy("component").agg(F.min("first").alias("best"))
-    groups = cut(placed.join(best, "component").select(F.col("fp").alias("_fp"), "best"))
+    groups = cut(with_heads(placed, "first", "best").select(F.col("fp").alias("_fp"), "best"))
     return prints.join(groups, F.col("fp") == F.col("_fp")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("best.doc_id").alias("component_id"), "k1", "k2",
