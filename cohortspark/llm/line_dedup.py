@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from cohortspark.llm.common import broadcast_if_small, cut, keyed, row_keys, same_key
-from cohortspark.llm.graph import linked_groups
+from cohortspark.llm.graph import block_pairs, linked_groups, with_heads
 
 SHINGLE, SIMILARITY, MIN_WORDS = 8, 0.8, 1
 #: At Jaccard 0.8 a band of 4 agrees with probability 0.41, one of 10 with 0.995; at 0.9 one of 10 with 0.99998.
@@ -23,8 +23,10 @@ SLOTS = BANDS * ROWS
 #: Lines with at most SHORT distinct shingles hash them SLOTS times; lines with at least LONG deal one hash of
 #: each to SLOTS bins. LONG = SIMILARITY * SHORT, so two similar lines always have a scheme in common.
 SHORT, LONG = 120, 96
-#: Characters signed at a time, and members of a block in the comparison of crowded buckets.
-BLOCK, MEMBERS, COLUMNS = 1 << 20, 256, 1 << 13
+#: Characters signed at a time, and columns of shingles multiplied at a time.
+BLOCK, COLUMNS = 1 << 20, 1 << 13
+#: Lines of SURE characters or more are judged by hashed shingles where the result is BORDER or more from the threshold.
+SURE, BORDER = 256, 0.02
 
 _ODD = 0x9E3779B1
 _INVERSE = pow(_ODD, -1, 1 << 32)
@@ -185,11 +187,46 @@ def jaccard(a: str, b: str) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def line_sets(lines: list[str]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each line."""
+    out, start = [], 0
+    while start < len(lines):
+        end, size = start + 1, len(lines[start])
+        while end < len(lines) and size + len(lines[end]) <= BLOCK:
+            size += len(lines[end])
+            end += 1
+        hashes, counts = _shingle_hashes(lines[start:end])
+        keys = np.repeat(np.arange(end - start, dtype=np.uint64), counts) << np.uint64(32) | hashes
+        keys.sort()
+        keys = keys[np.append(True, keys[1:] != keys[:-1])]
+        ends = np.searchsorted(keys, np.arange(1, end - start, dtype=np.uint64) << np.uint64(32))
+        out += np.split(keys.astype(np.uint32), ends)
+        start = end
+    return out
+
+
+def alike(a: str, b: str, x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether the lines are similar: hashes decide what is clear, the shingles themselves what is near the threshold or short.
+
+    Of lines of SURE characters or more, five shingles at least would have to collide to be misjudged beyond the border.
+    """
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) * (1 - BORDER) - 1:
+        return False
+    if min(len(a), len(b)) >= SURE:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        hashed = both / (len(x) + len(y) - both)
+        if abs(hashed - similarity) > BORDER:
+            return hashed >= similarity
+    return jaccard(a, b) >= similarity
+
+
 def _similar(similarity: float):
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            # Sets of distinct shingles can be smaller than their lines, so lengths alone decide nothing.
-            keep = [jaccard(a.as_py(), b.as_py()) >= similarity for a, b in zip(batch.column("a"), batch.column("b"))]
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            lines = list(dict.fromkeys(a + b))
+            sets = dict(zip(lines, line_sets(lines)))
+            keep = [alike(x, y, sets[x], sets[y], similarity) for x, y in zip(a, b)]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
     return batches
 
@@ -197,13 +234,13 @@ def _similar(similarity: float):
 def similar_pairs(lines: list[str], component: list[int], other: list[bool], similarity: float) -> list[tuple[int, int]]:
     """Links that join components of ``lines``: a spanning set of the pairs of at least ``similarity`` with an ``other`` line.
 
-    Intersections of the shingle sets come from a product of 0/1 matrices, some columns at a time.
+    Intersections of the hashed sets come from a product of 0/1 matrices, some columns at a time; pairs that
+    may be similar are then judged one by one, unless others have joined their components.
     """
-    codes: dict[str, int] = {}
-    sets = [[codes.setdefault(s, len(codes)) for s in _shingles(line)] for line in lines]
+    sets = line_sets(lines)
     sizes = np.array([len(s) for s in sets])
     at = np.repeat(np.arange(len(lines)), sizes)
-    columns = np.fromiter((c for s in sets for c in s), dtype=np.int64, count=int(sizes.sum()))
+    codes, columns = np.unique(np.concatenate(sets), return_inverse=True)
     both = np.zeros((len(lines), len(lines)), dtype=np.float32)
     # A shingle of one line only is in no intersection.
     shared = np.bincount(columns, minlength=len(codes)) > 1
@@ -215,7 +252,8 @@ def similar_pairs(lines: list[str], component: list[int], other: list[bool], sim
         both += held @ held.T
     either = sizes[:, None] + sizes[None] - both
     kind = np.array(component)
-    links = (both >= similarity * either - 1e-6) & (kind[:, None] != kind[None]) & (np.array(other)[:, None] | np.array(other)[None])
+    near = both + 2 >= (similarity - BORDER) * (either - 2)
+    links = near & (kind[:, None] != kind[None]) & (np.array(other)[:, None] | np.array(other)[None])
     found, joined = [], {}
 
     def root(c: int) -> int:
@@ -225,7 +263,7 @@ def similar_pairs(lines: list[str], component: list[int], other: list[bool], sim
 
     for i, j in zip(*np.nonzero(np.triu(links, 1))):
         a, b = root(component[i]), root(component[j])
-        if a != b and both[i, j] / either[i, j] >= similarity:
+        if a != b and alike(lines[i], lines[j], sets[i], sets[j], similarity):
             joined[max(a, b)] = min(a, b)
             found.append((int(i), int(j)))
     return found
@@ -277,26 +315,9 @@ def _verifier(rows: DataFrame, lines: DataFrame, similarity: float):
 
 def _comparer(rows: DataFrame, lines: DataFrame, similarity: float):
     def compare(placed: DataFrame) -> DataFrame:
-        """Compare each bucket in pairs of blocks: lines outside the pivot's component with each other and with those inside.
-
-        Equal member sets of several bands are compared once.
-        """
-        placed = cut(placed.select("key", "id", "component", (F.col("component") != F.col("c0")).alias("other")))
-        sets = placed.groupBy("key").agg(
-            F.count_if("other").alias("n1"), F.count_if(~F.col("other")).alias("n0"),
-            F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("s2"))
-        sets = sets.groupBy("s1", "s2", "n0", "n1").agg(F.min("key").alias("key"))
-        sets = sets.select("key", F.ceil(F.col("n0") / MEMBERS).alias("b0"), F.ceil(F.col("n1") / MEMBERS).alias("b1"))
-        members = placed.join(sets, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("other"), F.col("b1")).otherwise(
-            F.col("b0"))))
-        # Blocks of others are numbered 0.. b1-1, of the pivot's component b1.. b1+b0-1; pairs are (i, j), i <= j, i an other block.
-        one, last = F.lit(1).cast("bigint"), F.col("b1") - 1
-        partners = F.when(F.col("other"), F.transform(F.sequence(one * 0, last + F.col("b0")), lambda k: F.struct(
-            F.least(F.col("block"), k).alias("i"), F.greatest(F.col("block"), k).alias("j")))).otherwise(
-            F.transform(F.sequence(one * 0, last), lambda k: F.struct(k.alias("i"), (F.col("block") + F.col("b1")).alias("j"))))
-        texts = _lines_of(rows, lines, members.select("id"))
-        work = members.select("key", "id", "component", "other", F.explode(partners).alias("p")).select(
-            "key", "p.i", "p.j", "id", "component", "other").join(texts, "id")
+        """Compare the lines of crowded buckets in pairs of blocks."""
+        work = block_pairs(placed)
+        work = work.join(_lines_of(rows, lines, work.select("id")), "id")
         work = work.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
         return work.select("key", "i", "j", "id", "component", "line", "other").mapInArrow(
             _blocks_compared(similarity), "u bigint, v bigint")
@@ -335,8 +356,7 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     placed = lines.select("id", "h1", "h2", "n", "first").join(groups, "id", "left")
     # A line that occurs once and has no partner stays; all others follow their component's first place.
     placed = cut(placed.where("n > 1 or component is not null").withColumn("component", F.coalesce("component", "id")))
-    heads = placed.groupBy("component").agg(F.min("first").alias("head"))
-    placed = cut(placed.join(heads, "component"))
+    placed = cut(with_heads(placed, "first", "head"))
     at = ["k1", "k2", "pos"]
     single = placed.where("n = 1 and first <> head").select(*[F.col(f"first.{c}").alias(c) for c in at])
     many = broadcast_if_small(cut(placed.where("n > 1").select(

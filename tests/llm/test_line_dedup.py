@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from cohortspark.llm import graph
 from cohortspark.llm import line_dedup as L
 
 
@@ -60,7 +61,7 @@ def test_near_copies_against_all_pairs(spark, near_copies):
 
 
 def test_crowded_buckets_in_small_blocks(spark, near_copies, monkeypatch):
-    monkeypatch.setattr(L, "MEMBERS", 3)
+    monkeypatch.setattr(graph, "MEMBERS", 3)
     check(spark, near_copies)
 
 
