@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import cut, filter_bits, hash_filter, lower_ascii, passes
+from cohortspark.llm.common import broadcast_if_small, cut, filter_bits, hash_filter, lower_ascii, passes
 
 LONGEST, LEAST_COUNT, TOP, SHARE = 5, 100, 2000, 100
 #: Characters that end a piece, and those between words.
@@ -29,26 +29,30 @@ def lead_windows(texts: DataFrame, longest: int) -> DataFrame:
         F.col("w1") != MARK)
 
 
-def _pair(lang: Column, a: Column, b: Column) -> Column:
-    return F.xxhash64(lang, a, b)
+def _hash(*parts: str | Column) -> Column:
+    """40 bits, which shuffle in fewer bytes; hashes that meet are counted together and only pass more."""
+    return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 40) - 1))
 
 
 def padded_windows(texts: DataFrame, longest: int, least: int) -> DataFrame:
     """Lead windows padded with null from the first word that ends a piece or a frequent phrase.
 
-    No phrase through a rare pair of neighbours can be frequent, so windows are cut there: pairs are
-    counted by hash, the frequent ones fill a filter that grows with them. The filter may pass rare
-    pairs, never the reverse, so counts of frequent phrases are complete.
+    No phrase with a rare word or pair of neighbours can be frequent, so windows are cut there: words and
+    pairs are counted by hash, the frequent ones fill a filter that grows with them. The filter may
+    pass rare ones, never the reverse, so counts of frequent phrases are complete. A window without any
+    word left still counts for its language.
     """
-    pairs = lead_windows(texts, 2).where(F.col("w2").isNotNull() & (F.col("w2") != MARK)).select(
-        _pair(F.col("lang"), F.col("w1"), F.col("w2")).alias("h"))
-    common = cut(pairs.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("h"))
+    two = lead_windows(texts, 2)
+    pair = F.when(F.col("w2") != MARK, _hash("lang", "w1", "w2"))
+    hashes = two.select(F.explode(F.array(_hash("lang", "w1"), pair)).alias("h")).where(F.col("h").isNotNull())
+    common = cut(hashes.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.xxhash64("h").alias("h")))
     bits = filter_bits(common.count())
     flags = hash_filter(common, bits)
     windows = lead_windows(texts, longest)
+    windows = windows.withColumn("w1", F.when(passes(flags, F.xxhash64(_hash("lang", "w1")), bits), F.col("w1")))
     for i in range(2, longest + 1):
         before, word = F.col(f"w{i - 1}"), F.col(f"w{i}")
-        fits = before.isNotNull() & (word != MARK) & passes(flags, _pair(F.col("lang"), before, word), bits)
+        fits = before.isNotNull() & (word != MARK) & passes(flags, F.xxhash64(_hash("lang", before, word)), bits)
         windows = windows.withColumn(f"w{i}", F.when(fits, word))
     return windows
 
@@ -96,7 +100,7 @@ def mine(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
                        part(F.col("k") + 1, F.size("ws") - F.col("k")).alias("rest"))
     cuts = (cuts.join(counts.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l")), ["lang", "first"])
             .join(counts.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"])
-            .join(totals, "lang"))
+            .join(broadcast_if_small(totals), "lang"))
     big = {c: F.col(c).cast("decimal(19,0)") for c in ("a", "l", "r", "n")}
     score = F.call_function("div", (big["a"] * F.lit(1000) * big["n"]).cast(_BIG), (big["l"] * big["r"]).cast(_BIG))
     lowest = cuts.select("lang", "phrase", "a", "n", "l", "r", "k", score.alias("score")).groupBy("lang", "phrase").agg(
