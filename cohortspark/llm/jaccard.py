@@ -18,8 +18,8 @@ SHINGLE, PERCENT, ORDERS = 4, 85, 3
 #: Counters of the rarity sketch: about one a word, in these bounds (a byte each once they are classes). Fewer
 #: counters than shingles only make the first prefix less rare; any fixed order finds every link.
 LEAST_COUNTERS, MOST_COUNTERS = 1 << 16, 1 << 24
-#: Counters a task sends as one block.
-SECTION = 1 << 16
+#: Counters a task sends as one block, and columns multiplied at a time.
+SECTION, COLUMNS = 1 << 16, 1 << 13
 
 
 def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -175,8 +175,40 @@ def _verified(percent: int):
     return batches
 
 
-def _spanning(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Links that join components of a block's rows (id, component, other, base, n, tokens, prefixes...): size, orders, then overlap."""
+def _meet(lists: list[list[int]]) -> np.ndarray:
+    """Which of the lists share a number, from a product of 0/1 matrices, some columns at a time."""
+    sizes = np.array([len(x) for x in lists])
+    at = np.repeat(np.arange(len(lists)), sizes)
+    codes, columns = np.unique(np.concatenate([np.asarray(x, dtype=np.int64) for x in lists]), return_inverse=True)
+    shared = np.bincount(columns, minlength=len(codes)) > 1
+    at, columns = at[shared[columns]], (np.cumsum(shared) - 1)[columns[shared[columns]]]
+    both = np.zeros((len(lists),) * 2, dtype=bool)
+    for low in range(0, int(shared.sum()), COLUMNS):
+        use = (columns >= low) & (columns < low + COLUMNS)
+        held = np.zeros((len(lists), min(COLUMNS, int(shared.sum()) - low)), dtype=np.float32)
+        held[at[use], columns[use] - low] = 1
+        both |= held @ held.T > 0
+    return both
+
+
+def _open(rows: list[tuple], percent: int) -> np.ndarray:
+    """Pairs (upper triangle) of a block's rows (id, component, other, n, ...) that may join two components, by their sizes."""
+    component, other, n = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
+    fits = 100 * np.minimum(n[:, None], n[None]) >= percent * np.maximum(n[:, None], n[None])
+    return np.triu(fits & (component[:, None] != component[None]) & (other[:, None] | other[None]), 1)
+
+
+def _candidates(rows: list[tuple], percent: int) -> list[tuple]:
+    """Rows (id, component, other, n, prefixes...) with a partner of compatible size whose prefixes meet under every order."""
+    pairs = _open(rows, percent)
+    for q in range(4, len(rows[0])):
+        if pairs.any():
+            pairs &= _meet([r[q] for r in rows])
+    return [r[:4] for r, keep in zip(rows, pairs.any(axis=0) | pairs.any(axis=1)) if keep]
+
+
+def _spanning(rows: list[tuple], percent: int) -> list[tuple]:
+    """Links that join components of rows (id, component, other, n, tokens): exact overlaps, unless others have joined the two."""
     joined: dict[int, int] = {}
 
     def root(c: int) -> int:
@@ -184,38 +216,38 @@ def _spanning(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
             c = joined[c]
         return c
 
-    sets, found = [_tokens(r[5]) for r in rows], []
-    n, other, component = (np.array([r[i] for r in rows]) for i in (4, 2, 1))
-    near = (100 * np.minimum(n[:, None], n[None]) >= percent * np.maximum(n[:, None], n[None])) & (
-        component[:, None] != component[None]) & (other[:, None] | other[None])
-    prefixes = [[set(q) for q in r[6:]] for r in rows]
-    for i, j in zip(*np.nonzero(np.triu(near, 1))):
+    sets, found = [_tokens(r[4]) for r in rows], []
+    for i, j in zip(*np.nonzero(_open(rows, percent))):
         a, b = root(rows[i][1]), root(rows[j][1])
-        if a != b and all(not p.isdisjoint(q) for p, q in zip(prefixes[i], prefixes[j])) and similar(sets[i], sets[j], percent):
+        if a != b and similar(sets[i], sets[j], percent):
             joined[max(a, b)] = min(a, b)
             found.append((rows[i][0], rows[j][0]))
     return found
 
 
-def _blocks(percent: int, orders: int):
-    names = ["key", "i", "j", "id", "component", "other", "base", "n", "tokens"] + [f"q{o}" for o in range(2, orders + 1)]
+def _by_block(names: list[str], work, out: list[str]):
+    """Apply ``work`` to the rows (columns ``names``) of each (key, i, j), whose rows are adjacent; its tuples become columns ``out``."""
+    kinds = {"other": pa.bool_()}
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
 
-        def links() -> pa.RecordBatch:
-            pairs = _spanning(rows, percent)
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+        def result() -> pa.RecordBatch:
+            found = work(rows)
+            if out[0] == "key":
+                found = [(*group, *f) for f in found]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([f[k] for f in found], kinds.get(c, pa.int64())) for k, c in enumerate(out)], names=out)
 
         for batch in source:
-            for key, i, j, *row in zip(*[batch.column(c).to_pylist() for c in names]):
+            for key, i, j, *row in zip(*[batch.column(c).to_pylist() for c in ("key", "i", "j", *names)]):
                 if (key, i, j) != group and rows:
-                    yield links()
+                    yield result()
                     rows = []
                 group = (key, i, j)
                 rows.append(tuple(row))
         if rows:
-            yield links()
+            yield result()
     return batches
 
 
@@ -284,10 +316,17 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         return both.mapInArrow(_verified(percent), "u bigint, v bigint")
 
     def compare(placed: DataFrame) -> DataFrame:
-        work = block_pairs(placed)
-        sets = sets_of(work.select("id"))
-        work = work.join(sides, "id").join(sets, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-        return work.mapInArrow(_blocks(percent, orders), "u bigint, v bigint")
+        """First the filters alone, on sizes and prefixes; full sets go only to members with a partner left in their block."""
+        def dealt(df: DataFrame, *columns: str) -> DataFrame:
+            sorted_blocks = df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+            return sorted_blocks.select("key", "i", "j", "id", "component", "other", "n", *columns)
+
+        head = ["id", "component", "other", "n"]
+        work = dealt(block_pairs(placed).join(sides, "id"), *qs)
+        work = cut(work.mapInArrow(_by_block([*head, *qs], lambda rows: _candidates(rows, percent), ["key", "i", "j", *head]),
+                                   "key bigint, i bigint, j bigint, id bigint, component bigint, other boolean, n bigint"))
+        work = dealt(work.join(sets_of(work.select("id")), "id"), "tokens")
+        return work.mapInArrow(_by_block([*head, "tokens"], lambda rows: _spanning(rows, percent), ["u", "v"]), "u bigint, v bigint")
 
     linked = linked_groups(members, verify, compare)
     placed = nodes.withColumn("id", number).join(linked, "id", "left").select(
