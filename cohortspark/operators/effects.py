@@ -219,40 +219,122 @@ def _bootstrap_status(effects: DataFrame, replicates: int) -> Column:
             .otherwise(F.lit("available_percentile_donor_bootstrap")))
 
 
+#: Donors of a block; an arm of more is resampled block by block.
+BLOCK = 4_096
+#: Draws held at a time.
+DRAWS = 1 << 20
+
+
+def _mix32(x):
+    """A permutation of 32-bit numbers that scatters neighbours."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        x = np.asarray(x, dtype=np.uint32)
+        x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        return x ^ (x >> np.uint32(16))
+
+
+def block_slots(seed: int, arm: int, n: int, block: int, replicates: int, size: int):
+    """How many of the n draws of each replicate fall on donors of ``block``.
+
+    The multinomial over blocks is taken apart into binomials along a binary tree. Every block draws
+    the same numbers at the nodes it passes, so the blocks of an arm agree without meeting.
+    """
+    import numpy as np
+
+    counts = np.full(replicates, n, dtype=np.int64)
+    low, high = 0, -(-n // size)
+    while high - low > 1:
+        middle = (low + high) // 2
+        share = (middle - low) * size / (min(high * size, n) - low * size)
+        left = np.random.default_rng([seed, arm, low, high]).binomial(counts, share)
+        counts, low, high = (left, low, middle) if block < middle else (counts - left, middle, high)
+    return counts
+
+
+def block_sums(scores, seed: int, arm: int, n: int, block: int, replicates: int, size: int = BLOCK):
+    """Sum of the scores drawn from one block, for each replicate.
+
+    Slot j of replicate r draws donor ``hash(seed, arm, block, r, j) * donors >> 32``: a counter-based
+    generator, so a retried task draws the same donors.
+    """
+    import numpy as np
+
+    scores = np.asarray(scores, dtype=float)
+    counts = block_slots(seed, arm, n, block, replicates, size)
+    base = _mix32((seed & 0xFFFFFFFF) ^ int(_mix32((seed >> 32) ^ int(_mix32(2 * block + arm)))))
+    keys = base ^ _mix32(np.arange(1, replicates + 1))
+    keys, slots = _mix32(keys), _mix32(np.arange(int(counts.max(initial=0))))
+    sums, at = np.zeros(replicates), 0
+    while at < replicates:
+        # As many replicates as hold DRAWS draws, one at least.
+        end = max(at + 1, at + int(np.searchsorted(np.cumsum(counts[at:]), DRAWS, side="right")))
+        taken = counts[at:end]
+        starts = np.concatenate(([0], np.cumsum(taken)[:-1]))
+        slot = np.arange(int(taken.sum())) - np.repeat(starts, taken)
+        drawn = _mix32(np.repeat(keys[at:end], taken) ^ slots[slot]).astype(np.uint64)
+        picks = scores[((drawn * np.uint64(len(scores))) >> np.uint64(32)).astype(np.int64)]
+        sums[at:end] = np.bincount(np.repeat(np.arange(end - at), taken), weights=picks, minlength=end - at)
+        at = end
+    return sums
+
+
 def donor_bootstrap(arms: DataFrame, keys: Sequence[str] = tuple(CONTRAST),
-                    replicates: int = REPLICATES, seed: int = SEED,
-                    confidence: float = CONFIDENCE) -> DataFrame:
-    """Percentile interval of the donor bootstrap; draws are keyed hashes.
-
-    Draw (replicate, slot) of an arm picks the donor with index
-    ``md5(seed|keys|arm|replicate|slot) mod n``, so the result depends neither on
-    partitioning nor on retries.  Draws meet the donors by an equi join on the index, and the
-    mean of each replicate combines map-side.
+                    replicates: int = REPLICATES, seed: int = SEED, confidence: float = CONFIDENCE,
+                    template: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """Percentile interval of the donor bootstrap; ``bootstrap_seed`` drives all draws.
+
+    The donors of an arm are dealt to blocks of at most ``block``. A block draws its own share of each
+    replicate and returns one sum per replicate; those are added over blocks, so the shuffle carries
+    ``replicates`` numbers a block, however many donors and draws there are. Results depend neither on
+    partitioning nor on retries.
     """
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     keys = list(keys)
     arm_keys = keys + ["contrast_arm"]
     arms = settle(arms.select(*arm_keys, "donor_id", "module_score"))
     donors = settle(hashed_index(arms, arm_keys, "donor_id", "_index"))
     sizes = donors.groupBy(*arm_keys).agg(F.count(F.lit(1)).alias("_n"))
-    moments = contrast_moments(arms, keys).withColumn("bootstrap_status", _bootstrap_status(arms, replicates))
-    ready = moments.where(F.col("bootstrap_status").startswith("available")).select(*keys)
-    slots = (donors.join(sizes, arm_keys).join(ready, keys, "left_semi")
-             .select(*arm_keys, "_n", F.col("_index").alias("_slot")))
-    draws = spread(slots, *arm_keys, "_slot").select(
-        *arm_keys, "_n", "_slot", F.explode(F.sequence(F.lit(1), F.lit(max(replicates, 1)))).alias("_rep"))
-    picked = draws.select(*arm_keys, "_n", "_rep", X.hash_draw(
-        "_n", F.lit(str(seed)), *keys, "contrast_arm", "_rep", "_slot").alias("_index"))
-    means = (picked.join(donors.select(*arm_keys, "_index", "module_score"), [*arm_keys, "_index"])
-             .groupBy(*keys, "_rep").agg(
-                 F.avg(F.when(F.col("contrast_arm") == "target", F.col("module_score"))).alias("_t"),
-                 F.avg(F.when(F.col("contrast_arm") == "comparison", F.col("module_score"))).alias("_c")))
+    moments = contrast_moments(arms, keys).withColumn("bootstrap_status", _bootstrap_status(arms, replicates)).withColumn(
+        "bootstrap_seed", X.stable_seed(seed, *keys, template=template))
+    ready = moments.where(F.col("bootstrap_status").startswith("available")).select(*keys, "bootstrap_seed")
+    # At most ``block`` scores in a row.
+    packed = (donors.withColumn("_block", F.floor(F.col("_index") / block)).groupBy(*arm_keys, "_block")
+              .agg(F.array_sort(F.collect_list(F.struct("_index", F.col("module_score").cast("double").alias("s")))).alias("_d"))
+              .join(sizes, arm_keys).join(ready, keys)
+              .select(*arm_keys, "_n", "_block", "bootstrap_seed", F.transform("_d", lambda d: d["s"]).alias("_scores")))
+    packed = spread(packed, *arm_keys, "_block")
+
+    def resample(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                n, at, text, scores, arm = (row.column(c)[0].as_py() for c in ("_n", "_block", "bootstrap_seed", "_scores", "contrast_arm"))
+                sums = block_sums(scores, int(text), 1 if arm == "target" else 2, n, at, replicates, block)
+                yield pa.RecordBatch.from_arrays([*row.select([*arm_keys, "_n"]).columns, pa.array([sums.tolist()])],
+                                                 names=[*arm_keys, "_n", "_sums"])
+
+    types = dict(packed.dtypes)
+    fields = ", ".join(f"`{c}` {types[c]}" for c in [*arm_keys, "_n"])
+    drawn = packed.mapInArrow(resample, f"{fields}, _sums array<double>").select(*arm_keys, "_n", F.posexplode("_sums").alias("_rep", "_sum"))
+    part = F.col("_sum") / F.col("_n")
+    means = drawn.groupBy(*keys, "_rep").agg(
+        F.sum(F.when(F.col("contrast_arm") == "target", part).otherwise(-part)).alias("_diff"))
     tail = (1.0 - confidence) / 2.0
     # Bounded by the number of replicates, so the built-in percentile is safe here.
-    limits = means.groupBy(*keys).agg(
-        F.percentile(F.col("_t") - F.col("_c"), F.array(F.lit(tail), F.lit(1.0 - tail))).alias("_q"))
-    return (moments.select(*keys, "comparison_n", "target_n", "bootstrap_status").join(limits, keys, "left")
-            .withColumns({"bootstrap_ci_lower": F.col("_q")[0], "bootstrap_ci_upper": F.col("_q")[1],
-                          "bootstrap_seed": X.stable_seed(seed, *keys)}).drop("_q"))
+    limits = means.groupBy(*keys).agg(F.percentile("_diff", F.array(F.lit(tail), F.lit(1.0 - tail))).alias("_q"))
+    return (moments.select(*keys, "comparison_n", "target_n", "bootstrap_status", "bootstrap_seed").join(limits, keys, "left")
+            .withColumns({"bootstrap_ci_lower": F.col("_q")[0], "bootstrap_ci_upper": F.col("_q")[1]})
+            .select(*keys, "comparison_n", "target_n", "bootstrap_status", "bootstrap_ci_lower", "bootstrap_ci_upper",
+                    "bootstrap_seed"))
 
 
 def donor_bootstrap_parity(arms: DataFrame, order: str, keys: Sequence[str] = tuple(CONTRAST),

@@ -40,52 +40,89 @@ def multi_pattern_search(texts: DataFrame, patterns: DataFrame, text_id: str, te
     The seed table is broadcast only after its size is checked.  Otherwise the join shuffles
     on the seed and carries positions only; the surviving candidates then meet the texts.
     """
-    spark_rows = patterns.where(F.length(pattern) >= 1)
-    distinct = (spark_rows.select(F.col(pattern).alias("_pattern")).distinct()
-                .withColumn("_s", size_of("_pattern", seed_lengths)))
-    seeds = (distinct.select("_pattern", "_s", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_offset"))
-             .withColumn("_seed", F.substring("_pattern", F.col("_offset") + 1, F.col("_s"))))
-    seeds, small = broadcast_if_small(seeds, MAX_BROADCAST_SEEDS)
-    # At most one row per seed length: bounded by the constant list above.
-    used = sorted(r[0] for r in distinct.select("_s").distinct().collect())
-    if not used:
-        used = [seed_lengths[-1]]
-    reach = distinct.agg(F.max(F.length("_pattern"))).first()[0] or 1
+    plan = _Seeds(patterns, pattern, seed_lengths)
     # A chunk is never shorter than the longest pattern, so the overlaps at most triple a text.
     longest = max(seed_lengths)
-    chunk = max(chunk, -(-reach // longest) * longest)
-
-    # Chunk c covers blocks starting in [c*chunk, (c+1)*chunk); it carries enough text on both
-    # sides to verify any pattern whose aligned block starts there.
-    # One pass cuts a text into its chunks; the overlaps come from the neighbouring chunks.
-    cut = (spread_scan(texts.select(F.col(text_id).alias("_id"), F.col(text).alias("_text")))
-           .select("_id", F.length("_text").alias("_len"),
-                   F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("_chunks")))
-    piece = (cut.select("_id", "_len", "_chunks", F.posexplode("_chunks").alias("_chunk", "_own"))
-             .withColumn("_before", F.coalesce(F.right(F.get("_chunks", F.col("_chunk") - 1), F.lit(reach)), F.lit("")))
-             .select("_id", "_chunk", "_len", (F.col("_chunk") * chunk - F.length("_before")).alias("_left"), F.concat(
-                 "_before", "_own", F.coalesce(F.left(F.get("_chunks", F.col("_chunk") + 1), F.lit(reach + max(used))), F.lit("")))
-                 .alias("_piece")))
-    lengths = F.array(*[F.lit(s) for s in used])
-    first = F.col("_chunk") * chunk
-    last = F.least(first + F.lit(chunk), F.col("_len")) - F.col("_s")
-    blocks = (piece.withColumn("_s", F.explode(lengths)).where(last >= first)
-              .withColumn("_pos", F.explode(F.sequence(first, last, F.col("_s"))))
-              .withColumn("_seed", F.substring("_piece", F.col("_pos") - F.col("_left") + 1, F.col("_s"))))
-    start = F.col("_pos") - F.col("_offset")
-    if small:
-        found = blocks.join(seeds, ["_s", "_seed"]).withColumn("_start", start).where(
-            (F.col("_start") >= 0)
-            & (F.substring("_piece", F.col("_start") - F.col("_left") + 1, F.length("_pattern")) == F.col("_pattern")))
-    else:
-        candidates = (blocks.select("_id", "_chunk", "_s", "_seed", "_pos").join(seeds, ["_s", "_seed"])
-                      .select("_id", "_chunk", start.alias("_start"), "_pattern").where(F.col("_start") >= 0))
-        found = candidates.join(piece, ["_id", "_chunk"]).where(
-            F.substring("_piece", F.col("_start") - F.col("_left") + 1, F.length("_pattern")) == F.col("_pattern"))
-    hits = found.select(F.col("_id").alias(text_id), "_pattern", (F.col("_start") + 1).cast("long").alias("start"),
-                        (F.col("_start") + F.length("_pattern")).cast("long").alias("end"))
-    named = spark_rows.withColumnRenamed(pattern, "_pattern")
-    return hits.join(named, "_pattern").drop("_pattern")
+    chunk = max(chunk, -(-plan.reach // longest) * longest)
+    # One pass cuts a text into its chunks; each is zipped with what it needs of its neighbours.
+    cut = spread_scan(texts.select(F.col(text_id).alias("_id"), F.col(text).alias("_text"))).select(
+        "_id", F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("_own"))
+    none = F.array(F.lit(""))
+    before = F.concat(none, F.transform(F.slice("_own", 1, F.size("_own") - 1), lambda c: F.right(c, F.lit(plan.before))))
+    after = F.concat(F.transform(F.slice("_own", 2, F.size("_own")), lambda c: F.left(c, F.lit(plan.after))), none)
+    pieces = cut.where(F.size("_own") > 0).select("_id", F.posexplode(F.arrays_zip(
+        F.col("_own").alias("o"), before.alias("b"), after.alias("a"))).alias("_chunk", "_z"))
+    pieces = pieces.select("_id", F.col("_chunk").cast("long").alias("_chunk"), F.col("_z.o").alias("_own"),
+                           F.col("_z.b").alias("_before"), F.col("_z.a").alias("_after"))
+    return plan.hits(pieces, chunk).withColumnRenamed("_id", text_id)
+
+
+def search_pieces(pieces: DataFrame, patterns: DataFrame, keys: Sequence[str], piece_no: str, piece: str, chunk: int,
+                  pattern: str = "pattern", seed_lengths: Sequence[int] = SEED_LENGTHS) -> DataFrame:
+    """:func:`multi_pattern_search` of texts that come in pieces of ``chunk`` characters (the last may be shorter).
+
+    Every piece sends its ends to its neighbours, so no row ever holds more than a piece and its
+    borders; positions count from the start of the whole text. Pieces must be as long as the longest
+    pattern at least, and a multiple of every seed length.
+    """
+    plan = _Seeds(patterns, pattern, seed_lengths)
+    if plan.after > chunk or any(chunk % s for s in seed_lengths):
+        raise ValueError(f"pieces of {chunk} characters are too short for the patterns or no multiple of the seeds")
+    own = pieces.select(F.struct(*keys).alias("_id"), F.col(piece_no).cast("long").alias("_chunk"), F.col(piece).alias("_own"))
+    sides = F.array(
+        F.struct(F.col("_chunk").alias("c"), F.lit("own").alias("side"), F.col("_own").alias("t")),
+        F.struct((F.col("_chunk") + 1).alias("c"), F.lit("before").alias("side"), F.right("_own", F.lit(plan.before)).alias("t")),
+        F.struct((F.col("_chunk") - 1).alias("c"), F.lit("after").alias("side"), F.left("_own", F.lit(plan.after)).alias("t")))
+    bordered = own.select("_id", F.inline(sides)).groupBy("_id", F.col("c").alias("_chunk")).agg(*[
+        F.max(F.when(F.col("side") == side, F.col("t"))).alias(f"_{side}") for side in ("own", "before", "after")])
+    bordered = bordered.where(F.col("_own").isNotNull()).select(
+        "_id", "_chunk", "_own", F.coalesce("_before", F.lit("")).alias("_before"), F.coalesce("_after", F.lit("")).alias("_after"))
+    return plan.hits(bordered, chunk).select("_id.*", "*").drop("_id")
+
+
+class _Seeds:
+    """Distinct patterns, their seeds, and the join that finds them in pieces of text."""
+
+    def __init__(self, patterns: DataFrame, pattern: str, seed_lengths: Sequence[int]):
+        self.named = patterns.where(F.length(pattern) >= 1).withColumnRenamed(pattern, "_pattern")
+        distinct = self.named.select("_pattern").distinct().withColumn("_s", size_of("_pattern", seed_lengths))
+        seeds = (distinct.select("_pattern", "_s", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("_offset"))
+                 .withColumn("_seed", F.substring("_pattern", F.col("_offset") + 1, F.col("_s"))))
+        self.seeds, self.small = broadcast_if_small(seeds, MAX_BROADCAST_SEEDS)
+        # At most one row per seed length: bounded by the constant list above.
+        facts = distinct.groupBy("_s").agg(F.max(F.length("_pattern")).alias("reach")).collect()
+        self.used = sorted(r["_s"] for r in facts) or [seed_lengths[-1]]
+        self.reach = max((r["reach"] for r in facts), default=1)
+        #: Characters needed of the neighbours to verify a pattern around a block.
+        self.before, self.after = self.reach, self.reach + max(self.used)
+
+    def hits(self, pieces: DataFrame, chunk: int) -> DataFrame:
+        """Occurrences in pieces (_id, _chunk, _own, _before, _after), with the patterns' other columns.
+
+        A piece answers for the blocks that start in its own part.
+        """
+        first = F.col("_chunk") * chunk
+        piece = pieces.select("_id", "_chunk", (first + F.length("_own")).alias("_end"), (first - F.length("_before")).alias("_left"),
+                              F.concat("_before", "_own", "_after").alias("_piece"))
+
+        def at(start: Column, size) -> Column:
+            return F.substring("_piece", (start - F.col("_left") + 1).cast("int"), size)
+
+        last = F.col("_end") - F.col("_s")
+        blocks = (piece.withColumn("_s", F.explode(F.array(*[F.lit(s) for s in self.used]))).where(last >= first)
+                  .withColumn("_pos", F.explode(F.sequence(first, last, F.col("_s").cast("long"))))
+                  .withColumn("_seed", at(F.col("_pos"), F.col("_s"))))
+        start = F.col("_pos") - F.col("_offset")
+        fits = at(F.col("_start"), F.length("_pattern")) == F.col("_pattern")
+        if self.small:
+            found = blocks.join(self.seeds, ["_s", "_seed"]).withColumn("_start", start).where((F.col("_start") >= 0) & fits)
+        else:
+            candidates = (blocks.select("_id", "_chunk", "_s", "_seed", "_pos").join(self.seeds, ["_s", "_seed"])
+                          .select("_id", "_chunk", start.alias("_start"), "_pattern").where(F.col("_start") >= 0))
+            found = candidates.join(piece, ["_id", "_chunk"]).where(fits)
+        hits = found.select("_id", "_pattern", (F.col("_start") + 1).cast("long").alias("start"),
+                            (F.col("_start") + F.length("_pattern")).cast("long").alias("end"))
+        return hits.join(self.named, "_pattern").drop("_pattern")
 
 
 def size_of(pattern: str, seed_lengths: Sequence[int]) -> Column:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..functions import expr as X
 from ..functions.config import literal_array
 from ..functions.lineage import settle
+from ..functions.scans import PART, range_parts, stitched, sum_over
 
 # Fixed values.
 NORMAL_975 = 1.959963984540054
@@ -282,39 +283,28 @@ def scenario_synthesis(studies: DataFrame, keys: Sequence[str], scenarios: Mappi
             .withColumn("complete", F.col("k") == F.col("expected_k")))
 
 
-def adjust_bh(rows: DataFrame, family: Sequence[str], p_value: str, out: str = "p_adjusted") -> DataFrame:
+def adjust_bh(rows: DataFrame, family: Sequence[str], p_value: str, out: str = "p_adjusted", parts: int | None = None) -> DataFrame:
     """Benjamini-Hochberg adjustment inside each family.
 
-    Equal p-values share the largest rank of their tie, so the test works on distinct
-    values.  These are cut into ranges of p, numbered inside a range and stitched by range
-    counts; the running minimum is stitched the same way.  A family of any size is therefore
-    spread over ranges instead of being sorted in one task.
+    Equal p-values share the largest rank of their tie, so the test works on distinct values. These
+    are cut into ranges of about equal size by sampled quantiles of (family, p), so a family whose
+    p-values all lie close together is spread like any other. Ranks are counted inside a range and
+    stitched from below, the running minimum from above.
     """
     family = list(family)
-    buckets = 4096
-    counted = (rows.where(F.col(p_value).isNotNull()).groupBy(*family, F.col(p_value).alias("_p"))
-               .agg(F.count(F.lit(1)).alias("_c"))
-               .withColumn("_b", F.floor(F.col("_p") * buckets).cast("int"))
-               .repartition(*family, "_b"))
-    upto = (Window.partitionBy(*family, "_b").orderBy("_p")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    before = (Window.partitionBy(*family).orderBy("_b")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    whole = Window.partitionBy(*family)
-    sizes = (counted.groupBy(*family, "_b").agg(F.sum("_c").alias("_n"))
-             .select(*family, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"),
-                     F.sum("_n").over(whole).alias("_m")))
-    ranked = (counted.withColumn("_rank", F.sum("_c").over(upto))
-              .join(sizes, [*family, "_b"])
-              .withColumn("_raw", F.col("_p") * F.col("_m") / (F.col("_rank") + F.col("_base"))))
-    down = (Window.partitionBy(*family, "_b").orderBy(F.col("_p").desc())
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = (Window.partitionBy(*family).orderBy(F.col("_b").desc())
-             .rowsBetween(Window.unboundedPreceding, -1))
-    floors = (ranked.groupBy(*family, "_b").agg(F.min("_raw").alias("_low"))
-              .select(*family, "_b", F.min("_low").over(after).alias("_after")))
-    adjusted = (ranked.withColumn("_here", F.min("_raw").over(down))
-                .join(floors, [*family, "_b"])
-                .select(*family, F.col("_p").alias(p_value),
-                        F.least("_here", F.coalesce("_after", F.lit(1.0)), F.lit(1.0)).alias(out)))
-    return rows.join(adjusted, [*family, p_value], "left")
+    distinct = rows.where(F.col(p_value).isNotNull()).groupBy(*family, F.col(p_value).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    ranges = range_parts(distinct, family, "_p", parts)
+    sizes = ranges.groupBy(*family).agg(F.sum("_c").alias("_m"))
+    ranked = sum_over(ranges, family, "_p", F.col("_c"), "_rank")
+    same = F.lit(True)
+    for f in family:
+        same = same & F.col(f).eqNullSafe(F.col(f"_size_{f}"))
+    sizes = sizes.select(*[F.col(f).alias(f"_size_{f}") for f in family], "_m")
+    raw = ranked.join(sizes, same).select(PART, *family, "_p", (F.col("_p") * F.col("_m") / F.col("_rank")).alias("_raw"))
+    adjusted = stitched(raw, family, "_p", F.min("_raw"), F.min("_raw"), F.min("_whole"),
+                        lambda local, carried: F.least(local, F.coalesce(carried, F.lit(1.0)), F.lit(1.0)), out, falling=True)
+    back = F.col("_p") == F.col(p_value)
+    for f in family:
+        back = back & F.col(f).eqNullSafe(F.col(f"_of_{f}"))
+    adjusted = adjusted.select(*[F.col(f).alias(f"_of_{f}") for f in family], "_p", out)
+    return rows.join(adjusted, back, "left").drop("_p", *[f"_of_{f}" for f in family])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import spread_scan
-from ..functions.scans import carry_forward, running_sum
+from ..functions.scans import PART, carry_forward, latest_over, range_parts, running_sum, sum_over
 
 
 # Patterns of machine paths and credentials that a release must not contain.
@@ -56,10 +56,11 @@ def table_between_markers(lines: DataFrame, keys: Sequence[str], begin: Column,
     change nothing.
     """
     marker = F.when(begin, F.lit("begin")).when(end, F.lit("end"))
-    inside = carry_forward(lines, list(keys), pos, marker, "_marker")
-    numbered = running_sum(inside, list(keys), pos, F.when(begin, 1).otherwise(0), "_table")
+    ranges = range_parts(lines, keys, pos)
+    inside = latest_over(ranges, keys, pos, marker, "_marker")
+    numbered = sum_over(inside, keys, pos, F.when(begin, 1).otherwise(0), "_table")
     return (numbered.where((F.col("_marker") == "begin") & ~begin & ~end)
-            .withColumn("table_no", F.col("_table").cast("long")).drop("_marker", "_table"))
+            .withColumn("table_no", F.col("_table").cast("long")).drop("_marker", "_table", PART))
 
 
 def multiline_records(lines: DataFrame, keys: Sequence[str], is_header: Column, line: str = "line",
@@ -78,6 +79,55 @@ def multiline_records(lines: DataFrame, keys: Sequence[str], is_header: Column,
                 F.size("_body").cast("long").alias("body_lines")))
 
 
+#: Characters of a piece of a long record: a multiple of every seed length of the pattern search.
+PIECE = 65_536
+# Fixed value: where a record's header names its gene; the version after the point is left out.
+GENE = r"(?:^|\s)gene:([^\s]+)"
+
+
+def header_gene_id(header: str | Column, pattern: str = GENE) -> Column:
+    """Gene identifier of a header without its version, or an empty string."""
+    return F.split_part(F.regexp_extract(header, pattern, 1), F.lit("."), F.lit(1))
+
+
+def record_pieces(lines: DataFrame, keys: Sequence[str], start: str = ">", line: str = "line", pos: str = "pos",
+                  chunk: int = PIECE) -> DataFrame:
+    """Records of a header and many lines, as (keys, record_no, header, piece_no, offset, piece).
+
+    Lines are trimmed and blank ones skipped; a line that begins with ``start`` opens a record, the rest of
+    it being the header. Body lines are upper-cased and joined. Lines before the first header and
+    records with an empty header are left out; a record without body lines is one empty piece.
+
+    No row holds more than ``chunk`` characters of a record: running offsets place every line, lines are
+    cut where pieces end, and each piece is put together by itself.
+    """
+    keys = list(keys)
+    text = F.regexp_replace(line, r"^\s+|\s+$", "")
+    clean = lines.select(*keys, pos, text.alias("_text")).where(F.col("_text") != "")
+    opens = F.col("_text").startswith(start)
+    ranges = range_parts(clean.withColumn("_opens", opens), keys, pos)
+    numbered = sum_over(ranges, keys, pos, F.when(F.col("_opens"), 1).otherwise(0), "record_no").where("record_no > 0")
+    body = F.when(F.col("_opens"), F.lit("")).otherwise(F.upper("_text"))
+    numbered = numbered.withColumn("_text", F.when(F.col("_opens"), F.col("_text")).otherwise(body)).withColumn(
+        "_size", F.when(F.col("_opens"), F.lit(0)).otherwise(F.length("_text")).cast("long"))
+    # Records lie in ranges in order, so the same ranges serve for offsets within a record.
+    placed = sum_over(numbered, [*keys, "record_no"], pos, F.col("_size"), "_end").withColumn("_from", F.col("_end") - F.col("_size"))
+    headers = placed.where("_opens").select(
+        *keys, "record_no", F.substring("_text", len(start) + 1, 1 << 30).alias("header"))
+    headers = headers.where(F.length("header") > 0)
+    # The first part of a line fills its piece, the others are whole pieces or the line's end.
+    room = (F.lit(chunk) - F.col("_from") % chunk).cast("int")
+    parts = F.concat(F.array(F.left("_text", room)), F.regexp_extract_all(
+        F.substring(F.col("_text"), room + 1, F.length("_text")), F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)))
+    cut = placed.where("not _opens").select(*keys, "record_no", "_from", F.posexplode(parts).alias("_i", "_part"))
+    cut = cut.withColumn("piece_no", F.floor(F.col("_from") / chunk) + F.col("_i"))
+    joined = cut.groupBy(*keys, "record_no", "piece_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct("_from", "_i", "_part"))), lambda s: s["_part"]), "").alias("piece"))
+    return (headers.join(joined, [*keys, "record_no"], "left").withColumn("piece_no", F.coalesce("piece_no", F.lit(0).cast("long")))
+            .select(*keys, F.col("record_no").cast("long").alias("record_no"), "header", "piece_no",
+                    (F.col("piece_no") * chunk).alias("offset"), F.coalesce("piece", F.lit("")).alias("piece")))
+
+
 def text_pattern_scan(texts: DataFrame, keys: Sequence[str], text: str, patterns: Mapping[str, str]) -> DataFrame:
     """(keys, pattern) for each named regex found in a text; no join, patterns are literals."""
     names = F.array(*[F.when(F.col(text).rlike(p), F.lit(n)) for n, p in patterns.items()])

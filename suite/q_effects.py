@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortspark.functions import expr as X
+from cohortspark.functions.lineage import settle
 from cohortspark.operators import effects as E
 from cohortspark.operators import gates as G
 from cohortspark.operators import identity as I
@@ -66,29 +67,49 @@ def group_descriptives(t: Tables):
                               "mean_ci_lower", "mean_ci_upper"))
 
 
-view("v_boot_donors", """
-    SELECT cohort_id, compartment, module_id, contrast_arm, module_score,
-      row_number() OVER (PARTITION BY cohort_id, compartment, module_id, contrast_arm ORDER BY md5(donor_id), donor_id) - 1 AS idx,
-      count(*) OVER (PARTITION BY cohort_id, compartment, module_id, contrast_arm) AS n
-    FROM v_arms""")
-view("v_boot_means", f"""
-    SELECT d.cohort_id, d.compartment, d.module_id, rep,
-      avg(s.module_score) FILTER (WHERE d.contrast_arm = 'target') - avg(s.module_score) FILTER (WHERE d.contrast_arm = 'comparison') AS diff
-    FROM (SELECT *, ('0x' || substr(md5(concat_ws('|', '20260814', cohort_id, compartment, module_id, contrast_arm, rep, idx)), 1, 8))::BIGINT % n AS pick
-          FROM v_boot_donors CROSS JOIN range(1, {REPLICATES + 1}) r(rep)) d
-    JOIN v_boot_donors s ON s.cohort_id = d.cohort_id AND s.compartment = d.compartment AND s.module_id = d.module_id
-      AND s.contrast_arm = d.contrast_arm AND s.idx = d.pick
-    GROUP BY ALL""")
-view("v_boot", """
-    SELECT cohort_id, compartment, module_id, quantile_cont(diff, 0.025) AS low, quantile_cont(diff, 0.975) AS high
-    FROM v_boot_means GROUP BY ALL""")
-
-
 def seed_sql(*parts: str) -> str:
     digest = "sha256(concat_ws('|', '20260814', " + ", ".join(parts) + "))"
     return "CAST(('0x' || " + " || ".join(f"substr({digest}, {2 * i + 1}, 2)" for i in range(7, -1, -1)) + ")::UBIGINT AS VARCHAR)"
 
 
+def mixed(source: str, value: str, out: str) -> str:
+    """``source`` with the 32-bit mix of ``value`` as ``out``."""
+    return (f"(SELECT * EXCLUDE (_a, _b), xor(_b, _b >> 16) AS {out} FROM (SELECT *, (xor(_a, _a >> 13) * 3266489909) % 4294967296 AS _b "
+            f"FROM (SELECT *, (xor({value}, ({value}) >> 16) * 2246822507) % 4294967296 AS _a FROM {source})))")
+
+
+def bootstrap_views(prefix: str, rows: str, *template: str) -> None:
+    """{prefix}: percentile limits of the bootstrap of all contrasts of ``rows`` (arms of up to one block)."""
+    view(f"{prefix}_donors", f"""
+        SELECT *, dense_rank() OVER (ORDER BY cohort_id, compartment, module_id, contrast_arm) AS arm_no FROM (
+          SELECT cohort_id, compartment, module_id, contrast_arm, module_score,
+            row_number() OVER (PARTITION BY cohort_id, compartment, module_id, contrast_arm ORDER BY md5(donor_id), donor_id) - 1 AS idx,
+            count(*) OVER (PARTITION BY cohort_id, compartment, module_id, contrast_arm) AS n
+          FROM {rows})""")
+    quoted = [f"'{t}'" for t in template]
+    arms = (f"(SELECT DISTINCT cohort_id, compartment, module_id, contrast_arm, arm_no, n::UBIGINT AS n, (CASE contrast_arm WHEN 'target' THEN 1 "
+            f"ELSE 2 END)::UBIGINT AS code, {seed_sql(*quoted, 'cohort_id', 'compartment', 'module_id')}::UBIGINT AS seed FROM {prefix}_donors)")
+    arms = mixed(mixed(mixed(arms, "code", "m1"), "xor(seed >> 32, m1)", "m2"), "xor(seed & 4294967295, m2)", "base")
+    reps = mixed(f"(SELECT r::UBIGINT AS rep FROM range(1, {REPLICATES + 1}) t(r))", "rep", "m3")
+    slots = mixed(f"(SELECT j::UBIGINT AS slot FROM range(0, (SELECT max(n) FROM {prefix}_donors)) t(j))", "slot", "m4")
+    keyed = mixed(f"(SELECT arm_no, n, rep, base, m3 FROM {arms}, {reps})", "xor(base, m3)", "rep_key")
+    drawn = mixed(f"(SELECT arm_no, n, rep, rep_key, m4 FROM {keyed} JOIN {slots} ON slot < n)", "xor(rep_key, m4)", "draw")
+    view(f"{prefix}_means", f"""
+        SELECT d.arm_no, rep, avg(s.module_score) AS mean
+        FROM (SELECT arm_no, rep, (draw * n) >> 32 AS pick FROM {drawn}) d
+        JOIN {prefix}_donors s ON s.arm_no = d.arm_no AND s.idx = d.pick GROUP BY ALL""")
+    view(prefix, f"""
+        SELECT cohort_id, compartment, module_id, quantile_cont(diff, 0.025) AS low, quantile_cont(diff, 0.975) AS high
+        FROM (SELECT cohort_id, compartment, module_id, rep,
+                sum(mean) FILTER (WHERE contrast_arm = 'target') - sum(mean) FILTER (WHERE contrast_arm = 'comparison') AS diff
+              FROM {prefix}_means JOIN (SELECT DISTINCT cohort_id, compartment, module_id, contrast_arm, arm_no FROM {prefix}_donors) USING (arm_no)
+              GROUP BY ALL) GROUP BY ALL""")
+
+
+bootstrap_views("v_boot", "v_arms")
+bootstrap_views("v_isolated_boot", "(SELECT * FROM v_arms WHERE cohort_id = 'EUROPE')", "isolated")
+
+
 @query("donor_bootstrap", f"""
 SELECT m.cohort_id, m.compartment, m.module_id, comparison_n, target_n,
   CASE WHEN target_n < 2 OR comparison_n < 2 THEN 'not_estimable_group_n_lt_2' ELSE 'available_percentile_donor_bootstrap' END AS bootstrap_status,
@@ -216,23 +237,31 @@ def ordered_effects(t: Tables):
 SELECT w.cohort_id, w.compartment, w.module_id, round(effect, 6) AS effect, effect_direction,
   round(effect - q * analytic_se, 6) AS analytic_ci_lower, round(effect + q * analytic_se, 6) AS analytic_ci_upper,
   analytic_ci_status, agreeing AS leave_one_out_agreeing, directional AS leave_one_out_directional,
-  {seed_sql("'isolated'", 'w.cohort_id', 'w.compartment', 'w.module_id')} AS bootstrap_seed
+  {seed_sql("'isolated'", 'w.cohort_id', 'w.compartment', 'w.module_id')} AS bootstrap_seed,
+  CASE WHEN m.target_n < 2 OR m.comparison_n < 2 THEN 'not_estimable_group_n_lt_2' ELSE 'available_percentile_donor_bootstrap' END AS bootstrap_status,
+  CASE WHEN m.target_n >= 2 AND m.comparison_n >= 2 THEN round(low, 6) END AS bootstrap_ci_lower,
+  CASE WHEN m.target_n >= 2 AND m.comparison_n >= 2 THEN round(high, 6) END AS bootstrap_ci_upper
 FROM v_welch w LEFT JOIN v_tq_welch ON df = analytic_df
+JOIN v_moments m ON m.cohort_id = w.cohort_id AND m.compartment = w.compartment AND m.module_id = w.module_id
+LEFT JOIN v_isolated_boot b ON b.cohort_id = w.cohort_id AND b.compartment = w.compartment AND b.module_id = w.module_id
 JOIN (SELECT cohort_id, compartment, module_id, count(direction_agrees) AS directional,
         count(*) FILTER (WHERE direction_agrees) AS agreeing FROM v_loo_full GROUP BY ALL) r
   ON r.cohort_id = w.cohort_id AND r.compartment = w.compartment AND r.module_id = w.module_id
 WHERE w.cohort_id = 'EUROPE'""")
 def isolated_effects(t: Tables):
-    arms = t.arms_from(t.module_scores.where(F.col("cohort_id") == "EUROPE"))
+    # Every interval of this cohort, its bootstrap too, comes from a seed of its own.
+    arms = settle(t.arms_from(t.module_scores.where(F.col("cohort_id") == "EUROPE")))
+    resampled = E.donor_bootstrap(arms, KEYS, REPLICATES, template=("isolated",)).withColumns(
+        r6("bootstrap_ci_lower", "bootstrap_ci_upper")).drop("target_n", "comparison_n")
     welch = E.welch_interval(E.mean_difference(E.contrast_moments(arms)))
     kept = E.direction_retention(E.leave_one_out(arms)).select(
         *KEYS, "leave_one_out_agreeing", "leave_one_out_directional")
-    return welch.join(kept, KEYS).select(
+    return welch.join(kept, KEYS).join(resampled, KEYS).select(
         *KEYS, F.round("effect", 6).alias("effect"), "effect_direction",
         F.round("analytic_ci_lower", 6).alias("analytic_ci_lower"),
         F.round("analytic_ci_upper", 6).alias("analytic_ci_upper"), "analytic_ci_status",
-        "leave_one_out_agreeing", "leave_one_out_directional",
-        X.stable_seed(E.SEED, *KEYS, template=("isolated",)).alias("bootstrap_seed"))
+        "leave_one_out_agreeing", "leave_one_out_directional", "bootstrap_seed", "bootstrap_status",
+        "bootstrap_ci_lower", "bootstrap_ci_upper")
 
 
 # ---------------------------------------------------------------- ledgers and sources

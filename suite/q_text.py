@@ -67,6 +67,45 @@ def multiline_records(t: Tables):
     return rows.select("doc_id", "record_no", "header", F.md5("sequence").alias("sequence_md5"), "body_lines")
 
 
+# Pieces this short cut most records of the documents; a multiple of every seed length.
+RECORD_PIECE = 1024
+view("v_record_lines", r"""
+    SELECT doc_id, pos, l, starts_with(l, 'The ') AS h,
+      CAST(sum(CASE WHEN starts_with(l, 'The ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS record_no
+    FROM (SELECT doc_id, pos, regexp_replace(line, '^\s+|\s+$', '', 'g') AS l FROM v_doc_lines) WHERE l <> ''""")
+view("v_records", """
+    SELECT doc_id, record_no, substr(max(l) FILTER (WHERE h), 5) AS header,
+      coalesce(string_agg(upper(replace(l, 'ß', 'SS')), '' ORDER BY pos) FILTER (WHERE NOT h), '') AS sequence
+    FROM v_record_lines WHERE record_no > 0 GROUP BY doc_id, record_no""")
+
+
+def record_pieces_frame(t: Tables):
+    return T.record_pieces(doc_lines(t), ["doc_id"], "The ", chunk=RECORD_PIECE)
+
+
+@query("record_pieces", f"""
+SELECT doc_id, record_no, md5(header) AS header_md5, split_part(regexp_extract(header, '(?:^|\\s)the ([^\\s]+)', 1), '.', 1) AS gene_id,
+  i AS piece_no, i * {RECORD_PIECE} AS "offset", md5(substr(sequence, (i * {RECORD_PIECE} + 1)::BIGINT, {RECORD_PIECE})) AS piece_md5
+FROM (SELECT *, unnest(range(0, greatest(1, (len(sequence) + {RECORD_PIECE - 1}) // {RECORD_PIECE}))) AS i FROM v_records WHERE header <> '')""")
+def record_pieces(t: Tables):
+    return record_pieces_frame(t).select(
+        "doc_id", "record_no", F.md5("header").alias("header_md5"), T.header_gene_id("header", r"(?:^|\s)the ([^\s]+)").alias("gene_id"),
+        "piece_no", "offset", F.md5("piece").alias("piece_md5"))
+
+
+@query("record_hits", """
+SELECT doc_id, record_no, item_id, pos AS start, pos + len(p) - 1 AS "end"
+FROM (SELECT r.doc_id, r.record_no, b.item_id, p,
+        unnest(list_filter(range(1, len(r.sequence) - len(p) + 2), lambda i: substr(r.sequence, i, len(p)) = p)) AS pos
+      FROM (SELECT * FROM v_records WHERE header <> '') r
+      JOIN (SELECT item_id, upper(replace(substr(text, 1, 60), 'ß', 'SS')) AS p FROM benchmark WHERE len(text) > 0) b ON contains(r.sequence, p))""")
+def record_hits(t: Tables):
+    # The first 60 characters of each item, in whichever piece or across whichever border they lie.
+    patterns = t.benchmark.where(F.length("text") > 0).select("item_id", F.upper(F.substring("text", 1, 60)).alias("pattern"))
+    hits = Q.search_pieces(record_pieces_frame(t), patterns, ["doc_id", "record_no"], "piece_no", "piece", RECORD_PIECE)
+    return hits.select("doc_id", "record_no", "item_id", "start", "end")
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "hex_token": r'token = "[0-9a-f]{20,}',

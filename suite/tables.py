@@ -39,7 +39,7 @@ LABELS = C.LabelRule()
 THRESHOLDS = (1, 2, 3)
 REFERENCE_THRESHOLD = 2
 COMPARISON, TARGET = "BUILDING", "MACHINERY"
-REPLICATES = 200
+REPLICATES = E.REPLICATES
 CELL = ["cell_id"]
 LIBRARY = ["cohort_id", "library_id", "donor_id", "compartment", "severity_group"]
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .registry import view
-from .tables import COMPARISON, MODULES, PANELS, REPLICATES, TARGET, THRESHOLDS
+from .tables import COMPARISON, MODULES, PANELS, TARGET, THRESHOLDS
 
 
 def values(rows: list[tuple], names: str) -> str:
@@ -174,7 +174,6 @@ def t_quantiles(name: str, df: str, source: str) -> None:
 t_quantiles("v_tq_welch", "analytic_df", "v_welch")
 THRESHOLD_VALUES = values([(t,) for t in THRESHOLDS], "threshold")
 view("v_thresholds", THRESHOLD_VALUES)
-REPS = REPLICATES
 view("v_distribution", """
     SELECT s.*, q.metric, q.q1, q.median, q.q3
     FROM (SELECT cohort_id, count(*) AS cells, CAST(sum(detected_genes) AS BIGINT) AS nonzero_entries,

@@ -59,7 +59,7 @@ def test_carry_forward_across_blocks(sequence_rows):
     for k, pos, mark, _ in rows:
         last[k] = mark or last.get(k)
         want[pos] = last[k]
-    got = {r["pos"]: r["out"] for r in scans.carry_forward(df, ["k"], "pos", F.col("mark"), "out", block=16).collect()}
+    got = {r["pos"]: r["out"] for r in scans.carry_forward(df, ["k"], "pos", F.col("mark"), "out", parts=9).collect()}
     assert got == want
 
 
@@ -69,10 +69,27 @@ def test_running_sum_across_blocks(sequence_rows):
     for k, pos, _, v in rows:
         total[k] = total.get(k, 0) + v
         want[pos] = total[k]
-    got = {r["pos"]: r["out"] for r in scans.running_sum(df, ["k"], "pos", F.col("v"), "out", block=16).collect()}
+    got = {r["pos"]: r["out"] for r in scans.running_sum(df, ["k"], "pos", F.col("v"), "out", parts=9).collect()}
     assert got == want
 
 
+def test_scan_of_one_hot_key_with_gaps_is_spread(spark):
+    """Positions that leap by millions, and one key for all rows: ranges of about equal size, no single task."""
+    rows = [("all", i * 1_000_003 ** (i % 2) + i * 7_000_000_000, "m" if i % 97 == 0 else None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, pos long, mark string").withColumn("k", F.lit("all"))
+    parts = scans.range_parts(df, ["k"], "pos", 8)
+    sizes = [r["count"] for r in parts.groupBy("_part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1500
+    out = scans.latest_over(parts, ["k"], "pos", F.when(F.col("mark") == "m", F.col("pos")), "out")
+    want, last = {}, None
+    for _, pos, mark in sorted(rows, key=lambda r: r[1]):
+        last = pos if mark else last
+        want[pos] = last
+    assert {r["pos"]: r["out"] for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(_part" in plan
+
+
 def test_hashed_index_is_a_permutation_in_digest_order(spark):
     members = [f"d{i}" for i in range(700)]
     df = spark.createDataFrame([("g", m) for m in members], ["g", "m"]).repartition(6)

@@ -1,5 +1,6 @@
 """Edge rows of every status, search and interval brute force, partition invariance."""
 
+import hashlib
 import itertools
 import random
 
@@ -85,6 +86,48 @@ def test_bootstrap_is_partition_invariant(spark, edge_arms):
     assert status["single"] == E.SMALL_GROUP and status["good"].startswith("available")
 
 
+def test_blocks_of_a_large_arm_share_its_draws():
+    """Blocks agree on their shares, each replicate draws n donors, and every donor is as likely."""
+    n, size, reps = 23, 4, 2000
+    blocks = range(-(-n // size))
+    shares = [E.block_slots(77, 1, n, b, reps, size) for b in blocks]
+    assert (sum(shares) == n).all()
+    ones = [E.block_sums([1.0] * min(size, n - b * size), 77, 1, n, b, reps, size) for b in blocks]
+    assert all((a == b).all() for a, b in zip(ones, shares))
+    hits = [E.block_sums([float(i == k) for i in range(min(size, n - b * size))], 77, 1, n, b, reps, size).sum()
+            for b in blocks for k in range(min(size, n - b * size))]
+    assert len(hits) == n and sum(hits) == n * reps
+    assert max(abs(h - reps) for h in hits) < 6 * reps ** 0.5
+    assert (E.block_sums([1.0] * n, 78, 1, n, 0, reps) == n).all()
+
+
+def test_bootstrap_equals_plain_draws(spark):
+    """Every draw made one by one, as the docstring states it; seeds and templates change them."""
+    import numpy as np
+
+    scores = {"target": [1.0, 4.0, 9.0, 16.0, 30.0], "comparison": [2.0, 2.5, 7.0]}
+    rows = [("c", "NP", "m", arm, f"d{arm}{i}", x) for arm, xs in scores.items() for i, x in enumerate(xs)]
+    arms = spark.createDataFrame(rows, "cohort_id string, compartment string, module_id string, contrast_arm string, donor_id string, module_score double")
+
+    def mix(x):
+        x = ((x ^ x >> 16) * 0x85EBCA6B) % 2 ** 32
+        x = ((x ^ x >> 13) * 0xC2B2AE35) % 2 ** 32
+        return x ^ x >> 16
+
+    found = {}
+    for template in ((), ("own",)):
+        got = E.donor_bootstrap(arms, KEYS, 300, template=template).first()
+        seed, means = int(got["bootstrap_seed"]), {}
+        for code, (arm, xs) in enumerate(scores.items(), 1):
+            order = sorted(range(len(xs)), key=lambda i: hashlib.md5(f"d{arm}{i}".encode()).hexdigest())
+            base = mix((seed % 2 ** 32) ^ mix((seed >> 32) ^ mix(code)))
+            means[arm] = [np.mean([xs[order[mix(mix(base ^ mix(r)) ^ mix(j)) * len(xs) >> 32]] for j in range(len(xs))]) for r in range(1, 301)]
+        want = np.quantile(np.array(means["target"]) - np.array(means["comparison"]), [0.025, 0.975])
+        found[template] = (got["bootstrap_ci_lower"], got["bootstrap_ci_upper"])
+        assert found[template] == pytest.approx(tuple(want), abs=1e-9)
+    assert len(set(found.values())) == 2
+
+
 def test_consistency_statuses(spark):
     def effect(c, m, e):
         return (c, "NP", m, e, E.EFFECT_AVAILABLE)
