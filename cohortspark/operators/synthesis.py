@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dist
+from ..functions import dist, tabulated
 from ..functions import expr as X
 from ..functions.config import literal_array
 from ..functions.lineage import settle
@@ -16,8 +16,6 @@ from ..functions.scans import PART, range_parts, stitched, sum_over
 # Fixed values.
 NORMAL_975 = 1.959963984540054
 CONFIDENCE = 0.95
-BISECTION_STEPS = 100
-MAX_STUDIES = 10_000
 
 
 def wide_arms(descriptives: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -73,97 +71,6 @@ def study_intervals(studies: DataFrame, effect: str, variance: str) -> DataFrame
 
 # ---------------------------------------------------------------- pooled model
 
-SUMS = ("w", "wy", "wyy", "w2", "w2y", "w2yy")
-
-
-def _sums(studies: Column, tau2: Column) -> Column:
-    """Weighted sums of one group at one τ² in a single pass over its studies."""
-    start = F.struct(*[F.lit(0.0).alias(n) for n in SUMS])
-
-    def step(acc, s):
-        w = F.lit(1.0) / (s["v"] + tau2)
-        y = s["y"]
-        return F.struct((acc["w"] + w).alias("w"), (acc["wy"] + w * y).alias("wy"),
-                        (acc["wyy"] + w * y * y).alias("wyy"), (acc["w2"] + w * w).alias("w2"),
-                        (acc["w2y"] + w * w * y).alias("w2y"), (acc["w2yy"] + w * w * y * y).alias("w2yy"))
-
-    return F.aggregate(studies, start, step)
-
-
-def _score(s: Column, k: Column, method: Column) -> Column:
-    """Estimating function whose root is τ²: restricted likelihood or Paule-Mandel."""
-    mu = s["wy"] / s["w"]
-    reml = (s["w2yy"] - 2 * mu * s["w2y"] + mu * mu * s["w2"]) - (s["w"] - s["w2"] / s["w"])
-    pm = (s["wyy"] - mu * s["wy"]) - (k - 1)
-    return F.when(method == "PM", pm).otherwise(reml)
-
-
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it in ``body`` (a one-element transform)."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _tau2(studies: Column, k: Column, spread: Column, largest_v: Column, method: Column) -> Column:
-    """Root by bisection with a fixed number of steps, inside one expression.
-
-    With SS the centred sum of squares, the estimating function is negative at
-    max(max v, 2·SS/(k-1)), so the bracket is certain.  A non-positive value at 0 gives
-    exactly 0.
-    """
-    at = lambda tau2: _let(_sums(studies, tau2), lambda s: _score(s, k, method))
-    high = F.greatest(largest_v, 2 * spread / (k - 1))
-
-    def step(acc, _):
-        middle = (acc["low"] + acc["high"]) / 2
-        return _let(F.struct(middle.alias("m"), at(middle).alias("f")), lambda p: F.struct(
-            F.when(p["f"] > 0, p["m"]).otherwise(acc["low"]).alias("low"),
-            F.when(p["f"] > 0, acc["high"]).otherwise(p["m"]).alias("high")))
-
-    root = F.aggregate(F.sequence(F.lit(1), F.lit(BISECTION_STEPS)),
-                       F.struct(F.lit(0.0).alias("low"), high.alias("high")), step,
-                       lambda acc: (acc["low"] + acc["high"]) / 2)
-    return F.when(at(F.lit(0.0)) > 0, root).otherwise(F.lit(0.0))
-
-
-def collect_studies(studies: DataFrame, keys: Sequence[str], effect: str, variance: str,
-                    study: str = "cohort_id", max_studies: int = MAX_STUDIES) -> DataFrame:
-    """One row per group with its studies as an ordered array.
-
-    Only the leave-one-out fit needs a group's studies together: every fit reads all of them.  A
-    group of more than ``max_studies`` fails the job rather than being held in one row.
-    """
-    counted = studies.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    # The check sits in a value that the array needs, so it cannot be pruned away.
-    effect = F.when(F.col("_size") > max_studies, F.raise_error(F.lit("group exceeds the bound on studies")).cast("double")
-                    ).otherwise(F.col(effect).cast("double"))
-    return (studies.join(counted, list(keys))
-            .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
-                F.col(study).alias("id"), effect.alias("y"),
-                F.col(variance).cast("double").alias("v")))).alias("studies")))
-
-
-def fit_groups(groups: DataFrame, method: Column) -> DataFrame:
-    """Random-effects results for rows holding ``studies``: τ², pooled effect, Knapp-Hartung
-    interval, Q, I² and prediction interval.  Fewer than two studies give a status."""
-    k = F.size("studies").cast("double")
-    studies = F.when(F.col("k") >= 2, F.col("studies")).otherwise(F.array().cast(
-        "array<struct<id:string,y:double,v:double>>"))
-    # Effects are centred first: the one-pass sums then lose no digits.
-    center = F.aggregate("studies", F.lit(0.0), lambda a, s: a + s["y"]) / k
-    rows = groups.withColumns({"k": F.size("studies").cast("long"), "_center": center})
-    rows = rows.withColumn("studies", F.transform(studies, lambda s: F.struct(
-        s["id"].alias("id"), (s["y"] - F.col("_center")).alias("y"), s["v"].alias("v"))))
-    kd = F.col("k").cast("double")
-    spread = F.aggregate("studies", F.lit(0.0), lambda a, s: a + s["y"] * s["y"])
-    largest = F.array_max(F.transform("studies", lambda s: s["v"]))
-    enough = F.col("k") >= 2
-    rows = rows.withColumn("tau_squared", F.when(
-        enough, _tau2(F.col("studies"), kd, spread, largest, method)))
-    rows = rows.withColumns({"_s": F.when(enough, _sums(F.col("studies"), F.col("tau_squared"))),
-                             "_f": F.when(enough, _sums(F.col("studies"), F.lit(0.0)))})
-    return _results(rows.drop("studies"))
-
-
 def _results(rows: DataFrame) -> DataFrame:
     """Pooled results from k, centre, τ² and the weighted sums at τ² (_s) and at zero (_f)."""
     enough = F.col("k") >= 2
@@ -195,56 +102,89 @@ def _results(rows: DataFrame) -> DataFrame:
     }).drop("_center", "_s", "_f", "_se", "_typical", "_critical")
 
 
-GRID = 1_000
-GRID_PASSES = 5
+#: Least ratio of the smallest variance to the largest τ² that is tabulated from its own size.
+FLOOR = 2.0 ** -60
+
+
+def _tabulate(studies: DataFrame, keys: Sequence[str], effect: str, variance: str, more: Sequence[str] = ()) -> tuple[DataFrame, ...]:
+    """(raw, facts, table): the rows, one row of facts per group with k >= 2, and the sums per segment of τ².
+
+    One pass with map-side combined sums: every study meets the nodes of its group's segments, some
+    hundred however large the group. ``table`` has per group and segment (low, high] the sums at its
+    nodes as one array; ``facts`` has those at all segment bounds, at most 61.
+    """
+    keys = list(keys)
+    raw = studies.select(*keys, *more, F.col(effect).cast("double").alias("y"), F.col(variance).cast("double").alias("v"))
+    facts = settle(raw.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("k"), F.avg("y").alias("_center"), F.var_samp("y").alias("_var"),
+        F.max("v").alias("_vmax"), F.min(F.when(F.col("v") > 0, F.col("v"))).alias("_vmin")))
+    k = F.col("k").cast("double")
+    # Certain also when one study is left out, which leaves no larger sum of squares to fewer studies.
+    top = F.greatest(F.col("_vmax"), 2 * F.col("_var") * (k - 1) / F.greatest(k - 2, F.lit(1.0)))
+    open_ = facts.where("k >= 2").withColumn("_top", top).withColumn("_unit", F.greatest("_vmin", F.col("_top") * FLOOR))
+    count = F.greatest(F.lit(1), F.ceil(F.log2(F.col("_top") / F.col("_unit") + 1)).cast("int"))
+    segments = open_.select(*keys, "_center", "_unit", F.explode(F.sequence(F.lit(0), count - 1)).alias("_seg"))
+    segments = segments.withColumns({"_low": F.col("_unit") * (F.pow(F.lit(2.0), F.col("_seg")) - 1),
+                                     "_high": F.col("_unit") * (F.pow(F.lit(2.0), F.col("_seg") + 1) - 1)})
+    nodes = segments.select(*keys, "_center", "_seg", "_low", "_high", F.posexplode(F.array(*[F.lit(p) for p in tabulated.points()])).alias(
+        "_node", "_place")).withColumn("_t", F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_place"))
+    rows = raw.select(*keys, "y", "v").join(nodes, keys)
+    term = tabulated.terms(F.col("y") - F.col("_center"), F.col("v"), F.col("_t"))
+    sums = rows.select(*keys, "_seg", "_low", "_high", "_node", term.alias("_s")).groupBy(*keys, "_seg", "_low", "_high", "_node").agg(
+        *[F.sum(f"_s.{n}").alias(n) for n in tabulated.SUMS])
+    node = F.struct("_node", F.array(*tabulated.SUMS).alias("s"))
+    table = settle(sums.groupBy(*keys, "_seg", "_low", "_high").agg(F.array_sort(F.collect_list(node)).alias("_n")).select(
+        *keys, "_seg", "_low", "_high", F.flatten(F.transform("_n", lambda n: n["s"])).alias("_table")))
+
+    def node_sums(at: int) -> Column:
+        return F.struct(*[F.get("_table", F.lit(at * len(tabulated.SUMS) + i)).alias(n) for i, n in enumerate(tabulated.SUMS)])
+
+    bounds = table.select(*keys, F.struct("_seg", F.col("_high").alias("t"), node_sums(tabulated.NODES).alias("s")).alias("_b"),
+                          F.when(F.col("_seg") == 0, node_sums(0)).alias("_zero")).groupBy(*keys).agg(
+        F.array_sort(F.collect_list("_b")).alias("_bounds"), F.max("_zero").alias("_zero"))
+    return raw, facts.join(bounds, keys, "left"), table
+
+
+def _solved(rows: DataFrame, table: DataFrame, keys: Sequence[str], method: Column) -> DataFrame:
+    """Root and sums of rows (keys, k, _bounds, _zero, _ys, _vs: what the row leaves out), and the pooled results."""
+    keys = list(keys)
+    kd, pm = F.col("k").cast("double"), F.col("_pm")
+
+    def without(s: Column, t: Column) -> Column:
+        """The sums less the row's own terms."""
+        pairs = F.arrays_zip(F.col("_ys").alias("y"), F.col("_vs").alias("v"))
+        return F.aggregate(pairs, s, lambda acc, p: F.struct(*[
+            (acc[n] - tabulated.terms(p["y"], p["v"], t)[n]).alias(n) for n in tabulated.SUMS]))
+
+    rows = rows.withColumn("_pm", method == "PM").withColumn("_f", without(F.col("_zero"), F.lit(0.0)))
+    falls = F.filter("_bounds", lambda b: tabulated.column_score(without(b["s"], b["t"]), kd, pm) <= 0)
+    first = F.coalesce(F.get(falls, F.lit(0))["_seg"], F.element_at("_bounds", -1)["_seg"])
+    fit = F.col("k") >= 2
+    rows = rows.withColumns({"_in": F.when(fit, F.coalesce(first, F.lit(0))),
+                             "_at_zero": tabulated.column_score(F.col("_f"), kd, pm) <= 0}).drop("_bounds", "_zero")
+    rows = rows.withColumn("_in", F.when(F.col("_at_zero") & fit, F.lit(0)).otherwise(F.col("_in")))
+    segment = table.select(*keys, F.col("_seg").alias("_in"), "_low", "_high", "_table")
+    rows = rows.join(segment, [*keys, "_in"], "left")
+    high = F.when(F.col("_at_zero"), F.col("_low")).otherwise(F.col("_high"))
+    rows = rows.withColumn("_r", tabulated.root("_table", "_low", high, kd, "_pm", "_ys", "_vs"))
+    rows = rows.withColumn("tau_squared", F.when(fit, F.col("_r.t"))).withColumn(
+        "_s", F.when(fit, F.struct(*[F.col(f"_r.{n}").alias(n) for n in tabulated.SUMS]))).withColumn("_f", F.when(fit, F.col("_f")))
+    return _results(rows.drop("_in", "_at_zero", "_low", "_high", "_table", "_r", "_pm", "_ys", "_vs", "_var", "_vmax", "_vmin"))
+
+
+def _nothing() -> dict[str, Column]:
+    return {c: F.array().cast("array<double>") for c in ("_ys", "_vs")}
 
 
 def random_effects(studies: DataFrame, keys: Sequence[str], effect: str = "smdh",
                    variance: str = "smdh_variance", method: Column | str = "REML") -> DataFrame:
     """The pooled model per group, of any size; study rows are never collected.
 
-    ``method`` may be a Column of the keys.  The bracket of τ² is narrowed by passes over the
-    rows: a pass evaluates the estimating function at GRID points per group with map-side combined
-    sums, so the shuffle carries GRID rows per group and task.  Five passes reach double precision.
+    ``method`` may be a Column of the keys. The sums that the estimating function needs are tabulated as
+    functions of τ² in one pass over the rows; the root is then found on the table, one row per group.
     """
-    keys = list(keys)
-    how = F.lit(method) if isinstance(method, str) else method
-    raw = studies.select(*keys, F.col(effect).cast("double").alias("y"), F.col(variance).cast("double").alias("v"))
-    facts = raw.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("k"), F.avg("y").alias("_center"), F.var_samp("y").alias("_var"),
-        F.max("v").alias("_vmax"))
-    facts = settle(facts)
-    bracket = settle(facts.where(F.col("k") >= 2).select(*keys, "k", "_center", F.lit(0.0).alias("_low"),
-                                  F.greatest("_vmax", 2 * F.col("_var")).alias("_high")))
-
-    def sums(points: DataFrame, by: Sequence[str]) -> DataFrame:
-        """Weighted sums of every group at the τ² values of ``points``."""
-        rows = raw.join(points, keys).withColumn("y", F.col("y") - F.col("_center"))
-        w = F.lit(1.0) / (F.col("v") + F.col("_t"))
-        terms = dict(zip(SUMS, (w, w * F.col("y"), w * F.col("y") ** 2, w * w, w * w * F.col("y"),
-                                w * w * F.col("y") ** 2)))
-        return rows.groupBy(*keys, *by).agg(*[F.sum(e).alias(n) for n, e in terms.items()])
-
-    def score() -> Column:
-        return _score(F.struct(*SUMS), F.col("k").cast("double"), how)
-
-    at_zero = settle(sums(bracket.withColumn("_t", F.lit(0.0)), ["k", "_center"]).withColumn("_zero", score() <= 0))
-    for _ in range(GRID_PASSES):
-        grid = bracket.select("*", F.explode(F.sequence(F.lit(1), F.lit(GRID))).alias("_g")).withColumn(
-            "_t", F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_g") / F.lit(float(GRID + 1)))
-        scored = sums(grid, ["k", "_center", "_low", "_high", "_t"]).withColumn("_positive", score() > 0)
-        first_down = scored.groupBy(*keys, "k", "_center", "_low", "_high").agg(
-            F.coalesce(F.min(F.when(~F.col("_positive"), F.col("_t"))), F.col("_high")).alias("_new_high"),
-            F.collect_list(F.when(F.col("_positive"), F.col("_t"))).alias("_ups"))  # at most GRID values
-        below = F.array_max(F.filter("_ups", lambda t: t < F.col("_new_high")))
-        bracket = settle(first_down.select(*keys, "k", "_center", F.coalesce(below, "_low").alias("_low"),
-                                           F.col("_new_high").alias("_high")))
-    root = bracket.join(at_zero.select(*keys, "_zero"), keys).select(
-        *keys, "k", "_center", F.when(F.col("_zero"), F.lit(0.0)).otherwise(
-            (F.col("_low") + F.col("_high")) / 2).alias("_t"))
-    final = sums(root, ["k", "_center", "_t"]).select(*keys, F.col("_t").alias("tau_squared"), F.struct(*SUMS).alias("_s"))
-    found = final.join(at_zero.select(*keys, F.struct(*SUMS).alias("_f")), keys)
-    return _results(facts.select(*keys, "k", "_center").join(found, keys, "left"))
+    _, facts, table = _tabulate(studies, keys, effect, variance)
+    return _solved(facts.withColumns(_nothing()), table, keys, F.lit(method) if isinstance(method, str) else method)
 
 
 def leave_one_study_out(studies: DataFrame, keys: Sequence[str], effect: str = "smdh",
@@ -252,13 +192,15 @@ def leave_one_study_out(studies: DataFrame, keys: Sequence[str], effect: str = "
                         study: str = "cohort_id") -> DataFrame:
     """The pooled model with each study omitted: one row per (group, omitted study).
 
-    The group's array is narrowed per row; study pairs are never emitted as rows.  The work
-    is one fit per study, so groups above the bound on studies are an error here.
+    All fits of a group share one table of its sums; a fit subtracts its own study's terms, so the work is
+    linear in the studies and no row holds more than its own. A study on several rows is omitted whole.
     """
-    groups = collect_studies(studies, keys, effect, variance, study)
-    rows = groups.select(*keys, F.explode(F.transform("studies", lambda s: s["id"])).alias("omitted"), "studies")
-    rows = rows.withColumn("studies", F.filter("studies", lambda s: s["id"] != F.col("omitted")))
-    return fit_groups(rows, F.lit(method))
+    keys = list(keys)
+    raw, facts, table = _tabulate(studies, keys, effect, variance, [study])
+    own = raw.join(facts.select(*keys, "_center"), keys).groupBy(*keys, F.col(study).alias("omitted")).agg(
+        F.collect_list(F.col("y") - F.col("_center")).alias("_ys"), F.collect_list("v").alias("_vs"))
+    rows = own.join(facts, keys).withColumn("k", F.col("k") - F.size("_ys"))
+    return _solved(rows, table, keys, F.lit(method))
 
 
 def model_sensitivity(studies: DataFrame, keys: Sequence[str],

@@ -210,11 +210,57 @@ def test_one_fit_for_all_group_sizes(spark):
         assert got[g]["tau_squared"] == pytest.approx(0.0 if q(studies, 0.0) <= 0 else low, abs=1e-8)
 
 
-def test_bound_on_studies_of_leave_one_out_fires(spark):
-    df = spark.createDataFrame([("x", f"s{i}", float(i), 0.1) for i in range(6)], ["g", "cohort_id", "smdh", "smdh_variance"])
-    with pytest.raises(Exception, match="bound on studies"):
-        M.collect_studies(df, ["g"], "smdh", "smdh_variance", max_studies=5).collect()
-    assert M.leave_one_study_out(df, ["g"]).count() == 6
+def direct_fit(studies, method="REML"):
+    """(τ², pooled effect) by bisection over all studies, as the estimating equations are written."""
+    import numpy as np
+
+    y, v = (np.array(x) for x in zip(*studies))
+
+    def value(t):
+        w = 1 / (v + t)
+        mu = (w * y).sum() / w.sum()
+        if method == "PM":
+            return (w * (y - mu) ** 2).sum() - (len(y) - 1)
+        return (w * w * (y - mu) ** 2).sum() - (w.sum() - (w * w).sum() / w.sum())
+
+    low, high = 0.0, max(v.max(), 2 * y.var(ddof=1)) + 1e-12
+    if value(0.0) <= 0:
+        high = 0.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if value(middle) > 0 else (low, middle)
+    w = 1 / (v + high)
+    return high, (w * y).sum() / w.sum()
+
+
+@pytest.mark.parametrize("method", ["REML", "PM"])
+def test_each_study_left_out_equals_a_direct_fit(spark, method):
+    """200 studies of variances that differ by five orders, two large outliers, a group of three and one without variation."""
+    rng = random.Random(11)
+    groups = {"wide": [(rng.gauss(0.2, 0.5), 10 ** rng.uniform(-4, 1)) for _ in range(198)] + [(9.0, 0.01), (-7.0, 0.3)],
+              "three": [(0.1, 0.2), (0.9, 0.1), (-1.2, 0.05)], "same": [(1.0, 0.1 + i / 50) for i in range(6)],
+              "twice": [(0.5, 0.1), (2.5, 0.2), (0.1, 0.3), (4.0, 0.4)]}
+    rows = [(g, "s0" if (g, i) == ("twice", 1) else f"s{i}", y, v) for g, st in groups.items() for i, (y, v) in enumerate(st)]
+    df = spark.createDataFrame(rows, ["g", "cohort_id", "smdh", "smdh_variance"])
+    got = {(r["g"], r["omitted"]): r for r in M.leave_one_study_out(df, ["g"], method=method).collect()}
+    assert len(got) == 200 + 3 + 6 + 3
+    for (g, omitted), r in got.items():
+        rest = [(y, v) for group, name, y, v in rows if group == g and name != omitted]
+        tau, mu = direct_fit(rest, method)
+        assert r["k"] == len(rest)
+        assert r["tau_squared"] == pytest.approx(tau, abs=1e-8) and r["pooled_effect"] == pytest.approx(mu, abs=1e-8)
+
+
+def test_leaving_out_is_linear_in_the_studies(spark):
+    rng = random.Random(2)
+    studies = [(rng.gauss(0.0, 1.0), 0.02 + rng.random()) for _ in range(20_000)]
+    df = spark.createDataFrame([("x", f"s{i}", y, v) for i, (y, v) in enumerate(studies)], ["g", "cohort_id", "smdh", "smdh_variance"])
+    out = M.leave_one_study_out(df, ["g"])
+    assert out.count() == 20_000
+    for r in out.where("omitted in ('s0', 's777', 's19999')").collect():
+        tau, mu = direct_fit([s for i, s in enumerate(studies) if f"s{i}" != r["omitted"]])
+        assert r["tau_squared"] == pytest.approx(tau, abs=1e-8) and r["pooled_effect"] == pytest.approx(mu, abs=1e-8)
+    assert M.leave_one_study_out(df.where("cohort_id = 's1'"), ["g"]).first()["fit_status"].startswith("not_estimable")
 
 
 def test_leave_one_out_removes_the_whole_donor(spark):
