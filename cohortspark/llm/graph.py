@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,21 +13,48 @@ from cohortspark.llm.common import broadcast_if_small, cut
 
 #: Members of a block in the comparison of crowded buckets, and copies of a component's head in a join.
 MEMBERS, SALTS = 256, 16
+#: Edges united by one task at a time, in 150 MB or less.
+PART_EDGES = 1_000_000
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over the edges of one part, by least labels and pointer jumping: each node with the least of its part."""
+    pairs = [np.stack([b.column("u").to_numpy(), b.column("v").to_numpy()]) for b in batches if b.num_rows]
+    if pairs:
+        ids, places = np.unique(np.concatenate(pairs, axis=1), return_inverse=True)
+        u, v = places.reshape(2, -1)
+        label = np.arange(len(ids))
+        while True:
+            before, low = label.copy(), np.minimum(label[u], label[v])
+            for end in (u, v):
+                np.minimum.at(label, label[end], low)
+                np.minimum.at(label, end, low)
+            label = label[label]
+            if (label == before).all():
+                break
+        yield pa.RecordBatch.from_arrays([pa.array(ids[label]), pa.array(ids)], names=["u", "v"])
+
+
+def components(edges: DataFrame, rounds: int = 100, part_edges: int = PART_EDGES) -> DataFrame:
     """Connected components of undirected ``edges`` (u, v) of longs: rows (id, component), component the least id.
 
-    A distributed union-find: large-star and small-star steps alternate; a step is two aggregates and
-    two equi joins, and its edges never outnumber those of the step before. Nodes without an edge do not appear.
+    A distributed union-find. Each round unites the edges inside parts of about ``part_edges``, whose stars have
+    at most as many edges as nodes, then joins the parts' stars by a large-star and a small-star step (two
+    aggregates and two equi joins), until nothing changes; edges that fit one part need no second. Nodes
+    without an edge do not appear.
     """
     edges = cut(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     state = _state(edges)
     for _ in range(rounds):
+        parts = max(1, -(-state[0] // part_edges))
+        stars = edges.coalesce(parts).mapInArrow(_united, "u bigint, v bigint")
+        if parts == 1:
+            return cut(stars).select(F.col("v").alias("id"), F.col("u").alias("component"))
+        edges = stars.where("u <> v")
         both = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).union(edges.select("v", "u"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = (both.join(least, "a").where("b > a and b <> m").select(F.col("m").alias("u"), F.col("b").alias("v"))

@@ -25,8 +25,6 @@ SLOTS = BANDS * ROWS
 SHORT, LONG = 120, 96
 #: Characters signed at a time, and columns of shingles multiplied at a time.
 BLOCK, COLUMNS = 1 << 20, 1 << 13
-#: Lines of SURE characters or more are judged by hashed shingles where the result is BORDER or more from the threshold.
-SURE, BORDER = 256, 0.02
 
 _ODD = 0x9E3779B1
 _INVERSE = pow(_ODD, -1, 1 << 32)
@@ -175,75 +173,91 @@ def _picked_lines(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], names=["id", "line"])
 
 
-@functools.lru_cache(64)
-def _shingles(line: str) -> set[str]:
-    return {line[i:i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+def shingle_ids(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ends): the distinct shingles of each line as sorted numbers, equal only for equal shingles, and where each line's end.
 
-
-def jaccard(a: str, b: str) -> float:
-    """Exact similarity of the lines' sets of character shingles."""
-    x, y = _shingles(a), _shingles(b)
-    both = len(x & y)
-    return both / (len(x) + len(y) - both)
-
-
-def line_sets(lines: list[str]) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each line."""
-    out, start = [], 0
-    while start < len(lines):
-        end, size = start + 1, len(lines[start])
-        while end < len(lines) and size + len(lines[end]) <= BLOCK:
-            size += len(lines[end])
-            end += 1
-        hashes, counts = _shingle_hashes(lines[start:end])
-        keys = np.repeat(np.arange(end - start, dtype=np.uint64), counts) << np.uint64(32) | hashes
+    Eight characters below 256 are one 64-bit number; windows with others, and shorter lines, are compared as they are.
+    """
+    lengths = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    short = np.maximum(SHINGLE - lengths, 0)
+    text = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    # Shorter lines are filled up with what no text can hold.
+    codes = np.full(int((lengths + short).sum()), 0x110000, dtype=np.uint32)
+    starts = np.cumsum(lengths + short) - (lengths + short)
+    codes[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(text))] = text
+    counts = lengths + short - SHINGLE + 1
+    at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+    packed, wide = np.zeros(len(at), dtype=np.uint64), np.zeros(len(at), dtype=bool)
+    for i in range(SHINGLE):
+        code = codes[at + i]
+        wide |= code > 255
+        packed |= code.astype(np.uint64) << np.uint64(8 * i)
+    ids = np.zeros(len(at), dtype=np.uint64)
+    plain, ids_plain = np.unique(packed[~wide], return_inverse=True)
+    ids[~wide] = ids_plain
+    if wide.any():
+        windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(codes, SHINGLE)[at[wide]])
+        ids[wide] = np.unique(windows.view(f"V{4 * SHINGLE}").ravel(), return_inverse=True)[1] + len(plain)
+    keys = np.repeat(np.arange(len(lines), dtype=np.uint64), counts) << np.uint64(32) | ids
+    keys.sort()
+    keys = keys[np.append(True, keys[1:] != keys[:-1])]
+    return keys & np.uint64(0xFFFFFFFF), np.searchsorted(keys, np.arange(1, len(lines) + 1, dtype=np.uint64) << np.uint64(32))
+
+
+def _taken(ids: np.ndarray, ends: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of the chosen lines, one after the other, and the place of each one's line among the chosen."""
+    starts = np.append(0, ends[:-1])[lines]
+    sizes = ends[lines] - starts
+    places = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    return ids[places], np.repeat(np.arange(len(lines), dtype=np.uint64), sizes)
+
+
+def similarities(lines: list[str], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exact sizes of the intersections and unions of the shingle sets of the lines numbered ``a`` and ``b``."""
+    ids, ends = shingle_ids(lines)
+    sizes = np.diff(np.append(0, ends))
+    both, at = np.zeros(len(a), dtype=np.int64), 0
+    while at < len(a):
+        # As many pairs as hold BLOCK shingles, one at least.
+        end = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[a[at:]] + sizes[b[at:]]), BLOCK, side="right")))
+        keys = np.concatenate([pair << np.uint64(32) | i for i, pair in (_taken(ids, ends, x[at:end]) for x in (a, b))])
         keys.sort()
-        keys = keys[np.append(True, keys[1:] != keys[:-1])]
-        ends = np.searchsorted(keys, np.arange(1, end - start, dtype=np.uint64) << np.uint64(32))
-        out += np.split(keys.astype(np.uint32), ends)
-        start = end
-    return out
+        met = keys[1:][keys[1:] == keys[:-1]]
+        both[at:end] = np.bincount((met >> np.uint64(32)).astype(np.int64), minlength=end - at)
+        at = end
+    return both, sizes[a] + sizes[b] - both
 
 
-def alike(a: str, b: str, x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
-    """Whether the lines are similar: hashes decide what is clear, the shingles themselves what is near the threshold or short.
-
-    Of lines of SURE characters or more, five shingles at least would have to collide to be misjudged beyond the border.
-    """
-    if min(len(x), len(y)) < similarity * max(len(x), len(y)) * (1 - BORDER) - 1:
-        return False
-    if min(len(a), len(b)) >= SURE:
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        hashed = both / (len(x) + len(y) - both)
-        if abs(hashed - similarity) > BORDER:
-            return hashed >= similarity
-    return jaccard(a, b) >= similarity
+def jaccard(a: str, b: str) -> float:
+    """Exact similarity of the lines' sets of character shingles."""
+    both, either = similarities([a, b], np.array([0]), np.array([1]))
+    return both[0] / either[0]
 
 
 def _similar(similarity: float):
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
+            if not batch.num_rows:
+                continue
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            lines = list(dict.fromkeys(a + b))
-            sets = dict(zip(lines, line_sets(lines)))
-            keep = [alike(x, y, sets[x], sets[y], similarity) for x, y in zip(a, b)]
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            numbers: dict[str, int] = {}
+            places = [np.array([numbers.setdefault(x, len(numbers)) for x in side]) for side in (a, b)]
+            both, either = similarities(list(numbers), *places)
+            yield batch.select(["u", "v"]).filter(pa.array(both / either >= similarity))
     return batches
 
 
 def similar_pairs(lines: list[str], component: list[int], other: list[bool], similarity: float) -> list[tuple[int, int]]:
     """Links that join components of ``lines``: a spanning set of the pairs of at least ``similarity`` with an ``other`` line.
 
-    Intersections of the hashed sets come from a product of 0/1 matrices, some columns at a time; pairs that
-    may be similar are then judged one by one, unless others have joined their components.
+    Intersections of the shingle sets come from a product of 0/1 matrices, some columns at a time.
     """
-    sets = line_sets(lines)
-    sizes = np.array([len(s) for s in sets])
+    columns, ends = shingle_ids(lines)
+    columns, sizes = columns.astype(np.int64), np.diff(np.append(0, ends))
     at = np.repeat(np.arange(len(lines)), sizes)
-    codes, columns = np.unique(np.concatenate(sets), return_inverse=True)
     both = np.zeros((len(lines), len(lines)), dtype=np.float32)
     # A shingle of one line only is in no intersection.
-    shared = np.bincount(columns, minlength=len(codes)) > 1
+    shared = np.bincount(columns) > 1
     at, columns = at[shared[columns]], (np.cumsum(shared) - 1)[columns[shared[columns]]]
     for low in range(0, int(shared.sum()), COLUMNS):
         use = (columns >= low) & (columns < low + COLUMNS)
@@ -252,8 +266,7 @@ def similar_pairs(lines: list[str], component: list[int], other: list[bool], sim
         both += held @ held.T
     either = sizes[:, None] + sizes[None] - both
     kind = np.array(component)
-    near = both + 2 >= (similarity - BORDER) * (either - 2)
-    links = near & (kind[:, None] != kind[None]) & (np.array(other)[:, None] | np.array(other)[None])
+    links = (both >= similarity * either - 1e-6) & (kind[:, None] != kind[None]) & (np.array(other)[:, None] | np.array(other)[None])
     found, joined = [], {}
 
     def root(c: int) -> int:
@@ -263,7 +276,7 @@ def similar_pairs(lines: list[str], component: list[int], other: list[bool], sim
 
     for i, j in zip(*np.nonzero(np.triu(links, 1))):
         a, b = root(component[i]), root(component[j])
-        if a != b and alike(lines[i], lines[j], sets[i], sets[j], similarity):
+        if a != b and both[i, j] / either[i, j] >= similarity:
             joined[max(a, b)] = min(a, b)
             found.append((int(i), int(j)))
     return found

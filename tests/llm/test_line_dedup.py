@@ -65,6 +65,18 @@ def test_crowded_buckets_in_small_blocks(spark, near_copies, monkeypatch):
     check(spark, near_copies)
 
 
+def test_exact_similarities_of_any_characters():
+    rng = random.Random(4)
+    for alphabet in ("ab", "abcé", "aé漢𝄞", "\0a漢"):
+        lines = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+        sets = [{x[i:i + 8] for i in range(max(1, len(x) - 7))} for x in lines]
+        a, b = (L.np.array([rng.randrange(60) for _ in range(400)]) for _ in range(2))
+        both, either = L.similarities(lines, a, b)
+        assert both.tolist() == [len(sets[i] & sets[j]) for i, j in zip(a, b)]
+        assert either.tolist() == [len(sets[i] | sets[j]) for i, j in zip(a, b)]
+    assert L.jaccard("abc", "abc\0") == 0 and L.jaccard("abc", "abc") == 1
+
+
 def test_spanning_links_equal_all_pairs():
     lines = ["abcdefghij klmnop", "abcdefghij klmnoq", "abcdefghij klmnox", "zzz yyy xxx www vvv"]
     assert L.similar_pairs(lines, [0, 1, 2, 3], [True] * 4, 0.7) == [(0, 1), (0, 2)]

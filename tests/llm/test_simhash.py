@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from cohortspark.llm import simhash
 from cohortspark.llm.graph import components
 
@@ -21,11 +23,12 @@ def brute(prints):
     return {i: root(i) for i in ids}
 
 
-def test_components_of_a_long_path_and_a_star(spark):
+@pytest.mark.parametrize("part_edges", [40, 150, 1_000_000])
+def test_components_of_a_long_path_and_a_star(spark, part_edges):
     order = list(range(300))
     random.Random(3).shuffle(order)
     edges = list(zip(order, order[1:])) + [(1000, i) for i in range(1001, 1100)] + [(5, 5)]
-    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long").repartition(9), part_edges=part_edges).collect()}
     assert {got[i] for i in range(300)} == {0} and {got[i] for i in range(1000, 1100)} == {1000} and len(got) == 400
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
