@@ -34,27 +34,45 @@ def _hash(*parts: str | Column) -> Column:
     return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 40) - 1))
 
 
+class _Common:
+    """A filter of the hashes that occur ``least`` times or more; it grows with them and may pass others, never the reverse."""
+
+    def __init__(self, hashes: DataFrame, least: int):
+        counted = hashes.where(F.col("h").isNotNull()).groupBy("h").agg(F.count("*").alias("n"))
+        common = cut(counted.where(F.col("n") >= least).select(F.xxhash64("h").alias("h")))
+        self.bits = filter_bits(common.count())
+        self.flags = hash_filter(common, self.bits)
+
+    def __call__(self, *words: str | Column) -> Column:
+        return passes(self.flags, F.xxhash64(_hash("lang", *words)), self.bits)
+
+
 def padded_windows(texts: DataFrame, longest: int, least: int) -> DataFrame:
     """Lead windows padded with null from the first word that ends a piece or a frequent phrase.
 
-    No phrase with a rare word or pair of neighbours can be frequent, so windows are cut there: words and
-    pairs are counted by hash, the frequent ones fill a filter that grows with them. The filter may
-    pass rare ones, never the reverse, so counts of frequent phrases are complete. A window without any
-    word left still counts for its language.
+    No phrase with a rare word, pair or triple of neighbours can be frequent, so windows are cut there: words
+    and pairs, then the triples of frequent pairs, are counted by hash to fill filters. These only bound
+    what the windows shuffle; all counts of phrases come from the windows and are complete for frequent
+    ones. A window without any word left still counts for its language.
     """
     two = lead_windows(texts, 2)
     pair = F.when(F.col("w2") != MARK, _hash("lang", "w1", "w2"))
-    hashes = two.select(F.explode(F.array(_hash("lang", "w1"), pair)).alias("h")).where(F.col("h").isNotNull())
-    common = cut(hashes.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.xxhash64("h").alias("h")))
-    bits = filter_bits(common.count())
-    flags = hash_filter(common, bits)
-    windows = lead_windows(texts, longest)
-    windows = windows.withColumn("w1", F.when(passes(flags, F.xxhash64(_hash("lang", "w1")), bits), F.col("w1")))
-    for i in range(2, longest + 1):
-        before, word = F.col(f"w{i - 1}"), F.col(f"w{i}")
-        fits = before.isNotNull() & (word != MARK) & passes(flags, F.xxhash64(_hash("lang", before, word)), bits)
-        windows = windows.withColumn(f"w{i}", F.when(fits, word))
-    return windows
+    short = _Common(two.select(F.explode(F.array(_hash("lang", "w1"), pair)).alias("h")), least)
+
+    def cut_at(windows: DataFrame, size: int, triples: _Common | None) -> DataFrame:
+        windows = windows.withColumn("w1", F.when(short("w1"), F.col("w1")))
+        for i in range(2, size + 1):
+            before, word = F.col(f"w{i - 1}"), F.col(f"w{i}")
+            fits = before.isNotNull() & (word != MARK) & short(before, word)
+            if i > 2 and triples:
+                fits = fits & triples(f"w{i - 2}", before, word)
+            windows = windows.withColumn(f"w{i}", F.when(fits, word))
+        return windows
+
+    if longest < 3:
+        return cut_at(lead_windows(texts, longest), longest, None)
+    three = cut_at(lead_windows(texts, 3), 3, None).where(F.col("w3").isNotNull())
+    return cut_at(lead_windows(texts, longest), longest, _Common(three.select(_hash("lang", "w1", "w2", "w3").alias("h")), least))
 
 
 def frequent_phrases(windows: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
