@@ -176,6 +176,16 @@ def id_overlap(rows: DataFrame, platform: DataFrame, key: str, id_column: str) -
         "status", F.when(F.col("unmapped_ids") == 0, F.lit("pass")).otherwise(F.lit("fail")))
 
 
+def id_overlap_lists(rows: DataFrame, platform: DataFrame, key: str, id_column: str) -> DataFrame:
+    """The ids behind the counts: ids of a file that the platform lacks, and platform ids that no file has (key NULL)."""
+    known = platform.select(id_column).distinct()
+    unmapped = rows.select(key, id_column).distinct().join(known, id_column, "left_anti").select(
+        key, id_column, F.lit("unmapped_id").alias("problem"))
+    absent = known.join(rows.select(id_column).distinct(), id_column, "left_anti")
+    return unmapped.unionByName(absent.select(
+        F.lit(None).cast(rows.schema[key].dataType).alias(key), id_column, F.lit("platform_id_in_no_file").alias("problem")))
+
+
 def examples(rows: DataFrame, keys: Sequence[str], value: str, k: int) -> DataFrame:
     """Distinct count and the first ``k`` distinct values per key.
 

@@ -27,6 +27,8 @@ NONFINITE_SD = "not_estimable_nonfinite_sd"
 ZERO_SE = "not_estimable_zero_or_nonpositive_standard_error"
 NO_DF = "not_estimable_welch_df"
 NO_CRITICAL = "not_estimable_welch_critical_value"
+NOT_ASSESSED = "not_assessed_fewer_than_two_confirmatory_eligible_independent_validation_contrasts; no_meta_analysis_run"
+NOT_ADJUDICATED = "not_adjudicated_by_this_script_no_meta_analysis_run"
 CONFIDENCE = 0.95
 SEED = 20260814
 REPLICATES = 10_000
@@ -108,11 +110,6 @@ def duplicate_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_for_key")).where(F.col("rows_for_key") > 1)
 
 
-def duplicate_rows(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every row of a duplicated key."""
-    return rows.join(duplicate_keys(rows, keys), list(keys), "left_semi")
-
-
 # ---------------------------------------------------------------- moments and intervals
 
 def group_descriptives(arms: DataFrame, keys: Sequence[str] = tuple(CONTRAST + ["contrast_arm"]),
@@ -440,18 +437,26 @@ def direction_retention(loo: DataFrame, keys: Sequence[str] = tuple(CONTRAST),
     return out.withColumns({"direction_retention_fraction": fraction, "stability_status": status})
 
 
-def direction_consistency(effects: DataFrame, keys: Sequence[str] = ("module_id", "compartment"),
+def direction_consistency(effects: DataFrame, keys: Sequence[str] = ("module_id", "compartment", "severity_orientation"),
                           digits: int = 8) -> DataFrame:
-    """Sign counts, majority share, consensus and ordered cohort lists over available effects."""
-    shown = effects.where(F.col("effect_status").startswith("available")).withColumn(
-        "_pair", F.concat_ws("=", "cohort_id", X.format_fixed("effect", digits)))
-    positive = F.count_if(F.col("effect_direction") == X.DIRECTION_POSITIVE)
-    negative = F.count_if(F.col("effect_direction") == X.DIRECTION_NEGATIVE)
+    """Sign counts, majority share, consensus and ordered cohort lists over available effects.
+
+    Cohorts whose severity scales run in different directions are never compared: the orientation is
+    part of the key.  A key without an available effect keeps its row.  ``n_eligible`` counts available
+    effects of confirmatory cohorts; alignment itself never establishes replication.
+    """
+    available = F.col("effect_status").startswith("available")
+    shown = effects.withColumn("_pair", F.concat_ws("=", "cohort_id", X.format_fixed("effect", digits)))
+
+    def counted(direction: str) -> Column:
+        return F.count_if(available & (F.col("effect_direction") == direction))
+
     out = shown.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_available"), positive.alias("n_positive"), negative.alias("n_negative"),
-        F.count_if(F.col("effect_direction") == X.DIRECTION_ZERO).alias("n_zero"),
+        F.count_if(available).alias("n_available"), counted(X.DIRECTION_POSITIVE).alias("n_positive"),
+        counted(X.DIRECTION_NEGATIVE).alias("n_negative"), counted(X.DIRECTION_ZERO).alias("n_zero"),
+        F.count_if(available & X.parse_bool_strict("confirmatory_eligible")).alias("n_eligible"),
         # The list is the result itself: one entry per cohort of the module.
-        F.array_sort(F.collect_list(F.struct("cohort_id", "_pair"))).alias("_list"))
+        F.array_sort(F.collect_list(F.when(available, F.struct("cohort_id", "_pair", "cohort_role")))).alias("_list"))
     p, n = F.col("n_positive"), F.col("n_negative")
     nonzero = p + n
     return out.withColumns({
@@ -464,6 +469,8 @@ def direction_consistency(effects: DataFrame, keys: Sequence[str] = ("module_id"
         .otherwise(F.lit("available_effects_directionally_discordant")),
         "cohort_ids": F.array_join(F.transform("_list", lambda s: s["cohort_id"]), ";"),
         "cohort_effects": F.array_join(F.transform("_list", lambda s: s["_pair"]), ";"),
+        "cohort_roles": F.array_join(F.transform("_list", lambda s: s["cohort_role"]), ";"),
+        "replication_assessment": F.when(F.col("n_eligible") < 2, F.lit(NOT_ASSESSED)).otherwise(F.lit(NOT_ADJUDICATED)),
     }).drop("_list")
 
 

@@ -29,9 +29,19 @@ def with_status(rows: DataFrame) -> DataFrame:
         F.lit("fail"))).select("gate", "scope", "violations", "status")
 
 
+#: Status of a fault that a tolerant gate counts but lets pass.
+TOLERATED = "tolerated"
+
+
+def tolerant(gates: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The named checks count their faults without failing."""
+    lenient = (F.col("status") == "fail") & F.col("gate").isin(list(names))
+    return gates.withColumn("status", F.when(lenient, F.lit(TOLERATED)).otherwise(F.col("status")))
+
+
 def require(gates: DataFrame, limit: int = 20) -> None:
     """Raise with the first failing checks; at most ``limit`` rows reach the driver."""
-    failed = gates.where(F.col("status") != "pass").limit(limit).collect()
+    failed = gates.where(~F.col("status").isin("pass", TOLERATED)).limit(limit).collect()
     if failed:
         raise GateError("; ".join(f"{r['gate']} [{r['scope']}]: {r['violations']}" for r in failed))
 
@@ -128,6 +138,56 @@ def synthesis_package_gate(results: DataFrame, scope: Column, expected_k: int, n
             F.col("ci_lower"), F.col("ci_upper")), F.lit(True))})
 
 
+def scenario_gate(config: DataFrame, scope: Column, scenario: str, expected: Mapping[str, Sequence[str]], position: str,
+                  study: str = "cohort_id", eligible: str = "confirmatory_eligible") -> DataFrame:
+    """Study lists of a configuration: exactly the expected ids in their order, and none confirmatory.
+
+    config: one row per listed study with its ``position`` from 1.  Rows of a scenario that is not
+    expected are faults, as are expected places that nobody fills.
+    """
+    # The lists are configuration.
+    wanted = F.create_map(*[x for name, ids in expected.items() for x in (F.lit(name), F.array(*[F.lit(i) for i in ids]))])
+    rows = config.withColumn("_want", F.get(F.element_at(wanted, F.col(scenario)), (F.col(position) - 1).cast("int")))
+    counted = rows.groupBy(scope.alias("scope"), F.col(scenario).alias("_name")).agg(
+        F.count_if(~F.col(study).eqNullSafe(F.col("_want"))).alias("_off"),
+        F.count_if(F.col(study).eqNullSafe(F.col("_want"))).alias("_on"),
+        F.count_if(~F.coalesce(X.parse_bool_strict(eligible) == F.lit(False), F.lit(False))).alias("_eligible"))
+    size = F.coalesce(F.size(F.element_at(wanted, F.col("_name"))), F.lit(0))
+    return gate_sums(counted, F.col("scope"), {
+        "unexpected_study_order": F.col("_off"), "missing_studies": F.greatest(size - F.col("_on"), F.lit(0)),
+        "confirmatory_eligible_study": F.col("_eligible")})
+
+
+def synthesis_contract_gate(results: DataFrame, studies: DataFrame, scope: str, modules: Sequence[str], cohorts: Mapping[str, Sequence[str]],
+                            measure: str, model: Mapping[str, str], module: str = "module_id", study: str = "cohort_id",
+                            eligible: str = "confirmatory_eligible") -> DataFrame:
+    """What a pooled table claims to be: module set, cohort set, effect measure, model, no confirmatory study; per ``scope``.
+
+    results: scope, module, effect_measure and a column per entry of ``model``; studies: scope, study and
+    ``eligible``.  ``cohorts`` gives the expected set of each scope.
+    """
+    named = F.array(*[F.lit(m) for m in modules])
+    off = F.lit(False)
+    for column, value in model.items():
+        off = off | ~F.col(column).eqNullSafe(F.lit(value))
+    tables = results.groupBy(scope).agg(
+        F.count_if(~F.coalesce(F.array_contains(named, F.col(module)), F.lit(False))).alias("_other"),
+        F.count_distinct(F.when(F.array_contains(named, F.col(module)), F.col(module))).alias("_found"),
+        F.count_if(~F.coalesce(F.col("effect_measure").contains(measure), F.lit(False))).alias("_measure"), F.count_if(off).alias("_model"))
+    first = gate_sums(tables, F.col(scope), {
+        "unexpected_module_set": F.col("_other") + F.lit(len(set(modules))) - F.col("_found"),
+        "unexpected_measure": F.col("_measure"), "unexpected_model": F.col("_model")})
+    wanted = F.create_map(*[x for name, ids in cohorts.items() for x in (F.lit(name), F.array(*[F.lit(i) for i in ids]))])
+    expected = F.coalesce(F.element_at(wanted, F.col(scope)), F.array().cast("array<string>"))
+    inside = F.coalesce(F.array_contains(expected, F.col(study)), F.lit(False))
+    sets = studies.groupBy(scope).agg(
+        F.count_if(~inside).alias("_other"), F.count_distinct(F.when(inside, F.col(study))).alias("_found"),
+        F.count_if(~F.coalesce(X.parse_bool_strict(eligible) == F.lit(False), F.lit(False))).alias("_eligible"))
+    second = gate_sums(sets, F.col(scope), {
+        "unexpected_cohort_set": F.col("_other") + F.size(expected) - F.col("_found"), "confirmatory_eligible_study": F.col("_eligible")})
+    return first.unionByName(second)
+
+
 def cell_mapping_gate(names: DataFrame, header: DataFrame, key: str, position: str, name: str) -> DataFrame:
     """Cell-name file against matrix header: same id at each position, both unique."""
     a = names.select(key, position, F.col(name).alias("_a"))
@@ -144,3 +204,37 @@ def cell_mapping_gate(names: DataFrame, header: DataFrame, key: str, position: s
               .fillna(0).withColumn("scope", F.col(key).cast("string")))
     return with_status(joined.unpivot(
         ["scope"], ["order_differs", "repeated_cell_names", "repeated_header_names"], "gate", "violations"))
+
+
+def donor_contract(arms: DataFrame, keys: Sequence[str] = ("cohort_id", "compartment", "donor_id"),
+                   unit: str = "module_id", arm: str = "contrast_arm") -> DataFrame:
+    """Gates on retained score rows: a donor key, one arm per donor, one row per donor and unit; by cohort.
+
+    One aggregate of the donors, itself counted once; nothing is joined back to the rows.
+    """
+    keys = list(keys)
+    donors = arms.groupBy(*keys, unit).agg(F.count(F.lit(1)).alias("_rows"), F.min(arm).alias("_first"), F.max(arm).alias("_last"))
+    per_donor = donors.groupBy(*keys).agg(F.max("_rows").alias("_rows"), F.count_if(F.col("_rows") > 1).alias("_repeated"),
+                                          F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    return gate_sums(per_donor, F.col(keys[0]), {
+        "blank_donor": F.when(X.is_blank(keys[-1]), F.lit(1)).otherwise(F.lit(0)),
+        "conflicting_arms": (F.col("_first") != F.col("_last")).cast("int"),
+        "repeated_donor_rows": F.col("_repeated")})
+
+
+def library_contract(libraries: DataFrame, donor: Sequence[str], library: str, fields: Sequence[str] = ()) -> DataFrame:
+    """Gates on a library ledger: one library per donor key, and one set of metadata ``fields`` per library."""
+    donor = list(donor)
+    one = libraries.groupBy(*donor).agg(F.count_distinct(library).alias("_n"))
+    gates = gate_sums(one, F.lit("libraries"), {"several_libraries_per_donor": (F.col("_n") > 1).cast("int")})
+    if fields:
+        tuples = libraries.select(library, *fields).distinct().groupBy(library).agg(F.count(F.lit(1)).alias("_n"))
+        gates = gates.unionByName(gate_sums(tuples, F.lit("libraries"), {"conflicting_library_metadata": (F.col("_n") > 1).cast("int")}))
+    return gates
+
+
+def gate_sums(rows: DataFrame, scope: Column, checks: Mapping[str, Column]) -> DataFrame:
+    """Gates whose violations are sums of numbers that the rows already hold; nulls count as faults."""
+    counted = rows.groupBy(scope.cast("string").alias("scope")).agg(
+        *[F.sum(F.coalesce(c.cast("long"), F.lit(1).cast("long"))).alias(n) for n, c in checks.items()])
+    return with_status(counted.unpivot(["scope"], list(checks), "gate", "violations"))

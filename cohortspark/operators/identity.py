@@ -75,9 +75,10 @@ def set_intersection_size(left: DataFrame, right: DataFrame, keys: Sequence[str]
     return side_counts(left, right, keys).select("matched_keys")
 
 
-def sets_equal(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return side_counts(left, right, keys).select(
-        ((F.col("left_only_keys") == 0) & (F.col("right_only_keys") == 0)).alias("sets_equal"))
+def sets_equal(left: DataFrame, right: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Whether both sides hold the same keys, overall or per ``by`` (a subset of keys)."""
+    return side_counts(left, right, keys, by).select(
+        *by, ((F.col("left_only_keys") == 0) & (F.col("right_only_keys") == 0)).alias("sets_equal"))
 
 
 def audit_alignment(audits: Mapping[str, DataFrame], key: str, rules: Sequence[tuple[str, Column]]) -> DataFrame:
@@ -116,13 +117,13 @@ def verify_assets(manifest: DataFrame, observed: DataFrame, path: str = "path")
     return manifest.join(seen, path, "left").withColumn("asset_status", status)
 
 
-def grid_completeness(rows: DataFrame, left: DataFrame, left_key: str, right_values: Sequence[str],
+def grid_completeness(rows: DataFrame, left: DataFrame, left_keys: Sequence[str], right_values: Sequence[str],
                       right_key: str) -> DataFrame:
-    """Expected (left key × configured value) grid against observed keys: missing and extra cells."""
-    grid = left.select(left_key).distinct().withColumn(
+    """Expected (left keys × configured value) grid against observed keys: missing and extra cells."""
+    grid = left.select(*left_keys).distinct().withColumn(
         right_key, F.explode(F.array(*[F.lit(v) for v in right_values])))
-    seen = rows.groupBy(left_key, right_key).agg(F.count(F.lit(1)).alias("observed_rows"))
-    joined = grid.withColumn("_expected", F.lit(True)).join(seen, [left_key, right_key], "full")
+    seen = rows.groupBy(*left_keys, right_key).agg(F.count(F.lit(1)).alias("observed_rows"))
+    joined = grid.withColumn("_expected", F.lit(True)).join(seen, [*left_keys, right_key], "full")
     status = (F.when(F.col("_expected").isNull(), F.lit("extra"))
               .when(F.col("observed_rows").isNull(), F.lit("missing"))
               .when(F.col("observed_rows") > 1, F.lit("repeated")).otherwise(F.lit("present")))

@@ -172,8 +172,10 @@ def resolve_duplicate_symbols(rows: DataFrame, symbols: Sequence[str], canonical
                               position: str = "line_no", feature: str = "feature_id") -> tuple[DataFrame, DataFrame]:
     """Keep one row per symbol; return (kept rows, decisions about configured symbols).
 
-    A configured symbol with several rows keeps its declared canonical id; an undeclared one
-    is a violation (status ``undeclared_duplicate``).  Any other symbol keeps its first row.
+    A configured symbol with several rows keeps its declared canonical id.  Without a declared id
+    (``undeclared_duplicate``) or without a row of it (``canonical_id_absent``) nothing says which row
+    is meant: the symbol has a decision but no kept row, so it is not scored.  Any other symbol keeps
+    its first row; rows without a symbol are left out.
     ``min_by`` combines map-side, so a symbol with very many rows is no problem.
     """
     from ..functions.config import config_table, strings
@@ -182,16 +184,19 @@ def resolve_duplicate_symbols(rows: DataFrame, symbols: Sequence[str], canonical
                          [{"symbol": s.upper(), "canonical_id": i} for s, i in canonical.items()],
                          strings("symbol", "canonical_id"))
     rank = F.struct(F.when(F.col(feature) == F.col("canonical_id"), 0).otherwise(1), F.col(position))
+    rows = rows.where(~X.is_blank("symbol"))
     tagged = rows.join(canon, "symbol", "left")
     best = tagged.groupBy("symbol", "canonical_id").agg(
         F.min_by(F.struct(feature, position), rank).alias("_kept"), F.count(F.lit(1)).alias("rows_for_symbol"))
     wanted = [s.strip().upper() for s in symbols]
     decisions = (best.where(F.col("symbol").isin(wanted) & (F.col("rows_for_symbol") > 1))
-                 .select("symbol", "rows_for_symbol", F.col(f"_kept.{feature}").alias("kept_feature_id"),
+                 .select("symbol", "rows_for_symbol", F.when(F.col(f"_kept.{feature}") == F.col("canonical_id"), F.col("canonical_id")).alias("kept_feature_id"),
                          F.when(F.col("canonical_id").isNull(), F.lit("undeclared_duplicate"))
                          .when(F.col(f"_kept.{feature}") == F.col("canonical_id"), F.lit("canonical_id_kept"))
                          .otherwise(F.lit("canonical_id_absent")).alias("decision")))
-    kept = (rows.join(best.select("symbol", F.col(f"_kept.{feature}").alias(feature),
+    unresolved = F.col("symbol").isin(wanted) & (F.col("rows_for_symbol") > 1) & ~F.coalesce(
+        F.col(f"_kept.{feature}") == F.col("canonical_id"), F.lit(False))
+    kept = (rows.join(best.where(~unresolved).select("symbol", F.col(f"_kept.{feature}").alias(feature),
                                   F.col(f"_kept.{position}").alias(position)),
                       ["symbol", feature, position], "left_semi"))
     return kept, decisions

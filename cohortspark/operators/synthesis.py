@@ -216,13 +216,15 @@ def model_sensitivity(studies: DataFrame, keys: Sequence[str],
 def scenario_synthesis(studies: DataFrame, keys: Sequence[str], scenarios: Mapping[str, Sequence[str]],
                        effect: str = "smdh", variance: str = "smdh_variance", method: str = "REML",
                        study: str = "cohort_id") -> DataFrame:
-    """The pooled model for each named study list; ``complete`` tells if all were present."""
+    """The pooled model for each named study list; ``complete`` tells if its studies are exactly those of the list."""
     table = F.array(*[F.struct(F.lit(n).alias("scenario"), literal_array(ids).alias("_ids"),
                                F.lit(len(ids)).cast("long").alias("expected_k")) for n, ids in scenarios.items()])
     rows = (studies.select(*keys, study, effect, variance, F.inline(table))
             .where(F.array_contains("_ids", F.col(study))))
-    return (random_effects(rows, [*keys, "scenario", "expected_k"], effect, variance, method)
-            .withColumn("complete", F.col("k") == F.col("expected_k")))
+    group = [*keys, "scenario", "expected_k"]
+    present = rows.groupBy(*group).agg(F.count_distinct(study).alias("_present"))
+    return (random_effects(rows, group, effect, variance, method).join(present, group)
+            .withColumn("complete", (F.col("_present") == F.col("expected_k")) & (F.col("k") == F.col("expected_k"))).drop("_present"))
 
 
 def adjust_bh(rows: DataFrame, family: Sequence[str], p_value: str, out: str = "p_adjusted", parts: int | None = None) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,26 +45,44 @@ def hash_files(spark: SparkSession, glob: str) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, fields: Sequence[str], format: str = "csv",
                 overwrite: bool = False, gzip: bool = False, sep: str = ",",
-                refuse_empty: bool = True) -> None:
-    """Write exactly ``fields`` in order; an audit is never overwritten by default.
+                refuse_empty: bool = True) -> int:
+    """Write exactly ``fields`` in order and return the number of rows; an audit is never overwritten by default.
 
-    An unexpected or missing column and (by default) an empty table are errors.  CSV output
-    writes NULL as an empty field.
+    An unexpected or missing column and (by default) an empty table are errors.  CSV output writes NULL as
+    an empty field.  Rows are counted by the job that writes them, beside the target; the folder takes its
+    name only once it is complete and accepted, so a failed or refused write leaves neither a part nor a
+    changed target behind.
     """
     unexpected = [c for c in df.columns if c not in fields]
     missing = [c for c in fields if c not in df.columns]
     if unexpected or missing:
         raise SinkError(f"{path}: unexpected columns {unexpected}, missing columns {missing}")
-    if refuse_empty and df.isEmpty():
-        raise SinkError(f"{path}: refusing to write an empty table")
-    writer = df.select(*fields).write.mode("overwrite" if overwrite else "errorifexists")
-    if format == "csv":
-        writer = writer.option("header", True).option("sep", sep).option("emptyValue", "")
-        if gzip:
-            writer = writer.option("compression", "gzip")
-        writer.csv(path)
-    else:
-        writer.format(format).save(path)
+    spark = df.sparkSession
+    jvm = spark._jvm.org.apache.hadoop.fs
+    target, staging = jvm.Path(path), jvm.Path(f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}")
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(target) and not overwrite:
+        raise SinkError(f"{path}: exists already")
+    seen = Observation()
+    writer = df.select(*fields).observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists")
+    try:
+        if format == "csv":
+            writer = writer.option("header", True).option("sep", sep).option("emptyValue", "")
+            if gzip:
+                writer = writer.option("compression", "gzip")
+            writer.csv(staging.toString())
+        else:
+            writer.format(format).save(staging.toString())
+        rows = seen.get["rows"]
+        if refuse_empty and rows == 0:
+            raise SinkError(f"{path}: refusing to write an empty table")
+        if overwrite:
+            system.delete(target, True)
+        if not system.rename(staging, target):
+            raise SinkError(f"{path}: could not take its name")
+        return rows
+    finally:
+        system.delete(staging, True)
 
 
 def write_run_manifest(spark: SparkSession, path: str, contract: str, settings: dict[str, str],

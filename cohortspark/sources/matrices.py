@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..functions.lineage import settle
+from ..operators import gates as G
 
 
 def number_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -20,12 +22,13 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def melt_dense(lines: DataFrame, header: DataFrame, line: str = "line", line_no: str = "line_no",
-               separator: str = "\t") -> tuple[DataFrame, DataFrame]:
+               separator: str = "\t", integers: bool = False) -> tuple[DataFrame, DataFrame]:
     """Wide feature × cell lines to (line_no, feature_id, cell, value) and per-line violations.
 
     ``header``: (cell_pos, cell), one row per matrix column, 0-based.  The matrix is never a
     wide DataFrame: each line is split and exploded, so any number of columns works.  The
-    second result has one row per line with a wrong width or an invalid value.
+    second result has one row per line with a wrong width or an invalid value; with ``integers``
+    a value with a fraction is invalid, too.
     """
     fields = F.split(F.col(line), separator)
     width = header.agg(F.count(F.lit(1))).scalar()
@@ -38,20 +41,28 @@ def melt_dense(lines: DataFrame, header: DataFrame, line: str = "line", line_no:
         (F.exists(F.slice("_f", 2, F.greatest(F.size("_f") - 1, F.lit(1))),
                   lambda v: X.to_number(v).isNull()), "not_finite"),
         (F.exists(F.slice("_f", 2, F.greatest(F.size("_f") - 1, F.lit(1))),
-                  lambda v: F.coalesce(X.to_number(v) < 0, F.lit(False))), "negative"), none="").alias("violations"))
+                  lambda v: F.coalesce(X.to_number(v) < 0, F.lit(False))), "negative"),
+        (F.lit(integers) & F.exists(F.slice("_f", 2, F.greatest(F.size("_f") - 1, F.lit(1))),
+                                    lambda v: F.coalesce(X.to_number(v) != F.floor(X.to_number(v)), F.lit(False))), "not_integer"),
+        none="").alias("violations"))
     return (values.join(header, "cell_pos").select("line_no", "feature_id", "cell", "value"),
             bad.where(F.col("violations") != ""))
 
 
-def read_dense_matrix(spark: SparkSession, path: str, separator: str = "\t") -> tuple[DataFrame, DataFrame]:
+def body_lines(spark: SparkSession, path: str) -> DataFrame:
+    """All lines but the first of a text file, by position: data lines equal to the header stay."""
+    lines = number_lines(spark, path)
+    first = lines.agg(F.min("pos")).scalar()
+    return lines.where(F.col("pos") > first)
+
+
+def read_dense_matrix(spark: SparkSession, path: str, separator: str = "\t", integers: bool = False) -> tuple[DataFrame, DataFrame]:
     """Ingest one dense text matrix: header line, then one line per feature."""
     first = spark.read.text(path).limit(1)
     # posexplode of the header line only; positions join the values by equality.
     header = first.select(F.posexplode(F.split("value", separator)).alias("_p", "cell")).where(
         F.col("_p") > 0).select((F.col("_p") - 1).alias("cell_pos"), "cell")
-    head = first.select(F.col("value")).first()
-    body = number_lines(spark, path).where(F.col("line") != (head[0] if head else ""))
-    return melt_dense(body, header, "line", "pos", separator)
+    return melt_dense(body_lines(spark, path), header, "line", "pos", separator, integers)
 
 
 def read_sample_matrix(spark: SparkSession, path: str, separator: str = "\t"
@@ -66,7 +77,7 @@ def read_sample_matrix(spark: SparkSession, path: str, separator: str = "\t"
     width = len(names)
     raw = F.split("line", separator)
     trailing = (F.size(raw) == width + 1) & (F.element_at(raw, -1) == "")
-    rows = number_lines(spark, path).where(F.col("line") != head[0]).select(
+    rows = body_lines(spark, path).select(
         "pos", trailing.alias("_trail"), F.when(trailing, F.slice(raw, 1, width)).otherwise(raw).alias("_f"))
     counts = rows.agg(F.count_if("_trail").alias("trailing_empty_fields"),
                       F.count_if(F.size("_f") != width).alias("malformed_rows"), F.count(F.lit(1)).alias("rows"))
@@ -168,8 +179,46 @@ def archive_tables(rows: DataFrame, mt_prefix: str = "MT-") -> dict[str, DataFra
     entries = of("entry").select("library_id", "pos", "line")
     from ..operators.audits import parse_coordinates
 
-    parsed = parse_coordinates(entries).where(F.col("value").isNotNull())
-    triples = (parsed.select("library_id", F.col("feature").alias("feature_idx"), F.col("cell").alias("cell_idx"), "value")
-               .join(features, ["library_id", "feature_idx"])
-               .select("library_id", F.col("cell_idx").alias("cell_id"), "feature_id", "symbol", "value"))
-    return {"features": features, "barcodes": barcodes, "headers": headers, "entries": entries, "triples": triples}
+    triples, rejects = attach_positions(parse_coordinates(entries), features, barcodes)
+    return {"features": features, "barcodes": barcodes, "headers": headers, "entries": entries, "triples": triples,
+            "rejects": rejects}
+
+
+def attach_positions(entries: DataFrame, features: DataFrame, barcodes: DataFrame, key: str = "library_id",
+                     keep: Sequence[str] = ("pos", "line")) -> tuple[DataFrame, DataFrame]:
+    """Coordinate entries with what stands at their positions, and the entries that have no place.
+
+    entries: key, feature, cell, value (NULL where a field is malformed) and ``keep``; features: key, feature_idx,
+    feature_id, symbol; barcodes: key, cell_idx, barcode, all counted from 1.  Every entry is in exactly
+    one result: a triple, or a reject whose ``reason`` is the first of malformed, feature_out_of_range,
+    cell_out_of_range, negative and zero.
+    """
+    f = features.select(F.col(key).alias("_fk"), F.col("feature_idx").alias("_fi"), "feature_id", "symbol")
+    b = barcodes.select(F.col(key).alias("_bk"), F.col("cell_idx").alias("_bi"), "barcode")
+    joined = entries.join(f, (F.col(key) == F.col("_fk")) & (F.col("feature") == F.col("_fi")), "left").join(
+        b, (F.col(key) == F.col("_bk")) & (F.col("cell") == F.col("_bi")), "left")
+    malformed = F.col("feature").isNull() | F.col("cell").isNull() | F.col("value").isNull()
+    placed = settle(joined.withColumn("reason", X.first_reason(
+        (malformed, "malformed"), (F.col("_fi").isNull(), "feature_out_of_range"), (F.col("_bi").isNull(), "cell_out_of_range"),
+        (F.col("value") < 0, "negative"), (F.col("value") == 0, "zero"), none="")))
+    triples = placed.where("reason = ''").select(key, F.col("cell").alias("cell_id"), "barcode", "feature_id", "symbol", "value")
+    return triples, placed.where("reason <> ''").select(key, *keep, "reason")
+
+
+#: Faults of single entries, which a tolerant matrix gate counts without failing.
+ENTRY_FAULTS = ("malformed", "feature_out_of_range", "cell_out_of_range", "negative")
+
+
+def matrix_gate(headers: DataFrame, rejects: DataFrame, key: str = "library_id", strict: bool = True) -> DataFrame:
+    """Gate rows per library: dimensions, number of entries and faulty entries; zero values never fail.
+
+    headers: key, matrix_rows, matrix_columns, declared_nnz, n_features, n_barcodes, entries_read.  A strict gate
+    fails on any faulty entry; a tolerant one lets faulty entries pass and still wants dimensions and counts.
+    """
+    found = rejects.groupBy(F.col(key).alias("_key")).agg(*[F.count_if(F.col("reason") == r).alias(r) for r in ENTRY_FAULTS])
+    rows = headers.join(found, F.col(key) == F.col("_key"), "left").fillna(0, subset=list(ENTRY_FAULTS))
+    off = (F.col("matrix_rows") != F.col("n_features")) | (F.col("matrix_columns") != F.col("n_barcodes"))
+    gates = G.gate_sums(rows, F.col(key), {
+        "dimension_mismatch": off.cast("int"), "entry_count_mismatch": (F.col("entries_read") != F.col("declared_nnz")).cast("int"),
+        **{r: F.col(r) for r in ENTRY_FAULTS}})
+    return gates if strict else G.tolerant(gates, ENTRY_FAULTS)

@@ -74,12 +74,14 @@ k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY CASE WHEN featur
         count(*) OVER (PARTITION BY symbol) AS n FROM r)
 SELECT symbol, feature_id, line_no, CASE WHEN n > 1 AND symbol IN ({', '.join(f"'{s}'" for s in CONFIGURED)}) THEN
     CASE WHEN canonical IS NULL THEN 'undeclared_duplicate' WHEN feature_id = canonical THEN 'canonical_id_kept' ELSE 'canonical_id_absent' END END AS decision
-FROM k WHERE rk = 1""")
+FROM k WHERE rk = 1 AND symbol <> '' AND NOT (n > 1 AND symbol IN ({', '.join(f"'{s}'" for s in CONFIGURED)}) AND (canonical IS NULL OR feature_id <> canonical))
+UNION ALL SELECT symbol, NULL, NULL, CASE WHEN canonical IS NULL THEN 'undeclared_duplicate' ELSE 'canonical_id_absent' END
+FROM k WHERE rk = 1 AND n > 1 AND symbol IN ({', '.join(f"'{s}'" for s in CONFIGURED)}) AND (canonical IS NULL OR feature_id <> canonical)""")
 def dedupe_symbols(t: Tables):
     rows = t.part.select(X.normalize_symbol("p_name").alias("symbol"), F.col("p_partkey").cast("string").alias("feature_id"),
                          F.col("p_partkey").alias("line_no"))
     kept, decisions = S.resolve_duplicate_symbols(rows, CONFIGURED, CANONICAL)
-    return kept.join(decisions.select("symbol", "decision"), "symbol", "left").select(
+    return kept.join(decisions.select("symbol", "decision"), "symbol", "full").select(
         "symbol", "feature_id", "line_no", "decision")
 
 
@@ -219,19 +221,19 @@ SELECT library_id, count(DISTINCT feature_id) AS unique_feature_ids, count(*) -
   count(*) = count(DISTINCT feature_id) AND b.duplicate_barcodes = 0 AS identifier_check_pass, 'feature_id' AS recommended_key
 FROM (SELECT DISTINCT l_returnflag || l_linestatus AS library_id, l_partkey AS feature_id, symbol FROM lineitem JOIN v_features ON l_partkey = feature_id) f
 JOIN (SELECT library_id, count(DISTINCT barcode) AS unique_barcodes, count(*) - count(DISTINCT barcode) AS duplicate_barcodes
-      FROM (SELECT l_returnflag || l_linestatus AS library_id, l_orderkey AS barcode FROM lineitem WHERE l_linenumber = 1) GROUP BY 1) b USING (library_id)
+      FROM (SELECT l_returnflag || l_linestatus AS library_id, l_orderkey AS barcode FROM lineitem) GROUP BY 1) b USING (library_id)
 GROUP BY library_id, b.unique_barcodes, b.duplicate_barcodes""")
 def identifier_audit(t: Tables):
     library = F.concat("l_returnflag", "l_linestatus").alias("library_id")
     features = (t.lineitem.select(library, F.col("l_partkey").alias("feature_id")).distinct()
                 .join(t.features, "feature_id"))
-    barcodes = t.lineitem.where(F.col("l_linenumber") == 1).select(library, F.col("l_orderkey").alias("barcode"))
+    barcodes = t.lineitem.select(library, F.col("l_orderkey").alias("barcode"))
     return A.identifier_audit(features, barcodes, "library_id")
 
 
 @query("raw_eligibility", """
 WITH a AS (SELECT library_id, donor_id, compartment, CASE WHEN severity_group = 'BUILDING' THEN 'processed matrix' ELSE 'raw 10x counts' END AS matrix_status,
-    count(*) = count(m.cell_id) AS dimension_check_pass FROM v_cells c LEFT JOIN v_measures m USING (cell_id) WHERE compartment <> '' GROUP BY ALL),
+    count(*) = count(m.cell_id) AS dimension_check_pass FROM v_cells c LEFT JOIN v_measures m USING (cell_id) GROUP BY ALL),
 n AS (SELECT *, count(*) OVER (PARTITION BY donor_id) AS audit_rows FROM a)
 SELECT library_id, donor_id, audit_rows, starts_with(matrix_status, 'raw 10x') AND dimension_check_pass AS raw_count_eligible,
   CASE WHEN audit_rows <> 1 THEN 'repeated audit row' WHEN starts_with(matrix_status, 'raw 10x') AND dimension_check_pass
@@ -239,12 +241,11 @@ SELECT library_id, donor_id, audit_rows, starts_with(matrix_status, 'raw 10x') A
 def raw_eligibility(t: Tables):
     with_entries = t.lineitem.select(F.col("l_orderkey").alias("cell_id")).distinct().withColumn("_seen", F.lit(1))
     status = F.when(F.col("severity_group") == "BUILDING", F.lit("processed matrix")).otherwise(F.lit("raw 10x counts"))
-    audited = (t.cells.where(F.col("compartment") != "").join(with_entries, "cell_id", "left")
+    audited = (t.cells.join(with_entries, "cell_id", "left")
                .groupBy("library_id", "donor_id", "compartment", status.alias("matrix_status"))
                .agg((F.count(F.lit(1)) == F.count("_seen")).alias("dimension_check_pass")))
-    audited = settle(audited)
-    both = audited.where(F.col("compartment") == "AF").unionByName(audited.where(F.col("compartment") == "NP"))
-    return A.raw_eligibility(both, "donor_id").select(
+    # Compartments come as separate audits, the one without a name too.
+    return A.raw_eligibility(settle(audited), "donor_id").select(
         "library_id", "donor_id", "audit_rows", "raw_count_eligible", "analysis_status")
 
 
@@ -283,14 +284,14 @@ def audit_alignment(t: Tables):
 @query("listing_compare", """
 SELECT coalesce(a.name, b.name) AS name, a.bytes AS published_bytes, b.bytes AS observed_bytes,
   CASE WHEN b.name IS NULL THEN 'missing_in_archive' WHEN a.name IS NULL THEN 'unexpected_in_archive' WHEN a.bytes <> b.bytes THEN 'size_mismatch' ELSE 'match' END AS listing_status
-FROM (SELECT CAST(o_custkey AS VARCHAR) AS name, count(*) AS bytes FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a
-FULL JOIN (SELECT CAST(o_custkey AS VARCHAR) AS name, count(*) AS bytes FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b ON a.name = b.name""")
+FROM (SELECT CAST(o_custkey AS VARCHAR) AS name, count(*) AS bytes FROM orders WHERE o_orderstatus IN ('F', 'P') GROUP BY 1) a
+FULL JOIN (SELECT CAST(o_custkey AS VARCHAR) AS name, count(*) AS bytes FROM orders WHERE o_orderstatus IN ('O', 'P') GROUP BY 1) b ON a.name = b.name""")
 def listing_compare(t: Tables):
-    def members(status):
-        return (t.orders.where(F.col("o_orderstatus") == status)
+    def members(*status):
+        return (t.orders.where(F.col("o_orderstatus").isin(*status))
                 .groupBy(F.col("o_custkey").cast("string").alias("name")).agg(F.count(F.lit(1)).alias("bytes")))
 
-    return I.listing_compare(members("F"), members("O"))
+    return I.listing_compare(members("F", "P"), members("O", "P"))
 
 
 @query("asset_verification", """
@@ -330,12 +331,103 @@ def id_overlap(t: Tables):
     return A.id_overlap(rows, platform, "library_id", "feature_id")
 
 
+@query("id_overlap_lists", """
+WITH f AS (SELECT DISTINCT l_returnflag || l_linestatus AS library_id, l_partkey AS feature_id FROM lineitem)
+SELECT library_id, feature_id, 'unmapped_id' AS problem FROM f WHERE feature_id NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25)
+UNION ALL SELECT NULL, p_partkey, 'platform_id_in_no_file' FROM part WHERE p_size <= 25 AND p_partkey NOT IN (SELECT feature_id FROM f)""")
+def id_overlap_lists(t: Tables):
+    rows = t.lineitem.select(F.concat("l_returnflag", "l_linestatus").alias("library_id"), F.col("l_partkey").alias("feature_id"))
+    platform = t.part.where(F.col("p_size") <= 25).select(F.col("p_partkey").alias("feature_id"))
+    return A.id_overlap_lists(rows, platform, "library_id", "feature_id")
+
+
+@query("sets_equal", """
+SELECT s AS status, count(*) FILTER (WHERE a AND NOT b) = 0 AND count(*) FILTER (WHERE b AND NOT a) = 0 AS sets_equal
+FROM (SELECT s, k, bool_or(src = 1) AS a, bool_or(src = 2) AS b FROM (
+  SELECT o_orderstatus AS s, o_custkey AS k, 1 AS src FROM orders
+  UNION ALL SELECT o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN o_custkey + 1 ELSE o_custkey END, 2 FROM orders) GROUP BY ALL) GROUP BY 1""")
+def sets_equal(t: Tables):
+    left = t.orders.select(F.col("o_orderstatus").alias("status"), "o_custkey")
+    right = left.withColumn("o_custkey", F.when(F.col("status") == "P", F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+    return I.sets_equal(left, right, ["status", "o_custkey"], ["status"])
+
+
+@query("library_presence", """
+SELECT DISTINCT library_id, 'archive_library_absent_from_ledger' AS problem FROM v_cells WHERE library_id NOT IN (SELECT library_id FROM v_libraries)
+UNION ALL SELECT DISTINCT library_id, 'ledger_library_absent_from_archive' FROM v_libraries l
+WHERE NOT EXISTS (SELECT 1 FROM v_cells c JOIN v_measures m ON m.cell_id = c.cell_id WHERE c.library_id = l.library_id AND m.total_umi > 300)""")
+def library_presence(t: Tables):
+    # The archive lists all libraries against the scored ones; in the strict reverse only libraries with a large cell count as archived.
+    known = settle(t.library_profiles.select("library_id"))
+    large = t.cells.join(t.profiles.where("total_umi > 300").select("cell_id"), "cell_id").select("library_id")
+    absent = I.library_presence(t.cells, known, "library_id")
+    return absent.unionByName(I.library_presence(large, known, "library_id", True).where("problem like 'ledger%'"))
+
+
+@query("identity_conflicts", """
+SELECT l_partkey, count(*) AS metadata_tuples FROM (SELECT DISTINCT l_partkey, l_returnflag, l_linestatus FROM lineitem) GROUP BY 1 HAVING count(*) > 1""")
+def identity_conflicts(t: Tables):
+    return I.identity_conflicts(t.lineitem, "l_partkey", ["l_returnflag", "l_linestatus"])
+
+
+@query("earlier_library", """
+SELECT donor_id, compartment, library_id, lag(library_id) OVER (PARTITION BY donor_id, compartment ORDER BY library_id) AS earlier_library
+FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS donor_id, o_orderstatus AS compartment, o_orderpriority AS library_id FROM orders)
+QUALIFY earlier_library IS NOT NULL""")
+def earlier_library(t: Tables):
+    return A.earlier_library(t.orders.select(F.col("o_custkey").cast("string").alias("donor_id"), F.col("o_orderstatus").alias("compartment"),
+                                             F.col("o_orderpriority").alias("library_id")))
+
+
+@query("split_and_select", """
+SELECT p_partkey, list_filter(list_transform(string_split(p_name, ' '), lambda x: trim(x)), lambda x: x <> '')[1] AS first_word,
+  len(list_filter(string_split(p_name, ' '), lambda x: x <> '')) AS words,
+  CASE WHEN regexp_full_match(p_brand, 'BRAND#[1-9]|Brand#[1-9]') THEN 'native_subset' ELSE 'excluded_subset' END AS arm
+FROM part""")
+def split_and_select(t: Tables):
+    words = X.split_list("p_name", " ")
+    return t.part.select("p_partkey", F.get(words, F.lit(0)).alias("first_word"), F.size(words).cast("long").alias("words"),
+                         X.selection("p_brand", "BRAND#[1-9]|Brand#[1-9]", "native_subset", "excluded_subset").alias("arm"))
+
+
+def positions(t: Tables):
+    """Every line as a coordinate entry of its order status; parts and orders are the two axes, some places do not exist."""
+    features = t.part.where(F.col("p_size") <= 45).select(F.explode(F.array(*[F.lit(s) for s in "FOP"])).alias("library_id"),
+                                                          F.col("p_partkey").alias("feature_idx"), F.col("p_brand").alias("feature_id"), F.col("p_type").alias("symbol"))
+    barcodes = t.orders.where(~F.col("o_orderpriority").startswith("5")).select(
+        F.col("o_orderstatus").alias("library_id"), F.col("o_orderkey").alias("cell_idx"), F.concat(F.lit("bc"), F.col("o_custkey").cast("string")).alias("barcode"))
+    entries = t.lineitem.join(t.orders.select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_orderstatus").alias("library_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
+        F.when(F.col("l_discount") > 0.09, F.lit(None)).otherwise(F.col("l_partkey")).alias("feature"), F.col("l_orderkey").alias("cell"),
+        (F.col("l_quantity").cast("long") - 3).alias("value"))
+    return MX.attach_positions(entries, features, barcodes, keep=["pos"])
+
+
+view("v_positions", """
+    SELECT o_orderstatus AS library_id, l_orderkey * 10 + l_linenumber AS pos, l_orderkey AS cell_id, CAST(l_quantity AS BIGINT) - 3 AS value,
+      p_brand AS feature_id, p_type AS symbol, 'bc' || o_custkey AS barcode,
+      CASE WHEN l_discount > 0.09 THEN 'malformed' WHEN p_partkey IS NULL OR p_size > 45 THEN 'feature_out_of_range'
+           WHEN o_orderpriority LIKE '5%' THEN 'cell_out_of_range' WHEN CAST(l_quantity AS BIGINT) < 3 THEN 'negative'
+           WHEN CAST(l_quantity AS BIGINT) = 3 THEN 'zero' ELSE '' END AS reason
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey""")
+
+
+@query("attached_positions", "SELECT library_id, cell_id, barcode, feature_id, symbol, value FROM v_positions WHERE reason = ''")
+def attached_positions(t: Tables):
+    return positions(t)[0]
+
+
+@query("position_rejects", "SELECT library_id, pos, reason FROM v_positions WHERE reason <> ''")
+def position_rejects(t: Tables):
+    return positions(t)[1]
+
+
 @query("key_differences", """
-SELECT l_partkey, l_suppkey, CASE WHEN bool_or(l_returnflag = 'A') THEN 'left_only' ELSE 'right_only' END AS side
-FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2 HAVING count(DISTINCT l_returnflag) = 1""")
+SELECT l_partkey, l_suppkey, CASE WHEN bool_or(l_returnflag IN ('A', 'N')) THEN 'left_only' ELSE 'right_only' END AS side
+FROM lineitem GROUP BY 1, 2 HAVING bool_or(l_returnflag IN ('A', 'N')) <> bool_or(l_returnflag IN ('R', 'N'))""")
 def key_differences(t: Tables):
     rows = t.lineitem.select("l_partkey", "l_suppkey", "l_returnflag")
-    return I.key_differences(rows.where(F.col("l_returnflag") == "A"), rows.where(F.col("l_returnflag") == "R"),
+    return I.key_differences(rows.where(F.col("l_returnflag").isin("A", "N")), rows.where(F.col("l_returnflag").isin("R", "N")),
                              ["l_partkey", "l_suppkey"])
 
 

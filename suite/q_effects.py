@@ -163,24 +163,39 @@ def direction_retention(t: Tables):
     return out.withColumns(r6("leave_one_out_min", "leave_one_out_max", "direction_retention_fraction"))
 
 
+view("v_oriented", """
+    SELECT *, CASE WHEN cohort_id IN ('ASIA', 'EUROPE') THEN 'lower_grade' ELSE 'higher_grade' END AS severity_orientation,
+      'role_' || lower(cohort_id) AS cohort_role, CASE WHEN cohort_id IN ('AFRICA', 'ASIA', 'EUROPE') THEN 'True' ELSE 'False' END AS confirmatory_eligible
+    FROM v_effects""")
+
+
 @query("direction_consistency", """
-SELECT module_id, compartment, n_available, n_positive, n_negative, n_zero,
+SELECT module_id, compartment, severity_orientation, n_available, n_positive, n_negative, n_zero,
   round(1e0 * greatest(n_positive, n_negative) / nullif(n_positive + n_negative, 0), 6) AS majority_fraction,
   CASE WHEN n_positive + n_negative < 2 THEN 'not_assessable_fewer_than_two_nonzero_cohort_effects'
        WHEN n_negative = 0 THEN 'positive_higher_target_severity' WHEN n_positive = 0 THEN 'negative_lower_target_severity'
        ELSE 'discordant' END AS consensus_direction,
   CASE WHEN n_positive + n_negative < 2 THEN 'insufficient_cohort_effects_for_direction_alignment'
        WHEN n_negative = 0 OR n_positive = 0 THEN 'available_effects_directionally_aligned'
-       ELSE 'available_effects_directionally_discordant' END AS consistency_status, cohort_ids, cohort_effects
-FROM (SELECT module_id, compartment, count(*) AS n_available,
-        count(*) FILTER (WHERE effect_direction LIKE 'positive%') AS n_positive,
-        count(*) FILTER (WHERE effect_direction LIKE 'negative%') AS n_negative,
-        count(*) FILTER (WHERE effect_direction = 'zero') AS n_zero,
-        string_agg(cohort_id, ';' ORDER BY cohort_id) AS cohort_ids,
-        string_agg(cohort_id || '=' || printf('%.6f', effect), ';' ORDER BY cohort_id) AS cohort_effects
-      FROM v_effects WHERE effect_status LIKE 'available%' GROUP BY ALL)""")
+       ELSE 'available_effects_directionally_discordant' END AS consistency_status, cohort_ids, cohort_effects, cohort_roles, n_eligible,
+  CASE WHEN n_eligible < 2 THEN 'not_assessed_fewer_than_two_confirmatory_eligible_independent_validation_contrasts; no_meta_analysis_run'
+       ELSE 'not_adjudicated_by_this_script_no_meta_analysis_run' END AS replication_assessment
+FROM (SELECT module_id, compartment, severity_orientation, count(*) FILTER (WHERE a) AS n_available,
+        count(*) FILTER (WHERE a AND effect_direction LIKE 'positive%') AS n_positive,
+        count(*) FILTER (WHERE a AND effect_direction LIKE 'negative%') AS n_negative,
+        count(*) FILTER (WHERE a AND effect_direction = 'zero') AS n_zero,
+        count(*) FILTER (WHERE a AND confirmatory_eligible = 'True') AS n_eligible,
+        coalesce(string_agg(cohort_id, ';' ORDER BY cohort_id) FILTER (WHERE a), '') AS cohort_ids,
+        coalesce(string_agg(cohort_role, ';' ORDER BY cohort_id) FILTER (WHERE a), '') AS cohort_roles,
+        coalesce(string_agg(cohort_id || '=' || printf('%.6f', effect), ';' ORDER BY cohort_id) FILTER (WHERE a), '') AS cohort_effects
+      FROM (SELECT *, effect_status LIKE 'available%' AS a FROM v_oriented) GROUP BY ALL)""")
 def direction_consistency(t: Tables):
-    return E.direction_consistency(donor_effects_frame(t), digits=6).withColumns(r6("majority_fraction"))
+    cohort = F.col("cohort_id")
+    effects = donor_effects_frame(t).withColumns({
+        "severity_orientation": F.when(cohort.isin("ASIA", "EUROPE"), F.lit("lower_grade")).otherwise(F.lit("higher_grade")),
+        "cohort_role": F.concat(F.lit("role_"), F.lower(cohort)),
+        "confirmatory_eligible": F.when(cohort.isin("AFRICA", "ASIA", "EUROPE"), F.lit("True")).otherwise(F.lit("False"))})
+    return E.direction_consistency(effects, digits=6).withColumns(r6("majority_fraction"))
 
 
 @query("ingestion_audit", """
@@ -201,13 +216,13 @@ def ingestion_audit(t: Tables):
 
 @query("conflicting_arms", """
 SELECT l_linestatus AS cohort_id, l_shipmode AS compartment, donor_id, arms FROM (
-  SELECT l_linestatus, 'line' AS l_shipmode, CAST(l_orderkey AS VARCHAR) AS donor_id, count(DISTINCT l_returnflag) AS arms
-  FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL) WHERE arms > 1""")
+  SELECT l_linestatus, 'line' AS l_shipmode, CAST(l_orderkey AS VARCHAR) AS donor_id, count(DISTINCT l_returnflag = 'R') AS arms
+  FROM lineitem GROUP BY ALL) WHERE arms > 1""")
 def conflicting_arms(t: Tables):
     arms = t.lineitem.select(F.col("l_linestatus").alias("cohort_id"), F.lit("line").alias("compartment"),
                              F.col("l_orderkey").cast("string").alias("donor_id"),
-                             X.arm_label("l_returnflag", F.lit("A"), F.lit("R")).alias("contrast_arm"))
-    return E.conflicting_arms(arms.where(F.col("contrast_arm").isNotNull()))
+                             X.arm_label(F.col("l_returnflag") == "R", F.lit(False), F.lit(True)).alias("contrast_arm"))
+    return E.conflicting_arms(arms)
 
 
 @query("duplicate_keys", """
@@ -282,7 +297,7 @@ def union_scores(t: Tables):
 view("v_ledger", """
     SELECT DISTINCT c.cohort_id, library_id, c.donor_id, compartment,
       CASE WHEN d.c_acctbal < 0 THEN 'UNRESOLVED' ELSE c.severity_group END AS severity_group
-    FROM v_cells c JOIN v_donors d USING (donor_id) WHERE compartment <> ''""")
+    FROM v_cells c JOIN v_donors d USING (donor_id)""")
 view("v_crosswalk", """
     SELECT coalesce(s.cohort_id, l.cohort_id) AS cohort_id, count(s.library_id) AS score_keys, count(l.library_id) AS ledger_keys,
       count(*) FILTER (WHERE s.library_id IS NOT NULL AND l.library_id IS NOT NULL) AS matched_keys,
@@ -298,7 +313,7 @@ def ledger(t: Tables):
     """Sample ledger whose group column has another name and an unresolved value."""
     group = F.when(F.col("c_acctbal") < 0, F.lit("UNRESOLVED")).otherwise(F.col("severity_group"))
     donors = t.donors.select("donor_id", group.alias("published_group"))
-    return (t.cells.where(F.col("compartment") != "").select("cohort_id", "library_id", "donor_id", "compartment")
+    return (t.cells.select("cohort_id", "library_id", "donor_id", "compartment")
             .distinct().join(donors, "donor_id"))
 
 
@@ -361,15 +376,14 @@ def ledger_gate(t: Tables):
 
 @query("ledger_score_agreement", """
 WITH s AS (SELECT DISTINCT library_id, included_cells AS a FROM v_scores),
-l AS (SELECT library_id, count(*) AS b FROM v_labels WHERE compartment <> '' GROUP BY 1),
+l AS (SELECT library_id, count(*) AS b FROM v_labels GROUP BY 1),
 j AS (SELECT s.a, l.b FROM s FULL JOIN l ON s.library_id = l.library_id)
 SELECT gate, 'score_ledger' AS scope, violations, CASE WHEN violations = 0 THEN 'pass' ELSE 'fail' END AS status FROM (
   SELECT 'library_missing_on_one_side' AS gate, count(*) FILTER (WHERE a IS NULL OR b IS NULL) AS violations FROM j
   UNION ALL SELECT 'retained_cell_counts_differ', count(*) FILTER (WHERE a <> b) FROM j
   UNION ALL SELECT 'below_minimum_retained_cells', count(*) FILTER (WHERE b < 2) FROM j)""")
 def ledger_score_agreement(t: Tables):
-    counts = t.annotated.where(F.col("compartment") != "").groupBy("library_id").agg(
-        F.count(F.lit(1)).alias("included_cells"))
+    counts = t.annotated.groupBy("library_id").agg(F.count(F.lit(1)).alias("included_cells"))
     return G.ledger_score_agreement(t.module_scores, counts, ["library_id"], 2)
 
 
@@ -463,11 +477,10 @@ def sensitivity_gate(t: Tables):
     return G.sensitivity_gate(threshold_identity_frame(t), "threshold")
 
 
-@query("grid_completeness", "SELECT c.cohort_id, m.module_id, coalesce(s.n, 0) AS observed_rows, "
+@query("grid_completeness", "SELECT c.cohort_id, c.compartment, m.module_id, coalesce(s.n, 0) AS observed_rows, "
        "CASE WHEN s.n IS NULL THEN 'missing' WHEN s.n > 1 THEN 'repeated' ELSE 'present' END AS grid_status "
-       "FROM (SELECT DISTINCT cohort_id FROM v_donors) c CROSS JOIN (SELECT DISTINCT module_id FROM v_modules) m "
-       "LEFT JOIN (SELECT cohort_id, module_id, count(*) AS n FROM v_effects WHERE compartment = 'NP' GROUP BY ALL) s "
-       "ON s.cohort_id = c.cohort_id AND s.module_id = m.module_id")
+       "FROM (SELECT DISTINCT cohort_id, compartment FROM v_cells) c CROSS JOIN (SELECT DISTINCT module_id FROM v_modules) m "
+       "LEFT JOIN (SELECT cohort_id, compartment, module_id, count(*) AS n FROM v_effects GROUP BY ALL) s "
+       "ON s.cohort_id = c.cohort_id AND s.compartment = c.compartment AND s.module_id = m.module_id")
 def grid_completeness(t: Tables):
-    rows = donor_effects_frame(t).where(F.col("compartment") == "NP")
-    return I.grid_completeness(rows, t.donors, "cohort_id", list(MODULES), "module_id")
+    return I.grid_completeness(donor_effects_frame(t), t.cells, ["cohort_id", "compartment"], list(MODULES), "module_id")

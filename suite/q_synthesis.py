@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions import dist
@@ -216,6 +217,56 @@ def synthesis_package_gate(t: Tables):
     return G.synthesis_package_gate(results, F.col("scenario"), 4, ["pooled_effect", "ci_lower", "ci_upper"])
 
 
+view("v_listed", """
+    SELECT scenario, cohort_id, row_number() OVER (PARTITION BY scenario ORDER BY cohort_id) AS place,
+      CASE WHEN cohort_id = 'EUROPE' THEN 'True' ELSE 'False' END AS confirmatory_eligible
+    FROM (SELECT DISTINCT n.scenario, s.cohort_id FROM v_studies s JOIN ({listed}) n ON true)""".format(listed=V.values([(n,) for n in SCENARIOS], "scenario")))
+
+
+def listed(t: Tables):
+    """Every cohort with a study, listed for each scenario by name: more than most scenarios want."""
+    cohorts = studies(t).select("cohort_id").distinct().select("cohort_id", F.explode(F.array(*[F.lit(n) for n in SCENARIOS])).alias("scenario"))
+    order = Window.partitionBy("scenario").orderBy("cohort_id")  # a list of cohorts
+    return cohorts.select("scenario", "cohort_id", F.row_number().over(order).alias("place"), F.when(
+        F.col("cohort_id") == "EUROPE", F.lit("True")).otherwise(F.lit("False")).alias("confirmatory_eligible"))
+
+
+_WANTED = V.values([(n, c, i) for n, ids in SCENARIOS.items() for i, c in enumerate(ids, 1)], "scenario, member, nth")
+
+
+@query("scenario_gate", f"""
+WITH w AS ({_WANTED}),
+c AS (SELECT l.scenario, count(*) FILTER (WHERE w.member IS DISTINCT FROM l.cohort_id) AS off, count(*) FILTER (WHERE w.member = l.cohort_id) AS hits,
+        count(*) FILTER (WHERE confirmatory_eligible = 'True') AS eligible
+      FROM v_listed l LEFT JOIN w ON w.scenario = l.scenario AND w.nth = l.place GROUP BY 1),
+g AS (SELECT c.*, greatest((SELECT count(*) FROM w WHERE w.scenario = c.scenario) - hits, 0) AS missing FROM c)
+SELECT gate, scope, violations::BIGINT AS violations, CASE WHEN violations = 0 THEN 'pass' ELSE 'fail' END AS status FROM (
+  SELECT 'unexpected_study_order' AS gate, scenario AS scope, off AS violations FROM g
+  UNION ALL SELECT 'missing_studies', scenario, missing FROM g UNION ALL SELECT 'confirmatory_eligible_study', scenario, eligible FROM g)""")
+def scenario_gate(t: Tables):
+    return G.scenario_gate(listed(t), F.col("scenario"), "scenario", SCENARIOS, "place")
+
+
+@query("synthesis_contract_gate", f"""
+WITH w AS ({_WANTED}),
+r AS (SELECT DISTINCT split_part(gkey, '|', 1) AS module_id, split_part(gkey, '|', 3) AS scenario FROM v_scenarios),
+m AS (SELECT scenario, count(*) FILTER (WHERE module_id NOT IN ('m1', 'm2', 'm3')) + 3 - count(DISTINCT module_id) FILTER (WHERE module_id IN ('m1', 'm2', 'm3')) AS bad,
+        count(*) FILTER (WHERE module_id = 'm2') AS model FROM r GROUP BY 1),
+s AS (SELECT l.scenario, count(*) FILTER (WHERE w.member IS NULL) + (SELECT count(*) FROM w x WHERE x.scenario = l.scenario) - count(DISTINCT w.member) AS bad,
+        count(*) FILTER (WHERE confirmatory_eligible = 'True') AS eligible
+      FROM v_listed l LEFT JOIN w ON w.scenario = l.scenario AND w.member = l.cohort_id GROUP BY 1)
+SELECT gate, scope, violations::BIGINT AS violations, CASE WHEN violations = 0 THEN 'pass' ELSE 'fail' END AS status FROM (
+  SELECT 'unexpected_module_set' AS gate, scenario AS scope, bad AS violations FROM m
+  UNION ALL SELECT 'unexpected_measure', scenario, 0 FROM m UNION ALL SELECT 'unexpected_model', scenario, model FROM m
+  UNION ALL SELECT 'unexpected_cohort_set', scenario, bad FROM s UNION ALL SELECT 'confirmatory_eligible_study', scenario, eligible FROM s)""")
+def synthesis_contract_gate(t: Tables):
+    pooled = M.scenario_synthesis(studies(t), GROUP, SCENARIOS).select("module_id", "scenario").distinct()
+    claims = pooled.withColumns({"effect_measure": F.lit("SMDH"), "tau_squared_method": F.when(
+        F.col("module_id") == "m2", F.lit("PM")).otherwise(F.lit("REML")), "confidence_interval_method": F.lit("Knapp-Hartung")})
+    return G.synthesis_contract_gate(claims, listed(t), "scenario", ["m1", "m2", "m3"], SCENARIOS, "SMDH",
+                                     {"tau_squared_method": "REML", "confidence_interval_method": "Knapp-Hartung"})
+
+
 view("v_welch_p", """
     SELECT cohort_id, compartment, module_id, round(1e0 - 2e0 * exp(lgamma((analytic_df + 1) / 2) - lgamma(analytic_df / 2)) / sqrt(pi())
         * th / 6000 * list_sum(list_transform(range(0, 2001), lambda i:

@@ -136,8 +136,15 @@ def test_consistency_statuses(spark):
         [effect("a", "same", 1.0), effect("b", "same", 2.0), effect("a", "mixed", 1.0), effect("b", "mixed", -2.0),
          effect("a", "few", 1.0), effect("b", "few", 0.0), effect("a", "neg", -1.0), effect("b", "neg", -1.5)],
         "cohort_id string, compartment string, module_id string, effect double, effect_status string")
-    df = df.withColumn("effect_direction", X.effect_direction("effect"))
+    df = df.withColumns({"effect_direction": X.effect_direction("effect"), "severity_orientation": F.lit("up"),
+                         "cohort_role": F.concat(F.lit("r"), "cohort_id"), "confirmatory_eligible": F.lit("True")})
     rows = {r["module_id"]: r for r in E.direction_consistency(df, digits=2).collect()}
+    assert rows["same"]["cohort_roles"] == "ra;rb" and rows["same"]["replication_assessment"] == E.NOT_ADJUDICATED
+    # Cohorts of opposite orientation are not compared.
+    apart = E.direction_consistency(df.withColumn("severity_orientation", F.col("cohort_id")), digits=2)
+    assert {r["n_available"] for r in apart.collect()} == {1} and apart.where("consensus_direction = 'discordant'").count() == 0
+    none = E.direction_consistency(df.withColumn("effect_status", F.lit("not_estimable")), digits=2).first()
+    assert none["n_available"] == 0 and none["cohort_ids"] == "" and none["replication_assessment"] == E.NOT_ASSESSED
     assert rows["same"]["consensus_direction"] == "positive_higher_target_severity"
     assert rows["neg"]["consensus_direction"] == "negative_lower_target_severity"
     assert rows["mixed"]["consensus_direction"] == "discordant" and rows["mixed"]["majority_fraction"] == 0.5
@@ -362,7 +369,7 @@ def test_duplicate_symbols(spark):
     rows = spark.createDataFrame([("A", "x1", 1), ("A", "x2", 2), ("B", "y1", 3), ("B", "y2", 4), ("C", "z1", 5), ("C", "z2", 6)],
                                  ["symbol", "feature_id", "line_no"])
     kept, decisions = S.resolve_duplicate_symbols(rows, ["A", "B"], {"A": "x2"})
-    assert {r["symbol"]: r["feature_id"] for r in kept.collect()} == {"A": "x2", "B": "y1", "C": "z1"}
+    assert {r["symbol"]: r["feature_id"] for r in kept.collect()} == {"A": "x2", "C": "z1"}
     assert {r["symbol"]: r["decision"] for r in decisions.collect()} == {"A": "canonical_id_kept", "B": "undeclared_duplicate"}
 
 

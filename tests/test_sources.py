@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.operators import audits as A
+from cohortspark.operators import gates as G
 from cohortspark.operators import scores as S
 from cohortspark.sources import files as FS
 from cohortspark.sources import matrices as MX
@@ -95,6 +96,36 @@ def test_sample_matrix_trailing_field(spark, tmp_path):
     assert {(r["id"], r["sample"]): r["value"] for r in long.collect()}[("B", "s2")] == "4"
 
 
+def test_data_line_equal_to_the_header_and_integers(spark, tmp_path):
+    path = tmp_path / "again.tsv"
+    path.write_text("gene\t1\t2\nA\t1\t2\ngene\t1\t2\nB\t1.5\t2\n")
+    values, bad = MX.read_dense_matrix(spark, str(path), integers=True)
+    assert values.where("feature_id = 'gene'").count() == 2
+    assert {r["feature_id"]: r["violations"] for r in bad.collect()} == {"B": "not_integer"}
+    assert MX.read_sample_matrix(spark, str(path))[1].first()["rows"] == 3
+
+
+def test_every_entry_is_a_triple_or_a_reject(spark):
+    features = spark.createDataFrame([("l", 1, "E1", "A"), ("l", 2, "E2", "B")], "library_id string, feature_idx long, feature_id string, symbol string")
+    barcodes = spark.createDataFrame([("l", 1, "AAA"), ("l", 2, "CCC")], "library_id string, cell_idx long, barcode string")
+    entries = [(1, 1, 5), (2, 2, 1), (3, 1, 1), (0, 1, 1), (1, 3, 1), (1, 1, -2), (2, 1, 0), (None, 1, 1), (1, 1, None), (9, 9, -1)]
+    df = spark.createDataFrame([("l", i, str(e), *e) for i, e in enumerate(entries)],
+                               "library_id string, pos long, line string, feature long, cell long, value long")
+    triples, rejects = MX.attach_positions(df, features, barcodes)
+    assert sorted((r["barcode"], r["feature_id"], r["value"]) for r in triples.collect()) == [("AAA", "E1", 5), ("CCC", "E2", 1)]
+    assert [r["reason"] for r in rejects.orderBy("pos").collect()] == [
+        "feature_out_of_range", "feature_out_of_range", "cell_out_of_range", "negative", "zero", "malformed", "malformed", "feature_out_of_range"]
+    headers = spark.createDataFrame([("l", 2, 2, 10, 2, 2, 10)], "library_id string, matrix_rows long, matrix_columns long, declared_nnz long, "
+                                    "n_features long, n_barcodes long, entries_read long")
+    strict = {r["gate"]: (r["violations"], r["status"]) for r in MX.matrix_gate(headers, rejects).collect()}
+    assert strict["feature_out_of_range"] == (3, "fail") and strict["entry_count_mismatch"] == (0, "pass") and "zero" not in strict
+    lenient = MX.matrix_gate(headers, rejects, strict=False)
+    G.require(lenient)
+    assert lenient.where("status = 'tolerated'").count() == 4
+    with pytest.raises(G.GateError):
+        G.require(MX.matrix_gate(headers.withColumn("declared_nnz", F.lit(11)), rejects, strict=False))
+
+
 def _add(tar, name, data):
     info = tarfile.TarInfo(name)
     info.size = len(data)
@@ -123,8 +154,10 @@ def test_archives_flat_and_nested(spark, tmp_path):
     rows.write.partitionBy("library_id", "kind").parquet(str(out))
     parts = MX.archive_tables(spark.read.parquet(str(out)))
     triples = sorted(tuple(r) for r in parts["triples"].collect())
-    assert triples == [("GSM1", 1, "E1", "MT-A", 4), ("GSM1", 1, "E2", "B", 1),
-                       ("GSM2", 1, "E1", "MT-A", 4), ("GSM2", 1, "E2", "B", 1)]
+    assert triples == [("GSM1", 1, "AAA", "E1", "MT-A", 4), ("GSM1", 1, "AAA", "E2", "B", 1),
+                       ("GSM2", 1, "AAA", "E1", "MT-A", 4), ("GSM2", 1, "AAA", "E2", "B", 1)]
+    assert sorted((r["library_id"], r["line"], r["reason"]) for r in parts["rejects"].collect()) == [
+        ("GSM1", "1 2 bad", "malformed"), ("GSM2", "1 2 bad", "malformed")]
     sizes = parts["features"].groupBy("library_id").agg(F.count("*").alias("n_features"))
     cells = parts["barcodes"].groupBy("library_id").agg(F.count("*").alias("n_barcodes"))
     headers = parts["headers"].join(sizes, "library_id").join(cells, "library_id")
@@ -144,6 +177,13 @@ def test_sinks_and_manifest(spark, tmp_path):
         FS.write_table(df, str(tmp_path / "o2"), ["k"])
     with pytest.raises(FS.SinkError):
         FS.write_table(df.limit(0), str(tmp_path / "o3"), ["k", "v"])
+    assert FS.write_table(df, out, ["k", "v"], format="parquet", overwrite=True) == 2 and spark.read.parquet(out).count() == 2
+    broken = df.withColumn("v", F.when(F.col("k") == "b", F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("v")))
+    for target in (out, str(tmp_path / "o4")):
+        with pytest.raises(Exception, match="lost"):
+            FS.write_table(broken, target, ["k", "v"], overwrite=True)
+    # A failed or refused write leaves the old target and no parts.
+    assert spark.read.parquet(out).count() == 2 and sorted(p.name for p in tmp_path.iterdir()) == ["out"]
     source = tmp_path / "in" / "x.bin"
     source.parent.mkdir()
     source.write_bytes(b"hello" * 1000)
