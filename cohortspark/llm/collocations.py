@@ -60,14 +60,18 @@ def padded_windows(texts: DataFrame, longest: int, least: int) -> DataFrame:
     short = _Common(two.select(F.explode(F.array(_hash("lang", "w1"), pair)).alias("h")), least)
 
     def cut_at(windows: DataFrame, size: int, triples: _Common | None) -> DataFrame:
-        windows = windows.withColumn("w1", F.when(short("w1"), F.col("w1")))
+        ws = [f"w{i}" for i in range(1, size + 1)]
+
+        def tested(windows: DataFrame, i: int, test: Column) -> DataFrame:
+            # A generator of its own: a test is made once, and each stays a small compiled method.
+            return windows.select("*", F.inline(F.array(F.struct(test.alias(f"_fits{i}")))))
+
+        windows = tested(windows, 1, short("w1"))
         for i in range(2, size + 1):
-            before, word = F.col(f"w{i - 1}"), F.col(f"w{i}")
-            fits = before.isNotNull() & (word != MARK) & short(before, word)
-            if i > 2 and triples:
-                fits = fits & triples(f"w{i - 2}", before, word)
-            windows = windows.withColumn(f"w{i}", F.when(fits, word))
-        return windows
+            before, word = ws[i - 2], F.col(ws[i - 1])
+            fits = F.col(f"_fits{i - 1}") & word.isNotNull() & (word != MARK) & short(before, word)
+            windows = tested(windows, i, fits & triples(ws[i - 3], before, word) if i > 2 and triples else fits)
+        return windows.select("lang", *[F.when(F.col(f"_fits{i}"), F.col(w)).alias(w) for i, w in enumerate(ws, 1)])
 
     if longest < 3:
         return cut_at(lead_windows(texts, longest), longest, None)

@@ -175,19 +175,21 @@ def _verified(percent: int):
     return batches
 
 
-def _meet(lists: list[list[int]]) -> np.ndarray:
-    """Which of the lists share a number, from a product of 0/1 matrices, some columns at a time."""
-    sizes = np.array([len(x) for x in lists])
-    at = np.repeat(np.arange(len(lists)), sizes)
-    codes, columns = np.unique(np.concatenate([np.asarray(x, dtype=np.int64) for x in lists]), return_inverse=True)
-    shared = np.bincount(columns, minlength=len(codes)) > 1
-    at, columns = at[shared[columns]], (np.cumsum(shared) - 1)[columns[shared[columns]]]
-    both = np.zeros((len(lists),) * 2, dtype=bool)
-    for low in range(0, int(shared.sum()), COLUMNS):
-        use = (columns >= low) & (columns < low + COLUMNS)
-        held = np.zeros((len(lists), min(COLUMNS, int(shared.sum()) - low)), dtype=np.float32)
-        held[at[use], columns[use] - low] = 1
-        both |= held @ held.T > 0
+def _meet(left: list, right: list) -> np.ndarray:
+    """Which lists on the left share a number with which on the right, from a product of 0/1 matrices, some columns at a time."""
+    sides = [np.concatenate([np.asarray(x, dtype=np.int64) for x in side]) for side in (left, right)]
+    at = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (left, right)]
+    common = np.intersect1d(*sides)
+    both = np.zeros((len(left), len(right)), dtype=bool)
+    for low in range(0, len(common), COLUMNS):
+        columns, held = common[low:low + COLUMNS], []
+        for values, rows, n in zip(sides, at, both.shape):
+            places = np.minimum(np.searchsorted(columns, values), len(columns) - 1)
+            use = columns[places] == values
+            part = np.zeros((n, len(columns)), dtype=np.float32)
+            part[rows[use], places[use]] = 1
+            held.append(part)
+        both |= held[0] @ held[1].T > 0
     return both
 
 
@@ -198,16 +200,25 @@ def _open(rows: list[tuple], percent: int) -> np.ndarray:
     return np.triu(fits & (component[:, None] != component[None]) & (other[:, None] | other[None]), 1)
 
 
-def _candidates(rows: list[tuple], percent: int) -> list[tuple]:
-    """Rows (id, component, other, n, prefixes...) with a partner of compatible size whose prefixes meet under every order."""
+def _candidates(group: tuple, rows: list[tuple], percent: int) -> list[tuple]:
+    """Rows (id, component, other, n, keys, base, prefixes...) with a partner of compatible size whose prefixes meet under every order.
+
+    Two sets may share many keys. They are compared only under the smallest that is in the index prefix of
+    one of them, so only there their full sets are needed.
+    """
     pairs = _open(rows, percent)
-    for q in range(4, len(rows[0])):
+    if pairs.any():
+        every = [np.asarray(r[4], dtype=np.int64) for r in rows]
+        index = [keys[:r[5]] for keys, r in zip(every, rows)]
+        earlier = _meet([k[k < group[0]] for k in index], [k[k < group[0]] for k in every])
+        pairs &= ~(earlier | earlier.T)
+    for q in range(6, len(rows[0])):
         if pairs.any():
-            pairs &= _meet([r[q] for r in rows])
-    return [r[:4] for r, keep in zip(rows, pairs.any(axis=0) | pairs.any(axis=1)) if keep]
+            pairs &= _meet([r[q] for r in rows], [r[q] for r in rows])
+    return [(*group, *r[:4]) for r, keep in zip(rows, pairs.any(axis=0) | pairs.any(axis=1)) if keep]
 
 
-def _spanning(rows: list[tuple], percent: int) -> list[tuple]:
+def _spanning(group: tuple, rows: list[tuple], percent: int) -> list[tuple]:
     """Links that join components of rows (id, component, other, n, tokens): exact overlaps, unless others have joined the two."""
     joined: dict[int, int] = {}
 
@@ -225,22 +236,28 @@ def _spanning(rows: list[tuple], percent: int) -> list[tuple]:
     return found
 
 
+def _values(column: pa.Array) -> list:
+    """Python values of a column; lists of numbers as arrays."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    ends = column.offsets.to_numpy() - column.offsets[0].as_py()
+    return np.split(column.flatten().to_numpy().astype(np.int64), ends[1:-1]) if len(column) else []
+
+
 def _by_block(names: list[str], work, out: list[str]):
-    """Apply ``work`` to the rows (columns ``names``) of each (key, i, j), whose rows are adjacent; its tuples become columns ``out``."""
+    """Apply ``work`` to each (key, i, j) and its rows (columns ``names``), which are adjacent; its tuples become columns ``out``."""
     kinds = {"other": pa.bool_()}
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
 
         def result() -> pa.RecordBatch:
-            found = work(rows)
-            if out[0] == "key":
-                found = [(*group, *f) for f in found]
+            found = work(group, rows)
             return pa.RecordBatch.from_arrays(
                 [pa.array([f[k] for f in found], kinds.get(c, pa.int64())) for k, c in enumerate(out)], names=out)
 
         for batch in source:
-            for key, i, j, *row in zip(*[batch.column(c).to_pylist() for c in ("key", "i", "j", *names)]):
+            for key, i, j, *row in zip(*[_values(batch.column(c)) for c in ("key", "i", "j", *names)]):
                 if (key, i, j) != group and rows:
                     yield result()
                     rows = []
@@ -290,7 +307,11 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     held = made.where("keys is not null").withColumn("id", number)
     members = held.select("id", "base", F.posexplode("keys").alias("at", "key")).select(
         "key", "id", (F.col("at") < F.col("base")).alias("base"))
-    sides = held.select("id", "n", *qs).dropDuplicates(["id"])
+
+    def sides_of(ids: DataFrame, *columns: str) -> DataFrame:
+        """What is known of the prefixes of sets that have candidates; a set that several tasks met counts once."""
+        wanted = broadcast_if_small(cut(ids.distinct()))
+        return held.select("id", "n", *columns).join(wanted, "id").dropDuplicates(["id"])
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = cut(nodes.withColumn("id", number).join(ids.distinct(), "id").select(
@@ -301,6 +322,7 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def meeting(pairs: DataFrame) -> DataFrame:
         """Pairs of compatible sizes whose prefixes meet under the other orders, too."""
+        sides = sides_of(pairs.select(F.col("u").alias("id")).union(pairs.select("v")), *qs)
         both = pairs.join(sides.select(F.col("id").alias("v"), F.col("n").alias("nv"), *[F.col(q).alias(f"v_{q}") for q in qs]), "v").join(
             sides.select(F.col("id").alias("u"), F.col("n").alias("nu"), *[F.col(q).alias(f"u_{q}") for q in qs]), "u")
         sized = both.where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
@@ -309,7 +331,7 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         return sized.select("u", "v")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = cut(meeting(pairs))
+        pairs = cut(meeting(cut(pairs)))
         sets = sets_of(pairs.select(F.col("u").alias("id")).union(pairs.select("v")))
         both = pairs.join(sets.select(F.col("id").alias("v"), F.col("tokens").alias("b")), "v").join(
             sets.select(F.col("id").alias("u"), F.col("tokens").alias("a")), "u")
@@ -322,11 +344,13 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             return sorted_blocks.select("key", "i", "j", "id", "component", "other", "n", *columns)
 
         head = ["id", "component", "other", "n"]
-        work = dealt(block_pairs(placed).join(sides, "id"), *qs)
-        work = cut(work.mapInArrow(_by_block([*head, *qs], lambda rows: _candidates(rows, percent), ["key", "i", "j", *head]),
-                                   "key bigint, i bigint, j bigint, id bigint, component bigint, other boolean, n bigint"))
+        blocks = cut(block_pairs(placed))
+        work = dealt(blocks.drop("base").join(sides_of(blocks.select("id"), "keys", "base", *qs), "id"), "keys", "base", *qs)
+        work = cut(work.mapInArrow(
+            _by_block([*head, "keys", "base", *qs], lambda group, rows: _candidates(group, rows, percent), ["key", "i", "j", *head]),
+            "key bigint, i bigint, j bigint, id bigint, component bigint, other boolean, n bigint"))
         work = dealt(work.join(sets_of(work.select("id")), "id"), "tokens")
-        return work.mapInArrow(_by_block([*head, "tokens"], lambda rows: _spanning(rows, percent), ["u", "v"]), "u bigint, v bigint")
+        return work.mapInArrow(_by_block([*head, "tokens"], lambda group, rows: _spanning(group, rows, percent), ["u", "v"]), "u bigint, v bigint")
 
     linked = linked_groups(members, verify, compare)
     placed = nodes.withColumn("id", number).join(linked, "id", "left").select(
