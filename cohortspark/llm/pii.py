@@ -14,7 +14,9 @@ DAY, DAY_ZERO = 272, "1900-01-01"
 _NO_WORD_BEFORE, _NO_WORD_AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 #: Candidates by kind; the first kind that matches at a place is tried. What fails its validation is left as it is.
 KINDS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    # Only where a run of its characters begins, but for signs in front, and never giving characters back: a long run
+    # without an @ is read once.
+    "email": _NO_WORD_BEFORE + r"(?<=(?<![\p{L}\p{N}._%+-])[._%+-]{0,32})[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
     # Printed groups of four end with a group of one to four; capitals that follow may be taken for more groups.
     "iban": _NO_WORD_BEFORE + r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?:[ -][A-Z0-9]{4}){2,7}(?:[ -][A-Z0-9]{1,4})?)" + _NO_WORD_AFTER,
