@@ -22,7 +22,8 @@ def score_cells(triples: DataFrame, cells: DataFrame, features: DataFrame,
                 modules: Mapping[str, Sequence[str]], panels: Mapping[str, Sequence[str]],
                 qc: C.QcRule = C.QcRule(), labels: C.LabelRule = C.LabelRule(),
                 library: Sequence[str] = LIBRARY, cell: Sequence[str] = CELL,
-                retained: int = 30, feature_keys: Sequence[str] = (), strict: bool = True) -> dict[str, DataFrame]:
+                retained: int = 30, feature_keys: Sequence[str] = (), strict: bool = True,
+                library_id: str = "library_id") -> dict[str, DataFrame]:
     """Triples to cell QC, labels, library ledger, mapping audit and module scores.
 
     ``cells`` lists every barcode with its library's ledger columns.  Libraries below
@@ -40,9 +41,8 @@ def score_cells(triples: DataFrame, cells: DataFrame, features: DataFrame,
         measured.where("qc_pass"), features, panels, feature_keys=feature_keys), "compartment", labels)
     libraries = settle(S.library_profiles(annotated.where("include"), library, symbols))
     # The ledger is already written: its gates read a small table and no cell again.
-    name = next(c for c in library if c in cell)
-    donor = [c for c in library if c != name and c != "severity_group"]
-    gates = settle(G.library_contract(libraries, donor, name, [c for c in library if c != name]))
+    fields = [c for c in library if c != library_id]
+    gates = settle(G.library_contract(libraries, [c for c in fields if c != "severity_group"], library_id, fields))
     if strict:
         G.require(gates)
     return {

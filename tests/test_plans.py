@@ -30,9 +30,10 @@ def test_cells_to_pooled_results(spark):
 
 
 def score_rows(spark, rows):
-    full = [("d", lib, donor, "NP", group, "m1", 1.0 + i, "score_available", 1.0) for i, (lib, donor, group) in enumerate(rows)]
+    full = [("d", lib, donor, "NP", group, "m1", 1.0 + i, "score_available", 1.0, 40, 900) for i, (lib, donor, group) in enumerate(rows)]
     return spark.createDataFrame(full, "dataset string, library_id string, donor_id string, compartment string, severity_group string, "
-                                       "module_id string, module_score double, score_status string, mapped_fraction double")
+                                       "module_id string, module_score double, score_status string, mapped_fraction double, "
+                                       "included_cells long, total_umi_included_cells long")
 
 
 @pytest.mark.parametrize("rows,gate", [
