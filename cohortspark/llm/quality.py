@@ -138,6 +138,17 @@ def _fit(frame: pd.DataFrame) -> bytes:
     return out.getvalue()
 
 
+def _constant(labels: list[float]) -> bytes:
+    """A model without a network, for labels of one class or none: the smoothed share of label 1, 0.5 without labels."""
+    out = io.BytesIO()
+    np.savez(out, constant=np.array([(sum(labels) + 1) / (len(labels) + 2)]))
+    return out.getvalue()
+
+
+def is_constant(model: bytes) -> bool:
+    return "constant" in np.load(io.BytesIO(model)).files
+
+
 _LOADED: dict[int, dict[str, np.ndarray]] = {}
 
 
@@ -152,6 +163,9 @@ def scorer(spark: SparkSession, model: bytes):
             _LOADED[hash(data)] = dict(np.load(io.BytesIO(data)))
         p, buckets = _LOADED[hash(data)], _Buckets()
         for texts in batches:
+            if "constant" in p:
+                yield pd.Series(np.full(len(texts), p["constant"][0]), dtype="float64")
+                continue
             x = np.stack([pooled(_tokens(t, buckets), p["vectors"]) for t in texts]) if len(texts) else np.zeros((0, DIM + 1))
             yield pd.Series(_sigmoid(_logits(x, p) / p["t"]), dtype="float64")
 
@@ -167,7 +181,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_column:
     """Model of ``labels`` (doc_id, label 0 or 1) over at most ``bound`` labelled documents.
 
     Labels with a null id or label and labels without a document teach nothing; of several labels of
-    an id the lowest counts. Without labelled documents, or with one class only, ValueError.
+    an id the lowest counts. Without labelled documents, or with one class only, there is nothing to tell
+    apart: every text gets the smoothed share of label 1 as its score, 0.5 without labels.
     """
     known = (labels.where(F.col(id_column).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id_column).alias("_id"))
              .agg(F.min(label).cast("double").alias("label")))
@@ -180,14 +195,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_column:
         "h", "doc_id", "text").limit(bound)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(batches), ignore_index=True)
-        if frame["label"].nunique() == 2:
-            yield pd.DataFrame({"model": [_fit(frame)]})
+        frames = [f for f in batches if len(f)]
+        if frames:
+            frame = pd.concat(frames, ignore_index=True)
+            yield pd.DataFrame({"model": [_fit(frame) if frame["label"].nunique() == 2 else _constant(frame["label"].tolist())]})
 
     models = chosen.coalesce(1).mapInPandas(fit, "model binary").collect()  # one row of fixed size
-    if not models:
-        raise ValueError("training needs labelled documents of both classes")
-    return bytes(models[0][0])
+    return bytes(models[0][0]) if models else _constant([])
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -196,7 +210,8 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
 
     Rows whose crc32(doc_id as text) mod ``folds`` is ``held_fold`` are held out of the training; a
     null id is not held out and has no label. Only the text enters a score, all of it; empty and null
-    texts get the score of no words. Repeated rows get equal rows. Without training labels, ValueError.
+    texts get the score of no words. Repeated rows get equal rows. Training labels of one class or none give
+    every row one score.
     """
     teachers = labels.where(crc_fold(F.col(id_column), folds) != held_fold)
     model = train(docs, teachers, id_column=id_column, text_column=text_column)
@@ -208,6 +223,8 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows the classifier rejects, its columns unchanged."""
+    """``docs`` without the rows the classifier rejects, its columns unchanged; labels of one class or none reject nothing."""
     model = train(docs, labels.where(crc_fold(F.col("doc_id"), 4) != 2))
+    if is_constant(model):
+        return docs
     return docs.where(scorer(docs.sparkSession, model)("text") >= threshold)

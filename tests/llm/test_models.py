@@ -1,7 +1,6 @@
 import re
 import time
 
-import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.llm import langid, licences, pii, quality
@@ -119,8 +118,11 @@ def test_quality_on_held_out_documents(spark, edge_docs, no_docs):
     kept = quality.keep_good(edge_docs.unionByName(docs.limit(0), allowMissingColumns=True), labels.limit(0).union(
         spark.createDataFrame([(0, 1, 0), (2, 0, 0), (None, 1, 0)], labels.schema)), 0.0)
     assert kept.count() == edge_docs.count()
-    with pytest.raises(ValueError):
-        quality.train(no_docs, labels)
+    for few, score in ((labels.limit(0), 0.5), (spark.createDataFrame([(0, 1, 0), (1, 1, 0)], labels.schema), 5 / 6)):  # id 0 has three rows
+        rows = quality.judge_quality(edge_docs, few).collect()
+        assert len(rows) == edge_docs.count() and {r["score"] for r in rows} == {score}
+        assert quality.keep_good(edge_docs, few).count() == edge_docs.count()
+    assert quality.judge_quality(no_docs, labels).collect() == []
 
 
 def test_languages_on_held_out_documents(spark, edge_docs, no_docs):
