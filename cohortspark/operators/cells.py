@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..functions.config import check_feature_sets, config_table, feature_set_table
-from ..functions.lineage import evaluate_once
+from ..functions.config import (
+    BROADCAST_CONFIG_ROWS, broadcast_if_small, check_feature_sets, config_table, feature_set_table, literal_array)
+from ..functions.lineage import evaluate_once, settle
 
 
 @dataclass(frozen=True)
@@ -147,29 +148,51 @@ def measured_members(features: DataFrame, sets: Mapping[str, Sequence[str]],
 
 def with_measured(rows: DataFrame, features: DataFrame, sets: Mapping[str, Sequence[str]],
                   keys: Sequence[str] = ()) -> DataFrame:
-    """Add ``_measured``: set -> symbols that the row's platform measures.
+    """Add ``_measured``: set -> places, among ``configured_symbols(sets)``, of the symbols that the row's platform measures.
 
     With ``keys`` (columns of both sides) each row meets the feature table of its own library or
     platform by an equi join with one small row per platform; a platform without any configured
-    symbol leaves NULL.  Without keys all rows share one table, read as a scalar subquery.
+    symbol leaves NULL.  The rows of a few platforms are broadcast: a shuffle on ``keys`` would give
+    all cells of a platform to one task.  Without keys all rows share one table, read as a scalar subquery.
     """
     table = measured_members(features, sets, "_set", keys)
-    entries = F.map_from_entries(F.collect_list(F.struct("_set", "measured"))).alias("_measured")
+    symbols = literal_array(configured_symbols(sets))
+    places = F.array_sort(F.transform("measured", lambda s: F.array_position(symbols, s).cast("int") - 1))
+    entries = F.map_from_entries(F.collect_list(F.struct("_set", places.alias("places")))).alias("_measured")
     if not keys:
         return rows.withColumn("_measured", table.agg(entries).scalar())
-    return rows.join(table.groupBy(*keys).agg(entries), list(keys), "left")
+    platforms, _ = broadcast_if_small(settle(table.groupBy(*keys).agg(entries)), BROADCAST_CONFIG_ROWS)
+    return rows.join(platforms, list(keys), "left")
+
+
+def with_terms(rows: DataFrame, sets: Mapping[str, Sequence[str]], term: str) -> DataFrame:
+    """Add ``_terms``: ``term`` of the count ``c`` of each symbol, in the order of ``configured_symbols(sets)``.
+
+    Arrays and short lambdas, not one expression per set and symbol: methods generated for those grew
+    beyond what the JVM compiles, and ran interpreted on every cell.
+    """
+    counts = ", ".join(symbol_count(s) for s in configured_symbols(sets))
+    return rows.withColumn("_terms", F.expr(f"transform(array({counts}), c -> {term})"))
+
+
+def measured_places(name: str) -> str:
+    """SQL text: places of a set's measured symbols; empty where the platform measures none."""
+    return f"coalesce(_measured[{text_literal(name)}], cast(array() AS array<int>))"
 
 
 def measured_size(name: str) -> str:
     """SQL text: measured symbols of a set in ``_measured``."""
-    return f"coalesce(array_size(_measured['{name}']), 0)"
+    return f"array_size({measured_places(name)})"
+
+
+def measured_sum(name: str) -> str:
+    """SQL text: sum of ``_terms`` over the measured symbols of a set."""
+    return f"aggregate({measured_places(name)}, 0D, (total, i) -> total + _terms[i])"
 
 
-def measured_sum(name: str, genes: Sequence[str], term: str) -> str:
-    """SQL text: sum of ``term`` over the measured genes of a set; ``{c}`` stands for a gene's count."""
-    return " + ".join(
-        f"CASE WHEN array_contains(_measured['{name}'], {text_literal(g.strip().upper())}) "
-        f"THEN {term.format(c=symbol_count(g))} ELSE 0 END" for g in genes)
+def measured_positive(name: str) -> str:
+    """SQL text: measured symbols of a set whose term is positive."""
+    return f"cast(size(filter({measured_places(name)}, i -> _terms[i] > 0)) AS bigint)"
 
 
 def text_literal(value: str) -> str:
@@ -186,11 +209,12 @@ def panel_columns(cells: DataFrame, features: DataFrame, panels: Mapping[str, Se
     """
     added = {}
     for panel, genes in panels.items():
-        total = measured_sum(panel, genes, "log1p(1e6D * {c} / greatest(total_umi, 1))")
         size = measured_size(panel) if denominator == "measured" else str(len(genes))
-        added[f"{panel}_score"] = F.expr(f"CASE WHEN {size} > 0 THEN ({total}) / {size} ELSE 0D END")
-        added[f"{panel}_detected_genes"] = F.expr(measured_sum(panel, genes, "cast({c} > 0 AS bigint)"))
-    return evaluate_once(with_measured(cells, features, panels, feature_keys), added).drop("_measured")
+        added[f"{panel}_score"] = F.expr(f"CASE WHEN {size} > 0 THEN ({measured_sum(panel)}) / {size} ELSE 0D END")
+        added[f"{panel}_detected_genes"] = F.expr(measured_positive(panel))
+    cells = with_terms(with_measured(cells, features, panels, feature_keys), panels,
+                       "log1p(1e6D * c / greatest(total_umi, 1))")
+    return evaluate_once(cells, added).drop("_measured", "_terms")
 
 
 def panel_rows(cells: DataFrame, panels: Sequence[str], keep: Sequence[str]) -> DataFrame:

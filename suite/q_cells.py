@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.config import feature_set_table
 from cohortspark.functions import expr as X
+from cohortspark.functions.lineage import settle
 from cohortspark.operators import audits as A
 from cohortspark.operators import cells as C
 from cohortspark.operators import gates as G
@@ -140,8 +141,9 @@ def cell_coverage(t: Tables):
     with_entries = t.lineitem.select(F.col("l_orderkey").alias("cell_id")).distinct()
     barcodes = t.orders.select(F.col("o_orderkey").alias("cell_id"))
     first = I.coverage_check(barcodes, with_entries, CELL, "archive_vs_qc")
-    second = I.coverage_check(t.cell_qc.where("qc_pass").select("cell_id"), t.annotated.select("cell_id"), CELL,
-                              "qc_vs_annotation")
+    # Settled: both sides read the passing cells, and the labelling keeps its own tasks beside the plain side of the union.
+    passing = settle(t.cell_qc.where("qc_pass"))
+    second = I.coverage_check(passing.select("cell_id"), t.annotate(passing).select("cell_id"), CELL, "qc_vs_annotation")
     return first.unionByName(second)
 
 

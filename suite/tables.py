@@ -123,7 +123,9 @@ class Tables:
 
     @cached_property
     def annotated(self) -> DataFrame:
-        passing = self.cell_qc.where("qc_pass")
+        return self.annotate(self.cell_qc.where("qc_pass"))
+
+    def annotate(self, passing: DataFrame) -> DataFrame:
         return C.label_cells(C.panel_columns(passing, self.platforms, PANELS, feature_keys=["cohort_id"]), "compartment", LABELS)
 
     @cached_property
