@@ -14,7 +14,7 @@ from cohortspark.operators import scores as S
 from . import views as V
 from .q_cells import r6
 from .registry import query, view
-from .tables import COHORTS, LIBRARY, MODULES, REFERENCE_THRESHOLD, REPLICATES, THRESHOLDS, Tables
+from .tables import COHORTS, LIBRARY, MODULES, REFERENCE_THRESHOLD, REPLICATES, SYMBOLS, THRESHOLDS, Tables
 
 KEYS = E.CONTRAST
 
@@ -383,8 +383,11 @@ SELECT gate, 'score_ledger' AS scope, violations, CASE WHEN violations = 0 THEN
   UNION ALL SELECT 'retained_cell_counts_differ', count(*) FILTER (WHERE a <> b) FROM j
   UNION ALL SELECT 'below_minimum_retained_cells', count(*) FILTER (WHERE b < 2) FROM j)""")
 def ledger_score_agreement(t: Tables):
-    counts = t.annotated.groupBy("library_id").agg(F.count(F.lit(1)).alias("included_cells"))
-    return G.ledger_score_agreement(t.module_scores, counts, ["library_id"], 2)
+    # Both sides from one pass over the cells: libraries split by the include flag.
+    profiles = settle(S.library_profiles(t.annotated, [*LIBRARY, "include"], SYMBOLS))
+    scores = S.module_scores(profiles.where("include"), t.platforms, MODULES, LIBRARY, feature_keys=["cohort_id"])
+    counts = profiles.groupBy("library_id").agg(F.sum("included_cells").alias("included_cells"))
+    return G.ledger_score_agreement(scores, counts, ["library_id"], 2)
 
 
 # ---------------------------------------------------------------- thresholds

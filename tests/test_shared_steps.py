@@ -52,6 +52,6 @@ def test_panel_sums_by_hand(spark):
 
 
 def test_coverage_and_ledger_read_the_cells_once(spark):
-    for name in ("cell_coverage",):
+    for name in ("cell_coverage", "ledger_score_agreement"):
         text = plan(catalog.QUERIES[name](spark, DIR))
         assert "l_partkey" not in text, name  # the triples lie behind a settled table
