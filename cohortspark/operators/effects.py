@@ -70,7 +70,7 @@ def ingestion_audit(scores: DataFrame, spec: DataFrame, dataset: str = "dataset"
     """Filter funnel and row counts per disposition, one row per contrast and reason.
 
     One pass: rows are counted per (dataset, compartment, group, reason) before the join, so
-    the specification only meets the small count table.
+    the specification only meets the small count table, which is settled for its three readers.
     """
     reason = X.first_reason(
         (~F.col("score_status").eqNullSafe("score_available"), "score_status_not_available"),
@@ -78,9 +78,9 @@ def ingestion_audit(scores: DataFrame, spec: DataFrame, dataset: str = "dataset"
          "mapped_fraction_below_threshold"),
         (X.finite(F.col("module_score").cast("double")).isNull(), "nonfinite_score"),
         none="score_available_and_mapping_pass")
-    counted = scores.groupBy(F.col(dataset).alias("_d"), F.col("compartment").alias("_c"),
-                             F.col(group).alias("_g"), reason.alias("reason")).agg(
-        F.count(F.lit(1)).alias("_n"))
+    counted = settle(scores.groupBy(F.col(dataset).alias("_d"), F.col("compartment").alias("_c"),
+                                    F.col(group).alias("_g"), reason.alias("reason")).agg(
+        F.count(F.lit(1)).alias("_n")))
     per_contrast = (counted.join(F.broadcast(spec), counted["_d"] == spec[dataset])
                     .withColumn("_in_c", F.col("_c") == F.col("compartment"))
                     .withColumn("_in_g", F.col("_in_c") & F.col("_g").isin(F.col("comparison_value"),

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.operators import cells as C
+from cohortspark.operators import effects as E
 from cohortspark.operators import scores as S
 from suite import catalog
 
@@ -55,3 +56,15 @@ def test_coverage_and_ledger_read_the_cells_once(spark):
     for name in ("cell_coverage", "ledger_score_agreement"):
         text = plan(catalog.QUERIES[name](spark, DIR))
         assert "l_partkey" not in text, name  # the triples lie behind a settled table
+
+
+def test_ingestion_audit_counts_the_scores_once(spark):
+    scores = spark.range(4).select(F.lit("d").alias("dataset"), F.lit("AF").alias("compartment"), F.lit("x").alias("severity_group"),
+                                   F.col("id").cast("double").alias("module_score"), F.lit("score_available").alias("score_status"),
+                                   F.lit(1.0).alias("mapped_fraction"))
+    spec = spark.createDataFrame([("c", "d", "AF", "x", "y")],
+                                 "cohort_id string, dataset string, compartment string, comparison_value string, target_value string")
+    out = E.ingestion_audit(scores, spec)
+    assert "Range" not in plan(out)
+    row = out.collect()[0]
+    assert (row["row_count"], row["raw_rows_loaded"], row["rows_matching_contrast_groups"]) == (4, 4, 4)
