@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..functions.config import (
     BROADCAST_CONFIG_ROWS, broadcast_if_small, check_feature_sets, config_table, feature_set_table, literal_array)
-from ..functions.lineage import evaluate_once, settle
+from ..functions.lineage import evaluate_once, settle, spread
+
+
+#: Configured symbols that are looked up in a literal list; more of them are joined.
+LISTED_SYMBOLS = 256
 
 
 @dataclass(frozen=True)
@@ -58,23 +62,35 @@ def configured_symbols(*collections: Mapping[str, Sequence[str]]) -> list[str]:
 
 
 def cell_profiles(triples: DataFrame, symbols: Sequence[str], mt_prefix: str = "MT-",
-                  keys: Sequence[str] = ("library_id", "cell_id")) -> DataFrame:
+                  keys: Sequence[str] = ("library_id", "cell_id"), features: DataFrame | None = None) -> DataFrame:
     """One row per cell with entries: total, detected entries, mt total, symbol counts.
 
-    One shuffle: everything combines map-side, so a hot cell arrives as one row per task.
+    One shuffle: everything combines map-side, so a hot cell arrives as one row per task.  ``triples``
+    bring their ``symbol``, or only a ``feature_id`` of ``features`` (feature_id, symbol): then a symbol is
+    looked at once per feature, and the entries meet a number and a flag instead of texts.
     ``counts`` is a struct with one field per configured symbol (NULL where the cell has no
     entry); its width is the configuration's, whatever the number of features.
     """
-    index = config_table(triples.sparkSession,
-                         [{"symbol": s, "_slot": i} for i, s in enumerate(symbols)],
-                         pa.schema([("symbol", pa.string()), ("_slot", pa.int32())]))
     value = F.col("value")
+    # By expression up to a bound: a table of features keeps its known size, so a small one is still broadcast.
+    if len(symbols) <= LISTED_SYMBOLS:
+        slot = F.nullif(F.array_position(literal_array(symbols), F.col("symbol")), F.lit(0)).cast("int") - 1
+        placed = (triples if features is None else features).withColumn("_slot", slot)
+    else:
+        index = config_table(triples.sparkSession, [{"symbol": s, "_slot": i} for i, s in enumerate(symbols)],
+                             pa.schema([("symbol", pa.string()), ("_slot", pa.int32())]))
+        placed = (triples if features is None else features).join(index, "symbol", "left")
+    marks = (F.col("_slot"), F.col("symbol").startswith(mt_prefix).alias("_mt"))
+    if features is None:
+        placed = placed.select(*keys, "value", *marks)
+    else:
+        placed = triples.select(*keys, "feature_id", "value").join(placed.select("feature_id", *marks), "feature_id")
     # One SQL text for the wide struct: a configuration has many symbols.
     counts = ", ".join(f"sum(CASE WHEN _slot = {i} THEN value END) AS {quoted(s)}" for i, s in enumerate(symbols))
-    return triples.join(index, "symbol", "left").groupBy(*keys).agg(
+    return placed.groupBy(*keys).agg(
         F.sum(value).alias("total_umi"),
         F.count_if(value > 0).alias("detected_genes"),
-        F.sum(F.when(F.col("symbol").startswith(mt_prefix), value).otherwise(F.lit(0))).alias("mt_umi"),
+        F.sum(F.when(F.col("_mt"), value).otherwise(F.lit(0))).alias("mt_umi"),
         F.expr(f"struct({counts}) AS counts"))
 
 
@@ -90,9 +106,13 @@ def symbol_count(symbol: str) -> str:
 
 def cell_metrics(cells: DataFrame, profiles: DataFrame, rule: QcRule = QcRule(),
                  keys: Sequence[str] = ("library_id", "cell_id")) -> DataFrame:
-    """Every listed cell with its metrics; cells without entries get zeros."""
+    """Every listed cell with its metrics; cells without entries get zeros.
+
+    Cells are spread by number: coalesced to just over one task per core, the widest step of a query
+    had two or three tasks left over for a second turn.
+    """
     zero = F.lit(0).cast("long")
-    joined = cells.join(profiles, list(keys), "left")
+    joined = spread(cells, *keys).join(profiles, list(keys), "left")
     metrics = {name: F.coalesce(F.col(name), zero) for name in ("total_umi", "detected_genes", "mt_umi")}
     out = joined.withColumns(metrics).withColumn(
         "pct_mt", F.when(F.col("total_umi") == 0, F.lit(0.0)).otherwise(
@@ -147,9 +167,12 @@ def measured_members(features: DataFrame, sets: Mapping[str, Sequence[str]],
 
 
 def with_measured(rows: DataFrame, features: DataFrame, sets: Mapping[str, Sequence[str]],
-                  keys: Sequence[str] = ()) -> DataFrame:
+                  keys: Sequence[str] = (), flags: bool = False) -> DataFrame:
     """Add ``_measured``: set -> places, among ``configured_symbols(sets)``, of the symbols that the row's platform measures.
 
+    With ``flags`` it is a text instead, with 1 for each measured member of each set and 0 for the
+    others, sets and members in the order of ``member_places``.
+
     With ``keys`` (columns of both sides) each row meets the feature table of its own library or
     platform by an equi join with one small row per platform; a platform without any configured
     symbol leaves NULL.  The rows of a few platforms are broadcast: a shuffle on ``keys`` would give
@@ -159,20 +182,77 @@ def with_measured(rows: DataFrame, features: DataFrame, sets: Mapping[str, Seque
     symbols = literal_array(configured_symbols(sets))
     places = F.array_sort(F.transform("measured", lambda s: F.array_position(symbols, s).cast("int") - 1))
     entries = F.map_from_entries(F.collect_list(F.struct("_set", places.alias("places")))).alias("_measured")
+    platforms = table.groupBy(*keys).agg(entries)
+    if flags:
+        marks = ", ".join(f"transform(array({', '.join(map(str, members))}), i -> if(array_contains({measured_places(name)}, i), '1', '0'))"
+                          for name, members in member_places(sets).items())
+        platforms = platforms.withColumn("_measured", F.expr(f"array_join(flatten(array({marks})), '')"))
     if not keys:
-        return rows.withColumn("_measured", table.agg(entries).scalar())
-    platforms, _ = broadcast_if_small(settle(table.groupBy(*keys).agg(entries)), BROADCAST_CONFIG_ROWS)
+        return rows.withColumn("_measured", platforms.scalar())
+    platforms, _ = broadcast_if_small(settle(platforms), BROADCAST_CONFIG_ROWS)
     return rows.join(platforms, list(keys), "left")
 
 
-def with_terms(rows: DataFrame, sets: Mapping[str, Sequence[str]], term: str) -> DataFrame:
-    """Add ``_terms``: ``term`` of the count ``c`` of each symbol, in the order of ``configured_symbols(sets)``.
+def member_places(sets: Mapping[str, Sequence[str]]) -> dict[str, list[int]]:
+    """Places of each set's symbols among ``configured_symbols(sets)``, in rising order."""
+    place = {s: i for i, s in enumerate(configured_symbols(sets))}
+    return {name: sorted(place[g.strip().upper()] for g in genes) for name, genes in sets.items()}
+
 
-    Arrays and short lambdas, not one expression per set and symbol: methods generated for those grew
-    beyond what the JVM compiles, and ran interpreted on every cell.
+def with_set_sums(rows: DataFrame, features: DataFrame, sets: Mapping[str, Sequence[str]], total: Column,
+                  keys: Sequence[str] = ()) -> DataFrame:
+    """Add ``_sets``: for the i-th set its measured symbols ``n{i}``, the sum ``s{i}`` of their terms
+    log1p(1e6 * count / total), and the number ``p{i}`` of positive terms.
+
+    The sum is NULL where a measured term is none (no total, or a ratio of -1 or less).  Whole batches
+    are summed by column: as expressions of one row these sums were most of the work of a query.
     """
-    counts = ", ".join(symbol_count(s) for s in configured_symbols(sets))
-    return rows.withColumn("_terms", F.expr(f"transform(array({counts}), c -> {term})"))
+    sums = F.arrow_udf(_set_sums([*member_places(sets).values()], len(configured_symbols(sets))),
+                       ", ".join(f"n{i} int, s{i} double, p{i} bigint" for i in range(len(sets))))
+    counts = F.struct(*[F.col(f"counts.{quoted(s)}").alias(f"c{i}") for i, s in enumerate(configured_symbols(sets))])
+    width = sum(len(genes) for genes in sets.values())
+    marked = with_measured(rows, features, sets, keys, flags=True)
+    flags = F.coalesce("_measured", F.lit("0" * width))
+    return evaluate_once(marked, {"_sets": sums(flags, total.cast("double"), counts)}).drop("_measured")
+
+
+def _set_sums(sets: list[list[int]], symbols: int):
+    """The batch function of ``with_set_sums``; ``sets`` are places among the ``symbols`` counts."""
+    width = sum(map(len, sets))
+
+    def sums(flags: pa.Array, total: pa.Array, counts: pa.Array) -> pa.Array:
+        import numpy as np
+
+        rows = len(total)
+        # All flag texts have ``width`` bytes.
+        marks = flags.cast(pa.binary())
+        start = int(np.frombuffer(marks.buffers()[1], dtype=np.int32)[marks.offset]) if rows else 0
+        bits = (np.frombuffer(marks.buffers()[2], dtype=np.uint8, count=rows * width, offset=start) if rows else
+                np.zeros(0, dtype=np.uint8)).reshape(rows, width) == ord("1")
+        known = np.asarray(total.is_valid())
+        per = total.fill_null(0.0).to_numpy(zero_copy_only=False)
+        terms, none = [], []
+        with np.errstate(all="ignore"):
+            for count in counts.flatten():
+                ratio = 1e6 * count.fill_null(0).to_numpy(zero_copy_only=False).astype(float) / per
+                terms.append(np.log1p(ratio))
+                none.append(~known | (per == 0) | (ratio <= -1))
+        assert len(terms) == symbols
+        out, at = {}, 0
+        for i, places in enumerate(sets):
+            size, positive, amount = np.zeros(rows, dtype=np.int32), np.zeros(rows, dtype=np.int64), np.zeros(rows)
+            absent = np.zeros(rows, dtype=bool)
+            for place in places:
+                measured = bits[:, at]
+                size += measured
+                amount += np.where(measured, terms[place], 0.0)
+                positive += measured & ~(terms[place] <= 0) & ~none[place]
+                absent |= measured & none[place]
+                at += 1
+            out |= {f"n{i}": pa.array(size), f"s{i}": pa.array(amount, mask=absent), f"p{i}": pa.array(positive)}
+        return pa.StructArray.from_arrays(list(out.values()), names=list(out))
+
+    return sums
 
 
 def measured_places(name: str) -> str:
@@ -185,16 +265,6 @@ def measured_size(name: str) -> str:
     return f"array_size({measured_places(name)})"
 
 
-def measured_sum(name: str) -> str:
-    """SQL text: sum of ``_terms`` over the measured symbols of a set."""
-    return f"aggregate({measured_places(name)}, 0D, (total, i) -> total + _terms[i])"
-
-
-def measured_positive(name: str) -> str:
-    """SQL text: measured symbols of a set whose term is positive."""
-    return f"cast(size(filter({measured_places(name)}, i -> _terms[i] > 0)) AS bigint)"
-
-
 def text_literal(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -208,13 +278,12 @@ def panel_columns(cells: DataFrame, features: DataFrame, panels: Mapping[str, Se
     measured symbols count; a panel without any scores 0.
     """
     added = {}
-    for panel, genes in panels.items():
-        size = measured_size(panel) if denominator == "measured" else str(len(genes))
-        added[f"{panel}_score"] = F.expr(f"CASE WHEN {size} > 0 THEN ({measured_sum(panel)}) / {size} ELSE 0D END")
-        added[f"{panel}_detected_genes"] = F.expr(measured_positive(panel))
-    cells = with_terms(with_measured(cells, features, panels, feature_keys), panels,
-                       "log1p(1e6D * c / greatest(total_umi, 1))")
-    return evaluate_once(cells, added).drop("_measured", "_terms")
+    for i, (panel, genes) in enumerate(panels.items()):
+        size = f"_sets.n{i}" if denominator == "measured" else str(len(genes))
+        added[f"{panel}_score"] = F.expr(f"CASE WHEN {size} > 0 THEN _sets.s{i} / {size} ELSE 0D END")
+        added[f"{panel}_detected_genes"] = F.col(f"_sets.p{i}")
+    cells = with_set_sums(cells, features, panels, F.greatest("total_umi", F.lit(1)), feature_keys)
+    return cells.withColumns(added).drop("_sets")
 
 
 def panel_rows(cells: DataFrame, panels: Sequence[str], keep: Sequence[str]) -> DataFrame:

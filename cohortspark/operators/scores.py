@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions.config import literal_array
-from .cells import measured_size, measured_sum, quoted, symbol_count, with_measured, with_terms
+from .cells import quoted, symbol_count, with_set_sums
 
 MIN_MAPPED_FRACTION = 0.80
 SCORE_AVAILABLE = "score_available"
@@ -81,10 +81,9 @@ def module_scores(libraries: DataFrame, features: DataFrame, modules: Mapping[st
     """
     total = F.col("total_umi_included_cells")
     sums = ", ".join(
-        f"struct('{m}' AS module_id, {len(genes)} AS _configured, {measured_size(m)} AS _mapped, {measured_sum(m)} AS _sum)"
-        for m, genes in modules.items())
-    rows = (with_terms(with_measured(libraries, features, modules, feature_keys), modules,
-                       "log1p(try_divide(1e6D * c, total_umi_included_cells))")
+        f"struct('{m}' AS module_id, {len(genes)} AS _configured, _sets.n{i} AS _mapped, _sets.s{i} AS _sum)"
+        for i, (m, genes) in enumerate(modules.items()))
+    rows = (with_set_sums(libraries, features, modules, total, feature_keys)
             .select(*keep, "included_cells", "total_umi_included_cells", F.expr(f"inline(array({sums}))"))
             .withColumn("mapped_fraction", F.col("_mapped") / F.col("_configured")))
     ready = (F.col("mapped_fraction") >= minimum) & (total > 0)

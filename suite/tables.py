@@ -87,14 +87,18 @@ class Tables:
         """Feature table of each cohort's platform: none lists all symbols, no two list the same."""
         number = F.split_part("symbol", F.lit("#"), F.lit(2)).cast("int")
         regions = self.region.select(F.col("r_name").alias("cohort_id"), "r_regionkey")
-        return (self.features.join(F.broadcast(regions), (number + F.col("r_regionkey")) % 7 != 0)  # five regions
+        return (spread_scan(self.features).join(F.broadcast(regions), (number + F.col("r_regionkey")) % 7 != 0)  # five regions
                 .select("cohort_id", "feature_id", "symbol"))
 
     @cached_property
-    def triples(self) -> DataFrame:
+    def entries(self) -> DataFrame:
         entries = self.lineitem.select(F.col("l_orderkey").alias("cell_id"), F.col("l_partkey").alias("feature_id"),
                                        F.col("l_quantity").cast("long").alias("value"))
-        return spread_scan(entries, "cell_id").join(self.features, "feature_id")
+        return spread_scan(entries, "cell_id")
+
+    @cached_property
+    def triples(self) -> DataFrame:
+        return self.entries.join(self.features, "feature_id")
 
     @cached_property
     def donors(self) -> DataFrame:
@@ -115,7 +119,7 @@ class Tables:
 
     @cached_property
     def profiles(self) -> DataFrame:
-        return C.cell_profiles(self.triples, SYMBOLS, QC.mt_prefix, CELL)
+        return C.cell_profiles(self.entries, SYMBOLS, QC.mt_prefix, CELL, self.features)
 
     @cached_property
     def cell_qc(self) -> DataFrame:

@@ -68,3 +68,34 @@ def test_ingestion_audit_counts_the_scores_once(spark):
     assert "Range" not in plan(out)
     row = out.collect()[0]
     assert (row["row_count"], row["raw_rows_loaded"], row["rows_matching_contrast_groups"]) == (4, 4, 4)
+
+
+def test_set_sums_leave_no_lambda_to_the_rows(spark):
+    features, cells = platform_tables(spark)
+    sets = {"p": ["D", "B", "A"], "q": ["C", "A"]}
+    for out in (C.panel_columns(cells, features, sets, feature_keys=["platform"]),
+                S.module_scores(cells, features, sets, ["platform"], feature_keys=["platform"])):
+        assert "lambda" not in plan(out)  # interpreted for each row and symbol
+
+
+def test_set_sums_of_odd_rows(spark):
+    features = spark.createDataFrame([("f", "A"), ("g", "B")], "feature_id string, symbol string")
+    cells = spark.createDataFrame([(0, 10, (1, 1)), (1, 10, None), (2, 0, (0, 0)), (3, None, (0, 1)), (4, 1, (-5, 1))],
+                                  "cell_id int, total_umi_included_cells long, counts struct<A:bigint,B:bigint>")
+    cells = cells.withColumns({"included_cells": F.lit(1), "total_umi": F.col("total_umi_included_cells")})
+    scores = {r["cell_id"]: (r["module_score"], r["score_status"]) for r in S.module_scores(cells, features, {"m": ["B", "A"]}, ["cell_id"]).collect()}
+    assert scores[0][0] == pytest.approx(11.512935464920229) and scores[1] == (0.0, S.SCORE_AVAILABLE)
+    assert scores[2] == scores[3] == (None, S.SCORE_BLOCKED) and scores[4] == (None, S.SCORE_AVAILABLE)
+    panels = {r["cell_id"]: (r["p_score"], r["p_detected_genes"]) for r in C.panel_columns(cells, features, {"p": ["A", "B"]}).collect()}
+    assert panels[1] == panels[2] == (0.0, 0) and panels[4] == (None, 1)
+    assert panels[3] == (pytest.approx(13.815511557963774 / 2), 1)
+
+
+def test_profiles_from_entries_and_features(spark):
+    features = spark.createDataFrame([("f1", "MT-A"), ("f2", "B"), ("f3", "B"), ("f4", None)], "feature_id string, symbol string")
+    entries = spark.createDataFrame([(1, "f1", 1), (1, "f2", 4), (1, "f3", 0), (1, "f2", 5), (3, "f1", 2), (3, "f4", 7), (4, "none", 1)],
+                                    "cell_id int, feature_id string, value long")
+    whole = C.cell_profiles(entries.join(features, "feature_id"), ["B"], keys=["cell_id"])
+    apart = C.cell_profiles(entries, ["B"], keys=["cell_id"], features=features)
+    assert sorted(apart.collect()) == sorted(whole.collect())
+    assert [r["mt_umi"] for r in apart.orderBy("cell_id").collect()] == [1, 2]
