@@ -218,19 +218,23 @@ def _bootstrap_status(effects: DataFrame, replicates: int) -> Column:
 
 #: Donors of a block; an arm of more is resampled block by block.
 BLOCK = 4_096
-#: Draws held at a time.
-DRAWS = 1 << 20
+#: Draws held at a time: few enough for a processor's cache.
+DRAWS = 1 << 16
 
 
 def _mix32(x):
     """A permutation of 32-bit numbers that scatters neighbours."""
     import numpy as np
 
+    x = np.array(x, dtype=np.uint32)
+    part = np.empty_like(x)
     with np.errstate(over="ignore"):
-        x = np.asarray(x, dtype=np.uint32)
-        x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-        x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-        return x ^ (x >> np.uint32(16))
+        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, None)):
+            np.right_shift(x, np.uint32(shift), out=part)
+            np.bitwise_xor(x, part, out=x)
+            if factor:
+                np.multiply(x, np.uint32(factor), out=x)
+    return x
 
 
 def block_slots(seed: int, arm: int, n: int, block: int, replicates: int, size: int):
@@ -264,17 +268,19 @@ def block_sums(scores, seed: int, arm: int, n: int, block: int, replicates: int,
     base = _mix32((seed & 0xFFFFFFFF) ^ int(_mix32((seed >> 32) ^ int(_mix32(2 * block + arm)))))
     keys = base ^ _mix32(np.arange(1, replicates + 1))
     keys, slots = _mix32(keys), _mix32(np.arange(int(counts.max(initial=0))))
-    sums, at = np.zeros(replicates), 0
-    while at < replicates:
-        # As many replicates as hold DRAWS draws, one at least.
-        end = max(at + 1, at + int(np.searchsorted(np.cumsum(counts[at:]), DRAWS, side="right")))
-        taken = counts[at:end]
-        starts = np.concatenate(([0], np.cumsum(taken)[:-1]))
-        slot = np.arange(int(taken.sum())) - np.repeat(starts, taken)
-        drawn = _mix32(np.repeat(keys[at:end], taken) ^ slots[slot]).astype(np.uint64)
-        picks = scores[((drawn * np.uint64(len(scores))) >> np.uint64(32)).astype(np.int64)]
-        sums[at:end] = np.bincount(np.repeat(np.arange(end - at), taken), weights=picks, minlength=end - at)
-        at = end
+    sums = np.zeros(replicates)
+    # A row per replicate, as wide as the largest count; only the columns that some replicates lack are masked.
+    step = max(1, DRAWS // max(len(slots), 1))
+    for at in range(0, replicates, step):
+        taken = counts[at:at + step]
+        least, most = int(taken.min()), int(taken.max())
+        picks = _mix32(keys[at:at + step, None] ^ slots[:most]).astype(np.uint64)
+        picks *= np.uint64(len(scores))
+        picks >>= np.uint64(32)
+        drawn = scores[picks.view(np.int64)]
+        if least < most:
+            drawn[:, least:][np.arange(least, most) >= taken[:, None]] = 0.0
+        sums[at:at + step] = drawn.sum(axis=1)
     return sums
 
 

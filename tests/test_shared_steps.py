@@ -99,3 +99,21 @@ def test_profiles_from_entries_and_features(spark):
     apart = C.cell_profiles(entries, ["B"], keys=["cell_id"], features=features)
     assert sorted(apart.collect()) == sorted(whole.collect())
     assert [r["mt_umi"] for r in apart.orderBy("cell_id").collect()] == [1, 2]
+
+
+def test_block_sums_hold_few_draws():
+    import tracemalloc
+
+    import numpy as np
+
+    scores, n, reps = np.arange(4_096.0), 3 * 4_096, 300
+    counts = E.block_slots(7, 1, n, 1, reps, 4_096)
+    tracemalloc.start()
+    sums = E.block_sums(scores, 7, 1, n, 1, reps)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8e6  # a million draws at a time took 60 MB and left the cache
+    base = E._mix32(7 ^ int(E._mix32(0 ^ int(E._mix32(2 * 1 + 1)))))
+    for r in (0, 150, 299):
+        drawn = E._mix32(E._mix32(int(base) ^ int(E._mix32(r + 1))) ^ E._mix32(np.arange(counts[r]))).astype(np.uint64)
+        assert sums[r] == scores[((drawn * np.uint64(4_096)) >> np.uint64(32)).astype(int)].sum()
