@@ -223,9 +223,9 @@ view("v_listed", """
     FROM (SELECT DISTINCT n.scenario, s.cohort_id FROM v_studies s JOIN ({listed}) n ON true)""".format(listed=V.values([(n,) for n in SCENARIOS], "scenario")))
 
 
-def listed(t: Tables):
-    """Every cohort with a study, listed for each scenario by name: more than most scenarios want."""
-    cohorts = studies(t).select("cohort_id").distinct().select("cohort_id", F.explode(F.array(*[F.lit(n) for n in SCENARIOS])).alias("scenario"))
+def listed(rows):
+    """Every cohort with a study in ``rows``, listed for each scenario by name: more than most scenarios want."""
+    cohorts = rows.select("cohort_id").distinct().select("cohort_id", F.explode(F.array(*[F.lit(n) for n in SCENARIOS])).alias("scenario"))
     order = Window.partitionBy("scenario").orderBy("cohort_id")  # a list of cohorts
     return cohorts.select("scenario", "cohort_id", F.row_number().over(order).alias("place"), F.when(
         F.col("cohort_id") == "EUROPE", F.lit("True")).otherwise(F.lit("False")).alias("confirmatory_eligible"))
@@ -244,7 +244,7 @@ SELECT gate, scope, violations::BIGINT AS violations, CASE WHEN violations = 0 T
   SELECT 'unexpected_study_order' AS gate, scenario AS scope, off AS violations FROM g
   UNION ALL SELECT 'missing_studies', scenario, missing FROM g UNION ALL SELECT 'confirmatory_eligible_study', scenario, eligible FROM g)""")
 def scenario_gate(t: Tables):
-    return G.scenario_gate(listed(t), F.col("scenario"), "scenario", SCENARIOS, "place")
+    return G.scenario_gate(listed(studies(t)), F.col("scenario"), "scenario", SCENARIOS, "place")
 
 
 @query("synthesis_contract_gate", f"""
@@ -260,10 +260,11 @@ SELECT gate, scope, violations::BIGINT AS violations, CASE WHEN violations = 0 T
   UNION ALL SELECT 'unexpected_measure', scenario, 0 FROM m UNION ALL SELECT 'unexpected_model', scenario, model FROM m
   UNION ALL SELECT 'unexpected_cohort_set', scenario, bad FROM s UNION ALL SELECT 'confirmatory_eligible_study', scenario, eligible FROM s)""")
 def synthesis_contract_gate(t: Tables):
-    pooled = M.scenario_synthesis(studies(t), GROUP, SCENARIOS).select("module_id", "scenario").distinct()
+    rows = studies(t)  # settled once for both readers
+    pooled = M.scenario_synthesis(rows, GROUP, SCENARIOS).select("module_id", "scenario").distinct()
     claims = pooled.withColumns({"effect_measure": F.lit("SMDH"), "tau_squared_method": F.when(
         F.col("module_id") == "m2", F.lit("PM")).otherwise(F.lit("REML")), "confidence_interval_method": F.lit("Knapp-Hartung")})
-    return G.synthesis_contract_gate(claims, listed(t), "scenario", ["m1", "m2", "m3"], SCENARIOS, "SMDH",
+    return G.synthesis_contract_gate(claims, listed(rows), "scenario", ["m1", "m2", "m3"], SCENARIOS, "SMDH",
                                      {"tau_squared_method": "REML", "confidence_interval_method": "Knapp-Hartung"})
 
 

@@ -117,3 +117,12 @@ def test_block_sums_hold_few_draws():
     for r in (0, 150, 299):
         drawn = E._mix32(E._mix32(int(base) ^ int(E._mix32(r + 1))) ^ E._mix32(np.arange(counts[r]))).astype(np.uint64)
         assert sums[r] == scores[((drawn * np.uint64(4_096)) >> np.uint64(32)).astype(int)].sum()
+
+
+def test_contract_gate_reads_the_studies_once(spark, monkeypatch):
+    from suite import q_synthesis as Q
+
+    calls, whole = [], Q.studies
+    monkeypatch.setattr(Q, "studies", lambda t: calls.append(1) or whole(t))
+    catalog.QUERIES["synthesis_contract_gate"](spark, DIR)
+    assert len(calls) == 1
