@@ -39,10 +39,11 @@ def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
 def order_statistics(data: DataFrame, keys: list[str], value: str, ranks: DataFrame, bins: int = BINS) -> DataFrame:
     """``ranks`` (keys, rank: from 0) with the value of that rank in its group as ``_at``.
 
-    The brackets are a small table, at most one row per key and rank; every round joins it with the rows.
+    The brackets are a small table, at most one row per key and rank; every round joins it with the rows,
+    which the caller has settled.
     """
     keys = list(keys)
-    data = settle(data.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).alias("_v")))
+    data = data.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).alias("_v"))
     own = [f"_k{i}" for i in range(len(keys))]
     same = F.lit(True)
     for k in own:

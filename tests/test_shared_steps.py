@@ -126,3 +126,13 @@ def test_contract_gate_reads_the_studies_once(spark, monkeypatch):
     monkeypatch.setattr(Q, "studies", lambda t: calls.append(1) or whole(t))
     catalog.QUERIES["synthesis_contract_gate"](spark, DIR)
     assert len(calls) == 1
+
+
+def test_percentiles_write_their_rows_once(spark, monkeypatch):
+    from cohortspark.functions import quantiles as P
+
+    sizes, settle = [], P.settle
+    monkeypatch.setattr(P, "settle", lambda df: sizes.append((out := settle(df)).count()) or out)
+    rows = spark.range(500).select((F.col("id") % 2).alias("k"), (F.col("id") * 1.5).alias("v"))
+    got = {r["k"]: r["m"] for r in P.group_percentiles(rows, ["k"], "v", {"m": 0.5}).collect()}
+    assert got == {0: 373.5, 1: 375.0} and sizes.count(500) == 1
