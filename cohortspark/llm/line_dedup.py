@@ -23,8 +23,8 @@ SLOTS = BANDS * ROWS
 #: Lines with at most SHORT distinct shingles hash them SLOTS times; lines with at least LONG deal one hash of
 #: each to SLOTS bins. LONG = SIMILARITY * SHORT, so two similar lines always have a scheme in common.
 SHORT, LONG = 120, 96
-#: Characters signed at a time, and columns of shingles multiplied at a time.
-BLOCK, COLUMNS = 1 << 20, 1 << 13
+#: Characters signed or compared at a time, and columns of shingles multiplied at a time.
+BLOCK, COLUMNS = 1 << 18, 1 << 13
 
 _ODD = 0x9E3779B1
 _INVERSE = pow(_ODD, -1, 1 << 32)
@@ -237,13 +237,16 @@ def jaccard(a: str, b: str) -> float:
 def _similar(similarity: float):
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            if not batch.num_rows:
-                continue
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            numbers: dict[str, int] = {}
-            places = [np.array([numbers.setdefault(x, len(numbers)) for x in side]) for side in (a, b)]
-            both, either = similarities(list(numbers), *places)
-            yield batch.select(["u", "v"]).filter(pa.array(both / either >= similarity))
+            sizes, at = np.cumsum([len(x) + len(y) for x, y in zip(a, b)]), 0
+            while at < len(a):
+                # As many pairs as hold BLOCK characters, one at least.
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BLOCK, side="right")))
+                numbers: dict[str, int] = {}
+                places = [np.array([numbers.setdefault(x, len(numbers)) for x in side[at:end]]) for side in (a, b)]
+                both, either = similarities(list(numbers), *places)
+                yield batch.select(["u", "v"]).slice(at, end - at).filter(pa.array(both / either >= similarity))
+                at = end
     return batches
 
 

@@ -129,3 +129,21 @@ def test_edges(edge_docs, no_docs):
     assert by[1]["text"] == "" and by[1]["_removed"] == 1 and by[2]["text"] == ""
     assert by[3]["text"] is None and by[9]["text"] == "a\nb\n" and by[6]["text"] == "one"
     assert L.dedup_lines(no_docs).count() == 0
+
+
+def test_pairs_are_compared_in_bounded_memory():
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    draw = random.Random(1)
+    a = ["".join(draw.choices("abcdefghij ", k=200)) for _ in range(4_000)]
+    b = [x[:-4] + "?" if i % 2 else x[::-1] for i, x in enumerate(a)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4_000)), pa.array(range(4_000)), pa.array(a), pa.array(b)], names=["u", "v", "a", "b"])
+    tracemalloc.start()
+    found = [u for out in L._similar(0.8)([batch]) for u in out.column("u").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == list(range(1, 4_000, 2))
+    assert peak < 60e6  # with the rows of a batch, 200 MB and more
