@@ -96,9 +96,11 @@ def block_pairs(placed: DataFrame) -> DataFrame:
     sets = sets.select("key", F.ceil(F.col("n0") / MEMBERS).alias("b0"), F.ceil(F.col("n1") / MEMBERS).alias("b1"))
     members = placed.join(sets, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("other"), F.col("b1")).otherwise(
         F.col("b0"))))
-    # Blocks of others are numbered 0.. b1-1, of the pivot's component b1.. b1+b0-1; pairs are (i, j), i <= j, i an other block.
+    # Blocks of others are numbered 0.. b1-1, of the pivot's component b1.. b1+b0-1; pairs are (i, j), i < j, i an other
+    # block. A block meets itself wherever it meets another, and there is always one: the pivot's.
     one, last = F.lit(1).cast("bigint"), F.col("b1") - 1
-    partners = F.when(F.col("other"), F.transform(F.sequence(one * 0, last + F.col("b0")), lambda k: F.struct(
+    others = F.filter(F.sequence(one * 0, last + F.col("b0")), lambda k: k != F.col("block"))
+    partners = F.when(F.col("other"), F.transform(others, lambda k: F.struct(
         F.least(F.col("block"), k).alias("i"), F.greatest(F.col("block"), k).alias("j")))).otherwise(
         F.transform(F.sequence(one * 0, last), lambda k: F.struct(k.alias("i"), (F.col("block") + F.col("b1")).alias("j"))))
     return members.select("key", "id", "component", "other", "base", F.explode(partners).alias("p")).select(

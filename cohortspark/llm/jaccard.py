@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.llm import graph
 from cohortspark.llm.common import broadcast_if_small, cut, row_keys
-from cohortspark.llm.graph import block_pairs, linked_groups, with_heads
+from cohortspark.llm.graph import block_pairs, components, linked_groups, with_heads
 
 SHINGLE, PERCENT, ORDERS = 4, 85, 3
 #: Counters of the rarity sketch: about one a word, in these bounds (a byte each once they are classes). Fewer
@@ -218,6 +219,35 @@ def _candidates(group: tuple, rows: list[tuple], percent: int) -> list[tuple]:
     return [(*group, *r[:4]) for r, keep in zip(rows, pairs.any(axis=0) | pairs.any(axis=1)) if keep]
 
 
+def _sized(group: tuple, rows: list[tuple], percent: int) -> list[tuple]:
+    """Rows (id, component, other, n) with a partner of compatible size in another component."""
+    pairs = _open(rows, percent)
+    return [(*group, *r) for r, keep in zip(rows, pairs.any(axis=0) | pairs.any(axis=1)) if keep]
+
+
+def _gathered(work: DataFrame) -> DataFrame:
+    """The members of blocks (key, i, j, id, component, other, n) dealt anew, so that full sets are sent seldom.
+
+    Members of linked blocks meet under many keys. A group of linked blocks is dealt once as a whole where that takes
+    neither more rows nor more pairs than its blocks; every pair of a block is also one of its group.
+    """
+    at = ["key", "i", "j"]
+    blocks = cut(work.groupBy(*at).agg(F.min("id").alias("least"), F.count("*").alias("size")))
+    edges = work.join(blocks, at).select(F.col("least").alias("u"), F.col("id").alias("v"))
+    groups = components(edges).select(F.col("id").alias("least"), F.col("component").alias("group"))
+    blocks = cut(blocks.join(groups, "least"))
+    ids = cut(work.join(blocks, at).select("group", "id", "component", "n").distinct())
+    spent = blocks.groupBy("group").agg(F.sum("size").alias("rows"), F.sum(F.col("size") * F.col("size")).alias("pairs"))
+    members = ids.groupBy("group").agg(F.count("*").alias("m")).withColumn("b", F.ceil(F.col("m") / graph.MEMBERS))
+    whole = members.join(spent, "group").where("m * greatest(1, b - 1) <= rows and m * m <= pairs").select("group", "b")
+    own = F.pmod(F.xxhash64("id"), F.col("b"))
+    others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("b") - 1), lambda k: (k != F.col("own")) | (F.col("b") == 1))
+    dealt = ids.join(whole, "group").withColumn("own", own).select(
+        F.col("group").alias("key"), "own", "id", "component", F.lit(True).alias("other"), "n", F.explode(others).alias("k"))
+    dealt = dealt.select("key", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "id", "component", "other", "n")
+    return dealt.union(work.join(blocks.join(whole, "group", "left_anti").select(*at), at).select(*dealt.columns))
+
+
 def _spanning(group: tuple, rows: list[tuple], percent: int) -> list[tuple]:
     """Links that join components of rows (id, component, other, n, tokens): exact overlaps, unless others have joined the two."""
     joined: dict[int, int] = {}
@@ -302,8 +332,9 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         _prefixes(classes, size, percent, orders), f"doc_id {kind}, k1 bigint, k2 bigint, n bigint, h1 bigint, h2 bigint, "
         "keys array<bigint>, base int" + "".join(f", {q} array<int>" for q in qs)))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
-    nodes = cut(made.where("n > 0").groupBy("h1", "h2").agg(F.min(place).alias("first")))
+    nodes = cut(made.where("n > 0").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("n").alias("n")))
     number = _node_id(nodes)
+    sizes = nodes.select(number.alias("id"), "n")
     held = made.where("keys is not null").withColumn("id", number)
     members = held.select("id", "base", F.posexplode("keys").alias("at", "key")).select(
         "key", "id", (F.col("at") < F.col("base")).alias("base"))
@@ -311,7 +342,7 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     def sides_of(ids: DataFrame, *columns: str) -> DataFrame:
         """What is known of the prefixes of sets that have candidates; a set that several tasks met counts once."""
         wanted = broadcast_if_small(cut(ids.distinct()))
-        return held.select("id", "n", *columns).join(wanted, "id").dropDuplicates(["id"])
+        return held.select("id", *columns).join(wanted, "id").dropDuplicates(["id"])
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = cut(nodes.withColumn("id", number).join(ids.distinct(), "id").select(
@@ -322,10 +353,13 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def meeting(pairs: DataFrame) -> DataFrame:
         """Pairs of compatible sizes whose prefixes meet under the other orders, too."""
-        sides = sides_of(pairs.select(F.col("u").alias("id")).union(pairs.select("v")), *qs)
-        both = pairs.join(sides.select(F.col("id").alias("v"), F.col("n").alias("nv"), *[F.col(q).alias(f"v_{q}") for q in qs]), "v").join(
-            sides.select(F.col("id").alias("u"), F.col("n").alias("nu"), *[F.col(q).alias(f"u_{q}") for q in qs]), "u")
-        sized = both.where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
+        # Sizes alone first: most pairs that meet by chance need no prefixes.
+        sized = pairs.join(sizes.select(F.col("id").alias("v"), F.col("n").alias("nv")), "v").join(
+            sizes.select(F.col("id").alias("u"), F.col("n").alias("nu")), "u")
+        sized = cut(sized.where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent).select("u", "v"))
+        sides = sides_of(sized.select(F.col("u").alias("id")).union(sized.select("v")), *qs)
+        sized = sized.join(sides.select(F.col("id").alias("v"), *[F.col(q).alias(f"v_{q}") for q in qs]), "v").join(
+            sides.select(F.col("id").alias("u"), *[F.col(q).alias(f"u_{q}") for q in qs]), "u")
         for q in qs:
             sized = sized.where(F.arrays_overlap(f"u_{q}", f"v_{q}"))
         return sized.select("u", "v")
@@ -338,17 +372,24 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         return both.mapInArrow(_verified(percent), "u bigint, v bigint")
 
     def compare(placed: DataFrame) -> DataFrame:
-        """First the filters alone, on sizes and prefixes; full sets go only to members with a partner left in their block."""
+        """First the filters alone, on sizes, then on prefixes; full sets go only to members with a partner left in their block."""
+        head = ["id", "component", "other", "n"]
+        fields = "key bigint, i bigint, j bigint, id bigint, component bigint, other boolean, n bigint"
+
         def dealt(df: DataFrame, *columns: str) -> DataFrame:
             sorted_blocks = df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-            return sorted_blocks.select("key", "i", "j", "id", "component", "other", "n", *columns)
-
-        head = ["id", "component", "other", "n"]
-        blocks = cut(block_pairs(placed))
-        work = dealt(blocks.drop("base").join(sides_of(blocks.select("id"), "keys", "base", *qs), "id"), "keys", "base", *qs)
-        work = cut(work.mapInArrow(
-            _by_block([*head, "keys", "base", *qs], lambda group, rows: _candidates(group, rows, percent), ["key", "i", "j", *head]),
-            "key bigint, i bigint, j bigint, id bigint, component bigint, other boolean, n bigint"))
+            return sorted_blocks.select("key", "i", "j", *head, *columns)
+
+        def kept(df: DataFrame, columns: list[str], test) -> DataFrame:
+            return cut(dealt(df, *columns).mapInArrow(
+                _by_block([*head, *columns], lambda group, rows: test(group, rows, percent), ["key", "i", "j", *head]), fields))
+
+        work = kept(block_pairs(placed).drop("base").join(sizes, "id"), [], _sized)
+        # Of the first order's prefixes a block needs only the keys before its own.
+        earlier = lambda keys: F.filter(keys, lambda k: k < F.col("key"))
+        work = work.join(sides_of(work.select("id"), "keys", "base", *qs), "id").withColumn(
+            "base", F.size(earlier(F.slice("keys", F.lit(1), F.col("base"))))).withColumn("keys", earlier(F.col("keys")))
+        work = _gathered(kept(work, ["keys", "base", *qs], _candidates))
         work = dealt(work.join(sets_of(work.select("id")), "id"), "tokens")
         return work.mapInArrow(_by_block([*head, "tokens"], lambda group, rows: _spanning(group, rows, percent), ["u", "v"]), "u bigint, v bigint")
 

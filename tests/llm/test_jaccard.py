@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from cohortspark.llm import jaccard
+from cohortspark.llm import graph, jaccard
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, n long, component string, key string, base int"
@@ -113,3 +113,28 @@ def test_every_order_is_a_sufficient_filter():
         for order in (1, 2, 3):
             first = [jaccard._first(s, classes, order, len(s) - jaccard.least_overlap(len(s), 85) + 1)[0] for s in (a, b)]
             assert len(np.intersect1d(*first))
+
+
+def test_members_are_dealt_once(spark, monkeypatch):
+    """A small bucket is one block, and a group that meets under many keys sends each full set once; every open pair is kept."""
+    kinds = "key long, id long, base boolean, star long, component long, c0 long"
+    placed = spark.createDataFrame([(7, i, True, 0, max(0, i - 3), 0) for i in range(12)], kinds)
+    rows = graph.block_pairs(placed).collect()
+    assert len(rows) == 12 and len({(r["key"], r["i"], r["j"]) for r in rows}) == 1
+    monkeypatch.setattr(graph, "MEMBERS", 3)
+    blocks = {}
+    for r in graph.block_pairs(placed).collect():
+        blocks.setdefault((r["i"], r["j"]), []).append(r["id"])
+    met = {tuple(sorted((a, b))) for ids in blocks.values() for a in ids for b in ids}
+    assert met >= {(a, b) for a in range(12) for b in range(max(a + 1, 4), 12)}
+    # Ten ids under eight keys, all but one of them under each; two ids under one key of their own.
+    work = [(k, 0, 0, i, i, True, 9) for k in range(8) for i in range(10) if i != k] + [(90, 0, 0, i, i, True, 9) for i in (90, 91)]
+    work = spark.createDataFrame(work, "key long, i long, j long, id long, component long, other boolean, n long")
+    for members in (256, 3):
+        monkeypatch.setattr(graph, "MEMBERS", members)
+        blocks = {}
+        for r in jaccard._gathered(work).collect():
+            blocks.setdefault((r["key"], r["i"], r["j"]), []).append(r["id"])
+        met = {tuple(sorted((a, b))) for ids in blocks.values() for a in ids for b in ids if a != b}
+        assert met == {(a, b) for a in range(10) for b in range(a + 1, 10)} | {(90, 91)}
+        assert sum(map(len, blocks.values())) == (12 if members == 256 else 32)  # by key: 74
