@@ -25,3 +25,17 @@ def test_least_probability():
     assert licences.least_probability({9000: 3, 8000: 1, 7000: 1}, 5000) == 0.5  # five may pass
     assert licences.least_probability({9000: 3, 8000: 1, 7000: 2}, 5000) == 0.7
     assert licences.least_probability({9000: 3, 8000: 4, 7000: 2}, 5000) == 0.8
+
+
+def test_each_text_is_split_once(spark, monkeypatch):
+    """Training and finding share one reading of the paragraphs, and its marks stand for all their n-grams of the vocabulary."""
+    lines = [t for _, t in licences.TEMPLATES] + licences.PLAIN + ["", "  ", "Ünïcode the MIT License", "the the of the", "copyright"]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, ""), (4, lines[0])], "doc_id long, text string")
+    known = set(licences._vocabulary(spark).vocabulary)
+    whole = licences._with_grams(licences.paragraphs(docs, "doc_id", "text"), "paragraph").select("doc_id", "pos", "grams").collect()
+    marked = licences._unmarked(licences.marked_paragraphs(docs)).collect()
+    assert {(r["doc_id"], r["pos"]): set(r["grams"]) for r in marked} == {(r["doc_id"], r["pos"]): set(r["grams"]) & known for r in whole}
+    readings, keep = [], licences.paragraphs
+    monkeypatch.setattr(licences, "paragraphs", lambda *a: readings.append(1) or keep(*a))
+    assert licences.scan_licences(docs).count() == 4
+    assert len(readings) == 1
