@@ -25,14 +25,23 @@ SLOTS = BANDS * ROWS
 SHORT, LONG = 120, 96
 #: Characters signed or compared at a time, and columns of shingles multiplied at a time.
 BLOCK, COLUMNS = 1 << 18, 1 << 13
+#: Places a line's hashes are dealt to: as many as are taken, so many distinct ones at least it has.
+PLACES = 1 << 10
 
 _ODD = 0x9E3779B1
 _INVERSE = pow(_ODD, -1, 1 << 32)
 
 
+def _single(line: str) -> str:
+    """With each run of blanks one space, and none around; most lines already are so, and all blanks but the space are unprintable."""
+    if line.isprintable() and "  " not in line and line[:1] != " " and line[-1:] != " ":
+        return line
+    return " ".join(line.split())
+
+
 def normal(line: str) -> str:
     """Lower-cased, with each run of blanks one space."""
-    return " ".join(line.lower().split())
+    return _single(line.lower())
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -71,20 +80,27 @@ def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _mix(values[inside[:len(values)]]), lengths - SHINGLE + 1
 
 
-def _distinct(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of the lines of LONG or more, and all lines' numbers of hashes; the other lines, always short, stay as they are."""
-    many = counts >= LONG
-    if not many.any():
-        return hashes, counts
-    at = np.repeat(many, counts)
-    keys = np.repeat(np.flatnonzero(many), counts[many]).astype(np.uint64) << np.uint64(32) | hashes[at]
-    keys.sort()
-    keys = keys[np.append(True, keys[1:] != keys[:-1])]
-    counts = np.where(many, np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=len(counts)), counts)
-    out = np.empty(counts.sum(), dtype=np.uint32)
-    out_at = np.repeat(many, counts)
-    out[out_at], out[~out_at] = keys.astype(np.uint32), hashes[~at]
-    return out, counts
+def _distinct(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Numbers of distinct hashes of the lines: exact up to SHORT, more than SHORT otherwise; of lines below LONG, always short, all hashes."""
+    lines = np.flatnonzero(counts >= LONG)
+    if not len(lines):
+        return counts
+    chosen, sizes = hashes[np.repeat(counts >= LONG, counts)], counts[lines]
+    owners = np.repeat(np.arange(len(lines)), sizes)
+    taken = np.zeros((len(lines), PLACES), dtype=bool)
+    taken[owners, chosen & np.uint32(PLACES - 1)] = True
+    found = taken.sum(axis=1)
+    # Only lines with few places taken are counted exactly.
+    few = found <= SHORT
+    if few.any():
+        at = few[owners]
+        keys = owners[at].astype(np.uint64) << np.uint64(32) | chosen[at]
+        keys.sort()
+        keys = keys[np.append(True, keys[1:] != keys[:-1])]
+        found = np.where(few, np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=len(lines)), found)
+    counts = counts.copy()
+    counts[lines] = found
+    return counts
 
 
 def _short(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -118,9 +134,10 @@ def band_keys(lines: list[str]) -> pa.ListArray:
         while end < len(lines) and size + len(lines[end]) <= BLOCK:
             size += len(lines[end])
             end += 1
-        # Similarity is one of sets: a repetitive line counts each shingle once.
-        hashes, counts = _distinct(*_shingle_hashes(lines[start:end]))
-        for scheme, chosen, sign in ((0, counts <= SHORT, _short), (1, counts >= LONG, _long)):
+        hashes, counts = _shingle_hashes(lines[start:end])
+        # Similarity is one of sets: a repetitive line counts each shingle once. Minima need no distinct hashes.
+        distinct = _distinct(hashes, counts)
+        for scheme, chosen, sign in ((0, distinct <= SHORT, _short), (1, distinct >= LONG, _long)):
             if chosen.any():
                 owners.append(np.repeat(np.flatnonzero(chosen) + start, BANDS))
                 keys.append(_bands(sign(hashes[np.repeat(chosen, counts)], counts[chosen]), scheme).ravel())
@@ -145,13 +162,13 @@ def _lines(min_words: int, signed: bool):
         for batch in source:
             at, pos, lines, size = [], [], [], 0
             for row, text in enumerate(batch.column("text")):
-                for i, line in enumerate(text.as_py().split("\n")):
-                    words = line.lower().split()
-                    if len(words) < min_words:
+                for i, line in enumerate(text.as_py().lower().split("\n")):
+                    line = _single(line)
+                    if not line or line.count(" ") + 1 < min_words:
                         continue
                     at.append(row)
                     pos.append(i)
-                    lines.append(" ".join(words))
+                    lines.append(line)
                     size += len(line)
                     if size > BLOCK:
                         yield packed(batch, at, pos, lines)
@@ -187,13 +204,16 @@ def shingle_ids(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(text))] = text
     counts = lengths + short - SHINGLE + 1
     at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-    packed, wide = np.zeros(len(at), dtype=np.uint64), np.zeros(len(at), dtype=bool)
+    # First at all places, also of windows that leave their line.
+    last = len(codes) - SHINGLE + 1
+    packed, wide = np.zeros(last, dtype=np.uint64), np.zeros(last, dtype=bool)
     for i in range(SHINGLE):
-        code = codes[at + i]
+        code = codes[i:last + i]
         wide |= code > 255
         packed |= code.astype(np.uint64) << np.uint64(8 * i)
+    packed, wide = packed[at], wide[at]
     ids = np.zeros(len(at), dtype=np.uint64)
-    plain, ids_plain = np.unique(packed[~wide], return_inverse=True)
+    ids_plain, plain = pd.factorize(packed[~wide])
     ids[~wide] = ids_plain
     if wide.any():
         windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(codes, SHINGLE)[at[wide]])

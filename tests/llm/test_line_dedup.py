@@ -147,3 +147,23 @@ def test_pairs_are_compared_in_bounded_memory():
     tracemalloc.stop()
     assert found == list(range(1, 4_000, 2))
     assert peak < 60e6  # with the rows of a batch, 200 MB and more
+
+
+def test_schemes_follow_the_distinct_shingles():
+    rng = random.Random(6)
+    lines = ["ab" * 300, "x" * 500] + ["".join(rng.choice(a) for _ in range(n)) for a in ("abc", "abcdefghijkl ") for n in range(80, 180, 3)]
+    lines = [L.normal(x) for x in lines]
+    hashes, counts = L._shingle_hashes(lines)
+    held = [set(x.tolist()) for x in L.np.split(hashes, L.np.cumsum(counts)[:-1])]
+    found = L._distinct(hashes, counts)
+    for n, all_hashes, got in zip(map(len, held), counts, found):
+        assert got == (all_hashes if all_hashes < L.LONG else n) or min(got, n) > L.SHORT
+    wide = [L.BANDS * (int(c) <= L.SHORT) + L.BANDS * (int(c) >= L.LONG) for c in found]
+    assert [len(k) for k in L.band_keys(lines).to_pylist()] == wide
+
+
+def test_single_blanks_of_any_kind():
+    for line in ("", " ", "a", " a", "a ", "a  b", "a b", "a\tb", "\xa0a　b\x85", "ΑΣ ΣΑΣ.", "a\x00b", "\x1c", "é 漢​b"):
+        assert L.normal(line) == " ".join(line.lower().split())
+    lines = ["ΑΣ", " ΣΑΣ.", "x"]
+    assert "\n".join(lines).lower().split("\n") == [x.lower() for x in lines]
