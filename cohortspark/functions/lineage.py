@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
+#: Times its share of the rows that the fullest of evenly dealt partitions may hold.
+EVEN = 2
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -44,15 +46,30 @@ def evaluate_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def _parts(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Hash-partition rows that are about to be expanded, at least one partition per core.
 
     The number is explicit, so adaptive execution does not coalesce the small input of a
     large expansion back into one task.
     """
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *columns)
+    return df.repartition(_parts(df), *columns)
+
+
+def spread_if_even(df: DataFrame, source: DataFrame, *columns: str) -> DataFrame:
+    """``spread``, unless one partition would get more than EVEN times its share of the rows of ``source``; then as is.
+
+    ``source`` holds the same keys and is cheaper to read: a pass over these columns alone counts the
+    rows of each partition, by the hash that deals them.
+    """
+    n = _parts(df)
+    counts = source.groupBy(F.pmod(F.hash(*columns), F.lit(n)).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    most, all_rows = counts.agg(F.max("_n"), F.sum("_n")).first()
+    return spread(df, *columns) if (most or 0) * n <= EVEN * (all_rows or 0) else df
 
 
 def spread_scan(df: DataFrame, *columns: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..functions.config import (
     BROADCAST_CONFIG_ROWS, broadcast_if_small, check_feature_sets, config_table, feature_set_table, literal_array)
-from ..functions.lineage import evaluate_once, settle, spread
+from ..functions.lineage import evaluate_once, settle, spread, spread_if_even
 
 
 #: Configured symbols that are looked up in a literal list; more of them are joined.
@@ -65,8 +65,9 @@ def cell_profiles(triples: DataFrame, symbols: Sequence[str], mt_prefix: str = "
                   keys: Sequence[str] = ("library_id", "cell_id"), features: DataFrame | None = None) -> DataFrame:
     """One row per cell with entries: total, detected entries, mt total, symbol counts.
 
-    One shuffle: everything combines map-side, so a hot cell arrives as one row per task.  ``triples``
-    bring their ``symbol``, or only a ``feature_id`` of ``features`` (feature_id, symbol): then a symbol is
+    One shuffle: everything combines map-side, so a hot cell arrives as one row per task.  With ``features``
+    the entries themselves are shuffled where all tasks get about equally many: a map-side row per cell is
+    as wide as the configuration, and a cell's few entries take less.  ``triples`` bring their ``symbol``, or only a ``feature_id`` of ``features`` (feature_id, symbol): then a symbol is
     looked at once per feature, and the entries meet a number and a flag instead of texts.
     ``counts`` is a struct with one field per configured symbol (NULL where the cell has no
     entry); its width is the configuration's, whatever the number of features.
@@ -85,6 +86,7 @@ def cell_profiles(triples: DataFrame, symbols: Sequence[str], mt_prefix: str = "
         placed = placed.select(*keys, "value", *marks)
     else:
         placed = triples.select(*keys, "feature_id", "value").join(placed.select("feature_id", *marks), "feature_id")
+        placed = spread_if_even(placed, triples, *keys)
     # One SQL text for the wide struct: a configuration has many symbols.
     counts = ", ".join(f"sum(CASE WHEN _slot = {i} THEN value END) AS {quoted(s)}" for i, s in enumerate(symbols))
     return placed.groupBy(*keys).agg(
@@ -233,21 +235,33 @@ def _set_sums(sets: list[list[int]], symbols: int):
         per = total.fill_null(0.0).to_numpy(zero_copy_only=False)
         terms, none = [], []
         with np.errstate(all="ignore"):
+            # Most cells have no entry of a symbol: those terms are made once.
+            zero = np.log1p(1e6 * 0.0 / per)
+            lacking = ~known | (per == 0)
             for count in counts.flatten():
-                ratio = 1e6 * count.fill_null(0).to_numpy(zero_copy_only=False).astype(float) / per
-                terms.append(np.log1p(ratio))
-                none.append(~known | (per == 0) | (ratio <= -1))
+                at = np.flatnonzero(count.is_valid())
+                ratio = 1e6 * count.drop_null().to_numpy(zero_copy_only=False).astype(float) / per[at]
+                term, lost = zero.copy(), lacking
+                term[at] = np.log1p(ratio)
+                if (ratio <= -1).any():
+                    lost = lacking.copy()
+                    lost[at] |= ratio <= -1
+                terms.append(term)
+                none.append(lost)
         assert len(terms) == symbols
+        positive_terms = [~(t <= 0) & ~n for t, n in zip(terms, none)]
+        some_none = [n.any() for n in none]
         out, at = {}, 0
         for i, places in enumerate(sets):
             size, positive, amount = np.zeros(rows, dtype=np.int32), np.zeros(rows, dtype=np.int64), np.zeros(rows)
             absent = np.zeros(rows, dtype=bool)
             for place in places:
-                measured = bits[:, at]
+                measured = np.ascontiguousarray(bits[:, at])
                 size += measured
                 amount += np.where(measured, terms[place], 0.0)
-                positive += measured & ~(terms[place] <= 0) & ~none[place]
-                absent |= measured & none[place]
+                positive += measured & positive_terms[place]
+                if some_none[place]:
+                    absent |= measured & none[place]
                 at += 1
             out |= {f"n{i}": pa.array(size), f"s{i}": pa.array(amount, mask=absent), f"p{i}": pa.array(positive)}
         return pa.StructArray.from_arrays(list(out.values()), names=list(out))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.functions import expr as X
-from cohortspark.functions.lineage import spread_scan
+from cohortspark.functions.lineage import evaluate_once, spread_scan
 from cohortspark.operators import cells as C
 from cohortspark.operators import effects as E
 from cohortspark.operators import scores as S
@@ -85,20 +85,21 @@ class Tables:
     @cached_property
     def platforms(self) -> DataFrame:
         """Feature table of each cohort's platform: none lists all symbols, no two list the same."""
-        number = F.split_part("symbol", F.lit("#"), F.lit(2)).cast("int")
         regions = self.region.select(F.col("r_name").alias("cohort_id"), "r_regionkey")
-        return (spread_scan(self.features).join(F.broadcast(regions), (number + F.col("r_regionkey")) % 7 != 0)  # five regions
+        number = {"_number": F.split_part("symbol", F.lit("#"), F.lit(2)).cast("int")}
+        numbered = evaluate_once(evaluate_once(spread_scan(self.part.select("p_partkey", "p_brand")), {
+            "symbol": X.normalize_symbol("p_brand")}).withColumnRenamed("p_partkey", "feature_id"), number)
+        return (numbered.join(F.broadcast(regions), (F.col("_number") + F.col("r_regionkey")) % 7 != 0)  # five regions
                 .select("cohort_id", "feature_id", "symbol"))
 
     @cached_property
     def entries(self) -> DataFrame:
-        entries = self.lineitem.select(F.col("l_orderkey").alias("cell_id"), F.col("l_partkey").alias("feature_id"),
-                                       F.col("l_quantity").cast("long").alias("value"))
-        return spread_scan(entries, "cell_id")
+        return self.lineitem.select(F.col("l_orderkey").alias("cell_id"), F.col("l_partkey").alias("feature_id"),
+                                    F.col("l_quantity").cast("long").alias("value"))
 
     @cached_property
     def triples(self) -> DataFrame:
-        return self.entries.join(self.features, "feature_id")
+        return spread_scan(self.entries, "cell_id").join(self.features, "feature_id")
 
     @cached_property
     def donors(self) -> DataFrame:

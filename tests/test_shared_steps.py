@@ -136,3 +136,18 @@ def test_percentiles_write_their_rows_once(spark, monkeypatch):
     rows = spark.range(500).select((F.col("id") % 2).alias("k"), (F.col("id") * 1.5).alias("v"))
     got = {r["k"]: r["m"] for r in P.group_percentiles(rows, ["k"], "v", {"m": 0.5}).collect()}
     assert got == {0: 373.5, 1: 375.0} and sizes.count(500) == 1
+
+
+def test_entries_are_dealt_themselves_unless_a_cell_is_hot(spark):
+    features = spark.createDataFrame([(1, "A"), (2, "B"), (3, "MT-X")], "feature_id long, symbol string")
+    ids = spark.range(20000)
+    even = ids.select((F.col("id") % 4000).alias("cell_id"), (F.col("id") % 3 + 1).alias("feature_id"), (F.col("id") % 7).alias("value"))
+    hot = even.withColumn("cell_id", F.when(F.col("cell_id") < 2000, 0).otherwise(F.col("cell_id")))
+    none = even.where("value > 9")
+    for entries, dealt in ((even, True), (hot, False), (none, True)):
+        made = C.cell_profiles(entries, ["B"], keys=["cell_id"], features=features)
+        assert ("REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()) == dealt
+        got = made.selectExpr("cell_id", "total_umi", "detected_genes", "mt_umi", "counts.B")
+        want = entries.join(features, "feature_id").groupBy("cell_id").agg(F.expr(
+            "sum(value)"), F.expr("count_if(value > 0)"), F.expr("sum(if(symbol LIKE 'MT-%', value, 0))"), F.expr("sum(if(symbol = 'B', value, null))"))
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
