@@ -151,10 +151,16 @@ def _prefixes(classes, size: int, percent: int, orders: int):
 
 
 def _sets(size: int):
+    """(id, to, tokens): the set of each text, where it is sent; once an id and task, however often its row is repeated."""
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in source:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(
-                [shingle_set(t.as_py(), size).tobytes() for t in batch.column("text")], pa.binary())], names=["id", "tokens"])
+            ids = batch.column("id").to_pylist()
+            new = [k for k, i in enumerate(ids) if i not in seen and not seen.add(i)]
+            if new:
+                batch = batch.take(pa.array(new, pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("to"), pa.array(
+                    [shingle_set(t.as_py(), size).tobytes() for t in batch.column("text")], pa.binary())], names=["id", "to", "tokens"])
     return batches
 
 
@@ -169,10 +175,20 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _verified(percent: int):
+    """Links (u, v) of rows (u, slot, id, tokens), sorted so that the set of u itself comes before those it is compared with."""
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, None
         for batch in source:
-            keep = [similar(_tokens(a.as_py()), _tokens(b.as_py()), percent) for a, b in zip(batch.column("a"), batch.column("b"))]
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            found = []
+            for u, i, data in zip(batch.column("u").to_pylist(), batch.column("id").to_pylist(), batch.column("tokens")):
+                tokens = _tokens(data.as_py())
+                if i == u:
+                    at, own = u, tokens.copy()
+                elif u != at:
+                    raise RuntimeError("a pair without its first set")
+                elif similar(own, tokens, percent):
+                    found.append((u, i))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
     return batches
 
 
@@ -344,12 +360,15 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         wanted = broadcast_if_small(cut(ids.distinct()))
         return held.select("id", *columns).join(wanted, "id").dropDuplicates(["id"])
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = cut(nodes.withColumn("id", number).join(ids.distinct(), "id").select(
-            "id", F.col("first.k1").alias("w1"), F.col("first.k2").alias("w2")))
-        source = rows.join(broadcast_if_small(wanted), (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")))
-        # Only fully repeated rows come twice.
-        return cut(source.select("id", "text").mapInArrow(_sets(size), "id bigint, tokens binary")).dropDuplicates(["id"])
+    def sets_of(targets: DataFrame) -> DataFrame:
+        """(id, tokens, fields of to) of targets (id, to): full sets go from their texts to each place they are wanted, without a stop."""
+        targets = targets.groupBy("id").agg(F.collect_set("to").alias("to"))
+        wanted = cut(nodes.withColumn("id", number).join(targets, "id").select(
+            "id", "to", F.col("first.k1").alias("w1"), F.col("first.k2").alias("w2")))
+        width = len(wanted.schema["to"].dataType.elementType.names)
+        source = rows.join(broadcast_if_small(wanted, F.size("to") * width + 3), (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")))
+        made = source.select("id", "to", "text").mapInArrow(_sets(size), f"id bigint, to {wanted.schema['to'].dataType.simpleString()}, tokens binary")
+        return made.select("id", "tokens", F.inline("to"))
 
     def meeting(pairs: DataFrame) -> DataFrame:
         """Pairs of compatible sizes whose prefixes meet under the other orders, too."""
@@ -365,11 +384,14 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         return sized.select("u", "v")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = cut(meeting(cut(pairs)))
-        sets = sets_of(pairs.select(F.col("u").alias("id")).union(pairs.select("v")))
-        both = pairs.join(sets.select(F.col("id").alias("v"), F.col("tokens").alias("b")), "v").join(
-            sets.select(F.col("id").alias("u"), F.col("tokens").alias("a")), "u")
-        return both.mapInArrow(_verified(percent), "u bigint, v bigint")
+        pairs = cut(meeting(cut(pairs)).distinct())
+        # The sets of a star go to its centre, MEMBERS at a time, and the centre's own to each such slot.
+        slots = pairs.groupBy("u").agg(F.ceil(F.count("*") / graph.MEMBERS).alias("slots"))
+        place = F.struct("u", "slot").alias("to")
+        members = pairs.join(slots, "u").withColumn("slot", F.pmod(F.xxhash64("v"), F.col("slots"))).select(F.col("v").alias("id"), place)
+        centres = members.select(F.col("to.u").alias("id"), "to").distinct()
+        sent = sets_of(members.union(centres)).repartition("u", "slot").sortWithinPartitions("u", "slot", F.col("id") != F.col("u"), "id")
+        return sent.select("u", "slot", "id", "tokens").mapInArrow(_verified(percent), "u bigint, v bigint")
 
     def compare(placed: DataFrame) -> DataFrame:
         """First the filters alone, on sizes, then on prefixes; full sets go only to members with a partner left in their block."""
@@ -390,12 +412,14 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         work = work.join(sides_of(work.select("id"), "keys", "base", *qs), "id").withColumn(
             "base", F.size(earlier(F.slice("keys", F.lit(1), F.col("base"))))).withColumn("keys", earlier(F.col("keys")))
         work = _gathered(kept(work, ["keys", "base", *qs], _candidates))
-        work = dealt(work.join(sets_of(work.select("id")), "id"), "tokens")
+        work = dealt(sets_of(work.select("id", F.struct("key", "i", "j", "component", "other", "n").alias("to"))), "tokens")
         return work.mapInArrow(_by_block([*head, "tokens"], lambda group, rows: _spanning(group, rows, percent), ["u", "v"]), "u bigint, v bigint")
 
     linked = linked_groups(members, verify, compare)
-    placed = nodes.withColumn("id", number).join(linked, "id", "left").select(
-        "h1", "h2", "first", F.coalesce("component", "id").alias("component"))
-    groups = cut(with_heads(placed, "first", "head").select("h1", "h2", F.col("head.doc_id").alias("component_id")))
+    placed = cut(nodes.withColumn("id", number).join(linked, "id", "left").select("h1", "h2", "first", "component"))
+    # A set without a link heads itself.
+    alone = placed.where("component is null").select("h1", "h2", F.col("first.doc_id").alias("component_id"))
+    groups = cut(with_heads(placed.where("component is not null"), "first", "head").select(
+        "h1", "h2", F.col("head.doc_id").alias("component_id")).union(alone))
     return made.select("doc_id", "n", "h1", "h2").join(groups, ["h1", "h2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -138,3 +138,17 @@ def test_members_are_dealt_once(spark, monkeypatch):
         met = {tuple(sorted((a, b))) for ids in blocks.values() for a in ids for b in ids if a != b}
         assert met == {(a, b) for a in range(10) for b in range(a + 1, 10)} | {(90, 91)}
         assert sum(map(len, blocks.values())) == (12 if members == 256 else 32)  # by key: 74
+
+
+def test_full_sets_are_sent_once_and_met_in_slots(spark, monkeypatch):
+    import pyarrow as pa
+
+    to = pa.array([[{"u": 1, "slot": 0}]] * 3)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 1, 2]), to, pa.array(["a b c d", "a b c d", "x"])], names=["id", "to", "text"])
+    assert [b.column("id").to_pylist() for b in jaccard._sets(4)(iter([batch, batch]))] == [[1, 2]]
+    monkeypatch.setattr(graph, "MEMBERS", 2)
+    base = " ".join(f"w{i}" for i in range(60))
+    texts = [base] + [f"{base} n{i}" for i in range(9)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3])] * 4 + [(99, "alone here")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in jaccard.jaccard_join(docs).collect())
+    assert got == sorted([(i, 0) for i in range(10)] + [(3, 0)] * 4 + [(99, 99)])
