@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import broadcast_if_small, cut, filter_bits, hash_filter, lower_ascii, passes
+from cohortspark.llm.common import broadcast_if_small, cut, filter_bits, filter_row, lower_ascii, passes
 
 LONGEST, LEAST_COUNT, TOP, SHARE = 5, 100, 2000, 100
 #: Characters that end a piece, and those between words.
@@ -44,7 +44,7 @@ def padded_windows(texts: DataFrame, longest: int, least: int) -> DataFrame:
         _pair(F.col("lang"), F.col("w1"), F.col("w2")).alias("h"))
     common = cut(pairs.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("h"))
     bits = filter_bits(common.count())
-    flags = hash_filter(common, bits)
+    flags = filter_row(common, bits).scalar()
     windows = lead_windows(texts, longest)
     for i in range(2, longest + 1):
         before, word = F.col(f"w{i - 1}"), F.col(f"w{i}")

@@ -92,6 +92,23 @@ def hash_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> Column:
     return F.split(F.lit(text), ",").cast("array<bigint>")
 
 
+def filter_row(hashes: DataFrame, bits: int) -> DataFrame:
+    """The filter of the column ``h`` as one checkpointed row: ``flags``, an array of bits / 64 numbers, put together by the executors.
+
+    Its ``scalar()`` stands for a filter that grows: a constant is printed, a number at a time, into every plan the driver keeps.
+    """
+    set_bits = hashes.select(F.explode(F.array(*_bits(F.col("h"), bits))).alias("bit"))
+    masks = set_bits.select(F.shiftright("bit", 6).alias("at"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("bits"))
+    unset = hashes.sparkSession.range(bits // 64).select(F.col("id").alias("at"), F.lit(0).cast("bigint").alias("bits"))
+
+    def listed(key: str) -> Column:
+        return F.transform(F.sort_array(F.collect_list(F.struct(key, "bits"))), lambda x: x["bits"])
+
+    numbers = masks.union(unset).groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    blocks = numbers.groupBy(F.shiftright("at", 10).alias("block")).agg(listed("at").alias("bits"))
+    return cut(blocks.agg(F.flatten(listed("block")).alias("flags")))
+
+
 def passes(flags: Column, h: Column, bits: int = FILTER_BITS) -> Column:
     """Whether the filter may hold ``h``; never false for a hash it was built from."""
     tests = [F.getbit(F.get(flags, F.shiftright(b, 6).cast("int")), F.pmod(b, F.lit(64)).cast("int")) == 1 for b in _bits(h, bits)]

@@ -5,8 +5,9 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from cohortspark.llm import collocations
+from cohortspark.llm import collocations, common
 
 SCHEMA = "doc_id long, text string, lang string, n long, phrase string, score double, ws string"
 
@@ -63,3 +64,21 @@ def test_hot_word_long_text_and_no_rows(spark, edge_docs, no_docs):
     df = spark.createDataFrame([(i, t, lang, 1, "p", 0.5, "w") for i, (t, lang) in enumerate(rows)], SCHEMA)
     assert mined(df) == plain(rows, 5, 100, 2000, 100)
     assert mined(edge_docs, least=3) == plain([(r["text"], r["lang"]) for r in edge_docs.collect()], 5, 3, 2000, 100)
+
+
+def test_plans_do_not_hold_the_filter(spark, edge_docs):
+    texts = edge_docs.select("lang", collocations.words(F.col("text")).alias("ws"))
+    plan = collocations.padded_windows(texts, 5, 2)._jdf.queryExecution().toString()
+    assert len(plan) < 100_000  # the least filter has 16,384 numbers, and each word but the first is tested twice
+
+
+@pytest.mark.parametrize("bits", [1 << 13, 1 << 20])
+def test_filter_row_holds_the_bits_of_all_hashes(spark, bits):
+    hashes = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    for some in (hashes, hashes.where("h is null")):
+        rows = common.filter_row(some, bits).collect()
+        want = [0] * (bits // 64)
+        for (h,) in some.collect():
+            for bit in (h % bits, (h >> 32) % bits):
+                want[bit // 64] |= 1 << bit % 64
+        assert [[n % (1 << 64) for n in r["flags"]] for r in rows] == [want]
